@@ -12,7 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caisse.operators import profile as prof
+from caisse.operators.cleaning import clean, rename
 from caisse.plans.sales import SalesAnalysis
+from caisse.roles import role_map
+from caisse.sources.dirty import dirty_raw
+from caisse.sources.files import ROW_ID
 from caisse.sources.starschema import sales_view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +83,62 @@ def m9_chart_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _analysis(spark, sf_dir, MONTHLY_COLS).chart_summary()
 
 
+def _cleaned_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean(dirty_raw(spark, sf_dir))[0]
+
+
+def _export_view(df: DataFrame) -> DataFrame:
+    """Rows as exported: timestamps as ISO text, internal row id dropped."""
+    exprs = []
+    for c, t in df.dtypes:
+        if c == ROW_ID:
+            continue
+        if t.startswith("timestamp"):
+            exprs.append(F.date_format(F.col(c), "yyyy-MM-dd'T'HH:mm:ss").alias(c))
+        else:
+            exprs.append(F.col(c))
+    return df.select(*exprs)
+
+
+def c10_clean_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _export_view(_cleaned_dirty(spark, sf_dir))
+
+
+def q9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = dirty_raw(spark, sf_dir)
+    return prof.quality_report(raw, clean(raw)[0])
+
+
+def q15_column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prof.column_profile(_cleaned_dirty(spark, sf_dir))
+
+
+def q15_sales_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prof.column_profile(sales_view(spark, sf_dir))
+
+
+def q7_sales_table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prof.table_stats(sales_view(spark, sf_dir))
+
+
+OPTION_KEYS = {"villes": "city", "canaux": "channel", "clients": "client", "produits": "product", "vendeurs": "seller"}
+
+
+def q13_filter_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = sales_view(spark, sf_dir)
+    roles = role_map(df.columns)
+    return prof.filter_options(df, {k: roles[r] for k, r in OPTION_KEYS.items()})
+
+
+def q14_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = sales_view(spark, sf_dir, ["date_vente"])
+    return prof.date_range(df, "date_vente")
+
+
+def c_clean_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SalesAnalysis(_cleaned_dirty(spark, sf_dir).drop(ROW_ID)).dashboard()
+
+
 QUERIES: dict[str, Query] = {
     "k20_dashboard": k20_dashboard,
     "k13_k17_top5": k13_k17_top5,
@@ -88,4 +149,12 @@ QUERIES: dict[str, Query] = {
     "m6_anomalies": m6_anomalies,
     "j2_chart_series": j2_chart_series,
     "m9_chart_summary": m9_chart_summary,
+    "c10_clean_rows": c10_clean_rows,
+    "q9_quality": q9_quality,
+    "q15_column_profile": q15_column_profile,
+    "q15_sales_profile": q15_sales_profile,
+    "q7_sales_table_stats": q7_sales_table_stats,
+    "q13_filter_options": q13_filter_options,
+    "q14_date_range": q14_date_range,
+    "c_clean_dashboard": c_clean_dashboard,
 }

@@ -8,21 +8,47 @@ per dimension, window functions, ``regr_slope`` for the fit.
 from __future__ import annotations
 
 from caisse.functions.payment import PAID_WORDS, UNPAID_WORDS
+from caisse.sources.dirty import DIRTY_SQL
+from caisse.sources.files import FLOAT_PATTERN
 from caisse.sources.starschema import SALES_VIEW_SQL
 
-PAY_NORM = "lower(trim(strip_accents(coalesce(statut_paiement, ''))))"
-PAY_CLASS = (
-    f"CASE WHEN regexp_matches({PAY_NORM}, '{'|'.join(UNPAID_WORDS)}') THEN 'unpaid' "
-    f"WHEN regexp_matches({PAY_NORM}, '{'|'.join(PAID_WORDS)}') THEN 'paid' ELSE 'unknown' END"
-)
+def pay_class(col: str | None) -> str:
+    if not col:
+        return "CAST(NULL AS VARCHAR)"
+    norm = f"lower(trim(strip_accents(coalesce(CAST({col} AS VARCHAR), ''))))"
+    return (
+        f"CASE WHEN regexp_matches({norm}, '{'|'.join(UNPAID_WORDS)}') THEN 'unpaid' "
+        f"WHEN regexp_matches({norm}, '{'|'.join(PAID_WORDS)}') THEN 'paid' ELSE 'unknown' END"
+    )
+
+
+def measures_cte(source: str, rev: str | None, cost: str | None = None, margin: str | None = None,
+                 client: str | None = None, product: str | None = None, city: str | None = None,
+                 channel: str | None = None, seller: str | None = None, order: str | None = None,
+                 date: str | None = None, payment: str | None = None) -> str:
+    """``m`` CTE with the standard measure names over ``source``."""
+    def c(x: str | None, t: str = "VARCHAR") -> str:
+        return f"CAST({x} AS {t})" if x else f"CAST(NULL AS {t})"
+    if margin:
+        margin_expr = f"coalesce({margin}, 0)"
+    elif cost and rev:
+        margin_expr = f"coalesce({rev}, 0) - coalesce({cost}, 0)"
+    else:
+        margin_expr = "0"
+    month = f"CASE WHEN {rev} IS NOT NULL THEN strftime({date}, '%Y-%m') END" if rev and date else "CAST(NULL AS VARCHAR)"
+    return f"""m AS (
+    SELECT {c(client)} AS client, {c(product)} AS produit, {c(city)} AS ville, {c(channel)} AS canal,
+           {c(seller)} AS vendeur, {order if order else 'CAST(NULL AS BIGINT)'} AS id_commande,
+           {rev if rev else 'CAST(NULL AS DOUBLE)'} AS rev, {margin_expr} AS margin_part,
+           {month} AS month,
+           {pay_class(payment)} AS pay
+    FROM {source})"""
+
 
 SALES = f"sales AS ({SALES_VIEW_SQL})"
-MEASURES = f"""m AS (
-    SELECT client, produit, ville, canal, vendeur, id_commande,
-           chiffre_affaires AS rev, cout_total AS cost,
-           CASE WHEN chiffre_affaires IS NOT NULL THEN strftime(date_vente, '%Y-%m') END AS month,
-           {PAY_CLASS} AS pay
-    FROM sales)"""
+MEASURES = measures_cte("sales", "chiffre_affaires", cost="cout_total", client="client", product="produit",
+                        city="ville", channel="canal", seller="vendeur", order="id_commande", date="date_vente",
+                        payment="statut_paiement")
 DIM_SUMS = """dims AS (
     SELECT 'client' AS dimension, client AS name, sum(rev) AS s FROM m WHERE client IS NOT NULL AND rev IS NOT NULL GROUP BY client
     UNION ALL SELECT 'product', produit, sum(rev) FROM m WHERE produit IS NOT NULL AND rev IS NOT NULL GROUP BY produit
@@ -57,16 +83,18 @@ WITH_BASE = f"WITH {SALES},\n{MEASURES}"
 
 ORACLE_SQL: dict[str, str] = {}
 
-ORACLE_SQL["k20_dashboard"] = f"""{WITH_BASE},
+def dashboard_sql(with_base: str, has_order: bool = True) -> str:
+    orders = "count(DISTINCT id_commande)" if has_order else "count(*)"
+    return f"""{with_base},
 {DIM_SUMS},
 {RANKED},
 {MONTHS},
 {DELTAS},
 tot AS (
     SELECT coalesce(sum(rev), 0) AS revenue,
-           coalesce(sum(coalesce(rev, 0) - coalesce(cost, 0)), 0) AS margin,
+           coalesce(sum(margin_part), 0) AS margin,
            count(DISTINCT client) AS clients, count(DISTINCT produit) AS products,
-           count(DISTINCT id_commande) AS orders,
+           {orders} AS orders,
            count_if(pay = 'paid') AS paid, count_if(pay = 'unpaid') AS unpaid, count_if(pay = 'unknown') AS unknown
     FROM m),
 best AS (
@@ -93,6 +121,9 @@ SELECT CAST(round(revenue, 2) AS DOUBLE) AS revenue_total,
        growth.previous_month AS best_growth_previous_month
 FROM tot CROSS JOIN best LEFT JOIN growth ON TRUE"""
 
+
+ORACLE_SQL["k20_dashboard"] = dashboard_sql(WITH_BASE)
+
 ORACLE_SQL["k13_k17_top5"] = f"""{WITH_BASE},
 {DIM_SUMS},
 {RANKED}
@@ -169,3 +200,127 @@ SELECT round(greatest(0, intercept + slope * n), 2) AS next_month_value,
        CASE WHEN slope > mean * 0.03 THEN 'hausse' WHEN slope < -mean * 0.03 THEN 'baisse' ELSE 'stable' END AS trend,
        CAST(greatest(35, least(95, round(100 - mae / mean * 100, 0))) AS INTEGER) AS confidence_score
 FROM model"""
+
+
+# ---------------------------------------------------------------------------
+# Cleaning of the dirty extract
+# ---------------------------------------------------------------------------
+def _trimmed(c: str) -> str:
+    return f"CASE WHEN trim({c}) IN ('nan', 'None', '') THEN NULL ELSE trim({c}) END AS {c}"
+
+
+def _mode(c: str) -> str:
+    return (f"(SELECT v FROM (SELECT {c} AS v, count(*) AS k FROM conv WHERE {c} IS NOT NULL GROUP BY 1) "
+            f"ORDER BY k DESC, v ASC LIMIT 1)")
+
+
+CLEAN_CTES = f"""{DIRTY_SQL},
+dedup AS (
+    SELECT id_commande, date_vente, montant, client, produit, statut_paiement, vide, quantit, min(row_id) AS row_id
+    FROM raw GROUP BY ALL),
+trimmed AS (
+    SELECT id_commande, {_trimmed('date_vente')}, {_trimmed('montant')}, {_trimmed('client')}, {_trimmed('produit')},
+           {_trimmed('statut_paiement')}, quantit, row_id
+    FROM dedup),
+conv AS (
+    SELECT id_commande, try_strptime(date_vente, '%Y-%m-%d') AS date_vente,
+           CASE WHEN regexp_matches(montant, '{FLOAT_PATTERN}') THEN CAST(montant AS DOUBLE) END AS montant,
+           client, produit, statut_paiement, quantit, row_id
+    FROM trimmed),
+med AS (
+    SELECT avg(montant) AS v FROM (
+        SELECT montant, row_number() OVER (ORDER BY montant) AS r, count(*) OVER () AS n
+        FROM conv WHERE montant IS NOT NULL)
+    WHERE r = (n + 1) // 2 OR r = n // 2 + 1),
+cleaned AS (
+    SELECT id_commande,
+           coalesce(date_vente, {_mode('date_vente')}) AS date_vente,
+           coalesce(montant, (SELECT v FROM med)) AS montant,
+           coalesce(client, {_mode('client')}) AS client,
+           coalesce(produit, {_mode('produit')}) AS produit,
+           coalesce(statut_paiement, {_mode('statut_paiement')}) AS statut_paiement,
+           quantit
+    FROM conv)"""
+
+CLEAN_COLS = ["id_commande", "date_vente", "montant", "client", "produit", "statut_paiement", "quantit"]
+RAW_COLS = ["id_commande", "date_vente", "montant", "client", "produit", "statut_paiement", "vide", "quantit"]
+
+ORACLE_SQL["c10_clean_rows"] = f"""WITH {CLEAN_CTES}
+SELECT id_commande, strftime(date_vente, '%Y-%m-%dT%H:%M:%S') AS date_vente, montant, client, produit,
+       statut_paiement, quantit
+FROM cleaned"""
+
+
+def _stats(src: str, cols: list[str], prefix: str) -> str:
+    nulls = " + ".join(f"count_if({c} IS NULL)" for c in cols)
+    ratio = " + ".join(f"count_if({c} IS NULL) / count(*)" for c in cols)
+    col_list = ", ".join(cols)
+    return f"""{prefix} AS (
+    SELECT count(*) AS n, {nulls} AS missing_total, ({ratio}) / {len(cols)} AS missing_ratio,
+           count(*) - (SELECT count(*) FROM (SELECT DISTINCT {col_list} FROM {src})) AS dups
+    FROM {src})"""
+
+
+ORACLE_SQL["q9_quality"] = f"""WITH {CLEAN_CTES},
+{_stats('raw', RAW_COLS, 'b')},
+{_stats('cleaned', CLEAN_COLS, 'a')}
+SELECT b.n AS rows_before, {len(RAW_COLS)} AS columns_before, b.missing_total AS missing_total_before,
+       b.dups AS duplicate_count_before,
+       greatest(0.0, least(100.0, round(100 - b.missing_ratio * 55 - b.dups / greatest(1, b.n) * 35, 1))) AS quality_score_before,
+       a.n AS row_count, {len(CLEAN_COLS)} AS column_count, a.missing_total AS missing_total, a.dups AS duplicate_count,
+       greatest(0.0, least(100.0, round(100 - a.missing_ratio * 55 - a.dups / greatest(1, a.n) * 35, 1))) AS quality_score_after
+FROM b CROSS JOIN a"""
+
+
+def profile_sql(with_clause: str, src: str, cols: list[tuple[str, str, str]]) -> str:
+    """Column profile: one SELECT per column (name, dtype string, label)."""
+    parts = []
+    for i, (c, dtype, label) in enumerate(cols):
+        parts.append(
+            f"SELECT '{c}' AS \"column\", {i} AS position, '{dtype}' AS type, '{label}' AS type_label, "
+            f"count_if({c} IS NULL) AS missing, round(count_if({c} IS NULL) / count(*) * 100, 1) AS missing_rate, "
+            f"count(DISTINCT {c}) AS \"unique\" FROM {src}"
+        )
+    return f"{with_clause}\n" + "\nUNION ALL\n".join(parts)
+
+
+_CLEAN_TYPES = [
+    ("id_commande", "int64", "Nombre entier"), ("date_vente", "datetime64[ns]", "Date"),
+    ("montant", "float64", "Nombre décimal"), ("client", "object", "Texte"), ("produit", "object", "Texte"),
+    ("statut_paiement", "object", "Texte"), ("quantit", "float64", "Nombre décimal"),
+]
+ORACLE_SQL["q15_column_profile"] = profile_sql(f"WITH {CLEAN_CTES}", "cleaned", _CLEAN_TYPES)
+
+_SALES_TYPES = [
+    ("id_commande", "int64", "Nombre entier"), ("date_vente", "datetime64[ns]", "Date"),
+    ("chiffre_affaires", "float64", "Nombre décimal"), ("cout_total", "float64", "Nombre décimal"),
+    ("client", "object", "Texte"), ("produit", "object", "Texte"), ("ville", "object", "Texte"),
+    ("canal", "object", "Texte"), ("vendeur", "object", "Texte"), ("statut_paiement", "object", "Texte"),
+    ("quantite", "float64", "Nombre décimal"),
+]
+ORACLE_SQL["q15_sales_profile"] = profile_sql(f"WITH {SALES}", "sales", _SALES_TYPES)
+
+_SALES_COLS = [c for c, _t, _l in _SALES_TYPES]
+ORACLE_SQL["q7_sales_table_stats"] = f"""WITH {SALES},
+{_stats('sales', _SALES_COLS, 's')}
+SELECT n AS "rows", {len(_SALES_COLS)} AS "columns", missing_total, missing_ratio, dups AS duplicate_count,
+       dups / greatest(1, n) AS duplicate_ratio
+FROM s"""
+
+ORACLE_SQL["q13_filter_options"] = f"""WITH {SALES},
+opts AS (
+    SELECT DISTINCT 'villes' AS option, CAST(ville AS VARCHAR) AS value FROM sales WHERE ville IS NOT NULL
+    UNION SELECT DISTINCT 'canaux', CAST(canal AS VARCHAR) FROM sales WHERE canal IS NOT NULL
+    UNION SELECT DISTINCT 'clients', CAST(client AS VARCHAR) FROM sales WHERE client IS NOT NULL
+    UNION SELECT DISTINCT 'produits', CAST(produit AS VARCHAR) FROM sales WHERE produit IS NOT NULL
+    UNION SELECT DISTINCT 'vendeurs', CAST(vendeur AS VARCHAR) FROM sales WHERE vendeur IS NOT NULL)
+SELECT option, CAST(position AS INTEGER) AS position, value FROM (
+    SELECT option, value, row_number() OVER (PARTITION BY option ORDER BY value) AS position FROM opts)
+WHERE position <= 150"""
+
+ORACLE_SQL["q14_date_range"] = f"""WITH {SALES}
+SELECT strftime(min(date_vente), '%Y-%m-%d') AS date_min, strftime(max(date_vente), '%Y-%m-%d') AS date_max FROM sales"""
+
+CLEAN_MEASURES = measures_cte("cleaned", "montant", client="client", product="produit", order="id_commande",
+                              date="date_vente", payment="statut_paiement")
+ORACLE_SQL["c_clean_dashboard"] = dashboard_sql(f"WITH {CLEAN_CTES},\n{CLEAN_MEASURES}")
