@@ -149,12 +149,26 @@ def growth_of(months: Column) -> Column:
     return F.when(F.size(months) >= 2, F.array_max(deltas))
 
 
-def dashboard_row(m: Measures, agg: DataFrame) -> DataFrame:
-    """K20 scalars as one row, folded from the grouping-sets aggregate in one pass.
+DASHBOARD_COLUMNS = [
+    "revenue_total", "margin_total", "margin_rate", "client_count", "product_count", "order_count",
+    "average_basket", "paid_order_count", "unpaid_order_count", "unknown_payment_count",
+    "best_city", "best_city_value", "best_channel", "best_channel_value", "best_seller", "best_seller_value",
+    "best_growth_month", "best_growth_value", "best_growth_previous_month",
+]
+INACTIVE_CLIENT_THRESHOLD = 100
+TOP_K = 5
+
+
+def dashboard_fold(m: Measures, agg: DataFrame) -> DataFrame:
+    """K20 and the helper fields of insights / alerts / answers, one row, one pass.
 
     Every field is an aggregate over ``agg`` (no window, no join), so the fact
     table is scanned once. The month list collected here is bounded by the
-    calendar (one entry per month), never by the data volume.
+    calendar (one entry per month), never by the data volume. Besides the
+    public dashboard columns it carries ``months`` (sorted ``array<struct<month,
+    value>>``), best client / product, and ``clients_listed`` /
+    ``clients_listed_over`` for the inactive-client rule (the 5th best client
+    is under 100 exactly when fewer than ``min(n, 5)`` clients reach 100).
     """
     is_total = F.col("set") == "total"
 
@@ -165,6 +179,7 @@ def dashboard_row(m: Measures, agg: DataFrame) -> DataFrame:
         return F.count_if((F.col("set") == set_name) & F.col("name").isNotNull())
 
     is_month = (F.col("set") == "month") & F.col("name").isNotNull() & F.col("sum_rev").isNotNull()
+    client_row = (F.col("set") == "client") & F.col("name").isNotNull() & F.col("sum_rev").isNotNull()
     folded = agg.agg(
         F.coalesce(total("sum_rev"), F.lit(0)).alias("_revenue"),
         F.coalesce(total("sum_margin"), F.lit(0)).alias("_margin"),
@@ -175,15 +190,17 @@ def dashboard_row(m: Measures, agg: DataFrame) -> DataFrame:
         F.coalesce(total("n_paid"), F.lit(0)).alias("paid_order_count"),
         F.coalesce(total("n_unpaid"), F.lit(0)).alias("unpaid_order_count"),
         F.coalesce(total("n_unknown"), F.lit(0)).alias("unknown_payment_count"),
-        *[best_of(d, F.col("name")).alias(f"best_{d}") for d in ("city", "channel", "seller")],
-        *[best_of(d, money(F.col("sum_rev"))).alias(f"best_{d}_value") for d in ("city", "channel", "seller")],
+        *[best_of(d, F.col("name")).alias(f"best_{d}") for d in ("city", "channel", "seller", "client", "product")],
+        *[best_of(d, money(F.col("sum_rev"))).alias(f"best_{d}_value") for d in ("city", "channel", "seller", "client", "product")],
+        F.count_if(client_row).alias("_clients_ranked"),
+        F.count_if(client_row & (money(F.col("sum_rev")) >= INACTIVE_CLIENT_THRESHOLD)).alias("_clients_over"),
         F.array_sort(
             F.collect_list(F.when(is_month, F.struct(F.col("name").alias("month"), money(F.col("sum_rev")).alias("value"))))
-        ).alias("_months"),
+        ).alias("months"),
     )
     orders = F.col("_distinct_orders") if m.has_order else F.col("_rows")
     revenue = F.col("_revenue")
-    growth = growth_of(F.col("_months"))
+    growth = growth_of(F.col("months"))
     zero = F.lit(0).cast("long")
     return folded.select(
         money(revenue).alias("revenue_total"),
@@ -200,13 +217,19 @@ def dashboard_row(m: Measures, agg: DataFrame) -> DataFrame:
         F.col("paid_order_count").cast("long").alias("paid_order_count"),
         F.col("unpaid_order_count").cast("long").alias("unpaid_order_count"),
         F.col("unknown_payment_count").cast("long").alias("unknown_payment_count"),
-        "best_city",
-        "best_city_value",
-        "best_channel",
-        "best_channel_value",
-        "best_seller",
-        "best_seller_value",
-        growth.getField("month").alias("best_growth_month"),
-        growth.getField("delta").alias("best_growth_value"),
-        growth.getField("previous_month").alias("best_growth_previous_month"),
+        *[F.col(f"best_{d}") for d in ("city",)], "best_city_value",
+        "best_channel", "best_channel_value", "best_seller", "best_seller_value",
+        growth["month"].alias("best_growth_month"),
+        growth["delta"].alias("best_growth_value"),
+        growth["previous_month"].alias("best_growth_previous_month"),
+        "best_client", "best_client_value", "best_product", "best_product_value",
+        F.least(F.col("_clients_ranked"), F.lit(TOP_K)).cast("long").alias("clients_listed"),
+        F.least(F.col("_clients_over"), F.lit(TOP_K)).cast("long").alias("clients_listed_over"),
+        "months",
+        F.col("_rows").cast("long").alias("row_count"),
     )
+
+
+def dashboard_row(m: Measures, agg: DataFrame) -> DataFrame:
+    """The public dashboard scalars as one row."""
+    return dashboard_fold(m, agg).select(*DASHBOARD_COLUMNS)

@@ -12,7 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caisse.operators import assistant as qa
+from caisse.operators import insights as ins
 from caisse.operators import profile as prof
+from caisse.operators.kpis import dashboard_fold, top_k
 from caisse.operators.cleaning import clean, rename
 from caisse.plans.sales import SalesAnalysis
 from caisse.roles import role_map
@@ -139,6 +142,52 @@ def c_clean_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SalesAnalysis(_cleaned_dirty(spark, sf_dir).drop(ROW_ID)).dashboard()
 
 
+def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dashboard fold merged with the table statistics (missing ratio) of the sales view."""
+    df = sales_view(spark, sf_dir)
+    a = SalesAnalysis(df)
+    stats = prof.table_stats(df).select("rows", "missing_ratio")
+    return ins.merge_rows(dashboard_fold(a.measures, a.aggregate), stats)
+
+
+def a1_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ins.insights(_summary(spark, sf_dir))
+
+
+def a2_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ins.alerts(_summary(spark, sf_dir))
+
+
+def a7_alert_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ins.status_counts(ins.alerts(_summary(spark, sf_dir)))
+
+
+def _answer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = SalesAnalysis(sales_view(spark, sf_dir))
+    tops = top_k(a.aggregate, 5, round_values=False).agg(
+        F.collect_list(F.struct("dimension", "rank", "name", "value")).alias("tops")
+    )
+    return qa.answers(ins.merge_rows(dashboard_fold(a.measures, a.aggregate), tops))
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conv.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
+
+
+def n1_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _questions(spark, sf_dir).select("conv_id", "turn", qa.route(F.col("question")).alias("intent"))
+
+
+def n_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    routed = qa.answer_questions(_questions(spark, sf_dir), "question", _answer_table(spark, sf_dir))
+    return routed.select("conv_id", "turn", "intent", "answer")
+
+
+def n_answer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answer_table(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     "k20_dashboard": k20_dashboard,
     "k13_k17_top5": k13_k17_top5,
@@ -157,4 +206,10 @@ QUERIES: dict[str, Query] = {
     "q13_filter_options": q13_filter_options,
     "q14_date_range": q14_date_range,
     "c_clean_dashboard": c_clean_dashboard,
+    "a1_insights": a1_insights,
+    "a2_alerts": a2_alerts,
+    "a7_alert_status_counts": a7_alert_status_counts,
+    "n1_intents": n1_intents,
+    "n_answer_table": n_answer_table,
+    "n_answers": n_answers,
 }

@@ -83,8 +83,22 @@ WITH_BASE = f"WITH {SALES},\n{MEASURES}"
 
 ORACLE_SQL: dict[str, str] = {}
 
-def dashboard_sql(with_base: str, has_order: bool = True) -> str:
+DASH_PUBLIC = [
+    "revenue_total", "margin_total", "margin_rate", "client_count", "product_count", "order_count",
+    "average_basket", "paid_order_count", "unpaid_order_count", "unknown_payment_count",
+    "best_city", "best_city_value", "best_channel", "best_channel_value", "best_seller", "best_seller_value",
+    "best_growth_month", "best_growth_value", "best_growth_previous_month",
+]
+
+
+def dashboard_with(with_base: str, has_order: bool = True) -> str:
+    """CTEs ending with ``dash``: one row with the dashboard and helper fields."""
     orders = "count(DISTINCT id_commande)" if has_order else "count(*)"
+    best_cols = ",\n           ".join(
+        f"max(CASE WHEN dimension = '{d}' THEN name END) AS best_{d},\n"
+        f"           max(CASE WHEN dimension = '{d}' THEN CAST(round(s, 2) AS DOUBLE) END) AS best_{d}_value"
+        for d in ("city", "channel", "seller", "client", "product")
+    )
     return f"""{with_base},
 {DIM_SUMS},
 {RANKED},
@@ -94,32 +108,43 @@ tot AS (
     SELECT coalesce(sum(rev), 0) AS revenue,
            coalesce(sum(margin_part), 0) AS margin,
            count(DISTINCT client) AS clients, count(DISTINCT produit) AS products,
-           {orders} AS orders,
+           {orders} AS orders, count(*) AS nrows,
            count_if(pay = 'paid') AS paid, count_if(pay = 'unpaid') AS unpaid, count_if(pay = 'unknown') AS unknown
     FROM m),
 best AS (
-    SELECT max(CASE WHEN dimension = 'city' THEN name END) AS best_city,
-           max(CASE WHEN dimension = 'city' THEN CAST(round(s, 2) AS DOUBLE) END) AS best_city_value,
-           max(CASE WHEN dimension = 'channel' THEN name END) AS best_channel,
-           max(CASE WHEN dimension = 'channel' THEN CAST(round(s, 2) AS DOUBLE) END) AS best_channel_value,
-           max(CASE WHEN dimension = 'seller' THEN name END) AS best_seller,
-           max(CASE WHEN dimension = 'seller' THEN CAST(round(s, 2) AS DOUBLE) END) AS best_seller_value
+    SELECT {best_cols}
     FROM ranked WHERE rank = 1),
+listed AS (
+    SELECT count(*) AS clients_listed, count_if(round(s, 2) >= 100) AS clients_listed_over
+    FROM ranked WHERE dimension = 'client' AND rank <= 5),
 growth AS (
     SELECT month, delta, previous_month FROM deltas WHERE delta IS NOT NULL
-    ORDER BY delta DESC, position ASC LIMIT 1)
-SELECT CAST(round(revenue, 2) AS DOUBLE) AS revenue_total,
-       CAST(round(margin, 2) AS DOUBLE) AS margin_total,
-       CASE WHEN revenue <> 0 THEN round(CAST(margin AS DOUBLE) / CAST(revenue AS DOUBLE) * 100, 1) ELSE 0.0 END
-           AS margin_rate,
-       clients AS client_count, products AS product_count, orders AS order_count,
-       CASE WHEN revenue <> 0 THEN round(CAST(revenue AS DOUBLE) / CAST(greatest(1, orders) AS DOUBLE), 2) ELSE 0.0 END
-           AS average_basket,
-       paid AS paid_order_count, unpaid AS unpaid_order_count, unknown AS unknown_payment_count,
-       best_city, best_city_value, best_channel, best_channel_value, best_seller, best_seller_value,
-       growth.month AS best_growth_month, growth.delta AS best_growth_value,
-       growth.previous_month AS best_growth_previous_month
-FROM tot CROSS JOIN best LEFT JOIN growth ON TRUE"""
+    ORDER BY delta DESC, position ASC LIMIT 1),
+lastm AS (
+    SELECT max(CASE WHEN rk = 1 THEN value END) AS last_value, max(CASE WHEN rk = 2 THEN value END) AS prev_value,
+           max(CASE WHEN rk = 1 THEN month END) AS last_month, max(CASE WHEN rk = 2 THEN month END) AS prev_month,
+           count(*) AS n_months
+    FROM (SELECT month, value, row_number() OVER (ORDER BY month DESC) AS rk FROM deltas)),
+bestm AS (
+    SELECT month AS best_month, value AS best_month_value FROM deltas ORDER BY value DESC, month ASC LIMIT 1),
+dash AS (
+    SELECT CAST(round(revenue, 2) AS DOUBLE) AS revenue_total,
+           CAST(round(margin, 2) AS DOUBLE) AS margin_total,
+           CASE WHEN revenue <> 0 THEN round(CAST(margin AS DOUBLE) / CAST(revenue AS DOUBLE) * 100, 1) ELSE 0.0 END
+               AS margin_rate,
+           clients AS client_count, products AS product_count, orders AS order_count,
+           CASE WHEN revenue <> 0 THEN round(CAST(revenue AS DOUBLE) / CAST(greatest(1, orders) AS DOUBLE), 2) ELSE 0.0 END
+               AS average_basket,
+           paid AS paid_order_count, unpaid AS unpaid_order_count, unknown AS unknown_payment_count,
+           best.*,
+           growth.month AS best_growth_month, growth.delta AS best_growth_value,
+           growth.previous_month AS best_growth_previous_month,
+           listed.*, lastm.*, bestm.*, nrows
+    FROM tot CROSS JOIN best CROSS JOIN listed CROSS JOIN lastm LEFT JOIN growth ON TRUE LEFT JOIN bestm ON TRUE)"""
+
+
+def dashboard_sql(with_base: str, has_order: bool = True) -> str:
+    return dashboard_with(with_base, has_order) + "\nSELECT " + ", ".join(DASH_PUBLIC) + " FROM dash"
 
 
 ORACLE_SQL["k20_dashboard"] = dashboard_sql(WITH_BASE)
@@ -324,3 +349,153 @@ SELECT strftime(min(date_vente), '%Y-%m-%d') AS date_min, strftime(max(date_vent
 CLEAN_MEASURES = measures_cte("cleaned", "montant", client="client", product="produit", order="id_commande",
                               date="date_vente", payment="statut_paiement")
 ORACLE_SQL["c_clean_dashboard"] = dashboard_sql(f"WITH {CLEAN_CTES},\n{CLEAN_MEASURES}")
+
+
+# ---------------------------------------------------------------------------
+# Insights, alerts, questions
+# ---------------------------------------------------------------------------
+def money_sql(x: str) -> str:
+    return f"(translate(format('{{:,.2f}}', CAST(coalesce({x}, 0) AS DOUBLE)), ',.', ' ,') || ' €')"
+
+
+def pct_sql(x: str) -> str:
+    return f"(translate(format('{{:,.1f}}', CAST(coalesce({x}, 0) AS DOUBLE)), '.,', ',') || ' %')"
+
+
+def q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+SALES_STATS = _stats("sales", _SALES_COLS, "st")
+
+ORACLE_SQL["a1_insights"] = dashboard_with(WITH_BASE) + f""",
+{SALES_STATS},
+items AS (
+    SELECT 1 AS k, {q("Le chiffre d'affaires total est de ")} || {money_sql('revenue_total')} || '.' AS text FROM dash WHERE revenue_total <> 0
+    UNION ALL SELECT 2, {q('La marge totale est de ')} || {money_sql('margin_total')} || ', soit un taux de marge de '
+        || format('{{:.1f}}', margin_rate) || ' %.' FROM dash WHERE margin_total <> 0
+    UNION ALL SELECT 3, 'Vous avez ' || client_count || ' clients distincts dans la base actuelle.' FROM dash WHERE client_count <> 0
+    UNION ALL SELECT 4, 'Le client le plus important est ' || best_client || ' avec ' || {money_sql('best_client_value')}
+        || {q(" de chiffre d'affaires.")} FROM dash WHERE best_client IS NOT NULL
+    UNION ALL SELECT 5, 'Le produit le plus performant est ' || best_product || ' avec ' || {money_sql('best_product_value')}
+        || {q(" de chiffre d'affaires.")} FROM dash WHERE best_product IS NOT NULL
+    UNION ALL SELECT 6, 'Le canal le plus performant est ' || best_channel || ' avec ' || {money_sql('best_channel_value')} || '.'
+        FROM dash WHERE best_channel IS NOT NULL
+    UNION ALL SELECT 7, 'La qualite des donnees merite une attention particuliere a cause des valeurs manquantes.'
+        FROM st WHERE n > 0 AND missing_ratio > 0.1)
+SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS position, text FROM items"""
+
+ALERT_ITEMS = """items AS (
+    SELECT 1 AS k, 'baisse_ca' AS type, 'warning' AS severity,
+           'Le chiffre d''affaires a baisse par rapport au mois precedent.' AS message
+    FROM dash WHERE n_months >= 2 AND last_value < prev_value * 0.9
+    UNION ALL SELECT 2, 'mauvaise_qualite', 'critical', 'Le jeu de donnees presente trop de valeurs manquantes.'
+    FROM st WHERE missing_ratio > 0.2
+    UNION ALL SELECT 3, 'paiements', 'warning', unpaid_order_count || ' commandes semblent non payees ou en attente.'
+    FROM dash WHERE unpaid_order_count > 0
+    UNION ALL SELECT 4, 'client_inactif', 'info', 'Un ou plusieurs clients semblent peu actifs sur cette periode.'
+    FROM dash WHERE clients_listed >= 2 AND clients_listed_over < clients_listed)"""
+
+ORACLE_SQL["a2_alerts"] = dashboard_with(WITH_BASE) + f""",
+{SALES_STATS},
+{ALERT_ITEMS}
+SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS position, type, severity, 'nouveau' AS status, message,
+       CASE severity WHEN 'critical' THEN 'élevé' WHEN 'warning' THEN 'moyen' ELSE 'faible' END AS level
+FROM items"""
+
+ORACLE_SQL["a7_alert_status_counts"] = dashboard_with(WITH_BASE) + f""",
+{SALES_STATS},
+{ALERT_ITEMS}
+SELECT s.status, CAST(count(items.k) AS BIGINT) AS count
+FROM (VALUES ('nouveau'), ('lu'), ('résolu')) AS s(status) LEFT JOIN items ON s.status = 'nouveau'
+GROUP BY s.status"""
+
+
+def _route_sql(text: str) -> str:
+    from caisse.operators.assistant import FALLBACK, ROUTES, _strip_literal
+
+    norm = f"lower(strip_accents({text}))"
+    whens = []
+    for intent, words in ROUTES:
+        cond = " OR ".join(f"contains({norm}, {q(_strip_literal(w))})" for w in words)
+        whens.append(f"WHEN {cond} THEN '{intent}'")
+    return "CASE " + " ".join(whens) + f" ELSE '{FALLBACK}' END"
+
+
+ORACLE_SQL["n1_intents"] = f"""SELECT conv_id, turn, {_route_sql('text')} AS intent
+FROM conversations WHERE role = 'user'"""
+
+
+def _answers_sql() -> str:
+    from caisse.operators import assistant as A
+
+    nl = "chr(10)"
+    ent = []
+    for intent, (dim, plural, singular) in A.ENTITIES.items():
+        adjective = "meilleures" if singular == "ville" else "meilleurs"
+        leader = "La première ville" if singular == "ville" else f"Le premier {singular}"
+        ent.append(f"""SELECT '{intent}' AS intent,
+        CASE WHEN count(*) > 0 THEN
+            {q(A.TXT_TOP_HEAD.format(adjective, plural))} || {nl} || {nl}
+            || string_agg(rank || '. ' || name || ' : ' || {money_sql('s')}, {nl} ORDER BY rank) || {nl} || {nl}
+            || {q(leader)} || ' représente environ '
+            || {pct_sql("max(CASE WHEN rank = 1 THEN s END) / CASE WHEN (SELECT revenue_total FROM dash) <> 0 THEN (SELECT revenue_total FROM dash) ELSE sum(s) END * 100")}
+            || {q(" du chiffre d'affaires analysé.")} || {nl} || {q(A.TXT_TOP_ADVICE)}
+        ELSE {q(A.TXT_NO_COLUMNS.format(plural, singular))} END AS answer
+    FROM (SELECT rank, name, CAST(s AS DOUBLE) AS s FROM ranked WHERE dimension = '{dim}' AND rank <= 5)""")
+
+    def best(dim: str, field: str) -> str:
+        return f"(SELECT {field} FROM ranked WHERE dimension = '{dim}' AND rank = 1)"
+
+    def named(label: str, dim: str) -> str:
+        return (f"{q(label)} || coalesce({best(dim, 'name')}, 'Non disponible') || ' (' || "
+                f"{money_sql(best(dim, 'CAST(s AS DOUBLE)'))} || ')'")
+
+    summary = f"""SELECT 'summary' AS intent,
+        {q(A.TXT_SUMMARY_HEAD)} || {nl} || {nl}
+        || {q("- Chiffre d'affaires total : ")} || {money_sql('revenue_total')} || {nl}
+        || '- Nombre de clients : ' || client_count || {nl}
+        || '- Nombre de produits : ' || product_count || {nl}
+        || '- Panier moyen : ' || {money_sql('average_basket')} || {nl}
+        || {named('- Meilleur client : ', 'client')} || {nl}
+        || {named('- Meilleur produit : ', 'product')} || {nl}
+        || {named('- Ville la plus performante : ', 'city')} || {nl}
+        || {named('- Canal le plus performant : ', 'channel')} || {nl}
+        || CASE WHEN best_month IS NOT NULL THEN '- Meilleur mois : ' || best_month || ' avec ' || {money_sql('best_month_value')} || {nl} ELSE '' END
+        || {nl} || {q(A.TXT_SUMMARY_END)} AS answer
+    FROM dash"""
+    variation = "((last_value - prev_value) / prev_value * 100)"
+    decline = f"""SELECT 'decline' AS intent,
+        CASE WHEN n_months < 2 THEN {q(A.TXT_DECLINE_SHORT)}
+             WHEN prev_value <= 0 THEN {q(A.TXT_DECLINE_ZERO)}
+             ELSE {q("Le chiffre d'affaires du dernier mois est en ")}
+                  || CASE WHEN {variation} < 0 THEN 'baisse' ELSE 'hausse' END || ' de ' || {pct_sql(f'abs({variation})')}
+                  || ' par rapport au mois precedent.' || {nl}
+                  || '- Mois precedent (' || prev_month || ') : ' || {money_sql('prev_value')} || {nl}
+                  || '- Dernier mois (' || last_month || ') : ' || {money_sql('last_value')} || {nl}
+                  || {q(A.TXT_DECLINE_LINES[3])} END AS answer
+    FROM dash"""
+    a = A.TXT_ACTIONS
+    actions = f"""SELECT 'actions' AS intent,
+        {q(a[0])} || {nl} || {nl}
+        || '1. Fidéliser vos meilleurs clients, en priorité ' || coalesce({best('client', 'name')}, {q(A.TXT_ACTION_DEFAULTS[0])})
+        || ', avec une offre dédiée ou un suivi personnalisé.' || {nl}
+        || {q(a[3])} || {nl}
+        || '3. Renforcer ce qui marche déjà : poussez davantage ' || coalesce({best('product', 'name')}, {q(A.TXT_ACTION_DEFAULTS[1])})
+        || ' sur ' || coalesce({best('channel', 'name')}, {q(A.TXT_ACTION_DEFAULTS[2])}) || '.' AS answer"""
+    simple = f"""SELECT 'revenue' AS intent, {q("Le chiffre d'affaires total est de ")} || {money_sql('revenue_total')} || '.' AS answer FROM dash
+    UNION ALL SELECT 'client_count', 'La base contient ' || client_count || {q(A.TXT_CLIENT_COUNT.split('{}')[1])} FROM dash
+    UNION ALL SELECT 'product_count', 'La base contient ' || product_count || {q(A.TXT_PRODUCT_COUNT.split('{}')[1])} FROM dash
+    UNION ALL SELECT 'help', {q(A.TXT_HELP)}"""
+    return "answers AS (\n    " + "\n    UNION ALL ".join([actions, summary, decline, *ent, simple]) + ")"
+
+
+ANSWERS_CTE = _answers_sql()
+ORACLE_SQL["n_answer_table"] = dashboard_with(WITH_BASE) + f""",
+{ANSWERS_CTE}
+SELECT intent, answer FROM answers"""
+
+ORACLE_SQL["n_answers"] = dashboard_with(WITH_BASE) + f""",
+{ANSWERS_CTE},
+questions AS (SELECT conv_id, turn, {_route_sql('text')} AS intent FROM conversations WHERE role = 'user')
+SELECT q.conv_id, q.turn, q.intent, a.answer FROM questions q LEFT JOIN answers a ON q.intent = a.intent"""
