@@ -76,20 +76,21 @@ def model_summary(agg: DataFrame, has_roles: bool = True) -> DataFrame:
     staged = folded.select(pts.alias("_points"), F.coalesce(F.col("_src_rows"), F.lit(0)).alias("_src_rows"))
     n = F.size(F.col("_points"))
     staged = staged.select("*", n.alias("n_months"))
-    ybar = _sum(F.col("_points"), lambda p: p["y"]) / F.col("n_months")
+    ybar = F.try_divide(_sum(F.col("_points"), lambda p: p["y"]), F.col("n_months"))
     staged = staged.select("*", ybar.alias("_ybar"), ((F.col("n_months") - 1) / 2.0).alias("_xbar"))
     sxy = _sum(F.col("_points"), lambda p: (p["pos"] - F.col("_xbar")) * (p["y"] - F.col("_ybar")))
     sxx = _sum(F.col("_points"), lambda p: (p["pos"] - F.col("_xbar")) * (p["pos"] - F.col("_xbar")))
     syy = _sum(F.col("_points"), lambda p: (p["y"] - F.col("_ybar")) * (p["y"] - F.col("_ybar")))
     staged = staged.select(
         "*",
-        (sxy / sxx).alias("_slope"),
-        F.sqrt(syy / F.col("n_months")).alias("_std"),
+        F.try_divide(sxy, sxx).alias("_slope"),
+        F.sqrt(F.try_divide(syy, F.col("n_months"))).alias("_std"),
     ).withColumn("_intercept", F.col("_ybar") - F.col("_slope") * F.col("_xbar"))
-    mae = _sum(F.col("_points"), lambda p: F.abs(p["y"] - (F.col("_intercept") + F.col("_slope") * p["pos"]))) / F.col(
-        "n_months"
+    mae = F.try_divide(
+        _sum(F.col("_points"), lambda p: F.abs(p["y"] - (F.col("_intercept") + F.col("_slope") * p["pos"]))),
+        F.col("n_months"),
     )
-    mean = F.when(F.col("_ybar") == 0, F.lit(1.0)).otherwise(F.col("_ybar"))
+    mean = F.when(F.coalesce(F.col("_ybar"), F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("_ybar"))
     staged = staged.select("*", mae.alias("_mae"), mean.alias("_mean"))
 
     enough_rows = F.lit(has_roles) & (F.col("_src_rows") >= 2)
