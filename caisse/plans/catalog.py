@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from caisse.operators import assistant as qa
 from caisse.operators import insights as ins
+from caisse.operators import filters as flt
 from caisse.operators import profile as prof
+from caisse.plans.report import Report
 from caisse.operators.kpis import dashboard_fold, top_k
 from caisse.operators.cleaning import clean, rename
 from caisse.plans.sales import SalesAnalysis
@@ -188,6 +190,52 @@ def n_answer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _answer_table(spark, sf_dir)
 
 
+# A user selection: one city over a date window.
+DEMO_FILTERS = {"ville": "NATION_7", "start_date": "1996-01-01", "end_date": "1999-06-30"}
+
+
+def f_filtered_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SalesAnalysis(flt.apply_filters(sales_view(spark, sf_dir), DEMO_FILTERS)).dashboard()
+
+
+def f5_filter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flt.filter_counts(sales_view(spark, sf_dir), DEMO_FILTERS)
+
+
+def f7_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = sales_view(spark, sf_dir)
+    hits = flt.search(df, "Supplier#000000042")
+    return hits.select(*[flt.display_value(df, c).alias(c) for c in df.columns])
+
+
+def f9_sorted_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = sales_view(spark, sf_dir)
+    ordered = flt.sort_rows(df, "chiffre_affaires", ascending=False, tie_break=list(df.columns))
+    return flt.page(ordered, 3).select(
+        "id_commande", F.col("chiffre_affaires").cast("double").alias("chiffre_affaires"), "client", "produit", "vendeur"
+    )
+
+
+def _report(spark: SparkSession, sf_dir: str) -> Report:
+    return Report(sales_view(spark, sf_dir), DEMO_FILTERS)
+
+
+def s10_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report(spark, sf_dir).resume()
+
+
+def s11_kpi_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report(spark, sf_dir).kpi_lines()
+
+
+def s11_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report(spark, sf_dir).text_lines()
+
+
+def s12_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report(spark, sf_dir).bars()
+
+
 QUERIES: dict[str, Query] = {
     "k20_dashboard": k20_dashboard,
     "k13_k17_top5": k13_k17_top5,
@@ -212,4 +260,12 @@ QUERIES: dict[str, Query] = {
     "n1_intents": n1_intents,
     "n_answer_table": n_answer_table,
     "n_answers": n_answers,
+    "f_filtered_dashboard": f_filtered_dashboard,
+    "f5_filter_counts": f5_filter_counts,
+    "f7_search": f7_search,
+    "f9_sorted_page": f9_sorted_page,
+    "s10_resume": s10_resume,
+    "s11_kpi_lines": s11_kpi_lines,
+    "s11_text_lines": s11_text_lines,
+    "s12_bars": s12_bars,
 }

@@ -368,9 +368,7 @@ def q(text: str) -> str:
 
 SALES_STATS = _stats("sales", _SALES_COLS, "st")
 
-ORACLE_SQL["a1_insights"] = dashboard_with(WITH_BASE) + f""",
-{SALES_STATS},
-items AS (
+INSIGHT_ITEMS = f"""ins AS (
     SELECT 1 AS k, {q("Le chiffre d'affaires total est de ")} || {money_sql('revenue_total')} || '.' AS text FROM dash WHERE revenue_total <> 0
     UNION ALL SELECT 2, {q('La marge totale est de ')} || {money_sql('margin_total')} || ', soit un taux de marge de '
         || format('{{:.1f}}', margin_rate) || ' %.' FROM dash WHERE margin_total <> 0
@@ -382,8 +380,12 @@ items AS (
     UNION ALL SELECT 6, 'Le canal le plus performant est ' || best_channel || ' avec ' || {money_sql('best_channel_value')} || '.'
         FROM dash WHERE best_channel IS NOT NULL
     UNION ALL SELECT 7, 'La qualite des donnees merite une attention particuliere a cause des valeurs manquantes.'
-        FROM st WHERE n > 0 AND missing_ratio > 0.1)
-SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS position, text FROM items"""
+        FROM st WHERE n > 0 AND missing_ratio > 0.1)"""
+
+ORACLE_SQL["a1_insights"] = dashboard_with(WITH_BASE) + f""",
+{SALES_STATS},
+{INSIGHT_ITEMS}
+SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS position, text FROM ins"""
 
 ALERT_ITEMS = """items AS (
     SELECT 1 AS k, 'baisse_ca' AS type, 'warning' AS severity,
@@ -499,3 +501,85 @@ ORACLE_SQL["n_answers"] = dashboard_with(WITH_BASE) + f""",
 {ANSWERS_CTE},
 questions AS (SELECT conv_id, turn, {_route_sql('text')} AS intent FROM conversations WHERE role = 'user')
 SELECT q.conv_id, q.turn, q.intent, a.answer FROM questions q LEFT JOIN answers a ON q.intent = a.intent"""
+
+
+
+# ---------------------------------------------------------------------------
+# Filters and report tables (city NATION_7, 1996-01-01 .. 1999-06-30)
+# ---------------------------------------------------------------------------
+FILTERED = ("sales_f AS (SELECT * FROM sales WHERE CAST(ville AS VARCHAR) = 'NATION_7' "
+            "AND date_vente >= TIMESTAMP '1996-01-01' AND date_vente <= TIMESTAMP '1999-06-30')")
+F_MEASURES = measures_cte("sales_f", "chiffre_affaires", cost="cout_total", client="client", product="produit",
+                          city="ville", channel="canal", seller="vendeur", order="id_commande", date="date_vente",
+                          payment="statut_paiement")
+WITH_FILTERED = f"WITH {SALES},\n{FILTERED},\n{F_MEASURES}"
+
+ORACLE_SQL["f_filtered_dashboard"] = dashboard_sql(WITH_FILTERED)
+
+ORACLE_SQL["f5_filter_counts"] = f"""WITH {SALES},
+{FILTERED}
+SELECT (SELECT count(*) FROM sales_f) AS row_count, (SELECT count(*) FROM sales) AS total_row_count,
+       (SELECT count(*) FROM sales_f) > 0
+       AND (SELECT count(*) FROM sales_f) <= greatest(3.0, (SELECT count(*) FROM sales) * 0.02) AS low_data"""
+
+
+def _display(c: str, kind: str) -> str:
+    if kind == "ts":
+        return f"coalesce(strftime({c}, '%d/%m/%Y'), '-')"
+    if kind == "num":
+        d = f"CAST({c} AS DOUBLE)"
+        return (f"coalesce(CASE WHEN {d} = floor({d}) AND abs({d}) < 1e15 THEN CAST(CAST({d} AS BIGINT) AS VARCHAR) "
+                f"ELSE CAST({d} AS VARCHAR) END, '-')")
+    return f"coalesce(CAST({c} AS VARCHAR), '-')"
+
+
+_KINDS = {"id_commande": "num", "date_vente": "ts", "chiffre_affaires": "num", "cout_total": "num", "quantite": "num"}
+_DISPLAY = {c: _display(c, _KINDS.get(c, "text")) for c in _SALES_COLS}
+ORACLE_SQL["f7_search"] = f"""WITH {SALES}
+SELECT {", ".join(f"{_DISPLAY[c]} AS {c}" for c in _SALES_COLS)}
+FROM sales
+WHERE {" OR ".join(f"contains(lower({_DISPLAY[c]}), 'supplier#000000042')" for c in _SALES_COLS)}"""
+
+ORACLE_SQL["f9_sorted_page"] = f"""WITH {SALES}
+SELECT id_commande, CAST(chiffre_affaires AS DOUBLE) AS chiffre_affaires, client, produit, vendeur FROM sales
+ORDER BY chiffre_affaires DESC NULLS LAST, {", ".join(f"{c} ASC NULLS FIRST" for c in _SALES_COLS if c != "chiffre_affaires")}
+LIMIT 10 OFFSET 20"""
+
+ORACLE_SQL["s10_resume"] = dashboard_with(WITH_FILTERED) + """
+SELECT nrows AS lignes_filtrees, (SELECT count(*) FROM sales) AS lignes_totales, 11 AS colonnes,
+       revenue_total AS chiffre_affaires, margin_total AS marge, margin_rate AS taux_marge,
+       client_count AS clients, product_count AS produits
+FROM dash"""
+
+
+def eur_sql(x: str) -> str:
+    return f"(translate(format('{{:,.2f}}', CAST(coalesce({x}, 0) AS DOUBLE)), ',.', ' ,') || ' EUR')"
+
+
+ORACLE_SQL["s11_kpi_lines"] = dashboard_with(WITH_FILTERED) + f"""
+SELECT 1 AS position, {q("Chiffre d'affaires")} AS label, {eur_sql('revenue_total')} AS value FROM dash
+UNION ALL SELECT 2, 'Marge', {eur_sql('margin_total')} FROM dash
+UNION ALL SELECT 3, 'Taux de marge', format('{{:.1f}}', margin_rate) || ' %' FROM dash
+UNION ALL SELECT 4, 'Panier moyen', {eur_sql('average_basket')} FROM dash
+UNION ALL SELECT 5, 'Clients', CAST(client_count AS VARCHAR) FROM dash
+UNION ALL SELECT 6, 'Produits', CAST(product_count AS VARCHAR) FROM dash"""
+
+_F_STATS = _stats("sales_f", _SALES_COLS, "st")
+ORACLE_SQL["s11_text_lines"] = dashboard_with(WITH_FILTERED) + f""",
+{_F_STATS},
+{ALERT_ITEMS},
+{INSIGHT_ITEMS}
+SELECT 'insights' AS section, CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS position, text FROM ins
+UNION ALL
+SELECT 'alertes', CAST(row_number() OVER (ORDER BY k) AS INTEGER), '[' || severity || '] ' || message FROM items"""
+
+ORACLE_SQL["s12_bars"] = f"""{WITH_FILTERED},
+{DIM_SUMS},
+{RANKED},
+top AS (SELECT dimension, CAST(rank AS INTEGER) AS rank, name, CAST(round(s, 2) AS DOUBLE) AS value
+        FROM ranked WHERE rank <= 5 AND dimension IN ('client', 'product'))
+SELECT dimension, rank, substr(coalesce(CASE WHEN name <> '' THEN name END, 'Non renseigne'), 1, 34) AS label, value,
+       greatest(4.0, value / CASE WHEN coalesce(max(value) OVER (PARTITION BY dimension), 0) = 0 THEN 1.0
+                                  ELSE max(value) OVER (PARTITION BY dimension) END * 150) AS width,
+       {eur_sql('value')} AS value_text
+FROM top"""
