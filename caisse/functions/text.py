@@ -48,9 +48,14 @@ def strip_accents(c: ColumnOrName) -> Column:
     return F.regexp_replace(F.translate(_col(c), src, dst), r"\p{M}+", "")
 
 
+# White space removed by ``str.strip()``: the characters for which Python's
+# ``str.isspace()`` is true, built by rule over the Basic Multilingual Plane.
+WHITESPACE = "".join(chr(i) for i in range(0x10000) if chr(i).isspace())
+
+
 def unicode_strip(c: ColumnOrName) -> Column:
-    """Python ``str.strip()``: remove leading/trailing Unicode white space."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    """Python ``str.strip()``: remove leading/trailing Unicode white space (no regex)."""
+    return F.btrim(_col(c), F.lit(WHITESPACE))
 
 
 def normalize_text(c: ColumnOrName) -> Column:

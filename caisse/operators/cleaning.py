@@ -6,11 +6,12 @@ aggregate over all columns at once, never one job per column:
 
 ===== ==================================================================
 job 1 dedup (``groupBy(all columns)`` keeping the first ``_row_id``)
-job 2 one ``agg``: row count, first non-null value and per-pattern parse
-      counts of date-named columns, numeric-parse counts of text columns,
-      non-null counts of the rest
-job 3 medians (``exact_medians``: bounded histogram rounds) and modes
-      (one unpivot + count + top-1) for the columns that need a fill
+job 2 one ``agg``: row count, non-null counts, first non-null value of
+      date-named columns, numeric-parse counts of text columns and the
+      count / min / max of every possible median column
+job 3 modes with non-null counts (one unpivot + count + top-1; this also
+      gives the parsed count of date columns) and medians
+      (``exact_medians``: bounded histogram rounds from the job-2 bounds)
 ===== ==================================================================
 
 The result is a lazy ``select`` over the deduplicated table, which is
@@ -29,10 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caisse.functions.text import unicode_strip
-from caisse.operators.stats import exact_medians, modes
+from caisse.operators.stats import exact_medians, modes_with_counts
 from caisse.roles import normalize_columns
 from caisse.session import ensure_checkpoint_dir
-from caisse.sources.files import FLOAT_PATTERN, INT_PATTERN, ROW_ID
+from caisse.sources.files import ROW_ID, cast_text, is_float_text, is_int_text
 
 # ---------------------------------------------------------------------------
 # Text treated as missing after trimming; date-name markers.
@@ -51,10 +52,6 @@ DATE_GUESSES: list[tuple[str, str | None]] = [
 ]
 DAY_MONTH_GUESSES = [("/", r"^(\d{1,2})/(\d{1,2})/(\d{4})$"), ("-", r"^(\d{1,2})-(\d{1,2})-(\d{4})$"),
                      (".", r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$")]
-CANDIDATE_PATTERNS: list[str | None] = [
-    None, "yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "yyyyMMdd",
-    "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "M.d.yyyy", "d.M.yyyy",
-]
 
 
 def guess_date_pattern(first: str | None) -> str | None:
@@ -150,66 +147,79 @@ def clean(df: DataFrame, materialize: str | None = "persist") -> tuple[DataFrame
     date_text = [c for c in cols if is_date_name(c) and isinstance(schema[c], T.StringType)]
     date_num = [c for c in cols if is_date_name(c) and isinstance(schema[c], T.NumericType)]
     text = [c for c in cols if isinstance(schema[c], T.StringType) and c not in date_text]
+    numeric_in = [c for c in cols if isinstance(schema[c], T.NumericType) and c not in date_num]
     aggs: list[Column] = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(cols):
         aggs.append(F.count(F.col(f"`{c}`")).alias(f"nn{i}"))
     for i, c in enumerate(date_text):
         col = F.col(f"`{c}`")
         aggs.append(F.min_by(col, F.when(col.isNotNull(), F.col(ROW_ID))).alias(f"first{i}"))
-        for j, pattern in enumerate(CANDIDATE_PATTERNS):
-            aggs.append(F.count(parse_date(col, pattern)).alias(f"dp{i}_{j}"))
+    # Count / min / max of every column that may need a median, so the median
+    # search starts from these bounds without another pass.
+    as_number = {c: F.when(is_float_text(F.col(f"`{c}`")), cast_text(F.col(f"`{c}`"), "double")) for c in text}
+    as_number.update({c: F.col(f"`{c}`").cast("double") for c in numeric_in})
     for i, c in enumerate(text):
         col = F.col(f"`{c}`")
-        aggs.append(F.count_if(col.rlike(FLOAT_PATTERN)).alias(f"num{i}"))
-        aggs.append(F.count_if(col.rlike(INT_PATTERN)).alias(f"int{i}"))
+        aggs.append(F.count_if(is_float_text(col)).alias(f"num{i}"))
+        aggs.append(F.count_if(is_int_text(col)).alias(f"int{i}"))
+    median_names = list(as_number)
+    for i, c in enumerate(median_names):
+        v = F.when(~F.isnan(as_number[c]), as_number[c])
+        aggs += [F.count(v).alias(f"mn{i}"), F.min(v).alias(f"mlo{i}"), F.max(v).alias(f"mhi{i}")]
     stats = dedup.agg(*aggs).first()
     n = stats["_n"]
     report.rows_in = n
     nonnull = {c: stats[f"nn{i}"] for i, c in enumerate(cols)}
+    bounds = {c: (stats[f"mn{i}"], stats[f"mlo{i}"], stats[f"mhi{i}"]) for i, c in enumerate(median_names)}
 
     conv: dict[str, Column] = {}
-    new_types: dict[str, str] = {}
     for i, c in enumerate(date_text):
         pattern = guess_date_pattern(stats[f"first{i}"])
         report.date_patterns[c] = pattern
         conv[c] = parse_date(F.col(f"`{c}`"), pattern)
-        nonnull[c] = stats[f"dp{i}_{CANDIDATE_PATTERNS.index(pattern)}"]
-        new_types[c] = "timestamp"
+        nonnull[c] = None  # known after parsing (from the mode job below)
     for c in date_num:
         # Numbers in a date-named column are read as epoch nanoseconds.
         conv[c] = F.timestamp_micros(F.floor(F.col(f"`{c}`").cast("double") / 1000).cast("long"))
-        new_types[c] = "timestamp"
     for i, c in enumerate(text):
         n_num, n_int = stats[f"num{i}"], stats[f"int{i}"]
         if n_num > n / 2:
             to = "long" if n_int == n else "double"
             report.numeric_casts[c] = to
             col = F.col(f"`{c}`")
-            conv[c] = F.when(col.rlike(FLOAT_PATTERN), col).cast(to)
+            conv[c] = F.when(is_float_text(col), cast_text(col, to))
             nonnull[c] = n_num
-            new_types[c] = to
+
+    typed_all = dedup.select(*[conv.get(c, F.col(f"`{c}`")).alias(c) for c in cols], F.col(ROW_ID))
+    typed_schema = {f.name: f.dataType for f in typed_all.schema.fields}
+
+    # -- job 3: modes (and parsed counts of date columns), medians ---------
+    mode_cols = [c for c in cols if not isinstance(typed_schema[c], (T.NumericType, T.BooleanType))
+                 and (nonnull[c] is None or 0 < nonnull[c] < n)]
+    mode_info = modes_with_counts(typed_all, mode_cols)
+    for c in date_text:
+        nonnull[c] = mode_info[c][1]
 
     # -- C7: drop columns without any value (all columns of an empty table)
     keep = [c for c in cols if nonnull[c] > 0]
     report.dropped = [c for c in cols if c not in keep]
-    typed = dedup.select(*[conv.get(c, F.col(f"`{c}`")).alias(c) for c in keep], F.col(ROW_ID))
-    typed_schema = {f.name: f.dataType for f in typed.schema.fields}
+    typed = typed_all.select(*[F.col(f"`{c}`") for c in keep], F.col(ROW_ID))
 
     # -- C8 / C9: fills for the columns that still have nulls --------------
     need = [c for c in keep if nonnull[c] < n]
     numeric = [c for c in need if isinstance(typed_schema[c], T.NumericType)]
     other = [c for c in need if c not in numeric and not isinstance(typed_schema[c], T.BooleanType)]
-    medians = exact_medians(typed, numeric)
-    mode_text = modes(typed, other)
+    medians = exact_medians(typed, numeric, bounds={c: bounds[c] for c in numeric if c in bounds} or None)
     fills: dict[str, Column] = {}
     for c in numeric:
         if medians[c] is not None:
             report.fills[c] = medians[c]
             fills[c] = F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(medians[c]))
     for c in other:
-        if mode_text[c] is not None:
-            report.fills[c] = mode_text[c]
-            fills[c] = F.coalesce(F.col(f"`{c}`"), F.lit(mode_text[c]).cast(typed_schema[c]))
+        mode = mode_info.get(c, (None, 0))[0]
+        if mode is not None:
+            report.fills[c] = mode
+            fills[c] = F.coalesce(F.col(f"`{c}`"), F.lit(mode).cast(typed_schema[c]))
     cleaned = typed.select(*[fills.get(c, F.col(f"`{c}`")).alias(c) for c in keep], F.col(ROW_ID))
     report.rows_out = n
     return cleaned, report

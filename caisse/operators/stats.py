@@ -49,22 +49,31 @@ class _Target:
     value: float | None = None
 
 
-def exact_medians(df: DataFrame, cols: list[str], bins: int = 4096, collect_limit: int = 50_000) -> dict[str, float | None]:
-    """Exact median of each column (nulls and NaN ignored); None when a column has no value."""
+def exact_medians(df: DataFrame, cols: list[str], bins: int = 4096, collect_limit: int = 50_000,
+                  bounds: dict[str, tuple[int, float | None, float | None]] | None = None) -> dict[str, float | None]:
+    """Exact median of each column (nulls and NaN ignored); None when a column has no value.
+
+    ``bounds`` may give ``(count, min, max)`` per column when the caller already
+    computed them in another aggregate; otherwise one aggregate computes them.
+    """
     if not cols:
         return {}
-    finite = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
-    stats = df.agg(
-        *[F.count(finite[c]).alias(f"n{i}") for i, c in enumerate(cols)],
-        *[F.min(finite[c]).alias(f"lo{i}") for i, c in enumerate(cols)],
-        *[F.max(finite[c]).alias(f"hi{i}") for i, c in enumerate(cols)],
-    ).first()
+    finite = {c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")) for c in cols}
+    if bounds is None or any(c not in bounds for c in cols):
+        row = df.agg(
+            *[F.count(finite[c]).alias(f"n{i}") for i, c in enumerate(cols)],
+            *[F.min(finite[c]).alias(f"lo{i}") for i, c in enumerate(cols)],
+            *[F.max(finite[c]).alias(f"hi{i}") for i, c in enumerate(cols)],
+        ).first()
+        bounds = {c: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(cols)}
     targets: dict[int, list[_Target]] = {}
-    for i, _c in enumerate(cols):
-        n = int(stats[f"n{i}"])
+    sizes: dict[int, int] = {}  # values inside each column's current bracket
+    for i, c in enumerate(cols):
+        n, lo, hi = bounds[c]
         if n:
             ranks = [(n + 1) // 2] if n % 2 else [n // 2, n // 2 + 1]
-            targets[i] = [_Target(r, float(stats[f"lo{i}"]), float(stats[f"hi{i}"])) for r in ranks]
+            targets[i] = [_Target(r, float(lo), float(hi)) for r in ranks]
+            sizes[i] = int(n)
 
     values = _unpivot(df.select(*[finite[c].alias(c) for c in cols]), cols, "double")
     while True:
@@ -84,9 +93,8 @@ def exact_medians(df: DataFrame, cols: list[str], bins: int = 4096, collect_limi
         for i, (lo, hi) in brackets.items():
             in_bracket = in_bracket | ((F.col("cid") == i) & F.col("v").between(F.lit(lo), F.lit(hi)))
         scoped = values.filter(in_bracket)
-        sizes = {r["cid"]: r["n"] for r in scoped.groupBy("cid").agg(F.count(F.lit(1)).alias("n")).collect()}
-        small = [i for i in brackets if sizes.get(i, 0) <= collect_limit]
-        large = [i for i in brackets if sizes.get(i, 0) > collect_limit]
+        small = [i for i in brackets if sizes[i] <= collect_limit]
+        large = [i for i in brackets if sizes[i] > collect_limit]
         if small:
             fetched: dict[int, list[float]] = {i: [] for i in small}
             for r in scoped.filter(F.col("cid").isin(small)).collect():
@@ -96,8 +104,8 @@ def exact_medians(df: DataFrame, cols: list[str], bins: int = 4096, collect_limi
                 for t in open_cols[i]:
                     t.value = vals[t.rank - offsets[i] - 1]
         if large:
-            _refine(scoped.filter(F.col("cid").isin(large)), {i: brackets[i] for i in large},
-                    {i: open_cols[i] for i in large}, offsets, bins)
+            sizes.update(_refine(scoped.filter(F.col("cid").isin(large)), {i: brackets[i] for i in large},
+                                 {i: open_cols[i] for i in large}, offsets, bins))
     out: dict[str, float | None] = {}
     for i, c in enumerate(cols):
         ts = targets.get(i)
@@ -106,8 +114,11 @@ def exact_medians(df: DataFrame, cols: list[str], bins: int = 4096, collect_limi
 
 
 def _refine(scoped: DataFrame, brackets: dict[int, tuple[float, float]], open_cols: dict[int, list[_Target]],
-            offsets: dict[int, int], bins: int) -> None:
-    """One histogram round: move each open target into the bucket holding its rank."""
+            offsets: dict[int, int], bins: int) -> dict[int, int]:
+    """One histogram round: move each open target into the bucket holding its rank.
+
+    Returns, per column, the number of values inside the new union bracket.
+    """
     bucket: Column = F.lit(0)
     for i, (lo, hi) in brackets.items():
         b = F.floor((F.col("v") - F.lit(lo)) / F.lit(hi - lo) * bins).cast("int")
@@ -121,24 +132,46 @@ def _refine(scoped: DataFrame, brackets: dict[int, tuple[float, float]], open_co
     per: dict[int, list] = {}
     for r in hist:
         per.setdefault(r["cid"], []).append(r)
+    sizes: dict[int, int] = {}
     for i, rows in per.items():
         rows.sort(key=lambda r: r["b"])
+        hit_buckets = []
         for t in open_cols[i]:
             acc = offsets[i]
             for r in rows:
                 if t.rank <= acc + r["n"]:
                     t.lo, t.hi, t.below = float(r["mn"]), float(r["mx"]), acc
+                    hit_buckets.append(r["b"])
                     break
                 acc += r["n"]
+        lo_b, hi_b = min(hit_buckets), max(hit_buckets)
+        sizes[i] = sum(r["n"] for r in rows if lo_b <= r["b"] <= hi_b)
+    return sizes
 
 
 def modes(df: DataFrame, cols: list[str]) -> dict[str, str | None]:
     """Most frequent non-null value of each column as text (ties: smallest text)."""
+    return {c: m for c, (m, _n) in modes_with_counts(df, cols).items()}
+
+
+def modes_with_counts(df: DataFrame, cols: list[str]) -> dict[str, tuple[str | None, int]]:
+    """``(mode, non-null count)`` per column, from one aggregate + top-1 window."""
     if not cols:
         return {}
     pairs = _unpivot(df, cols, "string")
     counted = pairs.groupBy("cid", "v").agg(F.count(F.lit(1)).alias("n"))
+    # Top-1 per column (partial WindowGroupLimit before the shuffle) and the
+    # per-column totals (partial aggregate) share the same counted exchange.
     w = W.partitionBy("cid").orderBy(F.desc("n"), F.asc("v"))
-    top = counted.withColumn("r", F.row_number().over(w)).filter(F.col("r") == 1).collect()
-    found = {r["cid"]: r["v"] for r in top}
-    return {c: found.get(i) for i, c in enumerate(cols)}
+    top = counted.withColumn("r", F.row_number().over(w)).filter(F.col("r") == 1).select(
+        "cid", "v", F.col("n").alias("x"), F.lit("mode").alias("k"))
+    tot = counted.groupBy("cid").agg(F.sum("n").alias("x")).select(
+        "cid", F.lit(None).cast("string").alias("v"), "x", F.lit("total").alias("k"))
+    found: dict[int, list] = {}
+    for r in top.unionByName(tot).collect():
+        slot = found.setdefault(r["cid"], [None, 0])
+        if r["k"] == "mode":
+            slot[0] = r["v"]
+        else:
+            slot[1] = int(r["x"])
+    return {c: tuple(found.get(i, (None, 0))) for i, c in enumerate(cols)}

@@ -36,6 +36,7 @@ FALSE_WORDS = ["False", "FALSE", "false"]
 INT_PATTERN = r"^\s*[+-]?\d+\s*$"
 FLOAT_PATTERN = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|Inf|INF|infinity|Infinity)\s*$"
 
+
 UNSUPPORTED = "Format de fichier non supporte"
 FORMATS = {".csv": "csv", ".parquet": "parquet", ".json": "json"}
 
@@ -48,6 +49,16 @@ def detect_format(path: str) -> str:
     return FORMATS[ext]
 
 
+def is_int_text(c: Column) -> Column:
+    """Text of an integer (``INT_PATTERN``)."""
+    return c.rlike(INT_PATTERN)
+
+
+def is_float_text(c: Column) -> Column:
+    """Text of a number (``FLOAT_PATTERN``); one compiled JVM regex per task."""
+    return c.rlike(FLOAT_PATTERN)
+
+
 def null_tokens(c: Column) -> Column:
     return F.when(~c.isin(*NA_TOKENS), c)
 
@@ -90,8 +101,8 @@ def infer_read_types(df: DataFrame) -> dict[str, str]:
         col = F.col(f"`{c}`")
         aggs += [
             F.count(col).alias(f"nn{i}"),
-            F.count_if(col.rlike(INT_PATTERN)).alias(f"ni{i}"),
-            F.count_if(col.rlike(FLOAT_PATTERN)).alias(f"nf{i}"),
+            F.count_if(is_int_text(col)).alias(f"ni{i}"),
+            F.count_if(is_float_text(col)).alias(f"nf{i}"),
             F.count_if(col.isin(*TRUE_WORDS, *FALSE_WORDS)).alias(f"nb{i}"),
         ]
     row = df.agg(*aggs).first()
