@@ -236,6 +236,56 @@ def s12_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report(spark, sf_dir).bars()
 
 
+def k10_k11_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K10 counts and K11 payment rate (paid rows / classified rows x 100)."""
+    d = SalesAnalysis(sales_view(spark, sf_dir, ["statut_paiement"])).dashboard()
+    total = F.col("paid_order_count") + F.col("unpaid_order_count") + F.col("unknown_payment_count")
+    return d.select(
+        "paid_order_count", "unpaid_order_count", "unknown_payment_count",
+        F.when(total > 0, F.round(F.col("paid_order_count") / total * 100, 1)).otherwise(F.lit(0.0)).alias("payment_rate"),
+    )
+
+
+def k19_best_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The month with the highest revenue (earliest on ties)."""
+    fold = dashboard_fold(*_measures_agg(spark, sf_dir, MONTHLY_COLS))
+    best = F.element_at(F.array_sort(F.transform(F.col("months"), lambda m, i: F.struct(
+        (-m["value"]).alias("k"), i.alias("i"), m.alias("m")))), 1)["m"]
+    return fold.filter(F.size("months") > 0).select(best["month"].alias("month"), best["value"].alias("value"))
+
+
+def _measures_agg(spark: SparkSession, sf_dir: str, cols: list[str] | None = None):
+    a = _analysis(spark, sf_dir, cols)
+    return a.measures, a.aggregate
+
+
+def q12_head_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q12: the first rows of the cleaned extract in file order (detail view: 20)."""
+    return _export_view(prof.head_sample(_cleaned_dirty(spark, sf_dir), prof.HEAD_DETAIL))
+
+
+def x_text_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X3-X7 on the top lists: money, report money, share, axis and short labels."""
+    from caisse.functions import text as X
+
+    a = _analysis(spark, sf_dir)
+    tops = top_k(a.aggregate, 5)
+    total = a.dashboard().select("revenue_total")
+    rows = tops.unionByName(total, allowMissingColumns=True)
+    # The total is one row; attach it with a window over the (at most 25 + 1) rows.
+    from pyspark.sql import Window as W
+    with_total = rows.withColumn("_total", F.max("revenue_total").over(W.partitionBy())).filter(F.col("dimension").isNotNull())
+    return with_total.select(
+        "dimension", "rank", "name",
+        X.format_money("value").alias("money"),
+        X.format_eur("value").alias("money_eur"),
+        X.format_percent(F.col("value") / F.col("_total") * 100).alias("share"),
+        X.axis_label("value").alias("axis"),
+        X.short_label("name").alias("short_name"),
+        X.short_label("name", 8).alias("shorter_name"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "k20_dashboard": k20_dashboard,
     "k13_k17_top5": k13_k17_top5,
@@ -268,4 +318,8 @@ QUERIES: dict[str, Query] = {
     "s11_kpi_lines": s11_kpi_lines,
     "s11_text_lines": s11_text_lines,
     "s12_bars": s12_bars,
+    "k10_k11_payments": k10_k11_payments,
+    "k19_best_month": k19_best_month,
+    "q12_head_sample": q12_head_sample,
+    "x_text_formats": x_text_formats,
 }

@@ -264,7 +264,7 @@ cleaned AS (
            coalesce(client, {_mode('client')}) AS client,
            coalesce(produit, {_mode('produit')}) AS produit,
            coalesce(statut_paiement, {_mode('statut_paiement')}) AS statut_paiement,
-           quantit
+           quantit, row_id
     FROM conv)"""
 
 CLEAN_COLS = ["id_commande", "date_vente", "montant", "client", "produit", "statut_paiement", "quantit"]
@@ -583,3 +583,40 @@ SELECT dimension, rank, substr(coalesce(CASE WHEN name <> '' THEN name END, 'Non
                                   ELSE max(value) OVER (PARTITION BY dimension) END * 150) AS width,
        {eur_sql('value')} AS value_text
 FROM top"""
+
+
+
+ORACLE_SQL["k10_k11_payments"] = f"""{WITH_BASE}
+SELECT count_if(pay = 'paid') AS paid_order_count, count_if(pay = 'unpaid') AS unpaid_order_count,
+       count_if(pay = 'unknown') AS unknown_payment_count,
+       CASE WHEN count(*) > 0 THEN round(count_if(pay = 'paid') / count(*) * 100, 1) ELSE 0.0 END AS payment_rate
+FROM m"""
+
+ORACLE_SQL["k19_best_month"] = f"""{WITH_BASE},
+{MONTHS}
+SELECT month, CAST(round(s, 2) AS DOUBLE) AS value FROM months
+ORDER BY CAST(round(s, 2) AS DOUBLE) DESC, month ASC LIMIT 1"""
+
+ORACLE_SQL["q12_head_sample"] = f"""WITH {CLEAN_CTES}
+SELECT id_commande, strftime(date_vente, '%Y-%m-%dT%H:%M:%S') AS date_vente, montant, client, produit,
+       statut_paiement, quantit
+FROM cleaned ORDER BY row_id LIMIT 20"""
+
+
+def _short(x: str, n: int) -> str:
+    return f"CASE WHEN length({x}) > {n} THEN substr({x}, 1, {n - 1}) || '…' ELSE {x} END"
+
+
+def _axis(x: str) -> str:
+    def grouped(v: str) -> str:
+        return f"replace(format('{{:,}}', CAST({v} AS BIGINT)), ',', chr(8239))"
+    return (f"CASE WHEN abs({x}) >= 10000 THEN {grouped(f'floor({x} / 1000 + 0.5)')} || ' k€' "
+            f"ELSE {grouped(f'floor({x} + 0.5)')} || ' €' END")
+
+
+ORACLE_SQL["x_text_formats"] = dashboard_with(WITH_BASE) + f"""
+SELECT dimension, CAST(rank AS INTEGER) AS rank, name,
+       {money_sql('v')} AS money, {eur_sql('v')} AS money_eur,
+       {pct_sql('v / (SELECT revenue_total FROM dash) * 100')} AS share,
+       {_axis('v')} AS axis, {_short('name', 18)} AS short_name, {_short('name', 8)} AS shorter_name
+FROM (SELECT dimension, rank, name, CAST(round(s, 2) AS DOUBLE) AS v FROM ranked WHERE rank <= 5)"""
