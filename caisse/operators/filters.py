@@ -67,20 +67,34 @@ def filter_predicate(df: DataFrame, filters: dict[str, str], roles: dict[str, st
             preds.append(as_text(df, col) == F.lit(str(value)))
     date_col = roles.get("date")
     if date_col and date_col in df.columns:
-        dates = as_timestamp(df, date_col)
+        dtype = df.schema[date_col].dataType
+        if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+            # Compare the stored column with the bound cast to the column's own
+            # type, so the predicate reaches the Parquet scan (PushedFilters).
+            dates = F.col(f"`{date_col}`")
+
+            def bound(text: str) -> Column:
+                return F.try_to_timestamp(F.lit(text)).cast(dtype)
+        else:
+            dates = as_timestamp(df, date_col)
+
+            def bound(text: str) -> Column:
+                return F.try_to_timestamp(F.lit(text))
         if filters.get("start_date"):
             # An unparsable bound compares as null: no row passes (F2).
-            preds.append(dates >= F.try_to_timestamp(F.lit(filters["start_date"])))
+            preds.append(dates >= bound(filters["start_date"]))
         if filters.get("end_date"):
             # The end bound is midnight of that day: later times are excluded.
-            preds.append(dates <= F.try_to_timestamp(F.lit(filters["end_date"])))
+            preds.append(dates <= bound(filters["end_date"]))
     return reduce(lambda a, b: a & b, preds, F.lit(True))
 
 
 def apply_filters(df: DataFrame, filters: dict[str, str] | None, roles: dict[str, str | None] | None = None) -> DataFrame:
+    """F1-F3 as plain conjuncts (a null comparison drops the row), so Catalyst can
+    push each one to the scan that produces its column."""
     if not filters:
         return df
-    return df.filter(F.coalesce(filter_predicate(df, filters, roles), F.lit(False)))
+    return df.filter(filter_predicate(df, filters, roles))
 
 
 def filter_counts(df: DataFrame, filters: dict[str, str] | None, roles: dict[str, str | None] | None = None) -> DataFrame:
