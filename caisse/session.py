@@ -32,9 +32,21 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
     return spark
 
 
+# Runtime SQL settings the plans rely on: adaptive re-planning (runtime join
+# strategy, partition coalescing) and splitting of skewed join partitions, so
+# a key holding a large share of the rows does not land in one task.
+RUNTIME_CONF = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+}
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Session settings the engine relies on (idempotent)."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Session settings the engine relies on (idempotent, runtime-settable only)."""
+    for key, value in RUNTIME_CONF.items():
+        spark.conf.set(key, value)
     ensure_checkpoint_dir(spark)
     return spark
 
