@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caisse.functions.cache import jvm_cached
 from caisse.functions.text import format_money, format_percent, normalize_question
 
 # ---------------------------------------------------------------------------
@@ -142,6 +143,16 @@ def answers(summary: DataFrame) -> DataFrame:
     ``average_basket``, ``months``) and ``tops``: ``array<struct<dimension,
     rank, name, value>>`` with the top-5 of each dimension (unrounded values).
     """
+    return summary.select(F.explode(_answer_pairs()).alias("p")).select("p.intent", "p.answer")
+
+
+@jvm_cached
+def route_column(text_col: str) -> Column:
+    return route(F.col(text_col))
+
+
+@jvm_cached
+def _answer_pairs() -> Column:
     tops = F.col("tops")
 
     def top_list(dim: str) -> Column:
@@ -231,11 +242,10 @@ def answers(summary: DataFrame) -> DataFrame:
         ("product_count", _fmt(TXT_PRODUCT_COUNT, F.col("product_count").cast("string"))),
         (FALLBACK, F.lit(TXT_HELP)),
     ]
-    pairs = F.array(*[F.struct(F.lit(k).alias("intent"), v.alias("answer")) for k, v in by_intent])
-    return summary.select(F.explode(pairs).alias("p")).select("p.intent", "p.answer")
+    return F.array(*[F.struct(F.lit(k).alias("intent"), v.alias("answer")) for k, v in by_intent])
 
 
 def answer_questions(questions: DataFrame, text_col: str, answer_table: DataFrame) -> DataFrame:
     """N1 + join: every question with its intent and answer (answers broadcast: one row per intent)."""
-    routed = questions.withColumn("intent", route(F.col(text_col)))
+    routed = questions.withColumn("intent", route_column(text_col))
     return routed.join(F.broadcast(answer_table), "intent", "left")

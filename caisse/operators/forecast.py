@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caisse.functions.cache import jvm_cached
+
 # ---------------------------------------------------------------------------
 # Texts and thresholds of the forecast.
 # ---------------------------------------------------------------------------
@@ -53,8 +55,16 @@ def model_summary(agg: DataFrame, has_roles: bool = True) -> DataFrame:
     is folded into a sorted array; slope and intercept use the centred
     least-squares formulas, the residuals a second pass over the same array.
     """
+    staged = agg.filter(F.col("set").isin("month", "total")).agg(*_series_aggs())
+    for stage in _fit_stages():
+        staged = staged.select("*", *stage)
+    return staged.select(*_summary_columns(has_roles))
+
+
+@jvm_cached
+def _series_aggs() -> tuple[Column, ...]:
     is_month = (F.col("set") == "month") & F.col("name").isNotNull() & F.col("sum_rev").isNotNull()
-    folded = agg.filter(F.col("set").isin("month", "total")).agg(
+    return (
         F.array_sort(
             F.collect_list(
                 F.when(
@@ -69,31 +79,35 @@ def model_summary(agg: DataFrame, has_roles: bool = True) -> DataFrame:
         ).alias("_sorted"),
         F.max(F.when(F.col("set") == "total", F.col("n_rows"))).alias("_src_rows"),
     )
+
+
+@jvm_cached
+def _fit_stages() -> tuple[tuple[Column, ...], ...]:
     pts = F.transform(
         F.col("_sorted"),
         lambda p, i: F.struct(i.alias("pos"), p["month"].alias("month"), p["value"].alias("value"), p["y"].alias("y")),
     )
-    staged = folded.select(pts.alias("_points"), F.coalesce(F.col("_src_rows"), F.lit(0)).alias("_src_rows"))
-    n = F.size(F.col("_points"))
-    staged = staged.select("*", n.alias("n_months"))
-    ybar = F.try_divide(_sum(F.col("_points"), lambda p: p["y"]), F.col("n_months"))
-    staged = staged.select("*", ybar.alias("_ybar"), ((F.col("n_months") - 1) / 2.0).alias("_xbar"))
-    sxy = _sum(F.col("_points"), lambda p: (p["pos"] - F.col("_xbar")) * (p["y"] - F.col("_ybar")))
-    sxx = _sum(F.col("_points"), lambda p: (p["pos"] - F.col("_xbar")) * (p["pos"] - F.col("_xbar")))
-    syy = _sum(F.col("_points"), lambda p: (p["y"] - F.col("_ybar")) * (p["y"] - F.col("_ybar")))
-    staged = staged.select(
-        "*",
-        F.try_divide(sxy, sxx).alias("_slope"),
-        F.sqrt(F.try_divide(syy, F.col("n_months"))).alias("_std"),
-    ).withColumn("_intercept", F.col("_ybar") - F.col("_slope") * F.col("_xbar"))
+    points = F.col("_points")
+    s1 = (pts.alias("_points"), F.coalesce(F.col("_src_rows"), F.lit(0)).alias("_src_rows_n"), F.size(pts).alias("n_months"))
+    ybar = F.try_divide(_sum(points, lambda p: p["y"]), F.col("n_months"))
+    s2 = (ybar.alias("_ybar"), ((F.col("n_months") - 1) / 2.0).alias("_xbar"))
+    sxy = _sum(points, lambda p: (p["pos"] - F.col("_xbar")) * (p["y"] - F.col("_ybar")))
+    sxx = _sum(points, lambda p: (p["pos"] - F.col("_xbar")) * (p["pos"] - F.col("_xbar")))
+    syy = _sum(points, lambda p: (p["y"] - F.col("_ybar")) * (p["y"] - F.col("_ybar")))
+    s3 = (F.try_divide(sxy, sxx).alias("_slope"), F.sqrt(F.try_divide(syy, F.col("n_months"))).alias("_std"))
+    s4 = ((F.col("_ybar") - F.col("_slope") * F.col("_xbar")).alias("_intercept"),)
     mae = F.try_divide(
-        _sum(F.col("_points"), lambda p: F.abs(p["y"] - (F.col("_intercept") + F.col("_slope") * p["pos"]))),
+        _sum(points, lambda p: F.abs(p["y"] - (F.col("_intercept") + F.col("_slope") * p["pos"]))),
         F.col("n_months"),
     )
     mean = F.when(F.coalesce(F.col("_ybar"), F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("_ybar"))
-    staged = staged.select("*", mae.alias("_mae"), mean.alias("_mean"))
+    s5 = (mae.alias("_mae"), mean.alias("_mean"))
+    return (s1, s2, s3, s4, s5)
 
-    enough_rows = F.lit(has_roles) & (F.col("_src_rows") >= 2)
+
+@jvm_cached
+def _summary_columns(has_roles: bool) -> tuple[Column, ...]:
+    enough_rows = F.lit(has_roles) & (F.col("_src_rows_n") >= 2)
     fitted = enough_rows & (F.col("n_months") >= 3)
     confidence = F.greatest(
         F.lit(CONFIDENCE_MIN), F.least(F.lit(CONFIDENCE_MAX), F.round(100 - F.col("_mae") / F.col("_mean") * 100, 0))
@@ -103,7 +117,7 @@ def model_summary(agg: DataFrame, has_roles: bool = True) -> DataFrame:
         .when(F.col("_slope") < -F.col("_mean") * TREND_SHARE, F.lit("baisse"))
         .otherwise(F.lit("stable"))
     )
-    return staged.select(
+    return (
         F.col("n_months").cast("long").alias("n_months"),
         F.when(fitted, F.col("_slope")).alias("slope"),
         F.when(fitted, F.col("_intercept")).alias("intercept"),
@@ -124,7 +138,7 @@ def model_summary(agg: DataFrame, has_roles: bool = True) -> DataFrame:
         F.lit(METHOD_TEXT).alias("method"),
         F.when(fitted, F.lit("linear_regression")).alias("model"),
         enough_rows.alias("_has_history"),
-        "_points",
+        F.col("_points"),
     )
 
 

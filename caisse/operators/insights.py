@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caisse.functions.cache import jvm_cached
 from caisse.functions.text import format_dot1, format_money
 
 # ---------------------------------------------------------------------------
@@ -70,8 +71,8 @@ def severity_level(severity: Column) -> Column:
     return out
 
 
-def insights(summary: DataFrame) -> DataFrame:
-    """A1: ``(position, text)``; ``summary`` = dashboard fold merged with ``missing_ratio``/``rows``."""
+@jvm_cached
+def _insight_items() -> Column:
     items = F.array(
         F.when(F.col("revenue_total") != 0, _fmt(TXT_REVENUE, format_money("revenue_total"))),
         F.when(
@@ -86,14 +87,18 @@ def insights(summary: DataFrame) -> DataFrame:
         F.when(F.col("best_channel").isNotNull(), _fmt(TXT_TOP_CHANNEL, F.col("best_channel"), format_money("best_channel_value"))),
         F.when((F.col("rows") > 0) & (F.col("missing_ratio") > INSIGHT_MISSING_RATIO), F.lit(TXT_QUALITY)),
     )
-    kept = F.filter(items, lambda x: x.isNotNull())
-    return summary.select(F.posexplode(kept).alias("pos", "text")).select(
+    return F.filter(items, lambda x: x.isNotNull())
+
+
+def insights(summary: DataFrame) -> DataFrame:
+    """A1: ``(position, text)``; ``summary`` = dashboard fold merged with ``missing_ratio``/``rows``."""
+    return summary.select(F.posexplode(_insight_items()).alias("pos", "text")).select(
         (F.col("pos") + 1).cast("int").alias("position"), "text"
     )
 
 
-def alerts(summary: DataFrame) -> DataFrame:
-    """``(position, type, severity, status, message, level)``."""
+@jvm_cached
+def _alert_items() -> Column:
     months = F.col("months")
     n_months = F.size(months)
     drop = (n_months >= 2) & (
@@ -119,8 +124,12 @@ def alerts(summary: DataFrame) -> DataFrame:
         alert(payments, ALERT_PAYMENTS, _fmt(ALERT_PAYMENTS[2], F.col("unpaid_order_count").cast("string"))),
         alert(inactive, ALERT_INACTIVE),
     )
-    kept = F.filter(items, lambda x: x.isNotNull())
-    return summary.select(F.posexplode(kept).alias("pos", "a")).select(
+    return F.filter(items, lambda x: x.isNotNull())
+
+
+def alerts(summary: DataFrame) -> DataFrame:
+    """``(position, type, severity, status, message, level)``."""
+    return summary.select(F.posexplode(_alert_items()).alias("pos", "a")).select(
         (F.col("pos") + 1).cast("int").alias("position"), "a.type", "a.severity", "a.status", "a.message",
         severity_level(F.col("a.severity")).alias("level"),
     )

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from caisse.functions.cache import jvm_cached
 from caisse.operators.measures import Measures
 from caisse.roles import TOP_DIMENSIONS
 
@@ -42,23 +43,15 @@ def money(c: Column, digits: int = 2) -> Column:
     return F.round(c, digits).cast("double")
 
 
-def aggregate_sales(m: Measures) -> DataFrame:
-    """The single grouping-sets aggregate behind the dashboard.
-
-    Output: ``set`` (label), ``name`` (group value as text), ``sum_rev``
-    (exact sum of non-null revenue; null when none), ``n_rows`` and, on the
-    total row, the margin and payment counters.
-    """
-    sets = [[f"k_{d}"] for d in TOP_DIMENSIONS] + [["_order"], ["_month"], []]
-    if m.margin_mode == "direct":
+@jvm_cached
+def _sales_aggs(margin_mode: str) -> tuple[Column, ...]:
+    if margin_mode == "direct":
         margin = F.coalesce(F.col("_margin"), F.lit(0))
-    elif m.margin_mode == "derived":
+    elif margin_mode == "derived":
         margin = F.coalesce(F.col("_rev"), F.lit(0)) - F.coalesce(F.col("_cost"), F.lit(0))
     else:
         margin = F.lit(0)
-    # Months only count rows that have both a date and a revenue.
-    src = m.df.withColumn("_month", F.when(F.col("_rev").isNotNull(), F.col("_month")))
-    agg = src.groupingSets(sets, *GROUP_KEYS).agg(
+    return (
         F.grouping_id(*GROUP_KEYS).alias("_gid"),
         F.sum("_rev").alias("sum_rev"),
         F.count(F.lit(1)).alias("n_rows"),
@@ -67,6 +60,10 @@ def aggregate_sales(m: Measures) -> DataFrame:
         F.count_if(F.col("_pay") == "unpaid").alias("n_unpaid"),
         F.count_if(F.col("_pay") == "unknown").alias("n_unknown"),
     )
+
+
+@jvm_cached
+def _set_columns() -> tuple[Column, ...]:
     # grouping_id bit i (from the left) is 1 when key i is *not* grouped.
     n = len(GROUP_KEYS)
     label = F.lit("total")
@@ -75,16 +72,21 @@ def aggregate_sales(m: Measures) -> DataFrame:
         gid = ((1 << n) - 1) ^ (1 << (n - 1 - i))
         label = F.when(F.col("_gid") == gid, F.lit(SET_NAMES[i])).otherwise(label)
         name = F.when(F.col("_gid") == gid, F.col(key).cast("string")).otherwise(name)
-    return agg.select(
-        label.alias("set"),
-        name.alias("name"),
-        "sum_rev",
-        "n_rows",
-        "sum_margin",
-        "n_paid",
-        "n_unpaid",
-        "n_unknown",
-    )
+    return (label.alias("set"), name.alias("name"))
+
+
+def aggregate_sales(m: Measures) -> DataFrame:
+    """The single grouping-sets aggregate behind the dashboard.
+
+    Output: ``set`` (label), ``name`` (group value as text), ``sum_rev``
+    (exact sum of non-null revenue; null when none), ``n_rows`` and, on the
+    total row, the margin and payment counters.
+    """
+    sets = [[f"k_{d}"] for d in TOP_DIMENSIONS] + [["_order"], ["_month"], []]
+    # Months only count rows that have both a date and a revenue.
+    src = m.df.withColumn("_month", F.when(F.col("_rev").isNotNull(), F.col("_month")))
+    agg = src.groupingSets(sets, *GROUP_KEYS).agg(*_sales_aggs(m.margin_mode))
+    return agg.select(*_set_columns(), "sum_rev", "n_rows", "sum_margin", "n_paid", "n_unpaid", "n_unknown")
 
 
 def top_k(agg: DataFrame, k: int = 5, dims: list[str] | None = None, round_values: bool = True) -> DataFrame:
@@ -170,6 +172,11 @@ def dashboard_fold(m: Measures, agg: DataFrame) -> DataFrame:
     ``clients_listed_over`` for the inactive-client rule (the 5th best client
     is under 100 exactly when fewer than ``min(n, 5)`` clients reach 100).
     """
+    return agg.agg(*_fold_aggs()).select(*_fold_select(m.has_order, "client" in m.dims, "product" in m.dims))
+
+
+@jvm_cached
+def _fold_aggs() -> tuple[Column, ...]:
     is_total = F.col("set") == "total"
 
     def total(c: str) -> Column:
@@ -180,7 +187,7 @@ def dashboard_fold(m: Measures, agg: DataFrame) -> DataFrame:
 
     is_month = (F.col("set") == "month") & F.col("name").isNotNull() & F.col("sum_rev").isNotNull()
     client_row = (F.col("set") == "client") & F.col("name").isNotNull() & F.col("sum_rev").isNotNull()
-    folded = agg.agg(
+    return (
         F.coalesce(total("sum_rev"), F.lit(0)).alias("_revenue"),
         F.coalesce(total("sum_margin"), F.lit(0)).alias("_margin"),
         F.coalesce(total("n_rows"), F.lit(0)).alias("_rows"),
@@ -198,18 +205,22 @@ def dashboard_fold(m: Measures, agg: DataFrame) -> DataFrame:
             F.collect_list(F.when(is_month, F.struct(F.col("name").alias("month"), money(F.col("sum_rev")).alias("value"))))
         ).alias("months"),
     )
-    orders = F.col("_distinct_orders") if m.has_order else F.col("_rows")
+
+
+@jvm_cached
+def _fold_select(has_order: bool, has_client: bool, has_product: bool) -> tuple[Column, ...]:
+    orders = F.col("_distinct_orders") if has_order else F.col("_rows")
     revenue = F.col("_revenue")
     growth = growth_of(F.col("months"))
     zero = F.lit(0).cast("long")
-    return folded.select(
+    return (
         money(revenue).alias("revenue_total"),
         money(F.col("_margin")).alias("margin_total"),
         F.when(revenue != 0, F.round(F.col("_margin").cast("double") / revenue.cast("double") * 100, 1))
         .otherwise(F.lit(0.0))
         .alias("margin_rate"),
-        (F.col("client_count").cast("long") if "client" in m.dims else zero).alias("client_count"),
-        (F.col("product_count").cast("long") if "product" in m.dims else zero).alias("product_count"),
+        (F.col("client_count").cast("long") if has_client else zero).alias("client_count"),
+        (F.col("product_count").cast("long") if has_product else zero).alias("product_count"),
         orders.cast("long").alias("order_count"),
         F.when(revenue != 0, F.round(revenue.cast("double") / F.greatest(F.lit(1), orders).cast("double"), 2))
         .otherwise(F.lit(0.0))
@@ -217,8 +228,7 @@ def dashboard_fold(m: Measures, agg: DataFrame) -> DataFrame:
         F.col("paid_order_count").cast("long").alias("paid_order_count"),
         F.col("unpaid_order_count").cast("long").alias("unpaid_order_count"),
         F.col("unknown_payment_count").cast("long").alias("unknown_payment_count"),
-        *[F.col(f"best_{d}") for d in ("city",)], "best_city_value",
-        "best_channel", "best_channel_value", "best_seller", "best_seller_value",
+        "best_city", "best_city_value", "best_channel", "best_channel_value", "best_seller", "best_seller_value",
         growth["month"].alias("best_growth_month"),
         growth["delta"].alias("best_growth_value"),
         growth["previous_month"].alias("best_growth_previous_month"),

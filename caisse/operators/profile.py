@@ -112,27 +112,27 @@ def column_profile(df: DataFrame, distinct: str = "exact") -> DataFrame:
 
 
 def table_stats(df: DataFrame) -> DataFrame:
-    """Q1, Q5-Q8 as one row: rows, columns, missing_total, missing_ratio, duplicate_count, duplicate_ratio."""
+    """Q1, Q5-Q8 as one row: rows, columns, missing_total, missing_ratio, duplicate_count, duplicate_ratio.
+
+    One pass: rows are grouped on all columns (duplicates merged map-side),
+    and every count is folded from the groups — row count = sum of group
+    sizes, duplicates = sum of (size - 1), missing values of a column = sum of
+    the sizes of groups where it is missing.
+    """
     cols = _data_cols(df)
     n_cols = len(cols)
     keyed = df.select(*[F.col(f"`{c}`") for c in cols]) if cols else df.select(F.lit(1).alias("_one"))
-    groups = keyed.groupBy(*keyed.columns).agg(F.count(F.lit(1)).alias("_k"))
-    missing_parts = [F.count_if(_is_missing(df, c)) for c in cols]
-    counts = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[p.alias(f"m{i}") for i, p in enumerate(missing_parts)],
-    )
-    dup = groups.agg(F.coalesce(F.sum(F.col("_k") - 1), F.lit(0)).alias("duplicate_count"))
-    both = counts.unionByName(dup, allowMissingColumns=True).agg(
-        F.max("rows").alias("rows"),
-        *[F.max(f"m{i}").alias(f"m{i}") for i in range(n_cols)],
-        F.max("duplicate_count").alias("duplicate_count"),
+    groups = keyed.groupBy(*[F.col(f"`{c}`") for c in keyed.columns]).agg(F.count(F.lit(1)).alias("_k"))
+    folded = groups.agg(
+        F.coalesce(F.sum("_k"), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum(F.col("_k") - 1), F.lit(0)).alias("duplicate_count"),
+        *[F.coalesce(F.sum(F.when(_is_missing(groups, c), F.col("_k"))), F.lit(0)).alias(f"m{i}") for i, c in enumerate(cols)],
     )
     missing_total = sum((F.col(f"m{i}") for i in range(n_cols)), F.lit(0)) if n_cols else F.lit(0)
     ratio = (
         sum((F.col(f"m{i}") / F.col("rows") for i in range(n_cols)), F.lit(0.0)) / n_cols if n_cols else F.lit(0.0)
     )
-    return both.select(
+    return folded.select(
         F.col("rows").cast("long").alias("rows"),
         F.lit(n_cols).cast("int").alias("columns"),
         missing_total.cast("long").alias("missing_total"),
@@ -142,6 +142,17 @@ def table_stats(df: DataFrame) -> DataFrame:
     )
 
 
+def missing_stats(df: DataFrame) -> DataFrame:
+    """Q1 + Q6 only: ``(rows, missing_ratio)`` from one global aggregate (no shuffle)."""
+    cols = _data_cols(df)
+    counts = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(_is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(cols)])
+    ratio = sum((F.col(f"m{i}") / F.col("rows") for i in range(len(cols))), F.lit(0.0)) / len(cols) if cols else F.lit(0.0)
+    return counts.select(
+        F.col("rows").cast("long").alias("rows"),
+        F.when(F.col("rows") > 0, ratio).otherwise(F.lit(None).cast("double")).alias("missing_ratio"),
+    )
+
+
 def quality_score(missing_ratio: Column, duplicate_ratio: Column) -> Column:
     """Q9: clamp(round(100 - missing*55 - dup*35, 1), 0, 100); NaN ratios count as 0."""
     mr = F.coalesce(missing_ratio, F.lit(0.0))

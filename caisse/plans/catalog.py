@@ -148,7 +148,7 @@ def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dashboard fold merged with the table statistics (missing ratio) of the sales view."""
     df = sales_view(spark, sf_dir)
     a = SalesAnalysis(df)
-    stats = prof.table_stats(df).select("rows", "missing_ratio")
+    stats = prof.missing_stats(df)
     return ins.merge_rows(dashboard_fold(a.measures, a.aggregate), stats)
 
 

@@ -74,7 +74,7 @@ class Report:
 
     def summary(self) -> DataFrame:
         a = self.analysis
-        stats = prof.table_stats(a.df).select("rows", "missing_ratio")
+        stats = prof.missing_stats(a.df)
         return ins.merge_rows(dashboard_fold(a.measures, a.aggregate), stats)
 
     def resume(self) -> DataFrame:

@@ -52,7 +52,13 @@ COST_FACTOR = "0.6"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table (read-only); the handle is kept per session so its file
+    listing and footer reading happen once, not once per query."""
+    path = f"{sf_dir}/{name}.parquet"
+    handles = spark.__dict__.setdefault("_caisse_tables", {})
+    if path not in handles:
+        handles[path] = spark.read.parquet(path)
+    return handles[path]
 
 
 def payment_status(status: F.Column) -> F.Column:

@@ -33,7 +33,7 @@ def test_router(spark):
 def _summary(spark, rows, extra_cols=""):
     df = spark.createDataFrame(rows, "date_vente timestamp, ca double, client string" + extra_cols)
     a = SalesAnalysis(df)
-    return a, ins.merge_rows(dashboard_fold(a.measures, a.aggregate), prof.table_stats(df).select("rows", "missing_ratio"))
+    return a, ins.merge_rows(dashboard_fold(a.measures, a.aggregate), prof.missing_stats(df))
 
 
 def test_weak_client_and_quality_alerts(spark):

@@ -65,7 +65,7 @@ def test_quality_and_alerts(spark, analysis):
     q = prof.quality_report(raw, cleaned).first()
     assert (q.quality_score_before, q.quality_score_after) == (100.0, 100.0)
     summary = ins.merge_rows(dashboard_fold(analysis.measures, analysis.aggregate),
-                             prof.table_stats(analysis.df).select("rows", "missing_ratio"))
+                             prof.missing_stats(analysis.df))
     assert [r.type for r in ins.alerts(summary).collect()] == ["baisse_ca"]
     texts = [r.text for r in ins.insights(summary).orderBy("position").collect()]
     assert texts[0] == "Le chiffre d'affaires total est de 572 332,27 €."
