@@ -148,25 +148,36 @@ def clean(df: DataFrame, materialize: str | None = "persist") -> tuple[DataFrame
     date_num = [c for c in cols if is_date_name(c) and isinstance(schema[c], T.NumericType)]
     text = [c for c in cols if isinstance(schema[c], T.StringType) and c not in date_text]
     numeric_in = [c for c in cols if isinstance(schema[c], T.NumericType) and c not in date_num]
-    aggs: list[Column] = [F.count(F.lit(1)).alias("_n")]
+    # Per-row values are projected once (each regex at most once per value),
+    # then one aggregate counts them.
+    proj: list[Column] = [F.col(ROW_ID)]
     for i, c in enumerate(cols):
-        aggs.append(F.count(F.col(f"`{c}`")).alias(f"nn{i}"))
+        proj.append(F.col(f"`{c}`").isNotNull().alias(f"nn{i}"))
     for i, c in enumerate(date_text):
+        proj.append(F.col(f"`{c}`").alias(f"d{i}"))
+    for i, c in enumerate(text):
         col = F.col(f"`{c}`")
-        aggs.append(F.min_by(col, F.when(col.isNotNull(), F.col(ROW_ID))).alias(f"first{i}"))
+        is_float = is_float_text(col)
+        proj += [is_float.alias(f"num{i}"), is_int_text(col, is_float).alias(f"int{i}")]
     # Count / min / max of every column that may need a median, so the median
     # search starts from these bounds without another pass.
-    as_number = {c: F.when(is_float_text(F.col(f"`{c}`")), cast_text(F.col(f"`{c}`"), "double")) for c in text}
+    as_number = {c: F.when(F.col(f"num{i}"), cast_text(F.col(f"`{c}`"), "double")) for i, c in enumerate(text)}
     as_number.update({c: F.col(f"`{c}`").cast("double") for c in numeric_in})
-    for i, c in enumerate(text):
-        col = F.col(f"`{c}`")
-        aggs.append(F.count_if(is_float_text(col)).alias(f"num{i}"))
-        aggs.append(F.count_if(is_int_text(col)).alias(f"int{i}"))
     median_names = list(as_number)
-    for i, c in enumerate(median_names):
-        v = F.when(~F.isnan(as_number[c]), as_number[c])
+    flagged = dedup.select(*proj, *[F.col(f"`{c}`") for c in text + numeric_in])
+    number_values = flagged.select(
+        "*", *[F.when(~F.isnan(as_number[c]), as_number[c]).alias(f"v{i}") for i, c in enumerate(median_names)]
+    )
+    aggs: list[Column] = [F.count(F.lit(1)).alias("_n")]
+    aggs += [F.count_if(F.col(f"nn{i}")).alias(f"nn{i}") for i in range(len(cols))]
+    aggs += [F.min_by(F.col(f"d{i}"), F.when(F.col(f"d{i}").isNotNull(), F.col(ROW_ID))).alias(f"first{i}")
+             for i in range(len(date_text))]
+    for i in range(len(text)):
+        aggs += [F.count_if(F.col(f"num{i}")).alias(f"num{i}"), F.count_if(F.col(f"int{i}")).alias(f"int{i}")]
+    for i in range(len(median_names)):
+        v = F.col(f"v{i}")
         aggs += [F.count(v).alias(f"mn{i}"), F.min(v).alias(f"mlo{i}"), F.max(v).alias(f"mhi{i}")]
-    stats = dedup.agg(*aggs).first()
+    stats = number_values.agg(*aggs).first()
     n = stats["_n"]
     report.rows_in = n
     nonnull = {c: stats[f"nn{i}"] for i, c in enumerate(cols)}

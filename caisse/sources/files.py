@@ -49,14 +49,22 @@ def detect_format(path: str) -> str:
     return FORMATS[ext]
 
 
-def is_int_text(c: Column) -> Column:
-    """Text of an integer (``INT_PATTERN``)."""
-    return c.rlike(INT_PATTERN)
+# First characters a number can start with (after optional white space).
+NUMBER_STARTS = list("0123456789+-.iI \t")
 
 
 def is_float_text(c: Column) -> Column:
-    """Text of a number (``FLOAT_PATTERN``); one compiled JVM regex per task."""
-    return c.rlike(FLOAT_PATTERN)
+    """Text of a number (``FLOAT_PATTERN``).
+
+    A first-character test rejects ordinary words before the regex runs, so
+    text columns cost one substring per value, numeric ones one regex.
+    """
+    return F.substring(c, 1, 1).isin(*NUMBER_STARTS) & c.rlike(FLOAT_PATTERN)
+
+
+def is_int_text(c: Column, is_float: Column | None = None) -> Column:
+    """Text of an integer (``INT_PATTERN``); pass ``is_float`` to test only numbers."""
+    return (is_float if is_float is not None else is_float_text(c)) & c.rlike(INT_PATTERN)
 
 
 def null_tokens(c: Column) -> Column:
@@ -96,16 +104,22 @@ def infer_read_types(df: DataFrame) -> dict[str, str]:
     text_cols = [c for c, t in df.dtypes if t == "string" and c != ROW_ID]
     if not text_cols:
         return {}
-    aggs = [F.count(F.lit(1)).alias("_n")]
+    # Per-row flags are projected once, then counted: each regex runs at most
+    # once per value, and only on values that start like a number.
+    flags = []
     for i, c in enumerate(text_cols):
         col = F.col(f"`{c}`")
-        aggs += [
-            F.count(col).alias(f"nn{i}"),
-            F.count_if(is_int_text(col)).alias(f"ni{i}"),
-            F.count_if(is_float_text(col)).alias(f"nf{i}"),
-            F.count_if(col.isin(*TRUE_WORDS, *FALSE_WORDS)).alias(f"nb{i}"),
+        is_float = is_float_text(col)  # a common subexpression of the two flags below
+        flags += [
+            col.isNotNull().alias(f"nn{i}"),
+            is_float.alias(f"nf{i}"),
+            is_int_text(col, is_float).alias(f"ni{i}"),
+            col.isin(*TRUE_WORDS, *FALSE_WORDS).alias(f"nb{i}"),
         ]
-    row = df.agg(*aggs).first()
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for i in range(len(text_cols)):
+        aggs += [F.count_if(F.col(f"{k}{i}")).alias(f"{k}{i}") for k in ("nn", "nf", "ni", "nb")]
+    row = df.select(*flags).agg(*aggs).first()
     n = row["_n"]
     out: dict[str, str] = {}
     for i, c in enumerate(text_cols):
