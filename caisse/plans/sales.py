@@ -44,10 +44,9 @@ class SalesAnalysis:
         return dashboard_row(self.measures, self.aggregate)
 
     def tops(self, k: int = 5) -> DataFrame:
-        return top_k(self.aggregate, k, list(self.measures.dims) or None) if self.measures.has_revenue else self._empty_tops()
-
-    def _empty_tops(self) -> DataFrame:
-        return top_k(self.aggregate, 5).limit(0)
+        """``(dimension, rank, name, value)``; empty without a revenue role
+        (every group's revenue sum is then null and filtered out)."""
+        return top_k(self.aggregate, k)
 
     def monthly(self) -> DataFrame:
         """K12 ``(month, value)``."""
