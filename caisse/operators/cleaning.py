@@ -138,6 +138,9 @@ def _materialize(df: DataFrame, how: str | None) -> DataFrame:
 def clean(df: DataFrame, materialize: str | None = "persist") -> tuple[DataFrame, CleaningReport]:
     """The whole cleaning; returns the cleaned table (with ``_row_id``) and a report."""
     report = CleaningReport()
+    if ROW_ID not in df.columns:
+        # Frames that do not come from ``read_sales`` get their order here.
+        df = df.withColumn(ROW_ID, F.monotonically_increasing_id())
     renamed, report.renamed = rename(df)
     dedup = _materialize(trim_nulls(deduplicate(renamed)), materialize)
     schema = {f.name: f.dataType for f in dedup.schema.fields}

@@ -13,7 +13,6 @@ from functools import cached_property
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from caisse.operators import forecast as fc
 from caisse.operators.kpis import aggregate_sales, dashboard_row, month_deltas, monthly_revenue, top_k

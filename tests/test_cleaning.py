@@ -98,3 +98,9 @@ def test_no_null_left(spark):
     cleaned, _ = clean(read_sales(spark, path))
     row = cleaned.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cleaned.columns]).first()
     assert all(v == 0 for v in row)
+
+
+def test_frame_without_row_id(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 1.0), (None, 3.0)], "Client string, Montant double").coalesce(1)
+    cleaned, rep = clean(df)
+    assert sorted((r.client, r.montant) for r in cleaned.collect()) == [("a", 1.0), ("a", 3.0)]
