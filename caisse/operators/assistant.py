@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caisse.functions.arrays import at
 from caisse.functions.cache import jvm_cached
 from caisse.functions.text import format_money, format_percent, normalize_question
 
@@ -160,7 +161,7 @@ def _answer_pairs() -> Column:
 
     def first(dim: str) -> Column:
         lst = top_list(dim)
-        return F.when(F.size(lst) > 0, lst[0])
+        return at(lst, 1)
 
     def entity_answer(intent: str) -> Column:
         dim, plural, singular = ENTITIES[intent]
@@ -169,7 +170,7 @@ def _answer_pairs() -> Column:
         leader = "La première ville" if singular == "ville" else f"Le premier {singular}"
         listed_total = F.aggregate(lst, F.lit(0.0), lambda acc, t: acc + F.coalesce(t["value"], F.lit(0.0)))
         total = F.when(F.coalesce(F.col("revenue_total"), F.lit(0.0)) != 0, F.col("revenue_total")).otherwise(listed_total)
-        share = F.when(total != 0, lst[0]["value"] / total * 100).otherwise(F.lit(0.0))
+        share = F.when(total != 0, at(lst, 1)["value"] / total * 100).otherwise(F.lit(0.0))
         body = F.array_join(
             F.transform(lst, lambda t: _fmt(TXT_TOP_LINE, t["rank"].cast("string"), t["name"], format_money(t["value"]))),
             "\n",
@@ -185,15 +186,10 @@ def _answer_pairs() -> Column:
         return F.coalesce(item["name"], F.lit(TXT_NOT_AVAILABLE)), format_money(F.coalesce(item["value"], F.lit(0.0)))
 
     months = F.col("months")
-    best_month = F.when(
-        F.size(months) > 0,
-        F.element_at(
-            F.array_sort(
-                F.transform(months, lambda mth, i: F.struct((-mth["value"]).alias("k"), i.alias("i"), mth.alias("m")))
-            ),
-            1,
-        )["m"],
-    )
+    best_month = at(
+        F.array_sort(F.transform(months, lambda mth, i: F.struct((-mth["value"]).alias("k"), i.alias("i"), mth.alias("m")))),
+        1,
+    )["m"]
     summary_lines = [
         F.lit(TXT_SUMMARY_HEAD), F.lit(""),
         _fmt(TXT_SUMMARY_LINES[0], format_money("revenue_total")),
@@ -209,8 +205,8 @@ def _answer_pairs() -> Column:
     ]
     summary_text = _lines(*summary_lines)  # concat_ws skips the null best-month line
 
-    prev = F.element_at(months, -2)
-    cur = F.element_at(months, -1)
+    prev = at(months, -2)
+    cur = at(months, -1)
     variation = (cur["value"] - prev["value"]) / prev["value"] * 100
     decline = (
         F.when(F.size(months) < 2, F.lit(TXT_DECLINE_SHORT))

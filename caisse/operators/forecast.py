@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caisse.functions.arrays import at
 from caisse.functions.cache import jvm_cached
 
 # ---------------------------------------------------------------------------
@@ -125,7 +126,7 @@ def _summary_columns(has_roles: bool) -> tuple[Column, ...]:
         F.when(fitted, F.col("_mean")).alias("mean"),
         F.when(fitted, F.col("_std")).alias("std"),
         F.when(fitted, F.greatest(F.col("_mae"), F.col("_mean") * BAND_SHARE)).alias("interval"),
-        F.when(enough_rows, F.element_at(F.col("_points"), -1)["month"]).alias("last_month"),
+        F.when(enough_rows, at(F.col("_points"), -1)["month"]).alias("last_month"),
         F.when(fitted, trend).otherwise(F.lit("insufficient_data")).alias("trend"),
         F.when(fitted, confidence.cast("int"))
         .when(enough_rows, F.lit(CONFIDENCE_FEW_MONTHS))
@@ -236,7 +237,7 @@ def chart_summary(summary: DataFrame) -> DataFrame:
     """M9: next-month value, anomaly count and trend label in one row."""
     fc = _forecast_array()
     return summary.select(
-        F.when(F.size(fc) > 0, fc[0]["value"]).alias("next_month_value"),
+        at(fc, 1)["value"].alias("next_month_value"),
         F.size(_anomaly_array()).cast("long").alias("anomaly_count"),
         trend_label(F.col("trend")).alias("trend_label"),
         "trend",

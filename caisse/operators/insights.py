@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caisse.functions.arrays import at
 from caisse.functions.cache import jvm_cached
 from caisse.functions.text import format_dot1, format_money
 
@@ -102,7 +103,7 @@ def _alert_items() -> Column:
     months = F.col("months")
     n_months = F.size(months)
     drop = (n_months >= 2) & (
-        F.element_at(months, -1)["value"] < F.element_at(months, -2)["value"] * DROP_FACTOR
+        at(months, -1)["value"] < at(months, -2)["value"] * DROP_FACTOR
     )
     quality = F.coalesce(F.col("missing_ratio") > ALERT_MISSING_RATIO, F.lit(False))
     payments = F.col("unpaid_order_count") > 0

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from caisse.functions.arrays import at
 from caisse.functions.cache import jvm_cached
 from caisse.operators.measures import Measures
 from caisse.roles import TOP_DIMENSIONS
@@ -142,10 +143,10 @@ def growth_of(months: Column) -> Column:
     deltas = F.transform(
         F.sequence(F.lit(1), F.size(months) - 1),
         lambda i: F.struct(
-            money(months[i]["value"] - months[i - 1]["value"]).alias("delta"),
+            money(at(months, i + 1)["value"] - at(months, i)["value"]).alias("delta"),
             (-i).alias("neg_pos"),
-            months[i]["month"].alias("month"),
-            months[i - 1]["month"].alias("previous_month"),
+            at(months, i + 1)["month"].alias("month"),
+            at(months, i)["month"].alias("previous_month"),
         ),
     )
     return F.when(F.size(months) >= 2, F.array_max(deltas))

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caisse.functions.arrays import at
 from caisse.operators import assistant as qa
 from caisse.operators import insights as ins
 from caisse.operators import filters as flt
@@ -249,7 +250,7 @@ def k10_k11_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k19_best_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The month with the highest revenue (earliest on ties)."""
     fold = dashboard_fold(*_measures_agg(spark, sf_dir, MONTHLY_COLS))
-    best = F.element_at(F.array_sort(F.transform(F.col("months"), lambda m, i: F.struct(
+    best = at(F.array_sort(F.transform(F.col("months"), lambda m, i: F.struct(
         (-m["value"]).alias("k"), i.alias("i"), m.alias("m")))), 1)["m"]
     return fold.filter(F.size("months") > 0).select(best["month"].alias("month"), best["value"].alias("value"))
 
