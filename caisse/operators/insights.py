@@ -139,12 +139,12 @@ def alerts(summary: DataFrame) -> DataFrame:
 def alerts_with_status(alert_rows: DataFrame, status: DataFrame | None) -> DataFrame:
     """Alerts left-joined to a ``(position, status)`` table; missing status -> ``nouveau``.
 
-    ``status`` holds one row per alert of one dataset (a handful of rows), so
-    it is broadcast.
+    The status table comes from the caller, so its size is not bounded here:
+    no broadcast hint; Spark's size statistics choose the join.
     """
     if status is None:
         return alert_rows
-    s = F.broadcast(status.select("position", F.col("status").alias("_st")))
+    s = status.select("position", F.col("status").alias("_st"))
     return alert_rows.join(s, "position", "left").select(
         "position", "type", "severity", F.coalesce(F.col("_st"), F.col("status")).alias("status"), "message", "level"
     )
