@@ -88,6 +88,9 @@ class CleaningReport:
     numeric_casts: dict[str, str] = field(default_factory=dict)
     dropped: list[str] = field(default_factory=list)
     fills: dict[str, object] = field(default_factory=dict)
+    # Deduplicated raw rows with their copy counts (persisted): the raw
+    # table's statistics are folded from it (``profile.group_stats``).
+    raw_groups: DataFrame | None = None
 
 
 def rename(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -99,19 +102,26 @@ def rename(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.select(*exprs), mapping
 
 
-def deduplicate(df: DataFrame) -> DataFrame:
+COPIES = "_copies"
+
+
+def deduplicate(df: DataFrame, keep_copies: bool = False) -> DataFrame:
     """Full-row duplicates removed, first row kept (nulls compare equal).
 
     One hash aggregate on all columns; the map-side partial aggregate merges
     copies before the shuffle, so a row repeated millions of times costs one
-    row per map task.
+    row per map task. ``keep_copies`` adds the group size (``_copies``), from
+    which the raw table's row, duplicate and missing counts follow without
+    another pass.
     """
     keys = [c for c in df.columns if c != ROW_ID]
     if ROW_ID not in df.columns:
         return df.dropDuplicates()
+    extra = [F.count(F.lit(1)).alias(COPIES)] if keep_copies else []
     if not keys:
-        return df.agg(F.min(ROW_ID).alias(ROW_ID)).filter(F.col(ROW_ID).isNotNull())
-    return df.groupBy(*[F.col(f"`{c}`") for c in keys]).agg(F.min(ROW_ID).alias(ROW_ID)).select(*df.columns)
+        return df.agg(F.min(ROW_ID).alias(ROW_ID), *extra).filter(F.col(ROW_ID).isNotNull())
+    out = df.groupBy(*[F.col(f"`{c}`") for c in keys]).agg(F.min(ROW_ID).alias(ROW_ID), *extra)
+    return out.select(*df.columns, *([COPIES] if keep_copies else []))
 
 
 def trim_nulls(df: DataFrame) -> DataFrame:
@@ -142,7 +152,9 @@ def clean(df: DataFrame, materialize: str | None = "persist") -> tuple[DataFrame
         # Frames that do not come from ``read_sales`` get their order here.
         df = df.withColumn(ROW_ID, F.monotonically_increasing_id())
     renamed, report.renamed = rename(df)
-    dedup = _materialize(trim_nulls(deduplicate(renamed)), materialize)
+    groups = _materialize(deduplicate(renamed, keep_copies=True), materialize)
+    report.raw_groups = groups
+    dedup = trim_nulls(groups.drop(COPIES))
     schema = {f.name: f.dataType for f in dedup.schema.fields}
     cols = [c for c in dedup.columns if c != ROW_ID]
 

@@ -111,23 +111,24 @@ def column_profile(df: DataFrame, distinct: str = "exact") -> DataFrame:
     )
 
 
-def table_stats(df: DataFrame) -> DataFrame:
-    """Q1, Q5-Q8 as one row: rows, columns, missing_total, missing_ratio, duplicate_count, duplicate_ratio.
+def group_stats(groups: DataFrame, copies: str = "_copies") -> DataFrame:
+    """``table_stats`` of a table given as its distinct rows with copy counts.
 
-    One pass: rows are grouped on all columns (duplicates merged map-side),
-    and every count is folded from the groups — row count = sum of group
-    sizes, duplicates = sum of (size - 1), missing values of a column = sum of
-    the sizes of groups where it is missing.
+    Row count = sum of copies, duplicates = sum of (copies - 1), missing
+    values of a column = sum of the copies of the rows where it is missing:
+    one aggregate over the (already shuffled) groups.
     """
-    cols = _data_cols(df)
+    cols = [c for c in groups.columns if c not in (ROW_ID, copies)]
     n_cols = len(cols)
-    keyed = df.select(*[F.col(f"`{c}`") for c in cols]) if cols else df.select(F.lit(1).alias("_one"))
-    groups = keyed.groupBy(*[F.col(f"`{c}`") for c in keyed.columns]).agg(F.count(F.lit(1)).alias("_k"))
     folded = groups.agg(
-        F.coalesce(F.sum("_k"), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(F.col("_k") - 1), F.lit(0)).alias("duplicate_count"),
-        *[F.coalesce(F.sum(F.when(_is_missing(groups, c), F.col("_k"))), F.lit(0)).alias(f"m{i}") for i, c in enumerate(cols)],
+        F.coalesce(F.sum(copies), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum(F.col(copies) - 1), F.lit(0)).alias("duplicate_count"),
+        *[F.coalesce(F.sum(F.when(_is_missing(groups, c), F.col(copies))), F.lit(0)).alias(f"m{i}") for i, c in enumerate(cols)],
     )
+    return _stats_row(folded, n_cols)
+
+
+def _stats_row(folded: DataFrame, n_cols: int) -> DataFrame:
     missing_total = sum((F.col(f"m{i}") for i in range(n_cols)), F.lit(0)) if n_cols else F.lit(0)
     ratio = (
         sum((F.col(f"m{i}") / F.col("rows") for i in range(n_cols)), F.lit(0.0)) / n_cols if n_cols else F.lit(0.0)
@@ -142,6 +143,22 @@ def table_stats(df: DataFrame) -> DataFrame:
     )
 
 
+def table_stats(df: DataFrame) -> DataFrame:
+    """Q1, Q5-Q8 as one row: rows, columns, missing_total, missing_ratio, duplicate_count, duplicate_ratio.
+
+    One pass: rows are grouped on all columns (duplicates merged map-side),
+    and every count is folded from the groups — row count = sum of group
+    sizes, duplicates = sum of (size - 1), missing values of a column = sum of
+    the sizes of groups where it is missing.
+    """
+    cols = _data_cols(df)
+    if cols:
+        groups = df.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count(F.lit(1)).alias("_k"))
+    else:  # a table without columns: all its rows are copies of the empty row
+        groups = df.groupBy().agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") > 0)
+    return group_stats(groups, "_k")
+
+
 def missing_stats(df: DataFrame) -> DataFrame:
     """Q1 + Q6 only: ``(rows, missing_ratio)`` from one global aggregate (no shuffle)."""
     cols = _data_cols(df)
@@ -159,9 +176,13 @@ def quality_score(missing_ratio: Column, duplicate_ratio: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round(100 - mr * MISSING_WEIGHT - duplicate_ratio * DUPLICATE_WEIGHT, 1)))
 
 
-def quality_report(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
-    """Dataset detail numbers: quality before (raw) and after (cleaned), one row."""
-    before = table_stats(raw).select(
+def quality_report(raw: DataFrame, cleaned: DataFrame, raw_stats: DataFrame | None = None) -> DataFrame:
+    """Dataset detail numbers: quality before (raw) and after (cleaned), one row.
+
+    ``raw_stats`` may be given as ``group_stats(report.raw_groups)`` from the
+    cleaning, which saves a second shuffle of the raw rows.
+    """
+    before = (raw_stats if raw_stats is not None else table_stats(raw)).select(
         F.col("rows").alias("rows_before"), F.col("columns").alias("columns_before"),
         F.col("missing_total").alias("missing_total_before"), F.col("duplicate_count").alias("duplicate_count_before"),
         quality_score(F.col("missing_ratio"), F.col("duplicate_ratio")).alias("quality_score_before"),

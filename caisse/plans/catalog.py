@@ -112,7 +112,8 @@ def c10_clean_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = dirty_raw(spark, sf_dir)
-    return prof.quality_report(raw, clean(raw)[0])
+    cleaned, report = clean(raw)
+    return prof.quality_report(raw, cleaned, prof.group_stats(report.raw_groups))
 
 
 def q15_column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
