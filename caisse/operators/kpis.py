@@ -5,13 +5,14 @@ Plan shape
 All dashboard numbers come from **one** aggregate over the fact table::
 
     GROUPING SETS ((k_client), (k_product), (k_city), (k_channel), (k_seller),
-                   (_order), (_month), ())
+                   (_order), (_month), (_pay), ())
 
 * the five dimension sets give the top lists *and* the exact distinct client /
   product counts (number of non-null groups);
 * the ``_order`` set gives the exact distinct order count;
 * the ``_month`` set is the monthly revenue series;
-* the empty set is the grand total (revenue, margin, payment classes).
+* the ``_pay`` set counts rows per payment text (classified afterwards);
+* the empty set is the grand total (revenue, margin).
 
 Partial aggregation runs map-side right after the ``Expand``, so a key holding
 a third of all rows still sends one row per map task into the shuffle. Top-k
@@ -31,12 +32,13 @@ from pyspark.sql import functions as F
 
 from caisse.functions.arrays import at
 from caisse.functions.cache import jvm_cached
+from caisse.functions.payment import PAID, UNKNOWN, UNPAID, classify_payment
 from caisse.operators.measures import Measures
 from caisse.roles import TOP_DIMENSIONS
 
 # Grouping-set labels, in the order the sets are declared.
-SET_NAMES = [*TOP_DIMENSIONS, "order", "month", "total"]
-GROUP_KEYS = [*(f"k_{d}" for d in TOP_DIMENSIONS), "_order", "_month"]
+SET_NAMES = [*TOP_DIMENSIONS, "order", "month", "payment", "total"]
+GROUP_KEYS = [*(f"k_{d}" for d in TOP_DIMENSIONS), "_order", "_month", "_pay"]
 
 
 def money(c: Column, digits: int = 2) -> Column:
@@ -57,9 +59,6 @@ def _sales_aggs(margin_mode: str) -> tuple[Column, ...]:
         F.sum("_rev").alias("sum_rev"),
         F.count(F.lit(1)).alias("n_rows"),
         F.sum(margin).alias("sum_margin"),
-        F.count_if(F.col("_pay") == "paid").alias("n_paid"),
-        F.count_if(F.col("_pay") == "unpaid").alias("n_unpaid"),
-        F.count_if(F.col("_pay") == "unknown").alias("n_unknown"),
     )
 
 
@@ -81,13 +80,15 @@ def aggregate_sales(m: Measures) -> DataFrame:
 
     Output: ``set`` (label), ``name`` (group value as text), ``sum_rev``
     (exact sum of non-null revenue; null when none), ``n_rows`` and, on the
-    total row, the margin and payment counters.
+    total row, the margin. Payment texts are a grouping set of their own: the
+    classifier (string functions and regexes) then runs once per distinct
+    text in the fold, not once per row.
     """
-    sets = [[f"k_{d}"] for d in TOP_DIMENSIONS] + [["_order"], ["_month"], []]
+    sets = [[f"k_{d}"] for d in TOP_DIMENSIONS] + [["_order"], ["_month"], ["_pay"], []]
     # Months only count rows that have both a date and a revenue.
     src = m.df.withColumn("_month", F.when(F.col("_rev").isNotNull(), F.col("_month")))
     agg = src.groupingSets(sets, *GROUP_KEYS).agg(*_sales_aggs(m.margin_mode))
-    return agg.select(*_set_columns(), "sum_rev", "n_rows", "sum_margin", "n_paid", "n_unpaid", "n_unknown")
+    return agg.select(*_set_columns(), "sum_rev", "n_rows", "sum_margin")
 
 
 def top_k(agg: DataFrame, k: int = 5, dims: list[str] | None = None, round_values: bool = True) -> DataFrame:
@@ -129,6 +130,12 @@ def month_deltas(monthly: DataFrame) -> DataFrame:
     ).withColumn("delta", money(F.col("value") - F.col("previous_value")))
 
 
+def payment_count(cls: str) -> Column:
+    """K10 in the fold: rows of the payment texts of class ``cls``."""
+    is_text = (F.col("set") == "payment") & F.col("name").isNotNull()
+    return F.coalesce(F.sum(F.when(is_text & (classify_payment(F.col("name")) == cls), F.col("n_rows"))), F.lit(0))
+
+
 def best_of(set_name: str, field: Column) -> Column:
     """Rank-1 row of a dimension as an aggregate: max sum, then smallest name."""
     hit = (F.col("set") == set_name) & F.col("name").isNotNull() & F.col("sum_rev").isNotNull()
@@ -195,9 +202,8 @@ def _fold_aggs() -> tuple[Column, ...]:
         distinct("client").alias("client_count"),
         distinct("product").alias("product_count"),
         distinct("order").alias("_distinct_orders"),
-        F.coalesce(total("n_paid"), F.lit(0)).alias("paid_order_count"),
-        F.coalesce(total("n_unpaid"), F.lit(0)).alias("unpaid_order_count"),
-        F.coalesce(total("n_unknown"), F.lit(0)).alias("unknown_payment_count"),
+        *[payment_count(cls).alias(alias) for cls, alias in
+          ((PAID, "paid_order_count"), (UNPAID, "unpaid_order_count"), (UNKNOWN, "unknown_payment_count"))],
         *[best_of(d, F.col("name")).alias(f"best_{d}") for d in ("city", "channel", "seller", "client", "product")],
         *[best_of(d, money(F.col("sum_rev"))).alias(f"best_{d}_value") for d in ("city", "channel", "seller", "client", "product")],
         F.count_if(client_row).alias("_clients_ranked"),

@@ -10,7 +10,8 @@ the columns the KPIs need, under fixed names:
 ``_date``   date coerced to a timestamp
 ``_month``  ``yyyy-MM`` of ``_date``
 ``_order``  order id (as stored)
-``_pay``    payment class ``paid`` / ``unpaid`` / ``unknown`` (null when no role)
+``_pay``    payment text as the classifier reads it (null when no role); it
+            is classified per distinct value after aggregation
 ``k_<dim>`` dimension value for client / product / city / channel / seller
 =========== ================================================================
 
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caisse.functions.payment import classify_payment, payment_text
+from caisse.functions.payment import payment_text
 from caisse.functions.text import month_key
 from caisse.roles import TOP_DIMENSIONS, role_map
 
@@ -102,7 +103,7 @@ def prepare_measures(df: DataFrame, roles: dict[str, str | None] | None = None)
     exprs += [ts.alias("_date"), month_key(ts).alias("_month")]
     exprs.append((F.col(order) if order else F.lit(None).cast("string")).alias("_order"))
     if payment:
-        exprs.append(classify_payment(payment_text(payment, df.schema[payment].dataType)).alias("_pay"))
+        exprs.append(payment_text(payment, df.schema[payment].dataType).alias("_pay"))
     else:
         exprs.append(F.lit(None).cast("string").alias("_pay"))
     dims = []
