@@ -84,7 +84,14 @@ def aggregate_sales(m: Measures) -> DataFrame:
     classifier (string functions and regexes) then runs once per distinct
     text in the fold, not once per row.
     """
-    sets = [[f"k_{d}"] for d in TOP_DIMENSIONS] + [["_order"], ["_month"], ["_pay"], []]
+    # Only the sets whose role exists: an absent role is a literal null key
+    # whose set would be a single useless group, at the price of one more
+    # Expand projection per input row.
+    sets = [[f"k_{d}"] for d in TOP_DIMENSIONS if d in m.dims]
+    sets += [["_order"]] if m.has_order else []
+    sets += [["_month"]] if m.has_revenue and m.has_date else []
+    sets += [["_pay"]] if m.has_payment else []
+    sets.append([])
     # Months only count rows that have both a date and a revenue.
     src = m.df.withColumn("_month", F.when(F.col("_rev").isNotNull(), F.col("_month")))
     agg = src.groupingSets(sets, *GROUP_KEYS).agg(*_sales_aggs(m.margin_mode))
