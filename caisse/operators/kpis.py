@@ -59,6 +59,7 @@ def _sales_aggs(margin_mode: str) -> tuple[Column, ...]:
         F.sum("_rev").alias("sum_rev"),
         F.count(F.lit(1)).alias("n_rows"),
         F.sum(margin).alias("sum_margin"),
+        F.sum("_nmiss").alias("sum_missing"),
     )
 
 
@@ -95,7 +96,7 @@ def aggregate_sales(m: Measures) -> DataFrame:
     # Months only count rows that have both a date and a revenue.
     src = m.df.withColumn("_month", F.when(F.col("_rev").isNotNull(), F.col("_month")))
     agg = src.groupingSets(sets, *GROUP_KEYS).agg(*_sales_aggs(m.margin_mode))
-    return agg.select(*_set_columns(), "sum_rev", "n_rows", "sum_margin")
+    return agg.select(*_set_columns(), "sum_rev", "n_rows", "sum_margin", "sum_missing")
 
 
 def top_k(agg: DataFrame, k: int = 5, dims: list[str] | None = None, round_values: bool = True) -> DataFrame:
@@ -185,9 +186,12 @@ def dashboard_fold(m: Measures, agg: DataFrame) -> DataFrame:
     public dashboard columns it carries ``months`` (sorted ``array<struct<month,
     value>>``), best client / product, and ``clients_listed`` /
     ``clients_listed_over`` for the inactive-client rule (the 5th best client
-    is under 100 exactly when fewer than ``min(n, 5)`` clients reach 100).
+    is under 100 exactly when fewer than ``min(n, 5)`` clients reach 100), and
+    ``rows`` / ``missing_ratio`` of the source table for the quality rules.
     """
-    return agg.agg(*_fold_aggs()).select(*_fold_select(m.has_order, "client" in m.dims, "product" in m.dims))
+    return agg.agg(*_fold_aggs()).select(
+        *_fold_select(m.has_order, "client" in m.dims, "product" in m.dims, m.n_columns)
+    )
 
 
 @jvm_cached
@@ -206,6 +210,7 @@ def _fold_aggs() -> tuple[Column, ...]:
         F.coalesce(total("sum_rev"), F.lit(0)).alias("_revenue"),
         F.coalesce(total("sum_margin"), F.lit(0)).alias("_margin"),
         F.coalesce(total("n_rows"), F.lit(0)).alias("_rows"),
+        F.coalesce(total("sum_missing"), F.lit(0)).alias("_missing"),
         distinct("client").alias("client_count"),
         distinct("product").alias("product_count"),
         distinct("order").alias("_distinct_orders"),
@@ -222,7 +227,7 @@ def _fold_aggs() -> tuple[Column, ...]:
 
 
 @jvm_cached
-def _fold_select(has_order: bool, has_client: bool, has_product: bool) -> tuple[Column, ...]:
+def _fold_select(has_order: bool, has_client: bool, has_product: bool, n_columns: int) -> tuple[Column, ...]:
     orders = F.col("_distinct_orders") if has_order else F.col("_rows")
     revenue = F.col("_revenue")
     growth = growth_of(F.col("months"))
@@ -251,6 +256,11 @@ def _fold_select(has_order: bool, has_client: bool, has_product: bool) -> tuple[
         F.least(F.col("_clients_over"), F.lit(TOP_K)).cast("long").alias("clients_listed_over"),
         "months",
         F.col("_rows").cast("long").alias("row_count"),
+        # Q6 without another scan: mean over columns of the missing share
+        # = missing cells / (rows x columns).
+        F.col("_rows").cast("long").alias("rows"),
+        (F.when(F.col("_rows") > 0, F.col("_missing") / (F.col("_rows") * F.lit(max(n_columns, 1))))
+         .otherwise(F.lit(None).cast("double")) if n_columns else F.lit(0.0)).alias("missing_ratio"),
     )
 
 

@@ -13,6 +13,8 @@ the columns the KPIs need, under fixed names:
 ``_pay``    payment text as the classifier reads it (null when no role); it
             is classified per distinct value after aggregation
 ``k_<dim>`` dimension value for client / product / city / channel / seller
+``_nmiss``  number of missing cells of the row (all source columns), so the
+            table's missing ratio comes out of the same aggregate
 =========== ================================================================
 
 Column pruning then reaches the Parquet scan: a KPI never reads a column the
@@ -80,6 +82,7 @@ class Measures:
     has_order: bool
     has_payment: bool
     margin_mode: str  # "direct", "derived" or "none"
+    n_columns: int = 0  # source columns counted by ``_nmiss``
 
 
 def prepare_measures(df: DataFrame, roles: dict[str, str | None] | None = None) -> Measures:
@@ -106,6 +109,14 @@ def prepare_measures(df: DataFrame, roles: dict[str, str | None] | None = None)
         exprs.append(payment_text(payment, df.schema[payment].dataType).alias("_pay"))
     else:
         exprs.append(F.lit(None).cast("string").alias("_pay"))
+    data_cols = [c for c in df.columns if c != "_row_id"]
+    missing = [
+        F.when(F.col(f"`{c}`").isNull() | F.isnan(F.col(f"`{c}`")), 1).otherwise(0)
+        if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
+        else F.when(F.col(f"`{c}`").isNull(), 1).otherwise(0)
+        for c in data_cols
+    ]
+    exprs.append((sum(missing[1:], missing[0]) if missing else F.lit(0)).alias("_nmiss"))
     dims = []
     for dim in TOP_DIMENSIONS:
         col = present(dim)
@@ -123,4 +134,5 @@ def prepare_measures(df: DataFrame, roles: dict[str, str | None] | None = None)
         has_order=order is not None,
         has_payment=payment is not None,
         margin_mode=margin_mode,
+        n_columns=len(data_cols),
     )

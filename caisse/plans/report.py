@@ -74,8 +74,7 @@ class Report:
 
     def summary(self) -> DataFrame:
         a = self.analysis
-        stats = prof.missing_stats(a.df)
-        return ins.merge_rows(dashboard_fold(a.measures, a.aggregate), stats)
+        return dashboard_fold(a.measures, a.aggregate)
 
     def resume(self) -> DataFrame:
         """One row of counts and KPIs."""

@@ -58,7 +58,7 @@ def snapshot_row(cleaned: DataFrame, preview_rows: int = prof.HEAD_DEFAULT,
     a = analysis or SalesAnalysis(data)
     fold = dashboard_fold(a.measures, a.aggregate)
     stats = prof.table_stats(data)
-    summary = ins.merge_rows(fold, prof.missing_stats(data))
+    summary = fold
     tops = top_k(a.aggregate, 5).agg(F.collect_list(F.struct("dimension", "rank", "name", "value")).alias("_tops"))
     insight_list = ins.insights(summary).agg(F.sort_array(F.collect_list(F.struct("position", "text"))).alias("_insights"))
     alert_list = ins.alerts(summary).agg(F.sort_array(F.collect_list(F.struct(
