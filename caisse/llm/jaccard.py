@@ -36,6 +36,8 @@ from caisse.llm.components import connected_components
 
 #: N-grams that a task gathers before it sends them on, and n-grams of one shard.
 CHUNK = 2_000_000
+#: Bits of the map of documents that are candidates (8 MB, whatever the input).
+BITS = 1 << 26
 #: Members of one block of a cluster.
 BLOCK = 128
 #: Fragment bounds in the global order, by document frequency.
@@ -160,17 +162,35 @@ def _shared_counts(docs: DataFrame, text_col: str, size: int, percent: int, shar
     return sent.groupBy("shard").applyInPandas(meet, "key long, seen long").groupBy("key").agg(F.sum("seen").alias("seen"))
 
 
+def _places(col: str) -> Column:
+    """Two bits of an id in the bit map."""
+    return F.array(*[F.pmod(F.xxhash64(F.col(col), F.lit(i)), F.lit(BITS)) for i in (1, 2)])
+
+
 def _candidates(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """(cid, n, need, frags, prefix) of the classes that are left: n-grams that several of them have, in the global order."""
-    wanted = classes.select(F.col("rep").alias("doc_id"), "cid", "n", F.col("sig").alias("want"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id")
+    wanted = cut(classes.select(F.col("rep").alias("doc_id"), "cid", "n", F.col("sig").alias("want")))
+    # A bit map of fixed size keeps other documents from being hashed and moved; it lets some pass, the join decides.
+    words = wanted.select(F.explode(_places("doc_id")).alias("p")).groupBy(F.expr("p div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(p % 64)))").alias("bits")).toPandas()
+    bits = np.zeros(BITS // 64, dtype=np.uint64)
+    bits[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    rows = docs.select(F.col(id_col).alias("doc_id"), _places(id_col).alias("places"), F.col(text_col).alias("text"))
 
-    def tokens(texts):
-        hashes = WordHashes(lower=True)
-        sets = [shingle_set(h, size) for h in hashes(texts)]
-        return [_signature(s) for s in sets], [s.view(np.int64) for s in sets]
+    def tokens(batches):
+        import pyarrow as pa
 
-    sets = map_texts(rows, "text", tokens, "sig binary, tokens array<long>").filter("sig = want").dropDuplicates(["cid"])
+        hashes = WordHashes(lower=True)
+        for b in batches:
+            place = np.asarray(b.column("places").values if b.num_rows else []).reshape(-1, 2)
+            hit = (shared.value[place // 64] >> (place % 64).astype(np.uint64)) & np.uint64(1)
+            b = b.filter(pa.array(hit.all(axis=1)))
+            if b.num_rows:
+                sets = [shingle_set(h, size) for h in hashes(b.column("text").to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([_signature(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "sig", "tokens"])
+
+    sets = rows.mapInArrow(tokens, f"doc_id {dict(rows.dtypes)['doc_id']}, sig binary, tokens array<long>")
+    sets = sets.join(wanted, "doc_id").filter("sig = want").dropDuplicates(["cid"])
     toks = sets.select("cid", "n", F.explode("tokens").alias("h"))
     df = toks.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     own = toks.join(df, "h").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("t"))
