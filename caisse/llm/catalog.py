@@ -8,11 +8,15 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caisse.llm.common import prepare, table
+from caisse.llm.bpe import bpe_round_trip
+from caisse.llm.chat import format_conversations
+from caisse.llm.common import prepare, shared_folder, table
+from caisse.llm.embeddings import near_vectors
 from caisse.llm.jaccard import jaccard_components
 from caisse.llm.language import language_id
 from caisse.llm.packing import pack_documents
 from caisse.llm.quality import quality_rules
+from caisse.llm.warc import archive_round_trip
 
 
 def vocabulary_path(name: str) -> str:
@@ -29,6 +33,36 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded with the multilingual rank file."""
+    import public_tokenizers
+
+    prepare(spark)
+    ranks = Path(vocabulary_path("byte_bpe_multi_50k.tiktoken")).read_bytes()
+    return bpe_round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    prepare(spark)
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC archives and read back."""
+    prepare(spark)
+    return archive_round_trip(table(spark, sf_dir, "pages"), shared_folder(spark, "warc"))
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one made of control strings, formatted and read back."""
+    prepare(spark)
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    return format_conversations(turns.unionByName(extra))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality verdict of every document."""
     prepare(spark)
@@ -48,7 +82,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op7_quality_rules, op8_jaccard_join, op9_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_embedding_near_dedup, op5_warc, op6_chat_formatting, op7_quality_rules, op8_jaccard_join, op9_language_id)}
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
 ORACLE_SQL: dict[str, str] = {}

@@ -34,9 +34,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shared_folder(spark: SparkSession, kind: str) -> str:
     """A new folder name below the shared checkpoint folder, as a URI."""
+    import re
     import uuid
 
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    base = re.sub(r"^file:/+", "file:///", ensure_checkpoint_dir(spark).rstrip("/"))
+    return f"{base if ':' in base else 'file://' + base}/{kind}-{uuid.uuid4().hex}"
 
 
 def id_crc(col: str) -> Column:
