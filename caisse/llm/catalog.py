@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from caisse.llm.bpe import bpe_round_trip
 from caisse.llm.chat import format_conversations
+from caisse.llm.class_lm import class_lm_scores
 from caisse.llm.common import prepare, shared_folder, table
 from caisse.llm.embeddings import near_vectors
 from caisse.llm.jaccard import jaccard_components
+from caisse.llm.kneser_ney import quality_classifier
 from caisse.llm.language import language_id
 from caisse.llm.packing import pack_documents
 from caisse.llm.quality import quality_rules
@@ -48,6 +50,12 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-based language-model scores of every document."""
+    prepare(spark)
+    return class_lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC archives and read back."""
     prepare(spark)
@@ -82,7 +90,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_embedding_near_dedup, op5_warc, op6_chat_formatting, op7_quality_rules, op8_jaccard_join, op9_language_id)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity and verdict of every document under a model of the trusted ones."""
+    prepare(spark)
+    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_embedding_near_dedup, op4_class_lm, op5_warc, op6_chat_formatting, op7_quality_rules, op8_jaccard_join, op9_language_id, op10_quality_classifier)}
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
 ORACLE_SQL: dict[str, str] = {}
