@@ -27,8 +27,21 @@ def read_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in content.splitlines() if line)}
 
 
-def replay_merges(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
+class Pairs(dict):
+    """Rank of the token that two tokens make, by ``left << 32 | right``; None where there is none. Filled as pairs come up."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__()
+        self.ranks, self.token = ranks, {r: t for t, r in ranks.items()}
+
+    def __missing__(self, pair: int):
+        rank = self[pair] = self.ranks.get(self.token[pair >> 32] + self.token[pair & 0xFFFFFFFF])
+        return rank
+
+
+def replay_merges(words: list[bytes], ranks: dict[bytes, int], pairs: Pairs | None = None) -> list[list[int]]:
     """Ids of each word: always the adjacent pair of the lowest rank merges first, the leftmost of equals."""
+    pairs = Pairs(ranks) if pairs is None else pairs
     out: list[list[int]] = [[]] * len(words)
     todo = []
     for i, w in enumerate(words):
@@ -37,72 +50,85 @@ def replay_merges(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]
             out[i] = [whole]
         else:
             todo.append(i)
-    token: list = []  # bytes of the token that begins here, None where a merge took it
-    after: list[int] = []  # position of the next token of the word, -1 at its end
-    before: list[int] = []
-    word_of: list[int] = []
-    starts = []
-    for i in todo:
-        w = words[i]
-        at, n = len(token), len(w)
-        starts.append(at)
-        token += [w[k : k + 1] for k in range(n)]
-        after += [*range(at + 1, at + n), -1]
-        before += [-1, *range(at, at + n - 1)]
-        word_of += [i] * n
-    index: dict[int, list[int]] = {}
-    get = ranks.get
-    for p, q in enumerate(after):
-        if q >= 0:
-            r = get(token[p] + token[q])
-            if r is not None:
-                index.setdefault(r, []).append(p)
+    if not todo:
+        return out
+    # One array of byte tokens for all words; a word's last token has no next one.
+    sizes = np.array([len(words[i]) for i in todo])
+    starts = np.cumsum(sizes) - sizes
+    alphabet = np.array([ranks.get(bytes([b]), -1) for b in range(256)])
+    byte = alphabet[np.frombuffer(b"".join([words[i] for i in todo]), dtype=np.uint8)]
+    if (byte < 0).any():
+        raise ValueError("a byte of the texts has no rank")
+    n = len(byte)
+    nxt = np.arange(1, n + 1)
+    nxt[starts + sizes - 1] = -1
+    prev = np.arange(-1, n - 1)
+    prev[starts] = -1
+    # The inverted index: rank of a pair to the positions where the pair begins.
+    at = np.flatnonzero(nxt >= 0)
+    keys, inverse = np.unique((byte[at] << 32) | byte[nxt[at]], return_inverse=True)
+    rank_of = np.array([-1 if (r := pairs[k]) is None else r for k in keys.tolist()], dtype=np.int64)[inverse] if len(keys) else np.zeros(0, dtype=np.int64)
+    order = np.argsort(rank_of, kind="stable")
+    order = order[np.searchsorted(rank_of[order], 0) :]
+    first = np.flatnonzero(np.r_[True, np.diff(rank_of[order]) > 0]) if len(order) else np.zeros(0, dtype=np.int64)
+    index = {int(r): p.tolist() for r, p in zip(rank_of[order][first], np.split(at[order], first[1:]))} if len(order) else {}
+    word_of = np.repeat(np.arange(len(todo)), sizes)
+    token, after, before = byte.tolist(), nxt.tolist(), prev.tolist()
     queue = list(index)
     heapq.heapify(queue)
+    push = heapq.heappush
     while queue:
         rank = heapq.heappop(queue)
         places = index.pop(rank, None)
         if places is None:
             continue
-        places.sort()
-        waiting = set()
+        if len(places) > 1:
+            places.sort()
+        waiting = None
         for p in places:
             left = token[p]
-            if left is None or (q := after[p]) < 0:
-                continue
-            merged = left + token[q]
-            if get(merged) != rank:
+            q = after[p]
+            if left < 0 or q < 0 or pairs[left << 32 | token[q]] != rank:
                 continue  # the pair here has changed since
             if waiting and word_of[p] in waiting:
                 # A lower rank has come up in this word; it goes first.
                 if rank not in index:
                     index[rank] = []
-                    heapq.heappush(queue, rank)
+                    push(queue, rank)
                 index[rank].append(p)
                 continue
-            token[p], token[q] = merged, None
-            nxt = after[p] = after[q]
-            neighbours = []
-            if nxt >= 0:
-                before[nxt] = p
-                neighbours.append((p, merged + token[nxt]))
-            if (prev := before[p]) >= 0:
-                neighbours.append((prev, token[prev] + merged))
-            for at, pair in neighbours:
-                r = get(pair)
+            token[p] = rank
+            token[q] = -1
+            q = after[p] = after[q]
+            if q >= 0:
+                before[q] = p
+                r = pairs[rank << 32 | token[q]]
+                if r is not None:
+                    if r in index:
+                        index[r].append(p)
+                    else:
+                        index[r] = [p]
+                        push(queue, r)
+                    if r < rank:
+                        waiting = (waiting or set()) | {word_of[p]}
+            q = before[p]
+            if q >= 0:
+                r = pairs[token[q] << 32 | rank]
                 if r is not None:
-                    if r not in index:
-                        index[r] = []
-                        heapq.heappush(queue, r)
-                    index[r].append(at)
+                    if r in index:
+                        index[r].append(q)
+                    else:
+                        index[r] = [q]
+                        push(queue, r)
                     if r < rank:
-                        waiting.add(word_of[p])
-    for i, at in zip(todo, starts):
-        ids = []
-        while at >= 0:
-            ids.append(ranks[token[at]])
-            at = after[at]
-        out[i] = ids
+                        waiting = (waiting or set()) | {word_of[p]}
+    left = np.array(token)
+    ids = left[left >= 0].tolist()
+    ends = np.cumsum(np.add.reduceat((left >= 0).astype(np.int64), starts)).tolist()
+    at = 0
+    for i, end in zip(todo, ends):
+        out[i] = ids[at:end]
+        at = end
     return out
 
 
@@ -112,7 +138,7 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
-        self.ranks, self.split, self.memo = ranks, regex.compile(pattern).findall, {}
+        self.ranks, self.split, self.memo, self.pairs = ranks, regex.compile(pattern).findall, {}, Pairs(ranks)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         memo = self.memo
@@ -120,7 +146,7 @@ class Encoder:
         if len(memo) > MEMO:
             memo.clear()
         new = list({w for ws in words for w in ws if w not in memo})
-        for w, ids in zip(new, replay_merges([w.encode("utf-8", "surrogatepass") for w in new], self.ranks)):
+        for w, ids in zip(new, replay_merges([w.encode("utf-8", "surrogatepass") for w in new], self.ranks, self.pairs)):
             memo[w] = np.array(ids, dtype="<i4").tobytes()
         return [b"".join(map(memo.__getitem__, ws)) for ws in words]
 
