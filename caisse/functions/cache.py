@@ -17,11 +17,11 @@ from typing import TypeVar
 T = TypeVar("T")
 
 
-def _jvm_key() -> int | None:
+def _jvm_key() -> str | None:
     from pyspark import SparkContext
 
     sc = SparkContext._active_spark_context
-    return id(sc._jvm) if sc is not None else None
+    return sc.applicationId if sc is not None else None
 
 
 def jvm_cached(fn: Callable[..., T]) -> Callable[..., T]:

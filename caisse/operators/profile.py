@@ -24,43 +24,28 @@ HEAD_DEFAULT, HEAD_DETAIL = 10, 20
 OPTION_CAP = 150
 
 
+#: Spark types, the dtype string a dataframe user sees for them (Q2), and its French label (Q11). Fixed values.
+TYPE_NAMES: list[tuple[tuple[type[T.DataType], ...], str, str]] = [
+    ((T.TimestampType, T.TimestampNTZType, T.DateType), "datetime64[ns]", LABEL_DATE),
+    ((T.LongType,), "int64", LABEL_INT),
+    ((T.IntegerType,), "int32", LABEL_INT),
+    ((T.ShortType,), "int16", LABEL_INT),
+    ((T.ByteType,), "int8", LABEL_INT),
+    ((T.FloatType,), "float32", LABEL_FLOAT),
+    ((T.DoubleType, T.DecimalType), "float64", LABEL_FLOAT),
+    ((T.BooleanType,), "bool", LABEL_BOOL),
+    ((T.StringType,), "object", LABEL_TEXT),
+]
+
+
 def dtype_name(dt: T.DataType) -> str:
-    """Q2: the dtype string a dataframe user sees for a Spark type."""
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return "datetime64[ns]"
-    if isinstance(dt, T.LongType):
-        return "int64"
-    if isinstance(dt, T.IntegerType):
-        return "int32"
-    if isinstance(dt, T.ShortType):
-        return "int16"
-    if isinstance(dt, T.ByteType):
-        return "int8"
-    if isinstance(dt, T.FloatType):
-        return "float32"
-    if isinstance(dt, (T.DoubleType, T.DecimalType)):
-        return "float64"
-    if isinstance(dt, T.BooleanType):
-        return "bool"
-    if isinstance(dt, T.StringType):
-        return "object"
-    return dt.simpleString()
+    """Q2: the dtype string of a Spark type; other types keep Spark's own name."""
+    return next((name for kinds, name, _ in TYPE_NAMES if isinstance(dt, kinds)), dt.simpleString())
 
 
 def type_label(dtype: str) -> str:
-    """Q11: French label of a dtype string."""
-    low = dtype.lower()
-    if "datetime" in low:
-        return LABEL_DATE
-    if low.startswith("int"):
-        return LABEL_INT
-    if low.startswith("float"):
-        return LABEL_FLOAT
-    if low in {"object", "string"}:
-        return LABEL_TEXT
-    if low.startswith("bool"):
-        return LABEL_BOOL
-    return dtype
+    """Q11: French label of a dtype string from ``dtype_name``."""
+    return {name: label for _, name, label in TYPE_NAMES}.get(dtype, dtype)
 
 
 def _data_cols(df: DataFrame) -> list[str]:

@@ -40,6 +40,9 @@ def _unpivot(df: DataFrame, cols: list[str], value_type: str) -> DataFrame:
     return df.select(pairs.alias("p")).select("p.cid", "p.v").filter(F.col("v").isNotNull())
 
 
+MAX_DOUBLE = 1.7976931348623157e308
+
+
 @dataclass
 class _Target:
     rank: int  # 1-based rank among non-null values
@@ -120,9 +123,16 @@ def _refine(scoped: DataFrame, brackets: dict[int, tuple[float, float]], open_co
     Returns, per column, the number of values inside the new union bracket.
     """
     bucket: Column = F.lit(0)
+    v = F.col("v")
     for i, (lo, hi) in brackets.items():
-        b = F.floor((F.col("v") - F.lit(lo)) / F.lit(hi - lo) * bins).cast("int")
-        bucket = F.when(F.col("cid") == i, F.least(F.greatest(b, F.lit(0)), F.lit(bins - 1))).otherwise(bucket)
+        # Both ends have buckets of their own, so the bracket loses at least two
+        # values each round; halves keep the width finite for any two doubles.
+        low, high = (max(-MAX_DOUBLE, min(MAX_DOUBLE, x)) / 2 for x in (lo, hi))
+        width = high - low
+        inner = F.floor((v / 2 - F.lit(low)) / F.lit(width) * bins).cast("int") if width > 0 else F.lit(0)
+        inner = F.least(F.greatest(inner, F.lit(0)), F.lit(bins - 1))
+        b = F.when(v == F.lit(lo), F.lit(-1)).when(v == F.lit(hi), F.lit(bins)).otherwise(inner)
+        bucket = F.when(F.col("cid") == i, b).otherwise(bucket)
     hist = (
         scoped.select("cid", "v", bucket.alias("b"))
         .groupBy("cid", "b")

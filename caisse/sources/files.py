@@ -50,7 +50,8 @@ def detect_format(path: str) -> str:
 
 
 # First characters a number can start with (after optional white space).
-NUMBER_STARTS = list("0123456789+-.iI \t")
+SPACES = " \t\n\r\x0b\f"
+NUMBER_STARTS = list("0123456789+-.iI" + SPACES)
 
 
 def is_float_text(c: Column) -> Column:
@@ -63,8 +64,12 @@ def is_float_text(c: Column) -> Column:
 
 
 def is_int_text(c: Column, is_float: Column | None = None) -> Column:
-    """Text of an integer (``INT_PATTERN``); pass ``is_float`` to test only numbers."""
-    return (is_float if is_float is not None else is_float_text(c)) & c.rlike(INT_PATTERN)
+    """Text of a 64-bit integer (``INT_PATTERN``); pass ``is_float`` to test only numbers.
+
+    Longer integers (tracking numbers) are numbers, but not integers here.
+    """
+    number = is_float if is_float is not None else is_float_text(c)
+    return number & c.rlike(INT_PATTERN) & F.btrim(c, F.lit(SPACES)).try_cast("long").isNotNull()
 
 
 def null_tokens(c: Column) -> Column:
@@ -91,6 +96,10 @@ def read_raw(spark: SparkSession, path: str, fmt: str | None = None) -> DataFram
         df = spark.read.json(path)
     else:
         raise ValueError(UNSUPPORTED)
+    if fmt != "csv":
+        # NaN is a missing value, as in the text formats.
+        floats = {c for c, t in df.dtypes if t in ("float", "double")}
+        df = df.select(*[F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")).alias(c) if c in floats else F.col(f"`{c}`") for c in df.columns])
     return df.withColumn(ROW_ID, F.monotonically_increasing_id())
 
 
@@ -139,13 +148,13 @@ def infer_read_types(df: DataFrame) -> dict[str, str]:
 
 def cast_text(c: Column, to: str) -> Column:
     if to == "long":
-        return F.trim(c).cast("long")
+        return F.btrim(c, F.lit(SPACES)).try_cast("long")
     if to == "double":
-        t = F.trim(c)
+        t = F.btrim(c, F.lit(SPACES))
         return (
             F.when(t.isin("inf", "Inf", "INF", "infinity", "Infinity", "+inf"), F.lit(float("inf")))
             .when(t.isin("-inf", "-Inf", "-INF", "-infinity", "-Infinity"), F.lit(float("-inf")))
-            .otherwise(t.cast("double"))
+            .otherwise(t.try_cast("double"))
         )
     if to == "boolean":
         return F.when(c.isin(*TRUE_WORDS), F.lit(True)).when(c.isin(*FALSE_WORDS), F.lit(False))

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import datetime as _dt
 import os
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -114,7 +115,9 @@ class Registry:
         """All versions (empty with the registry schema when nothing was written yet)."""
         try:
             return self.spark.read.schema(REGISTRY_DDL).parquet(self.registry_path)
-        except AnalysisException:
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+                raise
             return self.spark.createDataFrame([], REGISTRY_DDL)
 
     def latest(self, company_id: int | None = None) -> DataFrame:
@@ -126,7 +129,7 @@ class Registry:
         table = self.table()
         if company_id is not None:
             table = table.filter(F.col("company_id") == company_id)
-        w = W.partitionBy("id").orderBy(F.desc("version"))
+        w = W.partitionBy("company_id", "id").orderBy(F.desc("version"), F.desc("created_at"))
         return table.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
     def history(self, company_id: int) -> DataFrame:
@@ -152,8 +155,8 @@ class Registry:
         return self.spark.read.parquet(row[0])
 
     def next_id(self) -> int:
-        row = self.table().agg(F.max("id")).first()
-        return int(row[0] or 0) + 1
+        """A random id: imports that run at the same time do not meet."""
+        return uuid.uuid4().int >> 66 or 1
 
     def _append(self, row: DataFrame) -> None:
         row.select(*[c.split()[0] for c in REGISTRY_DDL.split(", ")]).write.mode("append").partitionBy(
@@ -161,12 +164,23 @@ class Registry:
 
     def import_file(self, path: str, user_id: int, company_id: int, original_name: str | None = None,
                     dataset_id: int | None = None) -> int:
-        """S3: read -> clean -> write cleaned Parquet -> analyse -> append version 1."""
+        """S3: read -> clean -> write cleaned Parquet -> analyse -> append version 1.
+
+        With a ``dataset_id`` that the company already has, nothing is done:
+        the file was imported before (a replayed batch).
+        """
         fmt = detect_format(original_name or path)
+        if dataset_id is not None and self.record(dataset_id, company_id).limit(1).count():
+            return dataset_id
+        # A folder that is there although the registry has no such record is left from an import that failed.
+        mode = "errorifexists" if dataset_id is None else "overwrite"
         dataset_id = dataset_id or self.next_id()
-        cleaned, _report = clean(read_sales(self.spark, path, fmt))
+        cleaned, report = clean(read_sales(self.spark, path, fmt))
         out = self.dataset_path(company_id, dataset_id)
-        cleaned.write.mode("overwrite").parquet(out)
+        try:
+            cleaned.write.mode(mode).parquet(out)
+        finally:
+            report.raw_groups.unpersist()
         stored = self.spark.read.parquet(out)
         self._write_version(stored, dataset_id, 1, path, original_name or Path(path).name, fmt, out, user_id, company_id)
         return dataset_id

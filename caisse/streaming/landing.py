@@ -26,7 +26,6 @@ from caisse.session import ensure_checkpoint_dir
 from caisse.sources.files import FORMATS
 from caisse.sources.registry import Registry
 
-ID_STRIDE = 100_000
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -50,10 +49,11 @@ def start_import(spark: SparkSession, landing_dir: str, registry: Registry, user
 
     def import_batch(batch: DataFrame, batch_id: int) -> None:
         # The batch is a bounded list of file paths (maxFilesPerTrigger).
-        paths = [r["path"] for r in batch.orderBy("path").select("path").collect()]
-        for i, path in enumerate(paths):
-            local = path.removeprefix("file:")
-            registry.import_file(local, user_id, company_id, dataset_id=(batch_id + 1) * ID_STRIDE + i)
+        # The id follows from the company, the file and its time: a replayed
+        # batch makes the same ids, other streams and files make others.
+        key = F.xxhash64(F.lit(company_id), "path", "modificationTime").bitwiseAND((1 << 62) - 1)
+        for r in batch.select("path", key.alias("id")).orderBy("path").collect():
+            registry.import_file(r["path"].removeprefix("file:"), user_id, company_id, dataset_id=r["id"])
 
     writer = landing_stream(spark, landing_dir, max_files).writeStream.foreachBatch(import_batch).option(
         "checkpointLocation", checkpoint
