@@ -193,7 +193,6 @@ def language_id(docs: DataFrame) -> DataFrame:
 
 def drop_unknown(docs: DataFrame, min_score: float = 0.34) -> DataFrame:
     """``docs`` without the rows whose language is unknown or whose leading language has a smaller proportion."""
-    model = train_languages(docs)
-    rows = docs.withColumn("__row_text", F.col("text"))
-    found = identify_languages(rows, model, "__row_text", keep=docs.columns)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    found = identify_languages(rows, train_languages(docs), keep=["row"])
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("row.*")
