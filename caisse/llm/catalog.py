@@ -99,4 +99,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_embedding_near_dedup, op4_class_lm, op5_warc, op6_chat_formatting, op7_quality_rules, op8_jaccard_join, op9_language_id, op10_quality_classifier)}
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+             f AS (SELECT h, min(page_id) AS lowest FROM p WHERE strlen(h) >= 100 GROUP BY h)
+        SELECT p.page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, sha256(p.h) AS payload_digest,
+               CASE WHEN f.lowest IS NOT NULL AND p.page_id IS DISTINCT FROM f.lowest THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN f.lowest IS NOT NULL AND p.page_id IS DISTINCT FROM f.lowest THEN f.lowest END AS refers_to
+        FROM p LEFT JOIN f ON p.h = f.h
+    """,
+}
