@@ -1,16 +1,21 @@
 """Byte-level BPE by corpus-level merge replay.
 
-All new words of a block of texts are laid out in one array of tokens with
-links to their neighbours. An inverted index holds, for each token pair that a
-merge rank knows, the positions where it stands in any word. The ranks are
-replayed in order; each merge touches only its neighbours, whose new pairs
-enter the index.
+All new words of a block of texts are laid out in one array of tokens. An
+inverted index holds, for each token pair that a merge rank knows, the
+positions where it stands in any word. Each word's merges are replayed in rank
+order; a merge touches only its neighbours, whose new pairs enter the index.
+
+Words do not act on each other, so the short ones (nearly all) advance
+together: one wave of array operations applies the next merge of every word.
+The few words longer than SHORT bytes go through a queue of ranks with links
+between neighbours, whose work does not grow with the square of a word.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import struct
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -20,6 +25,10 @@ from caisse.llm.common import map_texts, require
 
 #: Words whose ids a task remembers.
 MEMO = 300_000
+#: Words up to so many bytes are replayed in waves, which are fewer than that.
+SHORT = 64
+#: Rank of a pair that does not merge.
+NONE = np.iinfo(np.int64).max
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -43,23 +52,84 @@ def replay_merges(words: list[bytes], ranks: dict[bytes, int], pairs: Pairs | No
     """Ids of each word: always the adjacent pair of the lowest rank merges first, the leftmost of equals."""
     pairs = Pairs(ranks) if pairs is None else pairs
     out: list[list[int]] = [[]] * len(words)
-    todo = []
+    short, long = [], []
     for i, w in enumerate(words):
         whole = ranks.get(w)
         if whole is not None:
             out[i] = [whole]
-        else:
-            todo.append(i)
-    if not todo:
-        return out
-    # One array of byte tokens for all words; a word's last token has no next one.
-    sizes = np.array([len(words[i]) for i in todo])
-    starts = np.cumsum(sizes) - sizes
+        elif w:
+            (short if len(w) <= SHORT else long).append(i)
     alphabet = np.array([ranks.get(bytes([b]), -1) for b in range(256)])
-    byte = alphabet[np.frombuffer(b"".join([words[i] for i in todo]), dtype=np.uint8)]
-    if (byte < 0).any():
-        raise ValueError("a byte of the texts has no rank")
+    for todo, replay in ((short, _replay_waves), (long, _replay_queue)):
+        if not todo:
+            continue
+        # One array of byte tokens for all words.
+        sizes = np.array([len(words[i]) for i in todo])
+        byte = alphabet[np.frombuffer(b"".join([words[i] for i in todo]), dtype=np.uint8)]
+        if (byte < 0).any():
+            raise ValueError("a byte of the texts has no rank")
+        for at, ids, ends in replay(byte, sizes, pairs):
+            start = 0
+            for i, end in zip(at, ends):
+                out[todo[i]] = ids[start:end]
+                start = end
+    return out
+
+
+def _index(left: np.ndarray, right: np.ndarray, pairs: Pairs) -> np.ndarray:
+    """Rank of each pair, looked up once per distinct pair; NONE where it does not merge."""
+    keys, inverse = np.unique((left << 32) | right, return_inverse=True)
+    found = np.array([NONE if (r := pairs[k]) is None else r for k in keys.tolist()], dtype=np.int64)
+    return found[inverse]
+
+
+def _replay_waves(token: np.ndarray, sizes: np.ndarray, pairs: Pairs):
+    """(word numbers, ids, ends of the words' ids) of the words that each wave finds settled.
+
+    ``rank`` holds for each position the rank of the pair that begins there;
+    in a wave every word that has one merges its leftmost pair of lowest rank.
+    """
+    word = np.arange(len(sizes))
+    ends = np.cumsum(sizes)
+    rank = np.full(len(token), NONE)
+    inner = np.ones(len(token), dtype=bool)
+    inner[ends - 1] = False
+    at = np.flatnonzero(inner)
+    rank[at] = _index(token[at], token[at + 1], pairs)
+    while len(word):
+        low = np.minimum.reduceat(rank, ends - sizes)
+        settled = low == NONE
+        if settled.any():
+            rows = np.repeat(settled, sizes)
+            yield word[settled].tolist(), token[rows].tolist(), np.cumsum(sizes[settled]).tolist()
+            token, rank, word, sizes, low = token[~rows], rank[~rows], word[~settled], sizes[~settled], low[~settled]
+            if not len(word):
+                return
+        ends = np.cumsum(sizes)
+        hit = np.flatnonzero(rank == np.repeat(low, sizes))
+        of = np.searchsorted(ends, hit, side="right")
+        hit = hit[np.r_[True, of[1:] != of[:-1]]]
+        token[hit] = low
+        rest = np.ones(len(token), dtype=bool)
+        rest[hit + 1] = False
+        # The pair of the token that goes is gone; each word is one token shorter.
+        token, rank = token[rest], rank[rest]
+        hit = hit - np.arange(len(hit))
+        sizes = sizes - 1
+        ends = np.cumsum(sizes)
+        rank[hit] = NONE
+        right = hit[hit + 1 < ends]
+        left = hit[hit > ends - sizes] - 1
+        touched = np.concatenate([right, left])
+        if len(touched):
+            rank[touched] = _index(token[touched], token[touched + 1], pairs)
+
+
+def _replay_queue(byte: np.ndarray, sizes: np.ndarray, pairs: Pairs):
+    """As _replay_waves, all words at once: a queue of ranks, each with the positions where its pair begins."""
+    starts = np.cumsum(sizes) - sizes
     n = len(byte)
+    # Links between neighbours; a word's last token has no next one.
     nxt = np.arange(1, n + 1)
     nxt[starts + sizes - 1] = -1
     prev = np.arange(-1, n - 1)
@@ -72,7 +142,7 @@ def replay_merges(words: list[bytes], ranks: dict[bytes, int], pairs: Pairs | No
     order = order[np.searchsorted(rank_of[order], 0) :]
     first = np.flatnonzero(np.r_[True, np.diff(rank_of[order]) > 0]) if len(order) else np.zeros(0, dtype=np.int64)
     index = {int(r): p.tolist() for r, p in zip(rank_of[order][first], np.split(at[order], first[1:]))} if len(order) else {}
-    word_of = np.repeat(np.arange(len(todo)), sizes)
+    word_of = np.repeat(np.arange(len(sizes)), sizes)
     token, after, before = byte.tolist(), nxt.tolist(), prev.tolist()
     queue = list(index)
     heapq.heapify(queue)
@@ -123,13 +193,7 @@ def replay_merges(words: list[bytes], ranks: dict[bytes, int], pairs: Pairs | No
                     if r < rank:
                         waiting = (waiting or set()) | {word_of[p]}
     left = np.array(token)
-    ids = left[left >= 0].tolist()
-    ends = np.cumsum(np.add.reduceat((left >= 0).astype(np.int64), starts)).tolist()
-    at = 0
-    for i, end in zip(todo, ends):
-        out[i] = ids[at:end]
-        at = end
-    return out
+    yield list(range(len(sizes))), left[left >= 0].tolist(), np.cumsum(np.add.reduceat((left >= 0).astype(np.int64), starts)).tolist()
 
 
 class Encoder:
@@ -147,7 +211,7 @@ class Encoder:
             memo.clear()
         new = list({w for ws in words for w in ws if w not in memo})
         for w, ids in zip(new, replay_merges([w.encode("utf-8", "surrogatepass") for w in new], self.ranks, self.pairs)):
-            memo[w] = np.array(ids, dtype="<i4").tobytes()
+            memo[w] = struct.pack(f"<{len(ids)}i", *ids)
         return [b"".join(map(memo.__getitem__, ws)) for ws in words]
 
 
