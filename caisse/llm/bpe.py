@@ -25,6 +25,8 @@ from caisse.llm.common import map_texts, require
 
 #: Words whose ids a task remembers.
 MEMO = 300_000
+#: Token pairs whose rank a task remembers.
+PAIRS = 1_000_000
 #: Words up to so many bytes are replayed in waves, which are fewer than that.
 SHORT = 64
 #: Rank of a pair that does not merge.
@@ -209,6 +211,8 @@ class Encoder:
         words = [self.split(t) if t else [] for t in texts]
         if len(memo) > MEMO:
             memo.clear()
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
         new = list({w for ws in words for w in ws if w not in memo})
         for w, ids in zip(new, replay_merges([w.encode("utf-8", "surrogatepass") for w in new], self.ranks, self.pairs)):
             memo[w] = struct.pack(f"<{len(ids)}i", *ids)
