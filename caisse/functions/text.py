@@ -117,3 +117,23 @@ def date_display(c: ColumnOrName) -> Column:
 def month_key(c: ColumnOrName) -> Column:
     """X11: month period label ``yyyy-MM``."""
     return F.date_format(_col(c), "yyyy-MM")
+
+
+def number_text(c: Column) -> Column:
+    """A double in plain notation from 0.0001 up to 1e16 (Spark prints an exponent from 1e7 and below 0.001)."""
+    text = c.cast("string")
+    size = F.abs(c)
+    exponent = ((size >= 1e7) & (size < 1e16)) | ((size >= 1e-4) & (size < 1e-3))
+    # Through the printed digits, so that the shortest form is kept.
+    plain = F.rtrim(text.try_cast("decimal(38,21)").cast("string"), F.lit("0"))
+    return F.when(exponent, F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)).otherwise(text)
+
+
+#: Digits of a number in ``natural_key``.
+KEY_DIGITS = 40
+
+
+def natural_key(c: Column) -> Column:
+    """Text whose digit runs are padded with zeros, so that they sort as numbers."""
+    padded = F.regexp_replace(c, r"(\d+)", "0" * KEY_DIGITS + "$1")
+    return F.regexp_replace(padded, r"0*(\d{%d,})" % KEY_DIGITS, "$1")

@@ -41,37 +41,79 @@ from caisse.sources.files import ROW_ID, cast_text, is_float_text, is_int_text
 NULL_TEXTS = ["nan", "None", ""]
 DATE_NAME_MARKERS = ["date", "created"]
 
-# Date patterns chosen from the first non-null value (regex on that value ->
-# Spark pattern; None = the default ISO parser). Month-first on ambiguity.
-DATE_GUESSES: list[tuple[str, str | None]] = [
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-    (r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?([Zz]|[+-]\d{2}:?\d{2})?$", None),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-    (r"^\d{4}\.\d{1,2}\.\d{1,2}$", "yyyy.M.d"),
-    (r"^\d{8}$", "yyyyMMdd"),
+# Date shapes: regex -> Spark patterns, month-first before day-first where the
+# numbers alone do not tell. A time of day may follow each.
+DATE_SHAPES: list[tuple[str, list[str]]] = [
+    (r"\d{4}/\d{1,2}/\d{1,2}", ["yyyy/M/d"]),
+    (r"\d{4}\.\d{1,2}\.\d{1,2}", ["yyyy.M.d"]),
+    (r"\d{8}", ["yyyyMMdd"]),
+    *[(rf"\d{{1,2}}[{sep}]\d{{1,2}}[{sep}]\d{{{len(year)}}}", [f"M{sep}d{sep}{year}", f"d{sep}M{sep}{year}"])
+      for sep in "/-." for year in ("yyyy", "yy")],
+    (r"\d{1,2} [A-Za-z]{3} \d{4}", ["d MMM yyyy"]),
+    (r"\d{1,2}-[A-Za-z]{3}-\d{4}", ["d-MMM-yyyy"]),
+    (r"\d{1,2} [A-Za-z]{4,9} \d{4}", ["d MMMM yyyy"]),
+    (r"[A-Za-z]{3} \d{1,2}, \d{4}", ["MMM d, yyyy"]),
+    (r"[A-Za-z]{4,9} \d{1,2}, \d{4}", ["MMMM d, yyyy"]),
 ]
-DAY_MONTH_GUESSES = [("/", r"^(\d{1,2})/(\d{1,2})/(\d{4})$"), ("-", r"^(\d{1,2})-(\d{1,2})-(\d{4})$"),
-                     (".", r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$")]
+TIMES = [("", ""), (r" \d{1,2}:\d{2}", " H:mm"), (r" \d{1,2}:\d{2}:\d{2}", " H:mm:ss")]
+ISO_DATE = r"\d{4}-\d{1,2}-\d{1,2}"
+ISO_TIMESTAMP = ISO_DATE + r"[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?([Zz]|[+-]\d{2}:?\d{2})?"
+#: The first value has no known shape: each value is read by its own.
+MIXED = "mixed"
+#: Two-digit years up to this one are of this century.
+LAST_SHORT_YEAR = 2068
 
 
 def guess_date_pattern(first: str | None) -> str | None:
-    """Spark pattern for the column, guessed from its first non-null value."""
+    """Pattern for the whole column, guessed from its first non-null value.
+
+    None stands for an ISO timestamp or no known shape. Between month-first
+    and day-first, a first number above 12 decides.
+    """
     if first is None:
         return None
     v = first.strip()
-    for rx, pattern in DATE_GUESSES:
-        if re.match(rx, v):
-            return pattern
-    for sep, rx in DAY_MONTH_GUESSES:
-        m = re.match(rx, v)
-        if m:
-            day_first = int(m.group(1)) > 12
-            return f"d{sep}M{sep}yyyy" if day_first else f"M{sep}d{sep}yyyy"
+    if re.fullmatch(ISO_DATE, v):
+        return "yyyy-M-d"
+    if re.fullmatch(ISO_TIMESTAMP, v):
+        return None
+    for rx, patterns in DATE_SHAPES:
+        for time_rx, time in TIMES:
+            if re.fullmatch(rx + time_rx, v):
+                day_first = len(patterns) > 1 and int(re.match(r"\d+", v).group()) > 12
+                return patterns[1 if day_first else 0] + time
     return None
 
 
+def column_pattern(first: str | None) -> str | None:
+    """The guessed pattern; MIXED where the first value has no known shape."""
+    pattern = guess_date_pattern(first)
+    known = first is None or pattern is not None or re.fullmatch(ISO_TIMESTAMP, first.strip())
+    return pattern if known else MIXED
+
+
+def _by_pattern(c: Column, pattern: str) -> Column:
+    ts = F.try_to_timestamp(c, F.lit(pattern))
+    if "yyyy" in pattern:
+        return ts
+    # Spark reads all two-digit years as 20yy.
+    return F.when(F.year(ts) > LAST_SHORT_YEAR, ts - F.make_ym_interval(F.lit(100), F.lit(0))).otherwise(ts)
+
+
+def mixed_dates(c: Column) -> Column:
+    """Each value by its own shape; one regex per shape stands before the parsers."""
+    v = F.trim(c)
+    time = r"( \d{1,2}:\d{2}(:\d{2})?)?"
+    options = [F.when(v.rlike(f"^({ISO_DATE}|{ISO_TIMESTAMP})$"), F.try_to_timestamp(v))]
+    for rx, patterns in DATE_SHAPES:
+        options.append(F.when(v.rlike(f"^{rx}{time}$"), F.coalesce(*[_by_pattern(v, p + "[ H:mm[:ss]]") for p in patterns])))
+    return F.coalesce(*options)
+
+
 def parse_date(c: Column, pattern: str | None) -> Column:
-    return F.try_to_timestamp(c, F.lit(pattern)) if pattern else F.try_to_timestamp(c)
+    if pattern == MIXED:
+        return mixed_dates(c)
+    return _by_pattern(c, pattern) if pattern else F.try_to_timestamp(c)
 
 
 def is_date_name(name: str) -> bool:
@@ -200,7 +242,7 @@ def clean(df: DataFrame, materialize: str | None = "persist") -> tuple[DataFrame
 
     conv: dict[str, Column] = {}
     for i, c in enumerate(date_text):
-        pattern = guess_date_pattern(stats[f"first{i}"])
+        pattern = column_pattern(stats[f"first{i}"])
         report.date_patterns[c] = pattern
         conv[c] = parse_date(F.col(f"`{c}`"), pattern)
         nonnull[c] = None  # known after parsing (from the mode job below)

@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caisse.functions.text import date_display
-from caisse.operators.measures import as_timestamp
+from caisse.functions.text import date_display, natural_key, number_text
+from caisse.operators.measures import as_text, as_timestamp
 from caisse.roles import role_map
 
 # ---------------------------------------------------------------------------
@@ -45,17 +45,6 @@ def filter_map(**values: str | None) -> dict[str, str]:
     return {k: v for k, v in values.items() if k in FILTER_KEYS and v}
 
 
-def as_text(df: DataFrame, col: str) -> Column:
-    """``str(value)`` as a dataframe user would print it (integral doubles keep ``.0``)."""
-    dtype = df.schema[col].dataType
-    c = F.col(f"`{col}`")
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    if isinstance(dtype, T.BooleanType):
-        return F.when(c, F.lit("True")).when(~c, F.lit("False"))
-    return c.cast("string")
-
-
 def filter_predicate(df: DataFrame, filters: dict[str, str], roles: dict[str, str | None] | None = None) -> Column:
     """F1-F3 as one predicate (AND of all active filters)."""
     roles = roles or role_map(df.columns)
@@ -120,7 +109,7 @@ def display_value(df: DataFrame, col: str) -> Column:
     if isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType)):
         d = c.cast("double")
         integral = (d == F.floor(d)) & (F.abs(d) < 1e15)
-        text = F.when(integral, d.cast("long").cast("string")).otherwise(d.cast("string"))
+        text = F.when(integral, d.cast("long").cast("string")).otherwise(number_text(d))
         return F.coalesce(text, F.lit("-"))
     if isinstance(dtype, T.BooleanType):
         return F.coalesce(F.when(c, F.lit("true")).otherwise(F.lit("false")), F.lit("-"))
@@ -138,10 +127,12 @@ def search(df: DataFrame, query: str, columns: list[str] | None = None) -> DataF
 
 
 def sort_rows(df: DataFrame, column: str, ascending: bool = True, tie_break: list[str] | None = None) -> DataFrame:
-    """F8: sort on the typed column (numbers numerically), text with the French collation."""
+    """F8: sort on the typed column (numbers numerically), text with the French
+    collation and its digit runs as numbers (``a9`` before ``a10``)."""
     dtype = df.schema[column].dataType
-    key = F.collate(F.col(f"`{column}`"), "fr") if isinstance(dtype, T.StringType) else F.col(f"`{column}`")
-    order = [key.asc_nulls_first() if ascending else key.desc_nulls_last()]
+    c = F.col(f"`{column}`")
+    keys = [F.collate(natural_key(c), "fr"), F.collate(c, "fr")] if isinstance(dtype, T.StringType) else [c]
+    order = [key.asc_nulls_first() if ascending else key.desc_nulls_last() for key in keys]
     order += [F.col(f"`{c}`").asc_nulls_first() for c in (tie_break or []) if c != column]
     return df.orderBy(*order)
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caisse.functions.payment import payment_text
-from caisse.functions.text import month_key
+from caisse.functions.text import month_key, number_text
 from caisse.roles import TOP_DIMENSIONS, role_map
 
 
@@ -63,11 +63,14 @@ def as_timestamp(df: DataFrame, col: str | None) -> Column:
 def as_text(df: DataFrame, col: str) -> Column:
     """``str(value)`` of a dimension value; timestamps print as ``yyyy-MM-dd HH:mm:ss``."""
     dtype = df.schema[col].dataType
+    c = F.col(f"`{col}`")
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(F.col(col), "yyyy-MM-dd HH:mm:ss")
+        return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     if isinstance(dtype, T.BooleanType):
-        return F.when(F.col(col), F.lit("True")).when(~F.col(col), F.lit("False"))
-    return F.col(col).cast("string")
+        return F.when(c, F.lit("True")).when(~c, F.lit("False"))
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return number_text(c)
+    return c.cast("string")
 
 
 @dataclass(frozen=True)

@@ -22,7 +22,7 @@ from caisse.operators.kpis import dashboard_fold, top_k
 from caisse.operators.cleaning import clean
 from caisse.plans.sales import SalesAnalysis
 from caisse.roles import role_map
-from caisse.sources.dirty import dirty_raw
+from caisse.sources.dirty import CLIENT_TEXT, coded_orders, date_extract, dirty_raw
 from caisse.sources.files import ROW_ID
 from caisse.sources.starschema import sales_view
 
@@ -286,7 +286,25 @@ def x_text_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def c5_date_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C5 on every order: French date-times, two-digit years, month names, and a column of several shapes that begins with junk."""
+    return _export_view(clean(date_extract(spark, sf_dir))[0])
+
+
+def f1_numeric_client(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders of one client whose code is a double above 1e7."""
+    return flt.apply_filters(coded_orders(spark, sf_dir), {"client": CLIENT_TEXT})
+
+
+def f7_numeric_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the same code searched as the grid shows it."""
+    return flt.search(coded_orders(spark, sf_dir), CLIENT_TEXT, ["client"])
+
+
 QUERIES: dict[str, Query] = {
+    "c5_date_shapes": c5_date_shapes,
+    "f1_numeric_client": f1_numeric_client,
+    "f7_numeric_search": f7_numeric_search,
     "k20_dashboard": k20_dashboard,
     "k13_k17_top5": k13_k17_top5,
     "k12_monthly_revenue": k12_monthly_revenue,

@@ -8,7 +8,7 @@ per dimension, window functions, ``regr_slope`` for the fit.
 from __future__ import annotations
 
 from caisse.functions.payment import PAID_WORDS, UNPAID_WORDS
-from caisse.sources.dirty import DIRTY_SQL
+from caisse.sources.dirty import CODED_SQL, DATE_SHAPES_SQL, DIRTY_SQL
 from caisse.sources.files import FLOAT_PATTERN
 from caisse.sources.starschema import SALES_VIEW_SQL
 
@@ -276,6 +276,11 @@ SELECT id_commande, strftime(date_vente, '%Y-%m-%dT%H:%M:%S') AS date_vente, mon
 FROM cleaned"""
 
 
+ORACLE_SQL["c5_date_shapes"] = DATE_SHAPES_SQL
+ORACLE_SQL["f1_numeric_client"] = CODED_SQL
+ORACLE_SQL["f7_numeric_search"] = CODED_SQL
+
+
 def _stats(src: str, cols: list[str], prefix: str) -> str:
     nulls = " + ".join(f"count_if({c} IS NULL)" for c in cols)
     ratio = " + ".join(f"count_if({c} IS NULL) / count(*)" for c in cols)

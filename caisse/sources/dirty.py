@@ -74,6 +74,47 @@ def dirty_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_read_types(nulled)
 
 
+#: Rows whose mixed date is junk, and the codes of ``coded_orders``.
+JUNK_EVERY, CODE_OFFSET, CLIENT_TEXT = 19, 10_000_000.25, "10000007.25"
+
+
+def date_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order with its date in four text columns; file order begins with days above 12 and junk in the last column."""
+    d, k = F.col("o_orderdate"), F.col("o_orderkey")
+    junk, late = k % JUNK_EVERY == 0, F.dayofmonth(d) > 12
+    mixed = F.when(junk, F.lit("x")).when(k % 3 == 0, F.date_format(d, "dd/MM/yyyy")).when(k % 3 == 1, F.date_format(d, "d MMM yyyy"))
+    return table(spark, sf_dir, "orders").select(
+        k.alias("id_commande"),
+        F.concat(F.date_format(d, "dd/MM/yyyy "), F.lpad((k % 24).cast("string"), 2, "0"), F.lit(":"), F.lpad((k % 60).cast("string"), 2, "0")).alias("date_heure"),
+        F.date_format(d, "dd/MM/yy").alias("date_courte"),
+        F.date_format(d, "d MMM yyyy").alias("date_mois"),
+        mixed.otherwise(F.date_format(d, "yyyy/M/d")).alias("date_mixte"),
+        (F.when(junk & late, 0).when(late, 1).otherwise(2) * COPY_OFFSET + k).alias(ROW_ID),
+    )
+
+
+def coded_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose client is a number above 1e7."""
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id_commande"), (F.col("o_custkey") + F.lit(CODE_OFFSET)).alias("client"))
+
+
+DATE_SHAPES_SQL = f"""WITH o AS (
+    SELECT o_orderkey AS k, CAST(o_orderdate AS TIMESTAMP) AS d FROM orders),
+m AS (
+    SELECT k, d, CASE WHEN k % {JUNK_EVERY} = 0 THEN NULL
+                      WHEN k % 3 = 0 AND day(d) <= 12 THEN make_timestamp(year(d), day(d), month(d), 0, 0, 0.0)
+                      ELSE d END AS x FROM o),
+fill AS (SELECT x FROM m WHERE x IS NOT NULL GROUP BY x ORDER BY count(*) DESC, x LIMIT 1)
+SELECT k AS id_commande,
+       strftime(d + to_hours(CAST(k % 24 AS INTEGER)) + to_minutes(CAST(k % 60 AS INTEGER)), '%Y-%m-%dT%H:%M:%S') AS date_heure,
+       strftime(d, '%Y-%m-%dT%H:%M:%S') AS date_courte,
+       strftime(d, '%Y-%m-%dT%H:%M:%S') AS date_mois,
+       strftime(coalesce(x, (SELECT x FROM fill)), '%Y-%m-%dT%H:%M:%S') AS date_mixte
+FROM m"""
+CODED_SQL = f"SELECT o_orderkey AS id_commande, o_custkey + CAST({CODE_OFFSET} AS DOUBLE) AS client FROM orders WHERE o_custkey = 7"
+
+
 def _sql_text() -> str:
     cycle = ", ".join("'" + w + "'" for w in PAYMENT_CYCLE)
     return f"""
