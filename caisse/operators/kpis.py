@@ -115,6 +115,20 @@ def top_k(agg: DataFrame, k: int = 5, dims: list[str] | None = None, round_value
     )
 
 
+#: Dimension -> key of its top list in the dashboard record.
+TOP_LISTS = {"client": "top_clients", "product": "top_products", "city": "top_cities", "channel": "top_channels", "seller": "top_sellers"}
+
+
+def top_lists(agg: DataFrame, k: int = 5) -> DataFrame:
+    """K13-K17 as one row: per dimension an array of (name, value), best first."""
+    item = F.struct("rank", "name", "value")
+    return top_k(agg, k).agg(*[
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("dimension") == dim, item))),
+                    lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"))).alias(key)
+        for dim, key in TOP_LISTS.items()
+    ])
+
+
 def monthly_revenue(agg: DataFrame) -> DataFrame:
     """``(month, value)`` for months with at least one dated revenue; unrounded ``exact``."""
     return agg.filter(

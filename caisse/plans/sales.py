@@ -13,9 +13,13 @@ from functools import cached_property
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from caisse.operators import forecast as fc
-from caisse.operators.kpis import aggregate_sales, dashboard_row, month_deltas, monthly_revenue, top_k
+from caisse.operators.insights import merge_rows
+from caisse.operators.kpis import (
+    TOP_LISTS, aggregate_sales, dashboard_fold, dashboard_row, month_deltas, monthly_revenue, top_k, top_lists,
+)
 from caisse.operators.measures import Measures, prepare_measures
 from caisse.roles import forecast_roles, role_map
 
@@ -42,6 +46,25 @@ class SalesAnalysis:
     def dashboard(self) -> DataFrame:
         return dashboard_row(self.measures, self.aggregate)
 
+    def dashboard_record(self) -> DataFrame:
+        """The 22 keys in one row; lists are arrays, absent values are null."""
+        row = merge_rows(dashboard_fold(self.measures, self.aggregate), top_lists(self.aggregate))
+
+        def best(dim: str):
+            item = F.struct(F.col(f"best_{dim}").alias("name"), F.col(f"best_{dim}_value").alias("value"))
+            return F.when(F.col(f"best_{dim}").isNotNull(), item).alias(f"best_{dim}")
+
+        growth = F.struct(F.col("best_growth_month").alias("month"), F.col("best_growth_value").alias("value"),
+                          F.col("best_growth_previous_month").alias("previous_month"))
+        return row.select(
+            "revenue_total", "margin_total", "margin_rate", "client_count", "product_count", "order_count", "average_basket",
+            "paid_order_count", "unpaid_order_count", "unknown_payment_count",
+            F.col("months").alias("monthly_evolution"),
+            F.when(F.col("best_growth_month").isNotNull(), growth).alias("best_monthly_growth"),
+            *TOP_LISTS.values(), best("city"), best("channel"), best("seller"),
+            F.col("top_cities").alias("city_breakdown"), F.col("top_channels").alias("channel_breakdown"),
+        )
+
     def tops(self, k: int = 5) -> DataFrame:
         """``(dimension, rank, name, value)``; empty without a revenue role
         (every group's revenue sum is then null and filtered out)."""

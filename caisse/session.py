@@ -8,6 +8,7 @@ is only created when the setting is missing (local runs and tests).
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -51,6 +52,11 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scratch_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder name under the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a local one only when unset."""
     sc = spark.sparkContext

@@ -33,13 +33,8 @@ def dirty_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    # lineitem ⋈ orders joins two fact-scale tables: a sort-merge join, which
-    # is what Spark picks for them at scale anyway. Stating it keeps the join
-    # output hash-partitioned (and AQE skew splitting available) even when a
-    # small input file holds a single row group and would otherwise stream
-    # through one task.
     j = (
-        li.join(o.hint("merge"), li.l_orderkey == o.o_orderkey)
+        li.join(o, li.l_orderkey == o.o_orderkey)
         .join(c, o.o_custkey == c.c_custkey)
         .join(p, li.l_partkey == p.p_partkey)
     )

@@ -7,9 +7,10 @@ becomes ``long``, all numbers becomes ``double``, all ``True``/``False``
 without null becomes ``boolean``. The decision for all columns is one
 aggregate job; the casts are one ``select``.
 
-``_row_id`` (``monotonically_increasing_id`` taken right after the scan)
-records file order: it grows with the split offset, so "first row" and "head"
-keep their meaning across partitions.
+``_row_id`` records file order, so "first row" and "head" keep their meaning
+across partitions. In one file it is ``monotonically_increasing_id`` taken
+right after the scan, which grows with the split offset. Several files are
+packed into tasks by size, so there it is (file path, split offset, position).
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 ROW_ID = "_row_id"
 
@@ -76,20 +76,32 @@ def null_tokens(c: Column) -> Column:
     return F.when(~c.isin(*NA_TOKENS), c)
 
 
-def read_raw(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """The file as read, with ``_row_id``; CSV columns are text with NA tokens nulled."""
+def _file_order(df: DataFrame) -> Column:
+    position = F.monotonically_increasing_id()
+    if len(df.inputFiles()) <= 1:
+        return position.alias(ROW_ID)
+    place = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    return F.struct(*place, position.alias("position")).alias(ROW_ID)
+
+
+def read_raw(spark: SparkSession, path: str, fmt: str | None = None, multi_line: bool = False) -> DataFrame:
+    """The file as read, with ``_row_id``; CSV columns are text with NA tokens nulled.
+
+    ``multi_line`` reads CSV values that hold line breaks; each file is then
+    one task, as a split could begin inside a value.
+    """
     fmt = fmt or detect_format(path)
     if fmt == "csv":
         df = (
             spark.read.option("header", True)
             .option("inferSchema", False)
-            .option("multiLine", True)
+            .option("multiLine", multi_line)
             .option("escape", '"')
             .option("nullValue", "\u0000")  # keep empty strings: they are matched as NA tokens below
             .option("emptyValue", "")
             .csv(path)
         )
-        df = df.select(*[null_tokens(F.col(f"`{c}`")).alias(c) for c in df.columns])
+        values = [null_tokens(F.col(f"`{c}`")).alias(c) for c in df.columns]
     elif fmt == "parquet":
         df = spark.read.parquet(path)
     elif fmt == "json":
@@ -99,8 +111,8 @@ def read_raw(spark: SparkSession, path: str, fmt: str | None = None) -> DataFram
     if fmt != "csv":
         # NaN is a missing value, as in the text formats.
         floats = {c for c, t in df.dtypes if t in ("float", "double")}
-        df = df.select(*[F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")).alias(c) if c in floats else F.col(f"`{c}`") for c in df.columns])
-    return df.withColumn(ROW_ID, F.monotonically_increasing_id())
+        values = [F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")).alias(c) if c in floats else F.col(f"`{c}`") for c in df.columns]
+    return df.select(*values, _file_order(df))
 
 
 def infer_read_types(df: DataFrame) -> dict[str, str]:
@@ -166,11 +178,7 @@ def apply_read_types(df: DataFrame, types: dict[str, str] | None = None) -> Data
     return df.select(*[cast_text(F.col(f"`{c}`"), types[c]).alias(c) if c in types else F.col(f"`{c}`") for c in df.columns])
 
 
-def read_sales(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+def read_sales(spark: SparkSession, path: str, fmt: str | None = None, multi_line: bool = False) -> DataFrame:
     """S1+S2: typed table with ``_row_id``, as a default reader would type it."""
-    raw = read_raw(spark, path, fmt)
+    raw = read_raw(spark, path, fmt, multi_line)
     return apply_read_types(raw) if (fmt or detect_format(path)) == "csv" else raw
-
-
-def is_numeric(dtype: T.DataType) -> bool:
-    return isinstance(dtype, T.NumericType)

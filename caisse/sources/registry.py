@@ -16,7 +16,6 @@ Layout under a shared root folder (never a machine-local path on a cluster):
 from __future__ import annotations
 
 import datetime as _dt
-import os
 import uuid
 from pathlib import Path
 
@@ -28,9 +27,8 @@ from pyspark.sql.utils import AnalysisException
 from caisse.operators import insights as ins
 from caisse.operators import profile as prof
 from caisse.operators.cleaning import clean
-from caisse.operators.kpis import DASHBOARD_COLUMNS, dashboard_fold, top_k
+from caisse.operators.kpis import dashboard_fold
 from caisse.plans.sales import SalesAnalysis
-from caisse.session import ensure_checkpoint_dir
 from caisse.sources.files import ROW_ID, detect_format, read_sales
 
 REGISTRY_DDL = (
@@ -43,9 +41,15 @@ NOT_FOUND = "Fichier introuvable"
 
 
 def default_root(spark: SparkSession) -> str:
-    """A folder under the session's shared checkpoint directory."""
-    base = ensure_checkpoint_dir(spark).removeprefix("file:")
-    return os.path.join(base, "caisse-registry")
+    """A folder under the cluster's ``spark.checkpoint.dir``, the same for every application.
+
+    Not under the context's own checkpoint folder: that one is new in each
+    application, and a registry there would begin empty after a restart.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        raise ValueError("the registry needs a root folder: spark.checkpoint.dir is not set")
+    return f"{base.rstrip('/')}/caisse-registry"
 
 
 def snapshot_row(cleaned: DataFrame, preview_rows: int = prof.HEAD_DEFAULT,
@@ -60,7 +64,7 @@ def snapshot_row(cleaned: DataFrame, preview_rows: int = prof.HEAD_DEFAULT,
     fold = dashboard_fold(a.measures, a.aggregate)
     stats = prof.table_stats(data)
     summary = fold
-    tops = top_k(a.aggregate, 5).agg(F.collect_list(F.struct("dimension", "rank", "name", "value")).alias("_tops"))
+    record = a.dashboard_record().select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("_record"))
     insight_list = ins.insights(summary).agg(F.sort_array(F.collect_list(F.struct("position", "text"))).alias("_insights"))
     alert_list = ins.alerts(summary).agg(F.sort_array(F.collect_list(F.struct(
         "position", "type", "severity", "status", "message"))).alias("_alerts"))
@@ -74,8 +78,8 @@ def snapshot_row(cleaned: DataFrame, preview_rows: int = prof.HEAD_DEFAULT,
         ROW_ID, *[F.col(f"`{c}`") for c in data.columns])).alias("_sample")) if ROW_ID in cleaned.columns else \
         head.agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in data.columns])).alias("_sample"))
     missing = data.agg(F.to_json(F.struct(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in data.columns])).alias("_missing"))
-    parts = [fold.select(*DASHBOARD_COLUMNS, "row_count"), stats.select(F.col("duplicate_count").alias("_dups")),
-             tops, insight_list, alert_list, model.select("trend", "confidence_score", "message", "method", "model"),
+    parts = [fold.select("row_count"), stats.select(F.col("duplicate_count").alias("_dups")),
+             record, insight_list, alert_list, model.select("trend", "confidence_score", "message", "method", "model"),
              fc, an, hist, sample, missing]
     merged = ins.merge_rows(*parts)
     sample_rows = F.transform(F.array_sort(F.col("_sample")), lambda r: r.dropFields(ROW_ID)) if ROW_ID in cleaned.columns \
@@ -89,7 +93,7 @@ def snapshot_row(cleaned: DataFrame, preview_rows: int = prof.HEAD_DEFAULT,
             F.from_json(F.col("_missing"), "map<string,long>").alias("missing_values"),
             F.col("_dups").alias("duplication_count"), sample_rows.alias("sample_rows"),
         )).alias("summary"),
-        F.to_json(F.struct(*DASHBOARD_COLUMNS, F.col("_tops").alias("tops"))).alias("dashboard"),
+        F.col("_record").alias("dashboard"),
         F.to_json(F.transform(F.col("_insights"), lambda x: x["text"])).alias("insights"),
         F.to_json(F.transform(F.col("_alerts"), lambda x: x.dropFields("position"))).alias("alerts"),
         F.to_json(F.struct(

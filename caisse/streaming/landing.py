@@ -4,25 +4,24 @@ The upload -> clean -> analyse -> register pipeline as a Structured Streaming
 query: the ``binaryFile`` source lists new files (only their path is
 selected, so file contents are not loaded by the stream itself), at most
 ``max_files`` per micro-batch, and ``foreachBatch`` runs the import of each
-new file as ordinary Spark jobs. The stream's progress lives in a checkpoint
-under the shared checkpoint folder, so a restarted query resumes after the
-last committed batch and an executor loss only retries tasks.
+new file as ordinary Spark jobs. The stream's progress lives beside the
+registry, in a folder of its own per company and landing folder, so a
+restarted query resumes after the last committed batch and an executor loss
+only retries tasks.
 
 Each import writes its cleaned dataset and registry row; the dataset id is
-derived from the batch id and the file's position in the batch, so a batch
-replayed after a failure writes the same ids again (overwrite of the same
-dataset folder, and the registry keeps the latest version per id).
+derived from the company, the file and its modification time, so a batch
+replayed after a failure finds what it has already imported.
 """
 
 from __future__ import annotations
 
-import os
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from caisse.session import ensure_checkpoint_dir
 from caisse.sources.files import FORMATS
 from caisse.sources.registry import Registry
 
@@ -45,7 +44,8 @@ def landing_stream(spark: SparkSession, landing_dir: str, max_files: int = 10) -
 def start_import(spark: SparkSession, landing_dir: str, registry: Registry, user_id: int, company_id: int,
                  checkpoint: str | None = None, max_files: int = 10, once: bool = False) -> StreamingQuery:
     """Start the continuous import; ``once=True`` processes what is there and stops."""
-    checkpoint = checkpoint or os.path.join(ensure_checkpoint_dir(spark), "caisse-landing")
+    folder = hashlib.sha256(landing_dir.rstrip("/").encode()).hexdigest()[:16]
+    checkpoint = checkpoint or f"{registry.root}/offsets/company_id={company_id}/{folder}"
 
     def import_batch(batch: DataFrame, batch_id: int) -> None:
         # The batch is a bounded list of file paths (maxFilesPerTrigger).
@@ -60,10 +60,3 @@ def start_import(spark: SparkSession, landing_dir: str, registry: Registry, user
     )
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")
     return writer.start()
-
-
-def imported_summary(registry: Registry, company_id: int) -> DataFrame:
-    """Datasets imported for a company with their row counts (for monitoring)."""
-    return registry.history(company_id).select("id", "original_name", "row_count", "column_count", "created_at").orderBy(
-        F.desc("created_at")
-    )

@@ -4,6 +4,7 @@ import shutil
 
 import pytest
 
+from caisse.sources.files import ROW_ID, read_raw, read_sales
 from caisse.sources.registry import Registry, with_company
 from caisse.streaming.landing import start_import
 from tests.conftest import SAMPLE
@@ -33,6 +34,45 @@ def test_import_history_guard_and_versions(spark, tmp_dir):
     assert reg.cleaned(ds, 7).count() == 220
 
 
+def test_snapshot_keeps_the_whole_dashboard(spark, tmp_dir):
+    reg = Registry(spark, f"{tmp_dir}/root")
+    dash = json.loads(reg.snapshot(reg.import_file(SAMPLE, 1, 7), 7, "dashboard"))
+    assert len(dash) == 22 and len(dash["monthly_evolution"]) > 1
+    assert dash["best_city"] == dash["top_cities"][0] == dash["city_breakdown"][0]
+    assert set(dash["best_monthly_growth"]) == {"month", "value", "previous_month"}
+
+
+def test_default_root_outlives_the_application(spark):
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if base:
+        assert Registry(spark).root == f"{base.rstrip('/')}/caisse-registry"
+    else:
+        with pytest.raises(ValueError, match="root folder"):
+            Registry(spark)
+
+
+def test_rows_of_several_files_keep_file_order(spark, tmp_dir):
+    for name, values in (("a", [1, 2]), ("b", range(3, 2000))):
+        with open(f"{tmp_dir}/{name}.csv", "w") as f:
+            f.write("v\n" + "".join(f"{v}\n" for v in values))
+    got = [r.v for r in read_sales(spark, tmp_dir, "csv").orderBy(ROW_ID).collect()]
+    assert got == list(range(1, 2000))
+
+
+def test_csv_is_split_unless_values_hold_line_breaks(spark, tmp_dir):
+    path = f"{tmp_dir}/big.csv"
+    with open(path, "w") as f:
+        f.write("v\n" + "".join(f"{v}\n" for v in range(200_000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(256 << 10))
+    try:
+        df = read_raw(spark, path)
+        assert df.rdd.getNumPartitions() > 1 and df.count() == 200_000
+        assert read_raw(spark, path, multi_line=True).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_unknown_format(spark, tmp_dir):
     reg = Registry(spark, f"{tmp_dir}/root")
     with pytest.raises(ValueError, match="Format de fichier non supporte"):
