@@ -84,14 +84,22 @@ def _file_order(df: DataFrame) -> Column:
     return F.struct(*place, position.alias("position")).alias(ROW_ID)
 
 
-def read_raw(spark: SparkSession, path: str, fmt: str | None = None, multi_line: bool = False) -> DataFrame:
+def spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a CSV value may hold a line break: some line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
+def read_raw(spark: SparkSession, path: str, fmt: str | None = None, multi_line: bool | None = None) -> DataFrame:
     """The file as read, with ``_row_id``; CSV columns are text with NA tokens nulled.
 
     ``multi_line`` reads CSV values that hold line breaks; each file is then
-    one task, as a split could begin inside a value.
+    one task, as a split could begin inside a value. Unset, a pass over the
+    lines decides, so files without such values are split.
     """
     fmt = fmt or detect_format(path)
     if fmt == "csv":
+        multi_line = spans_lines(spark, path) if multi_line is None else multi_line
         df = (
             spark.read.option("header", True)
             .option("inferSchema", False)
@@ -178,7 +186,7 @@ def apply_read_types(df: DataFrame, types: dict[str, str] | None = None) -> Data
     return df.select(*[cast_text(F.col(f"`{c}`"), types[c]).alias(c) if c in types else F.col(f"`{c}`") for c in df.columns])
 
 
-def read_sales(spark: SparkSession, path: str, fmt: str | None = None, multi_line: bool = False) -> DataFrame:
+def read_sales(spark: SparkSession, path: str, fmt: str | None = None, multi_line: bool | None = None) -> DataFrame:
     """S1+S2: typed table with ``_row_id``, as a default reader would type it."""
     raw = read_raw(spark, path, fmt, multi_line)
     return apply_read_types(raw) if (fmt or detect_format(path)) == "csv" else raw

@@ -3,6 +3,7 @@ import os
 import shutil
 
 import pytest
+from pyspark.sql import functions as F
 
 from caisse.sources.files import ROW_ID, read_raw, read_sales
 from caisse.sources.registry import Registry, with_company
@@ -68,7 +69,10 @@ def test_csv_is_split_unless_values_hold_line_breaks(spark, tmp_dir):
     try:
         df = read_raw(spark, path)
         assert df.rdd.getNumPartitions() > 1 and df.count() == 200_000
-        assert read_raw(spark, path, multi_line=True).rdd.getNumPartitions() == 1
+        with open(path, "a") as f:
+            f.write('"a\n""b"\n')
+        broken = read_raw(spark, path)
+        assert broken.rdd.getNumPartitions() == 1 and broken.filter(F.col("v") == 'a\n"b').count() == 1
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
