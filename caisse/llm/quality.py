@@ -4,11 +4,9 @@ Lines are normalised (case, white space, digits) and hashed. Per host, the
 distinct documents of each line are counted; lines above the limit are
 boilerplate and go; a document left with too little is rejected.
 
-A copy of a text is no independent document: documents are told apart by the
-smallest and the largest hash among their *other* lines, and a line counts as
-often as either differs. So a large group of copies or near copies does not
-turn its own lines into boilerplate, while a line that stands in many
-different documents does.
+A copy of a text is no document of its own: equal texts of a host count once,
+for a line's documents as for the host's. Texts that differ anywhere, near
+copies too, are different documents.
 """
 
 from __future__ import annotations
@@ -30,7 +28,7 @@ MIN_SHARE = 0.2
 _DIGITS = re.compile(rb"[0-9]+")
 _SPACES = str.maketrans("", "", " \t\n\r\x0b\x0c")
 _NO_SYMBOLS = str.maketrans("", "", "#*$%&|<>")
-_FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<line:long,words:long,lo:long,hi:long>>"
+_FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<line:long,words:long>>"
 
 
 def line_key(words: list[bytes]) -> int:
@@ -63,7 +61,7 @@ def _repeated(word_hashes) -> int:
 
 
 def _lines(text: str) -> tuple[int, list[dict]]:
-    """Number of repeated lines, and the distinct normalised lines with their words and other lines' extremes."""
+    """Number of repeated lines, and the distinct normalised lines with their words."""
     seen, dup, words = set(), 0, {}
     for raw in text.encode("utf-8", "surrogatepass").split(b"\n"):
         w = raw.split()
@@ -74,9 +72,7 @@ def _lines(text: str) -> tuple[int, list[dict]]:
         seen.add(raw)
         k = line_key(w)
         words[k] = words.get(k, 0) + len(w)
-    keys = sorted(words)
-    lo, hi = keys[:2] + [0, 0], keys[-2:][::-1] + [0, 0]
-    return dup, [{"line": k, "words": n, "lo": lo[1] if k == lo[0] and len(keys) > 1 else lo[0] if len(keys) > 1 else 0, "hi": hi[1] if k == hi[0] and len(keys) > 1 else hi[0] if len(keys) > 1 else 0} for k, n in words.items()]
+    return dup, [{"line": k, "words": n} for k, n in words.items()]
 
 
 def _measure(texts: list[str | None]) -> list[list]:
@@ -108,10 +104,10 @@ def line_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def frequent_lines(stats: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE) -> DataFrame:
     """(host, line, n_docs) of the lines above the limits, from the rows of ``line_stats``."""
+    distinct = stats.groupBy("host", "text_key").agg(F.first("lines").alias("lines"))
     hosts = stats.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    lines = stats.select("host", F.explode("lines").alias("l")).select("host", "l.*")
-    counts = lines.groupBy("host", "line").agg(F.countDistinct("lo").alias("a"), F.countDistinct("hi").alias("b"))
-    counts = counts.select("host", "line", F.greatest("a", "b").alias("n_docs")).filter(F.col("n_docs") > min_docs)
+    counts = distinct.select("host", F.explode("lines.line").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
+    counts = counts.filter(F.col("n_docs") > min_docs)
     return counts.join(hosts, "host").filter(F.col("n_docs") > host_share * F.col("host_docs")).select("host", "line", "n_docs")
 
 

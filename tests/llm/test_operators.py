@@ -20,7 +20,7 @@ from caisse.llm.jaccard import jaccard_components, keep_first
 from caisse.llm.kneser_ney import quality_classifier
 from caisse.llm.language import drop_unknown, language_id
 from caisse.llm.packing import pack_documents
-from caisse.llm.quality import apply_rules, quality_rules
+from caisse.llm.quality import apply_rules, frequent_lines, line_key, line_stats, quality_rules
 from caisse.llm.warc import archive_round_trip, read_archives, read_ranges, write_archives
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, component_id string, score string, lines string"
@@ -122,6 +122,14 @@ def test_quality_rules(spark):
     assert not kept.filter(F.col("text").contains("Subscribe")).count()
 
 
+def test_quality_counts_distinct_texts(spark):
+    own = ["".join(chr(97 + k // 26**j % 26) for j in range(3)) for k in range(100)]
+    shared = [f"line {chr(97 + j)} that many pages of this host share" for j in range(20)]
+    texts = ["\n".join([*shared, f"{w} alone"]) for w in own] + [f"plain {w} text of its own, without any of the lines" for w in own]
+    often = {r.line: r.n_docs for r in frequent_lines(line_stats(make(spark, texts + texts[:3]))).collect()}
+    assert often == {line_key(x.encode().split()): 100 for x in shared}
+
+
 def test_language(spark):
     rng = random.Random(5)
     words = {"aa": ["banana", "cabana", "nab"], "bb": ["zyxx", "wyzz", "xyw"], "cc": ["mopol", "lomop", "polmo"]}
