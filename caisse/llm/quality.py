@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from caisse.llm.common import WordHashes, cut, map_texts, require, windows_hash
 
-#: A line is boilerplate on its host if it stands in more documents than both of these allow.
+#: A line is boilerplate on its host if it stands in more distinct texts than both of these allow: a number, and a share of the host's distinct texts.
 MIN_DOCS = 10
 HOST_SHARE = 0.05
 #: A document is depleted when fewer words or a smaller share of its words remain.
@@ -103,9 +103,9 @@ def line_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def frequent_lines(stats: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE) -> DataFrame:
-    """(host, line, n_docs) of the lines above the limits, from the rows of ``line_stats``."""
+    """(host, line, n_docs) of the lines above the limits, from the rows of ``line_stats``; both counts are of distinct texts."""
     distinct = stats.groupBy("host", "text_key").agg(F.first("lines").alias("lines"))
-    hosts = stats.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    hosts = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     counts = distinct.select("host", F.explode("lines.line").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
     counts = counts.filter(F.col("n_docs") > min_docs)
     return counts.join(hosts, "host").filter(F.col("n_docs") > host_share * F.col("host_docs")).select("host", "line", "n_docs")

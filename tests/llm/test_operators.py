@@ -130,6 +130,12 @@ def test_quality_counts_distinct_texts(spark):
     assert often == {line_key(x.encode().split()): 100 for x in shared}
 
 
+def test_quality_copies_do_not_raise_the_limit(spark):
+    texts = [f"our common footer line\n{chr(97 + k // 26)}{chr(97 + k % 26)} and its own words" for k in range(60)] + ["one text with very many copies"] * 2000
+    often = {r.line: r.n_docs for r in frequent_lines(line_stats(make(spark, texts))).collect()}
+    assert often == {line_key(b"our common footer line".split()): 60}
+
+
 def test_language(spark):
     rng = random.Random(5)
     words = {"aa": ["banana", "cabana", "nab"], "bb": ["zyxx", "wyzz", "xyw"], "cc": ["mopol", "lomop", "polmo"]}
