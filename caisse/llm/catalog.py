@@ -93,7 +93,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity and verdict of every document under a model of the trusted ones."""
     prepare(spark)
-    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), slack=0.0, enough=0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_embedding_near_dedup, op4_class_lm, op5_warc, op6_chat_formatting, op7_quality_rules, op8_jaccard_join, op9_language_id, op10_quality_classifier)}

@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from caisse.llm import common
 from caisse.llm.bpe import bpe_round_trip, read_ranks, replay_merges
-from caisse.llm.catalog import vocabulary_path
+from caisse.llm.catalog import op1_best_fit_packing, op10_quality_classifier, vocabulary_path
 from caisse.llm.chat import escape, format_conversations, format_windows, unescape
 from caisse.llm.class_lm import class_lm_scores
 from caisse.llm.components import connected_components
 from caisse.llm.embeddings import near_vectors
 from caisse.llm.jaccard import jaccard_components, keep_first
 from caisse.llm.kneser_ney import quality_classifier
-from caisse.llm.language import drop_unknown, language_id
+from caisse.llm.language import CELLS, Mixture, Trigrams, drop_unknown, language_id
 from caisse.llm.packing import pack_documents
 from caisse.llm.quality import apply_rules, frequent_lines, line_key, line_stats, quality_rules
 from caisse.llm.warc import archive_round_trip, read_archives, read_ranges, write_archives
@@ -275,6 +275,18 @@ def test_classifier(spark):
     assert got[140].perplexity is None and got[0].perplexity < got[120].perplexity
 
 
+def test_classifier_query_uses_the_quantile_itself(spark, tmp_dir):
+    rng = random.Random(9)
+    good = [" ".join(rng.choice(["the", "cat", "sat", "mat", "hat"]) for _ in range(rng.randint(5, 40))) for _ in range(200)]
+    make(spark, good, lang=["en" if k % 4 else "fr" for k in range(200)]).write.parquet(f"{tmp_dir}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_dir}/labels.parquet")
+    rows = op10_quality_classifier(spark, tmp_dir).withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).collect()
+    for lang in ("en", "fr"):
+        # So few held-out documents: the quantile is the largest of them.
+        top = max(math.log10(r.perplexity) for r in rows if r.held and r.lang == lang)
+        assert all(top - 1e-9 <= math.log10(r.threshold) <= top + 1.01e-4 for r in rows if r.lang == lang)
+
+
 def test_empty_tables(spark):
     from pathlib import Path
 
