@@ -32,7 +32,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     prepare(spark)
     vocabulary = Path(vocabulary_path("byte_bpe_50k.json")).read_text(encoding="utf-8")
-    return pack_documents(table(spark, sf_dir, "documents"), vocabulary)
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary, added_tokens=True)
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Perplexity and verdict of every document under a model of the trusted ones."""
+    """Perplexity and verdict of every document under a model of the trusted ones; the threshold is the language's quantile."""
     prepare(spark)
     return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), slack=0.0, enough=0)
 

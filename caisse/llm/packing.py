@@ -40,15 +40,14 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def load_vocabulary(vocabulary: str):
+def load_vocabulary(vocabulary: str, added_tokens: bool = False):
     """Function from a list of texts to their id lists, for a byte-level BPE file of the tokenizers library.
 
     Where the file's merges stand in the order of the ids they make, the
     faster tiktoken merges by rank, with the same result; else the tokenizers
-    library itself encodes. Special tokens' strings are ordinary text.
+    library itself encodes. Special tokens' strings are ordinary text, unless
+    ``added_tokens`` is set and the library encodes.
     """
-    from tokenizers import Tokenizer
-
     letters = _byte_letters()
     model = json.loads(vocabulary)["model"]
     special = {t["content"] for t in json.loads(vocabulary).get("added_tokens", [])}
@@ -59,8 +58,15 @@ def load_vocabulary(vocabulary: str):
         ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
         encode = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         return lambda texts: [encode(t) for t in texts]
+    return _library(vocabulary, added_tokens)
+
+
+def _library(vocabulary: str, added_tokens: bool):
+    """As ``load_vocabulary``, by the tokenizers library."""
+    from tokenizers import Tokenizer
+
     t = Tokenizer.from_str(vocabulary)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = not added_tokens
     return lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -69,16 +75,35 @@ class Encoder:
 
     No token of the vocabulary's pre-tokenizer crosses a space before a
     non-space character, so the words between such spaces are encoded apart
-    and remembered.
+    and remembered. With ``added_tokens``, texts are first cut at the file's
+    added tokens, the longest at the leftmost place, as the tokenizers library
+    does; files whose added tokens take in more than their own string are left
+    to the library.
     """
 
-    def __init__(self, vocabulary: str):
-        self.encode, self.memo = load_vocabulary(vocabulary), {}
+    def __init__(self, vocabulary: str, added_tokens: bool = False):
+        self.memo, self.added, self.whole = {}, None, False
+        file = json.loads(vocabulary)
+        tokens = file.get("added_tokens", []) if added_tokens else []
+        if tokens:
+            self.whole = bool(file.get("normalizer")) or len({t["normalized"] for t in tokens}) > 1 or any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens)
+            self.added = re.compile("(" + "|".join(re.escape(t["content"]) for t in sorted(tokens, key=lambda t: -len(t["content"]))) + ")")
+            self.token = {t["content"]: np.array([t["id"]], dtype="<u4").tobytes() for t in tokens}
+        self.encode = _library(vocabulary, True) if self.whole else load_vocabulary(vocabulary, added_tokens)
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(ids, dtype="<u4").tobytes() for ids in self.encode(texts)]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
+        if self.whole:
+            return self._bytes([t or "" for t in texts])
+        if self.added is None:
+            return self._ordinary(texts)
+        parts = [self.added.split(t) if t else [""] for t in texts]
+        ids = iter(self._ordinary([x for p in parts for x in p[::2]]))
+        return [b"".join(self.token[x] if k % 2 else next(ids) for k, x in enumerate(p)) for p in parts]
+
+    def _ordinary(self, texts: list[str | None]) -> list[bytes]:
         parts = [(_SPACE.split(t) if _ODD.search(t) else t.split(" ")) if t else [""] for t in texts]
         heads = self._bytes([p[0] for p in parts])
         out = []
@@ -95,10 +120,12 @@ class Encoder:
         return out
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, added_tokens: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids) of each document's ids and the end id; ids: little-endian unsigned 32-bit.
 
-    ``vocabulary`` is the content of the tokenizer's JSON file. A null text is
+    ``vocabulary`` is the content of the tokenizer's JSON file. Its added
+    tokens' strings get their own ids with ``added_tokens``, as from the
+    tokenizers library by default; else they are ordinary text. A null text is
     empty: one piece that holds the end id. Only the first piece may be
     shorter than ``capacity``.
     """
@@ -108,7 +135,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
     def pieces(texts):
         if "e" not in state:
-            state["e"] = Encoder(shared.value)
+            state["e"] = Encoder(shared.value, added_tokens)
         out = []
         end = np.array([end_id], dtype="<u4").tobytes()
         for ids in state["e"](texts):
@@ -171,8 +198,8 @@ def pack(pieces: DataFrame, n_docs: int, capacity: int = CAPACITY, shard: int =
     return full.union(part.groupBy("__shard").applyInPandas(place, full.schema))
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. An empty table gives no rows."""
-    pieces = token_pieces(docs, vocabulary, id_col, text_col)
+    pieces = token_pieces(docs, vocabulary, id_col, text_col, added_tokens=added_tokens)
     digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(digests, docs.count())

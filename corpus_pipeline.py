@@ -40,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of the documents with its place in a sequence of 1024 tokens."""
     prepare(spark)
-    return pack_documents(docs, Path(vocabulary_path("byte_bpe_50k.json")).read_text(encoding="utf-8"))
+    return pack_documents(docs, Path(vocabulary_path("byte_bpe_50k.json")).read_text(encoding="utf-8"), added_tokens=True)
 
 
 STAGES = [("quality_rules", quality), ("language_id", language), ("ngram_jaccard_join", near_duplicates), ("best_fit_packing", packing)]

@@ -174,6 +174,20 @@ def test_packing(spark):
     assert got.sequence_id.nunique() <= math.ceil(total / 1024) + 2
 
 
+def test_packing_queries_cut_at_added_tokens(spark, tmp_dir):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    tk = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y ", "<|endoftext| > <|endoftext|", "plain text", "", None]
+    make(spark, texts).write.parquet(f"{tmp_dir}/documents.parquet")
+    want = {(i, zlib.crc32(np.array(tk.encode(t or "", add_special_tokens=False).ids + [2], dtype="<u4").tobytes())) for i, t in enumerate(texts)}
+    assert tk.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    for got in (op1_best_fit_packing(spark, tmp_dir), corpus_pipeline.packing(spark, make(spark, texts), tmp_dir)):
+        assert {(r.doc_id, r.ids_crc32) for r in got.collect()} == want
+
+
 def test_bpe(spark):
     import public_tokenizers
     import tiktoken
