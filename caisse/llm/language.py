@@ -18,8 +18,7 @@ from caisse.llm.common import id_crc, map_texts, require
 
 #: Trigrams are hashed into so many cells; the model holds at most this many numbers per language.
 CELLS = 1 << 16
-#: Rounds of expectation-maximisation: for all documents, and for those in which more than one language shows.
-QUICK_ROUNDS = 8
+#: Rounds of expectation-maximisation for each set of languages.
 ROUNDS = 20
 ADD = 0.5
 UNKNOWN = "und"
@@ -110,7 +109,8 @@ class Mixture:
             trial[np.arange(len(tried)), np.where(trial > 0, best[tried], 2).argmin(1)] = 0
             mine, new = going[row], np.zeros(rows, dtype=np.int64)
             new[tried] = np.arange(len(tried))
-            w, l = self._em(p[mine], n[mine], new[row[mine]], trial, ROUNDS)
+            # All rows tried have lost as many languages; one that is left alone has all, without any round.
+            w, l = self._em(p[mine], n[mine], new[row[mine]], trial, ROUNDS if trial[0].sum() > 1 else 0)
             better = l >= like[tried] - penalty(total[tried])
             ok = tried[better]
             alive[ok], best[ok], like[ok] = trial[better], w[better], l[better]
@@ -126,19 +126,7 @@ class Mixture:
         key, n = np.unique(key.astype(np.int32) if len(texts) * CELLS < 1 << 31 else key, return_counts=True)
         given, row = np.unique(key // CELLS, return_inverse=True)
         p, n = self.p[key % CELLS], n.astype(np.float32)
-        rows, total = len(given), np.bincount(row, n)
-        w, like = self._em(p, n, row, np.ones((rows, p.shape[1]), dtype=np.float32), QUICK_ROUNDS)
-        # A document whose leading language alone is as likely, but for the penalty, is settled.
-        top = w.argmax(1)
-        alone = np.bincount(row, n * np.log(p[np.arange(len(row)), top[row]]), rows)
-        mixed = np.flatnonzero(alone < like - (p.shape[1] - 1) * penalty(total))
-        w, alive = np.zeros_like(w), np.zeros_like(w)
-        w[np.arange(rows), top] = alive[np.arange(rows), top] = 1
-        if len(mixed):
-            mine, new = np.zeros(rows, dtype=bool), np.zeros(rows, dtype=np.int64)
-            mine[mixed], new[mixed] = True, np.arange(len(mixed))
-            mine = mine[row]
-            w[mixed], alive[mixed] = self._eliminate(p[mine], n[mine], new[row[mine]], len(mixed))
+        w, alive = self._eliminate(p, n, row, len(given))
         for i, k, x, a in zip(given.tolist(), w.argmax(1).tolist(), w.max(1).tolist(), alive.sum(1).tolist()):
             names[i], score[i], found[i] = self.langs[k], min(1.0, x), int(a)
         return names, score, found

@@ -150,6 +150,24 @@ def test_language(spark):
     assert sorted(r.doc_id for r in drop_unknown(docs).collect()) == [*range(300), 303]
 
 
+def test_language_sets_are_those_of_elimination():
+    rng = random.Random(3)
+    langs = ["aa", "bb", "cc", "dd", "ee", "ff"]
+    letters = dict(zip(langs, ["abcdefgh", "efghijkl", "ijklmnop", "mnopqrst", "qrstuvwx", "uvwxyzab"]))
+    words = {x: ["".join(rng.choice(letters[x]) for _ in range(5)) for _ in range(200)] for x in langs}
+    n = np.full((6, CELLS), 0.5)
+    for k, x in enumerate(langs):
+        n[k] += 200 * np.bincount(Trigrams()([" ".join(words[x])])[1], minlength=CELLS)
+    mixture = Mixture(langs, np.log(n / n.sum(1, keepdims=True)))
+    texts = [" ".join([rng.choice(words["aa"]) for _ in range(100)] + [rng.choice(words["dd"]) for _ in range(k % 4)]) for k in range(80)]
+    row, cell = Trigrams()(texts)
+    key, n = np.unique(row * CELLS + cell, return_counts=True)
+    w, alive = mixture._eliminate(mixture.p[key % CELLS], n.astype(np.float32), key // CELLS, len(texts))
+    names, score, found = mixture(texts)
+    assert found == alive.sum(1).astype(int).tolist() and score == pytest.approx(w.max(1).tolist(), abs=1e-4)
+    assert all(f == 2 for k, f in enumerate(found) if k % 4 > 1) and all(f == 1 for k, f in enumerate(found) if k % 4 == 0)
+
+
 def test_packing(spark):
     from pathlib import Path
 
