@@ -59,6 +59,23 @@ def _normal(raw: list, dtype) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _blocks(met: DataFrame, large: DataFrame, total: int) -> DataFrame:
+    """The ``total`` rows of ``met`` with lo, hi, mine and g: the group of their bucket or, in a ``large`` one, of each pair of blocks.
+
+    A row of a large bucket of m vectors is there ceil(m / BLOCK) times; the
+    groups are as many as all these rows need.
+    """
+    copies = F.ceil(F.col("m") / BLOCK).cast("int")
+    found = large.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("m") * (copies - 1)), F.lit(0)).alias("more")).first()
+    small = met.join(large, "bucket", "left_anti") if found["n"] else met
+    blocks = small.withColumns({"lo": F.lit(0), "hi": F.lit(0), "mine": F.lit(0)})
+    if found["n"]:
+        split = met.join(large, "bucket").withColumn("mine", F.pmod(F.xxhash64("cid"), copies).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), copies - 1)))
+        blocks = blocks.unionByName(split.withColumns({"lo": F.least("mine", "x"), "hi": F.greatest("mine", "x")}).drop("m", "x"))
+    shards = max(8, math.ceil((total + found["more"]) / SHARD))
+    return blocks.withColumn("g", F.pmod(F.xxhash64("bucket", "lo", "hi"), F.lit(shards)).cast("int"))
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, seed: int = SEED) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept.
 
@@ -97,16 +114,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     met = hashed.select("cid", "w", "raw", "own", F.posexplode("buckets").alias("t", "bucket"))
     sizes = hashed.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
     large = cut(sizes.filter(F.col("m") > BLOCK))
-    n_large = large.count()
-    total = classes.count() * tables
-    small = met.join(large, "bucket", "left_anti") if n_large else met
-    blocks = small.withColumns({"lo": F.lit(0), "hi": F.lit(0), "mine": F.lit(0)})
-    if n_large:
-        nb = F.ceil(F.col("m") / BLOCK).cast("int")
-        split = met.join(large, "bucket").withColumn("mine", F.pmod(F.xxhash64("cid"), nb).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), nb - 1)))
-        blocks = blocks.unionByName(split.withColumns({"lo": F.least("mine", "x"), "hi": F.greatest("mine", "x")}).drop("m", "x"))
-    shards = max(8, math.ceil(total / SHARD))
-    blocks = blocks.withColumn("g", F.pmod(F.xxhash64("bucket", "lo", "hi"), F.lit(shards)).cast("int"))
+    blocks = _blocks(met, large, classes.count() * tables)
 
     def compare(pdf):
         out = []

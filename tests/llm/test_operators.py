@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from caisse.llm import common
+from caisse.llm import common, embeddings
 from caisse.llm.bpe import bpe_round_trip, read_ranks, replay_merges
 from caisse.llm.catalog import op1_best_fit_packing, op10_quality_classifier, vocabulary_path
 from caisse.llm.chat import escape, format_conversations, format_windows, unescape
@@ -249,6 +249,24 @@ def test_vectors(spark):
     assert got[None].component_id is None
 
 
+def test_groups_of_large_buckets_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 10)
+    monkeypatch.setattr(embeddings, "SHARD", 100)
+    met = spark.range(400).select(F.col("id").alias("cid"), F.lit(7).cast("long").alias("bucket"))
+    large = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
+    blocks = embeddings._blocks(met, large, 400)
+    assert blocks.count() == 400 * 40
+    assert blocks.groupBy("g").count().agg(F.max("count")).first()[0] <= 4 * embeddings.SHARD
+
+
+def test_large_buckets_give_the_same_links(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=16) + rng.normal(size=(150, 16)) * 0.02
+    got = near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    assert len(got) == 150 and all((r.n_links, r.component_id) == (149, 0) for r in got)
+
+
 def test_class_lm(spark):
     texts = corpus(8)
     c, words = Counter(), [(t or "").encode().lower().split() for t in texts]
