@@ -1,14 +1,15 @@
-"""Byte-level BPE by corpus-level merge replay.
-
-All new words of a block of texts are laid out in one array of tokens. An
-inverted index holds, for each token pair that a merge rank knows, the
-positions where it stands in any word. Each word's merges are replayed in rank
-order; a merge touches only its neighbours, whose new pairs enter the index.
-
-Words do not act on each other, so the short ones (nearly all) advance
-together: one wave of array operations applies the next merge of every word.
-The few words longer than SHORT bytes go through a queue of ranks with links
-between neighbours, whose work does not grow with the square of a word.
+"""Byte-level BPE by merge replay.
+
+All new words of a block of texts are laid out in one array of tokens, and each
+word's merges are replayed in rank order. Words do not act on each other, so
+the short ones (nearly all) advance together: one wave of array operations
+finds and applies the next merge of every word, without an index.
+
+The few words longer than SHORT bytes go through a queue of ranks over an
+inverted index: for each token pair that a merge rank knows, the positions
+where it stands. A merge touches only its neighbours, whose new pairs enter the
+index, so the work does not grow with the square of a word. Words are gathered
+per block and task, not for the corpus.
 """
 
 from __future__ import annotations
