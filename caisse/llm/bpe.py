@@ -28,6 +28,8 @@ from caisse.llm.common import map_texts, require
 MEMO = 300_000
 #: Token pairs whose rank a task remembers.
 PAIRS = 1_000_000
+#: Characters of texts split into words at once; a longer text goes alone.
+PIECE = 1 << 20
 #: Words up to so many bytes are replayed in waves, which are fewer than that.
 SHORT = 64
 #: Rank of a pair that does not merge.
@@ -223,8 +225,8 @@ class Encoder:
 def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) per row of ``docs``; a null text has no ids. Special tokens are ordinary text.
 
-    The merges are replayed per Arrow batch (BATCH_BYTES of text) over the
-    batch's words that the task does not remember.
+    The merges are replayed per PIECE characters of texts over their words that
+    the task does not remember.
     """
     require(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(ranks_file)
@@ -235,7 +237,14 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_
 
         if "e" not in state:
             state["e"] = Encoder(read_ranks(shared.value), pattern)
-        raw = state["e"](texts)
+        raw, a = [], 0
+        while a < len(texts):
+            b, size = a, 0
+            while b < len(texts) and (b == a or size + len(texts[b] or "") <= PIECE):
+                size += len(texts[b] or "")
+                b += 1
+            raw += state["e"](texts[a:b])
+            a = b
         ends = np.cumsum([0] + [len(r) // 4 for r in raw]).astype(np.int32)
         return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))]
 

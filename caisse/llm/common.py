@@ -159,19 +159,19 @@ def require(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
-def map_texts(df: DataFrame, text: str, fn, fields: str) -> DataFrame:
+def map_texts(df: DataFrame, text: str, fn, fields: str, keep_text: bool = False) -> DataFrame:
     """Replace the column ``text`` by the columns ``fields`` (a DDL string) that ``fn(texts)`` returns per Arrow batch.
 
     ``fn`` gets a list of texts (None for null) and returns one list per
-    field; the other columns pass unchanged. ``fn`` may keep state between
-    batches of a task.
+    field; the other columns pass unchanged, and with ``keep_text`` the text
+    does too. ``fn`` may keep state between batches of a task.
     """
     import pyarrow as pa
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_type
 
     added = T.StructType.fromDDL(fields)
-    kept = [c for c in df.columns if c != text]
+    kept = [c for c in df.columns if keep_text or c != text]
     schema = T.StructType([df.schema[c] for c in kept] + list(added))
     types = [to_arrow_type(f.dataType) for f in added]
     names = kept + [f.name for f in added]

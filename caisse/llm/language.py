@@ -21,6 +21,10 @@ CELLS = 1 << 16
 #: Rounds of expectation-maximisation for each set of languages.
 ROUNDS = 20
 ADD = 0.5
+#: Characters whose trigrams are worked on at once, which bounds a task's arrays; a single longer text is counted slice by slice.
+PIECE = 1 << 18
+#: Labels that a task adds up at once in training.
+LABELS = 64
 UNKNOWN = "und"
 
 
@@ -41,34 +45,74 @@ class Trigrams:
         self.letter = _letters()
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell) of each trigram of all texts."""
-        lowered = [t.lower() if t else "" for t in texts]
-        cp = np.frombuffer("\n".join(["", *lowered, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        """(row, cell) of each trigram of all texts; the work arrays take some 50 bytes a character."""
+        return self._cells([(i, t.lower(), 0, 0) for i, t in enumerate(texts) if t])
+
+    def _cells(self, parts: list[tuple[int, str, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of parts (row, lowered text, characters of context before it, after it); a context has no trigram of its own."""
+        cp = np.frombuffer("\n".join(["", *(t for _, t, _, _ in parts), ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         cp = np.where(self.letter[cp], cp, 0).astype(np.uint64)
-        row = np.repeat(np.arange(len(lowered)), [len(t) + 1 for t in lowered])
+        size = np.array([len(t) + 1 for _, t, _, _ in parts], dtype=np.int64)
+        row = np.repeat(np.array([r for r, _, _, _ in parts], dtype=np.int64), size)
         h = cp[:-2] * np.uint64(0x9E3779B97F4A7C15) + cp[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + cp[2:] * np.uint64(0x165667B19E3779F9)
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-        mid = np.flatnonzero(cp[1:-1])
+        own = cp[1:-1] > 0
+        first = np.cumsum(size) - size
+        own[first[[k for k, x in enumerate(parts) if x[2]]]] = False
+        own[[int(first[k]) + len(x[1]) - 1 for k, x in enumerate(parts) if x[3]]] = False
+        mid = np.flatnonzero(own)
         return row[mid], (h[mid] >> np.uint64(48)).astype(np.int64) % CELLS
 
+    def counts(self, texts: list[str | None]):
+        """(first row, rows, ``row * CELLS + cell``, n) of runs of whole texts, in order; keys count from the first row.
+
+        A run holds about PIECE characters, or one longer text, which is
+        walked in slices with a character of context on both sides.
+        """
+        a = 0
+        while a < len(texts):
+            b, size = a, 0
+            while b < len(texts) and (b == a or size + len(texts[b] or "") <= PIECE):
+                size += len(texts[b] or "")
+                b += 1
+            if size <= PIECE:
+                row, cell = self(texts[a:b])
+                key, n = np.unique(row * CELLS + cell, return_counts=True)
+            else:
+                low, n = texts[a].lower(), np.zeros(CELLS, dtype=np.int64)
+                for at in range(0, len(low), PIECE):
+                    before, after = int(at > 0), int(at + PIECE < len(low))
+                    n += np.bincount(self._cells([(0, low[at - before : at + PIECE + after], before, after)])[1], minlength=CELLS)
+                key = np.flatnonzero(n)
+                n = n[key]
+            yield a, b - a, key, n
+            a = b
+
 
 def count_trigrams(train: DataFrame) -> DataFrame:
-    """(lang, cell, n) over all rows (lang, text); each task counts its own rows before the shuffle."""
+    """(lang, cell, n) over all rows (lang, text); each task adds up its own rows, for up to LABELS labels at a time, before the shuffle."""
     import pyarrow as pa
 
+    def rows(totals):
+        for name, n in totals.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at])], names=["lang", "cell", "n"])
+
     def run(batches):
         grams, totals = Trigrams(), {}
         for b in batches:
             langs, texts = b.column("lang").to_pylist(), b.column("text").to_pylist()
-            names = sorted(set(langs))
-            code = np.array([names.index(x) for x in langs], dtype=np.int64)
-            row, cell = grams(texts)
-            n = np.bincount(code[row] * CELLS + cell, minlength=len(names) * CELLS) if len(names) else np.zeros(0)
-            for i, name in enumerate(names):
-                totals[name] = totals.get(name, 0) + n[i * CELLS : (i + 1) * CELLS]
-        for name, n in totals.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at].astype(np.int64))], names=["lang", "cell", "n"])
+            for first, _, key, n in grams.counts(texts):
+                ends = np.flatnonzero(np.diff(key // CELLS, append=-1)) + 1
+                for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist()):
+                    name = langs[first + int(key[lo]) // CELLS]
+                    if name not in totals:
+                        if len(totals) >= LABELS:
+                            yield from rows(totals)
+                            totals = {}
+                        totals[name] = np.zeros(CELLS, dtype=np.int64)
+                    totals[name][key[lo:hi] % CELLS] += n[lo:hi]
+        yield from rows(totals)
 
     return train.select("lang", "text").mapInArrow(run, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
 
@@ -119,16 +163,15 @@ class Mixture:
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float], list[int]]:
         """Language, its proportion (0 without letters) and the number of languages found, per text."""
         names, score, found = [UNKNOWN] * len(texts), [0.0] * len(texts), [0] * len(texts)
-        row, cell = self.grams(texts)
-        if not len(row) or not self.langs:
+        if not self.langs:
             return names, score, found
-        key = row * CELLS + cell
-        key, n = np.unique(key.astype(np.int32) if len(texts) * CELLS < 1 << 31 else key, return_counts=True)
-        given, row = np.unique(key // CELLS, return_inverse=True)
-        p, n = self.p[key % CELLS], n.astype(np.float32)
-        w, alive = self._eliminate(p, n, row, len(given))
-        for i, k, x, a in zip(given.tolist(), w.argmax(1).tolist(), w.max(1).tolist(), alive.sum(1).tolist()):
-            names[i], score[i], found[i] = self.langs[k], min(1.0, x), int(a)
+        for first, _, key, n in self.grams.counts(texts):
+            if not len(key):
+                continue
+            given, row = np.unique(key // CELLS, return_inverse=True)
+            w, alive = self._eliminate(self.p[key % CELLS], n.astype(np.float32), row, len(given))
+            for i, k, x, a in zip((first + given).tolist(), w.argmax(1).tolist(), w.max(1).tolist(), alive.sum(1).tolist()):
+                names[i], score[i], found[i] = self.langs[k], min(1.0, x), int(a)
         return names, score, found
 
 
@@ -150,7 +193,7 @@ def train_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def identify_languages(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and lang_pred, score, n_langs for each row.
+    """The columns ``keep`` of ``docs`` and lang_pred, score, n_langs for each row; ``text_col`` may be one of ``keep``.
 
     lang_pred is a learned language or ``und`` (score 0, n_langs 0) for a text
     that is null or has no letter, or if nothing was learned. Ties go to the
@@ -166,7 +209,8 @@ def identify_languages(docs: DataFrame, model: tuple[list[str], np.ndarray], tex
         return state["m"](texts)
 
     keep = keep or []
-    return map_texts(docs.select(*keep, F.col(text_col).alias("__text")), "__text", predict, "lang_pred string, score double, n_langs int")
+    rows = docs.select(*keep) if text_col in keep else docs.select(*keep, text_col)
+    return map_texts(rows, text_col, predict, "lang_pred string, score double, n_langs int", keep_text=text_col in keep)
 
 
 def language_id(docs: DataFrame) -> DataFrame:
@@ -180,7 +224,15 @@ def language_id(docs: DataFrame) -> DataFrame:
 
 
 def drop_unknown(docs: DataFrame, min_score: float = 0.34) -> DataFrame:
-    """``docs`` without the rows whose language is unknown or whose leading language has a smaller proportion."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    found = identify_languages(rows, train_languages(docs), keep=["row"])
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("row.*")
+    """``docs`` without the rows whose language is unknown or whose leading language has a smaller proportion.
+
+    A null or empty text, or one without a letter, is unknown and goes;
+    repeated rows stay or go together; equal proportions below ``min_score``
+    go. Columns named like the prediction's are kept as they are. An empty
+    table, or one without a label to learn from, gives no rows.
+    """
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(F.lit(0).alias("__none"), *others).alias("__row"), "text")
+    found = identify_languages(rows, train_languages(docs), keep=["__row", "text"])
+    kept = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
+    return kept.select(*(F.col("text") if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns))
