@@ -60,8 +60,16 @@ def _key(sig: bytes) -> int:
     return int.from_bytes(sig[:8], "little", signed=True) or 1
 
 
-def shingle_rows(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(doc_id, n, sig, key) per row: size of the n-gram set, its 128-bit signature and half of it (null for the empty set)."""
+def _text_key(text: Column) -> Column:
+    """Hash that tells the texts of one id apart; null and empty text differ."""
+    return F.xxhash64(text, text.isNull())
+
+
+def shingle_rows(docs: DataFrame, id_col: str, text_col: str, size: int, text_key: bool = False) -> DataFrame:
+    """(doc_id, n, sig, key) per row: size of the n-gram set, its 128-bit signature and half of it (null for the empty set).
+
+    With ``text_key``, the hash of the text stands beside the id.
+    """
 
     def sets(texts):
         hashes = WordHashes(lower=True)
@@ -73,7 +81,8 @@ def shingle_rows(docs: DataFrame, id_col: str, text_col: str, size: int) -> Data
             key.append(_key(sig[-1]) if len(s) else None)
         return n, sig, key
 
-    return map_texts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", sets, "n long, sig binary, key long")
+    own = [_text_key(F.col(text_col)).alias("text_key")] if text_key else []
+    return map_texts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *own), "text", sets, "n long, sig binary, key long")
 
 
 def _shared_counts(docs: DataFrame, text_col: str, size: int, percent: int, shards: int) -> DataFrame:
@@ -317,18 +326,9 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     return cut(first.union(inside).union(across))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
-
-    Two documents link when ``100 * intersection >= percent * union`` of their
-    sets of ``size``-word shingles (words lower-cased A-Z). A text without
-    words, empty or null has the empty set and links with nothing. Rows of one
-    doc_id are one document; a row without an id links with nothing and has
-    no component. Repeated rows are copies. An empty table gives an empty
-    result. Other columns are ignored.
-    """
-    require(docs, id_col, text_col)
-    rows = cut(shingle_rows(docs, id_col, text_col, size))
+def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, text_key: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, n, sig, ... of ``shingle_rows``, cid), classes of equal sets (cid, sig, key, rep, n) and links (a, b) between classes."""
+    rows = cut(shingle_rows(docs, id_col, text_col, size, text_key))
     named = rows.filter("sig is not null and doc_id is not null")
     classes = named.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("key").alias("key"))
     classes = cut(classes.select(F.monotonically_increasing_id().alias("cid"), "sig", "key", "rep", "n"))
@@ -341,7 +341,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = _candidates(docs, id_col, text_col, left, size, percent)
     links = _links(sets, percent)
     own = rows.drop("key").join(classes.select("sig", "cid", "rep"), "sig", "left")
-    own = own.withColumn("cid", F.when(F.col("doc_id").isNotNull(), F.col("cid")))
+    return own.withColumn("cid", F.when(F.col("doc_id").isNotNull(), F.col("cid"))), classes, links
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
+
+    Two documents link when ``100 * intersection >= percent * union`` of their
+    sets of ``size``-word shingles (words lower-cased A-Z). A text without
+    words, empty or null has the empty set and links with nothing. Rows of one
+    doc_id are one document; a row without an id links with nothing and has
+    no component. Repeated rows are copies. An empty table gives an empty
+    result. Other columns are ignored.
+    """
+    require(docs, id_col, text_col)
+    own, classes, links = _classes(docs, id_col, text_col, size, percent)
     # One id with several texts is one document.
     twice = own.filter("cid is not null").groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).filter("a < z").select("doc_id", "a")
     same = own.join(twice, "doc_id").select("a", F.col("cid").alias("b"))
@@ -354,11 +368,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id. Rows without an id stay."""
-    found = jaccard_components(docs, id_col, text_col, size, percent)
-    groups = found.filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("copies"))
-    first = cut(groups.filter("doc_id = component_id").select(F.col("doc_id").alias("__first"), "copies"))
-    kept = docs.join(first.select("__first"), docs[id_col] == F.col("__first"), "left_semi")
+    """``docs`` with one row of each group: one with the smallest id (of its unlike texts that link, the smallest hash).
+
+    Groups are of texts: unlike texts that stand under one id each have their
+    own group and stay, rows that repeat id and text are one. Texts without
+    words, empty or null link with nothing: one row of each id stays for
+    each. Rows without an id stay, all of them.
+    """
+    require(docs, id_col, text_col)
+    own, _, links = _classes(docs, id_col, text_col, size, percent, text_key=True)
+    comp = connected_components(links)
+    named = own.filter("doc_id is not null").join(comp, own["cid"] == comp["node"], "left")
+    rows = named.groupBy(F.coalesce("component", "cid").alias("group"), "doc_id", "text_key").agg(F.count(F.lit(1)).alias("copies"))
+    first = rows.filter("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "text_key", "copies")).alias("r")).select("r.*")
+    first = cut(first.union(rows.filter("group is null").select("doc_id", "text_key", "copies")).toDF("__first", "__key", "copies"))
+    key = _text_key(docs[text_col])
+    kept = docs.join(first.select("__first", "__key"), (docs[id_col] == F.col("__first")) & (key == F.col("__key")), "left_semi")
     if first.filter("copies > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col])
+        kept = kept.dropDuplicates([id_col, text_col])
     return kept.union(docs.filter(F.col(id_col).isNull()))

@@ -40,13 +40,13 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def load_vocabulary(vocabulary: str, added_tokens: bool = False):
+def load_vocabulary(vocabulary: str, added_tokens: bool = True):
     """Function from a list of texts to their id lists, for a byte-level BPE file of the tokenizers library.
 
     Where the file's merges stand in the order of the ids they make, the
     faster tiktoken merges by rank, with the same result; else the tokenizers
     library itself encodes. Special tokens' strings are ordinary text, unless
-    ``added_tokens`` is set and the library encodes.
+    the library encodes with ``added_tokens``.
     """
     letters = _byte_letters()
     model = json.loads(vocabulary)["model"]
@@ -75,13 +75,13 @@ class Encoder:
 
     No token of the vocabulary's pre-tokenizer crosses a space before a
     non-space character, so the words between such spaces are encoded apart
-    and remembered. With ``added_tokens``, texts are first cut at the file's
+    and remembered. Unless ``added_tokens`` is off, texts are first cut at the file's
     added tokens, the longest at the leftmost place, as the tokenizers library
     does; files whose added tokens take in more than their own string are left
     to the library.
     """
 
-    def __init__(self, vocabulary: str, added_tokens: bool = False):
+    def __init__(self, vocabulary: str, added_tokens: bool = True):
         self.memo, self.added, self.whole = {}, None, False
         file = json.loads(vocabulary)
         tokens = file.get("added_tokens", []) if added_tokens else []
@@ -120,12 +120,12 @@ class Encoder:
         return out
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, added_tokens: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, added_tokens: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids) of each document's ids and the end id; ids: little-endian unsigned 32-bit.
 
     ``vocabulary`` is the content of the tokenizer's JSON file. Its added
-    tokens' strings get their own ids with ``added_tokens``, as from the
-    tokenizers library by default; else they are ordinary text. A null text is
+    tokens' strings get their own ids, as from the tokenizers library by
+    default; without ``added_tokens`` they are ordinary text. A null text is
     empty: one piece that holds the end id. Only the first piece may be
     shorter than ``capacity``.
     """
@@ -198,7 +198,7 @@ def pack(pieces: DataFrame, n_docs: int, capacity: int = CAPACITY, shard: int =
     return full.union(part.groupBy("__shard").applyInPandas(place, full.schema))
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = True) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. An empty table gives no rows."""
     pieces = token_pieces(docs, vocabulary, id_col, text_col, added_tokens=added_tokens)
     digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
