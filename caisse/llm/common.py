@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from caisse.session import ensure_checkpoint_dir
 
 #: Bytes of one Arrow batch sent to a Python worker: very long texts then make small batches.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)

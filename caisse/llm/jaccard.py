@@ -199,11 +199,12 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame,
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([_signature(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "sig", "tokens"])
 
     sets = rows.mapInArrow(tokens, f"doc_id {dict(rows.dtypes)['doc_id']}, sig binary, tokens array<long>")
-    sets = sets.join(wanted, "doc_id").filter("sig = want").dropDuplicates(["cid"])
-    toks = sets.select("cid", "n", F.explode("tokens").alias("h"))
+    # A class is told by its doc_id and signature: repeated rows meet where the join has put them.
+    sets = sets.join(wanted, "doc_id").filter("sig = want").dropDuplicates(["doc_id", "cid"])
+    toks = sets.select("cid", F.explode("tokens").alias("h"))
     df = toks.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    own = toks.join(df, "h").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("t"))
-    own = own.withColumn("need", _need("n", percent)).filter("size(t) >= need")
+    own = toks.join(df, "h").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("t"))
+    own = own.join(wanted.select("cid", "n"), "cid").withColumn("need", _need("n", percent)).filter("size(t) >= need")
     edges = [0, *BOUNDS, None]
     parts = [F.expr(f"transform(filter(t, x -> x.df >= {lo}" + (f" and x.df < {hi}" if hi else "") + "), x -> x.h)") for lo, hi in zip(edges, edges[1:])]
     return cut(own.select("cid", "n", F.array(*parts).alias("frags"), F.expr("transform(slice(t, 1, int(size(t) - need + 1)), x -> x.h)").alias("prefix")))
