@@ -62,9 +62,13 @@ def load_vocabulary(vocabulary: str, added_tokens: bool = True):
 
 
 def _library(vocabulary: str, added_tokens: bool):
-    """As ``load_vocabulary``, by the tokenizers library."""
+    """As ``load_vocabulary``, by the tokenizers library, without threads of its own: Spark runs a task per core."""
+    import os
+
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
     t = Tokenizer.from_str(vocabulary)
     t.encode_special_tokens = not added_tokens
     return lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
@@ -78,10 +82,10 @@ class Encoder:
     and remembered. Unless ``added_tokens`` is off, texts are first cut at the file's
     added tokens, the longest at the leftmost place, as the tokenizers library
     does; files whose added tokens take in more than their own string are left
-    to the library.
+    to the library. With ``library``, that library encodes the words too.
     """
 
-    def __init__(self, vocabulary: str, added_tokens: bool = True):
+    def __init__(self, vocabulary: str, added_tokens: bool = True, library: bool = False):
         self.memo, self.added, self.whole = {}, None, False
         file = json.loads(vocabulary)
         tokens = file.get("added_tokens", []) if added_tokens else []
@@ -89,7 +93,7 @@ class Encoder:
             self.whole = bool(file.get("normalizer")) or len({t["normalized"] for t in tokens}) > 1 or any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens)
             self.added = re.compile("(" + "|".join(re.escape(t["content"]) for t in sorted(tokens, key=lambda t: -len(t["content"]))) + ")")
             self.token = {t["content"]: np.array([t["id"]], dtype="<u4").tobytes() for t in tokens}
-        self.encode = _library(vocabulary, True) if self.whole else load_vocabulary(vocabulary, added_tokens)
+        self.encode = _library(vocabulary, added_tokens) if self.whole or library else load_vocabulary(vocabulary, added_tokens)
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(ids, dtype="<u4").tobytes() for ids in self.encode(texts)]
