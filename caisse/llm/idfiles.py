@@ -195,7 +195,7 @@ def write_ids(docs: DataFrame, vocabulary: str, folder: str, id_col: str = "doc_
             made.append((part, len(made), path, len(out.docs), out.n_ids, out.first, out.last))
 
         for b in batches:
-            encode = encode or Encoder(shared.value, library=True)
+            encode = encode or Encoder(shared.value)
             texts = b.column("text").to_pylist()
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode(texts)):
                 if out is not None and (out.at >= FILE_BYTES or len(out.docs) >= FILE_DOCS):

@@ -82,10 +82,10 @@ class Encoder:
     and remembered. Unless ``added_tokens`` is off, texts are first cut at the file's
     added tokens, the longest at the leftmost place, as the tokenizers library
     does; files whose added tokens take in more than their own string are left
-    to the library. With ``library``, that library encodes the words too.
+    to the library.
     """
 
-    def __init__(self, vocabulary: str, added_tokens: bool = True, library: bool = False):
+    def __init__(self, vocabulary: str, added_tokens: bool = True):
         self.memo, self.added, self.whole = {}, None, False
         file = json.loads(vocabulary)
         tokens = file.get("added_tokens", []) if added_tokens else []
@@ -93,11 +93,22 @@ class Encoder:
             self.whole = bool(file.get("normalizer")) or len({t["normalized"] for t in tokens}) > 1 or any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens)
             self.added = re.compile("(" + "|".join(re.escape(t["content"]) for t in sorted(tokens, key=lambda t: -len(t["content"]))) + ")")
             self.token = {t["content"]: np.array([t["id"]], dtype="<u4").tobytes() for t in tokens}
-        self.encode = _library(vocabulary, added_tokens) if self.whole or library else load_vocabulary(vocabulary, added_tokens)
+        self.encode = _library(vocabulary, added_tokens) if self.whole else load_vocabulary(vocabulary, added_tokens)
+        # Bytes that each id stands for: a letter of the file is a byte.
+        vocab = file["model"]["vocab"]
+        self.size = np.zeros(max(vocab.values(), default=-1) + 1, dtype=np.int64)
+        self.size[list(vocab.values())] = [len(t) for t in vocab]
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(ids, dtype="<u4").tobytes() for ids in self.encode(texts)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word after a space: encoded in a row and parted by the bytes that the ids stand for."""
+        ids = np.array(self.encode([" " + " ".join(words)])[0], dtype="<u4")
+        ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(w.encode()) + 1 for w in words])) + 1
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *(ends[:-1] * 4).tolist()], (ends * 4).tolist())]
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         if self.whole:
             return self._bytes([t or "" for t in texts])
@@ -118,7 +129,7 @@ class Encoder:
                 if len(memo) > MEMO:
                     memo.clear()
                 new = list({w for w, i in zip(p[1:], ids) if i is None})
-                memo.update(zip(new, self._bytes([" " + w for w in new])))
+                memo.update(zip(new, self._words(new)))
                 ids = [i if i is not None else memo[w] for w, i in zip(p[1:], ids)]
             out.append(head + b"".join(ids))
         return out
