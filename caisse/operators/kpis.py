@@ -26,6 +26,8 @@ whose size is bounded by the calendar, never on the fact table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,7 +49,7 @@ def money(c: Column, digits: int = 2) -> Column:
 
 
 @jvm_cached
-def _sales_aggs(margin_mode: str) -> tuple[Column, ...]:
+def _sales_aggs(margin_mode: str, counted: bool = False) -> tuple[Column, ...]:
     if margin_mode == "direct":
         margin = F.coalesce(F.col("_margin"), F.lit(0))
     elif margin_mode == "derived":
@@ -57,9 +59,10 @@ def _sales_aggs(margin_mode: str) -> tuple[Column, ...]:
     return (
         F.grouping_id(*GROUP_KEYS).alias("_gid"),
         F.sum("_rev").alias("sum_rev"),
-        F.count(F.lit(1)).alias("n_rows"),
+        (F.count("_row") if counted else F.count(F.lit(1))).alias("n_rows"),
         F.sum(margin).alias("sum_margin"),
         F.sum("_nmiss").alias("sum_missing"),
+        *([F.count(F.lit(1)).alias("n_all")] if counted else []),
     )
 
 
@@ -95,8 +98,26 @@ def aggregate_sales(m: Measures) -> DataFrame:
     sets.append([])
     # Months only count rows that have both a date and a revenue.
     src = m.df.withColumn("_month", F.when(F.col("_rev").isNotNull(), F.col("_month")))
-    agg = src.groupingSets(sets, *GROUP_KEYS).agg(*_sales_aggs(m.margin_mode))
-    return agg.select(*_set_columns(), "sum_rev", "n_rows", "sum_margin", "sum_missing")
+    agg = src.groupingSets(sets, *GROUP_KEYS).agg(*_sales_aggs(m.margin_mode, m.counted))
+    return agg.select(*_set_columns(), *_sums(m.counted))
+
+
+def _sums(counted: bool) -> list[str]:
+    return ["sum_rev", "n_rows", "sum_margin", "sum_missing", *(["n_all"] if counted else [])]
+
+
+def _ranked_groups(agg: DataFrame, dims: list[str]) -> DataFrame:
+    """The groups of ``dims`` that have a name and a revenue.
+
+    The condition is asked of all sums of a group, so it stays above the
+    aggregate and reads the columns that the fold reads: where one plan has
+    both, they share the aggregate's exchange and the fact rows are expanded
+    once. Below the aggregate, the condition would make two aggregates.
+    """
+    # Counts are never null, which the optimizer knows.
+    sums = [F.col(c) > 0 if c.startswith("n_") else F.col(c).isNotNull() for c in agg.columns if c in _sums(True)]
+    known = reduce(lambda a, b: a | b, sums)
+    return agg.filter(F.when(known, F.col("set").isin(dims) & F.col("name").isNotNull() & F.col("sum_rev").isNotNull()))
 
 
 def top_k(agg: DataFrame, k: int = 5, dims: list[str] | None = None, round_values: bool = True) -> DataFrame:
@@ -105,7 +126,7 @@ def top_k(agg: DataFrame, k: int = 5, dims: list[str] | None = None, round_value
     Order: exact sum descending, then name ascending (fixed tie order).
     """
     dims = list(dims or TOP_DIMENSIONS)
-    ranked = agg.filter(F.col("set").isin(dims) & F.col("name").isNotNull() & F.col("sum_rev").isNotNull())
+    ranked = _ranked_groups(agg, dims)
     w = W.partitionBy("set").orderBy(F.desc("sum_rev"), F.asc("name"))
     value = money(F.col("sum_rev")) if round_values else F.col("sum_rev").cast("double")
     return (
@@ -120,7 +141,7 @@ TOP_LISTS = {"client": "top_clients", "product": "top_products", "city": "top_ci
 
 
 def top_lists(agg: DataFrame, k: int = 5) -> DataFrame:
-    """K13-K17 as one row: per dimension an array of (name, value), best first."""
+    """K13-K17 as one row: per dimension an array of at most ``k`` (name, value), best first."""
     item = F.struct("rank", "name", "value")
     return top_k(agg, k).agg(*[
         F.transform(F.array_sort(F.collect_list(F.when(F.col("dimension") == dim, item))),
@@ -203,28 +224,23 @@ def dashboard_fold(m: Measures, agg: DataFrame) -> DataFrame:
     is under 100 exactly when fewer than ``min(n, 5)`` clients reach 100), and
     ``rows`` / ``missing_ratio`` of the source table for the quality rules.
     """
-    return agg.agg(*_fold_aggs()).select(
-        *_fold_select(m.has_order, "client" in m.dims, "product" in m.dims, m.n_columns)
+    return agg.agg(*_fold_aggs(m.counted)).select(
+        *_fold_select(m.has_order, "client" in m.dims, "product" in m.dims, m.n_columns, m.counted)
     )
 
 
 @jvm_cached
-def _fold_aggs() -> tuple[Column, ...]:
+def _fold_aggs(counted: bool = False) -> tuple[Column, ...]:
     is_total = F.col("set") == "total"
 
-    def total(c: str) -> Column:
-        return F.max(F.when(is_total, F.col(c)))
-
     def distinct(set_name: str) -> Column:
         return F.count_if((F.col("set") == set_name) & F.col("name").isNotNull())
 
     is_month = (F.col("set") == "month") & F.col("name").isNotNull() & F.col("sum_rev").isNotNull()
     client_row = (F.col("set") == "client") & F.col("name").isNotNull() & F.col("sum_rev").isNotNull()
     return (
-        F.coalesce(total("sum_rev"), F.lit(0)).alias("_revenue"),
-        F.coalesce(total("sum_margin"), F.lit(0)).alias("_margin"),
-        F.coalesce(total("n_rows"), F.lit(0)).alias("_rows"),
-        F.coalesce(total("sum_missing"), F.lit(0)).alias("_missing"),
+        # One struct: whatever an output reads of it, the aggregate below keeps all its sums (see _ranked_groups).
+        F.max(F.when(is_total, F.struct(*_sums(counted)))).alias("_total"),
         distinct("client").alias("client_count"),
         distinct("product").alias("product_count"),
         distinct("order").alias("_distinct_orders"),
@@ -241,15 +257,19 @@ def _fold_aggs() -> tuple[Column, ...]:
 
 
 @jvm_cached
-def _fold_select(has_order: bool, has_client: bool, has_product: bool, n_columns: int) -> tuple[Column, ...]:
-    orders = F.col("_distinct_orders") if has_order else F.col("_rows")
-    revenue = F.col("_revenue")
+def _fold_select(has_order: bool, has_client: bool, has_product: bool, n_columns: int, counted: bool = False) -> tuple[Column, ...]:
+    def total(c: str) -> Column:
+        return F.coalesce(F.col("_total")[c], F.lit(0))
+
+    rows = total("n_rows").cast("long")
+    orders = F.col("_distinct_orders") if has_order else rows
+    revenue = total("sum_rev")
     growth = growth_of(F.col("months"))
     zero = F.lit(0).cast("long")
     return (
         money(revenue).alias("revenue_total"),
-        money(F.col("_margin")).alias("margin_total"),
-        F.when(revenue != 0, F.round(F.col("_margin").cast("double") / revenue.cast("double") * 100, 1))
+        money(total("sum_margin")).alias("margin_total"),
+        F.when(revenue != 0, F.round(total("sum_margin").cast("double") / revenue.cast("double") * 100, 1))
         .otherwise(F.lit(0.0))
         .alias("margin_rate"),
         (F.col("client_count").cast("long") if has_client else zero).alias("client_count"),
@@ -269,11 +289,12 @@ def _fold_select(has_order: bool, has_client: bool, has_product: bool, n_columns
         F.least(F.col("_clients_ranked"), F.lit(TOP_K)).cast("long").alias("clients_listed"),
         F.least(F.col("_clients_over"), F.lit(TOP_K)).cast("long").alias("clients_listed_over"),
         "months",
-        F.col("_rows").cast("long").alias("row_count"),
+        rows.alias("row_count"),
+        *([total("n_all").cast("long").alias("total_row_count")] if counted else []),
         # Q6 without another scan: mean over columns of the missing share
         # = missing cells / (rows x columns).
-        F.col("_rows").cast("long").alias("rows"),
-        (F.when(F.col("_rows") > 0, F.col("_missing") / (F.col("_rows") * F.lit(max(n_columns, 1))))
+        rows.alias("rows"),
+        (F.when(rows > 0, total("sum_missing") / (rows * F.lit(max(n_columns, 1))))
          .otherwise(F.lit(None).cast("double")) if n_columns else F.lit(0.0)).alias("missing_ratio"),
     )
 

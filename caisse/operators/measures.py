@@ -86,9 +86,16 @@ class Measures:
     has_payment: bool
     margin_mode: str  # "direct", "derived" or "none"
     n_columns: int = 0  # source columns counted by ``_nmiss``
+    counted: bool = False  # all rows are there, those outside the selection with null measures and without ``_row``
 
 
-def prepare_measures(df: DataFrame, roles: dict[str, str | None] | None = None) -> Measures:
+def prepare_measures(df: DataFrame, roles: dict[str, str | None] | None = None, selected: Column | None = None) -> Measures:
+    """The projection of ``df`` that the KPIs read.
+
+    With ``selected`` (a predicate on ``df``) all rows stay, but those outside
+    the selection only count as rows of the table: one pass then gives the
+    selection's KPIs and the table's row count.
+    """
     roles = dict(roles) if roles is not None else role_map(df.columns)
     cols = set(df.columns)
 
@@ -128,8 +135,12 @@ def prepare_measures(df: DataFrame, roles: dict[str, str | None] | None = None)
             exprs.append(as_text(df, col).alias(f"k_{dim}"))
         else:
             exprs.append(F.lit(None).cast("string").alias(f"k_{dim}"))
+    rows = df.select(*exprs)
+    if selected is not None:
+        rows = df.select(*exprs, F.coalesce(selected, F.lit(False)).alias("_in")).select(
+            *[F.when(F.col("_in"), F.col(c)).alias(c) for c in rows.columns], F.when(F.col("_in"), F.lit(1)).alias("_row"))
     return Measures(
-        df=df.select(*exprs),
+        df=rows,
         roles=roles,
         dims=tuple(dims),
         has_revenue=rev is not None,
@@ -138,4 +149,5 @@ def prepare_measures(df: DataFrame, roles: dict[str, str | None] | None = None)
         has_payment=payment is not None,
         margin_mode=margin_mode,
         n_columns=len(data_cols),
+        counted=selected is not None,
     )

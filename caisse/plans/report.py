@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from caisse.functions.text import format_eur
 from caisse.operators import insights as ins
 from caisse.operators import profile as prof
-from caisse.operators.filters import apply_filters, ensure_not_empty
-from caisse.operators.kpis import dashboard_fold, top_k
+from caisse.operators.filters import EMPTY_EXPORT, apply_filters, ensure_not_empty, filter_predicate
+from caisse.operators.kpis import TOP_LISTS, dashboard_fold, top_k, top_lists
 from caisse.plans.sales import SalesAnalysis
+from caisse.session import ensure_checkpoint_dir
 from caisse.sources.files import ROW_ID
 
 # ---------------------------------------------------------------------------
@@ -38,15 +39,24 @@ NAME_MISSING = "Non renseigne"
 TEXT_LINES_MAX = 8
 
 
-def export_rows(df: DataFrame) -> DataFrame:
-    """Rows as a CSV export shows them: dates ``yyyy-MM-dd`` when every time is midnight."""
+def export_rows(df: DataFrame, refuse_empty: bool = False) -> DataFrame:
+    """Rows as a CSV export shows them: dates ``yyyy-MM-dd`` when every time is midnight.
+
+    One aggregate over the timestamp columns looks for a time of day; with
+    ``refuse_empty`` it also is the empty-export guard (S13).
+    """
     ts_cols = [c for c, t in df.dtypes if t.startswith("timestamp")]
     date_only: dict[str, bool] = {}
     if ts_cols:
         row = df.agg(
-            *[F.count_if(F.date_format(F.col(c), "HH:mm:ss.SSSSSS") != "00:00:00.000000").alias(c) for c in ts_cols]
+            F.count(F.lit(1)).alias("_n"),
+            *[F.count_if(F.date_format(F.col(f"`{c}`"), "HH:mm:ss.SSSSSS") != "00:00:00.000000").alias(f"t{i}") for i, c in enumerate(ts_cols)]
         ).first()
-        date_only = {c: row[c] == 0 for c in ts_cols}
+        date_only = {c: row[f"t{i}"] == 0 for i, c in enumerate(ts_cols)}
+        if refuse_empty and not row["_n"]:
+            raise ValueError(EMPTY_EXPORT)
+    elif refuse_empty:
+        ensure_not_empty(df)
     exprs = []
     for c in df.columns:
         if c == ROW_ID:
@@ -61,43 +71,49 @@ def export_rows(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """The filtered rows as CSV with a header (one folder of part files)."""
-    export_rows(ensure_not_empty(df)).write.mode("overwrite").option("header", True).csv(path)
+    export_rows(df, refuse_empty=True).write.mode("overwrite").option("header", True).csv(path)
 
 
 class Report:
-    """All report tables of one cleaned dataset under a filter map."""
+    """All report tables of one cleaned dataset under a filter map.
+
+    The tables that are written together (``tables``) come from one row,
+    ``record``: it is computed by one aggregate over the cleaned rows, which
+    also counts the rows outside the selection, and written once.
+    """
 
     def __init__(self, cleaned: DataFrame, filters: dict[str, str] | None = None):
         self.cleaned = cleaned
         self.filtered = apply_filters(cleaned, filters)
         self.analysis = SalesAnalysis(self.filtered.drop(ROW_ID) if ROW_ID in self.filtered.columns else self.filtered)
+        everything = cleaned.drop(ROW_ID) if ROW_ID in cleaned.columns else cleaned
+        self.counted = SalesAnalysis(everything, selected=filter_predicate(everything, filters or {}))
 
     def summary(self) -> DataFrame:
         a = self.analysis
         return dashboard_fold(a.measures, a.aggregate)
 
-    def resume(self) -> DataFrame:
-        """One row of counts and KPIs."""
-        total = self.cleaned.agg(F.count(F.lit(1)).alias("lignes_totales"))
+    def _resume(self, fold: DataFrame) -> DataFrame:
         cols = len([c for c in self.filtered.columns if c != ROW_ID])
-        dash = dashboard_fold(self.analysis.measures, self.analysis.aggregate).select(
+        return fold.select(
             F.col("row_count").alias("lignes_filtrees"),
-            F.lit(cols).alias("colonnes"),
+            F.col("total_row_count").alias("lignes_totales"),
+            F.lit(cols).cast("int").alias("colonnes"),
             F.col("revenue_total").alias("chiffre_affaires"),
             F.col("margin_total").alias("marge"),
             F.col("margin_rate").alias("taux_marge"),
             F.col("client_count").alias("clients"),
             F.col("product_count").alias("produits"),
         )
-        merged = ins.merge_rows(dash, total)
-        return merged.select(
-            F.col("lignes_filtrees").cast("long").alias("lignes_filtrees"),
-            F.col("lignes_totales").cast("long").alias("lignes_totales"),
-            F.col("colonnes").cast("int").alias("colonnes"),
-            "chiffre_affaires", "marge", "taux_marge",
-            F.col("clients").cast("long").alias("clients"),
-            F.col("produits").cast("long").alias("produits"),
-        )
+
+    def resume(self) -> DataFrame:
+        """One row of counts and KPIs, from one pass over the table."""
+        return self._resume(dashboard_fold(self.counted.measures, self.counted.aggregate))
+
+    def record(self) -> DataFrame:
+        """The fold and the top lists of the selection, and ``total_row_count`` of the table, in one row."""
+        a = self.counted
+        return ins.merge_rows(dashboard_fold(a.measures, a.aggregate), top_lists(a.aggregate, BAR_ITEMS))
 
     def top(self, dimension: str) -> DataFrame:
         """``(name, value)`` top-5 of a dimension, in rank order column ``rank``."""
@@ -120,11 +136,10 @@ class Report:
 
     def text_lines(self) -> DataFrame:
         """``(section, position, text)`` — first 8 insights, first 8 alerts as ``[severity] message``."""
-        summary = self.summary()
-        i = ins.insights(summary).filter(F.col("position") <= TEXT_LINES_MAX).select(
+        i = ins.insights(self.summary()).filter(F.col("position") <= TEXT_LINES_MAX).select(
             F.lit("insights").alias("section"), "position", "text"
         )
-        a = ins.alerts(summary).filter(F.col("position") <= TEXT_LINES_MAX).select(
+        a = ins.alerts(self.summary()).filter(F.col("position") <= TEXT_LINES_MAX).select(
             F.lit("alertes").alias("section"), "position",
             F.concat(F.lit("["), F.col("severity"), F.lit("] "), F.col("message")).alias("text"),
         )
@@ -136,14 +151,21 @@ class Report:
         return bar_widths(both)
 
     def tables(self) -> dict[str, DataFrame]:
-        """The named report tables."""
-        ensure_not_empty(self.filtered)
+        """The named report tables; all but the rows themselves are read from the one written record."""
+        ensure_checkpoint_dir(self.cleaned.sparkSession)
+        record = self.record().checkpoint()
+        if record.filter("row_count > 0").isEmpty():
+            raise ValueError(EMPTY_EXPORT)
+
+        def top(dimension: str) -> DataFrame:
+            return record.select(F.explode(TOP_LISTS[dimension]).alias("t")).select("t.name", "t.value")
+
         return {
             "donnees_filtrees": export_rows(self.filtered),
-            "resume": self.resume(),
-            "top_clients": self.top("client").select("name", "value"),
-            "top_produits": self.top("product").select("name", "value"),
-            "alertes": self.alerts().select("type", "severity", "status", "message"),
+            "resume": self._resume(record),
+            "top_clients": top("client"),
+            "top_produits": top("product"),
+            "alertes": ins.alerts(record).select("type", "severity", "status", "message"),
         }
 
     def write(self, out_dir: str, fmt: str = "parquet") -> dict[str, str]:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caisse.operators import forecast as fc
@@ -25,22 +25,29 @@ from caisse.roles import forecast_roles, role_map
 
 
 class SalesAnalysis:
-    def __init__(self, df: DataFrame, roles: dict[str, str | None] | None = None):
-        self.df = df
+    def __init__(self, df: DataFrame, roles: dict[str, str | None] | None = None, selected: Column | None = None):
+        self.df, self.selected = df, selected
+        self._persisted: DataFrame | None = None
         self.roles = dict(roles) if roles is not None else role_map(df.columns)
 
     # -- shared aggregate -------------------------------------------------
     @cached_property
     def measures(self) -> Measures:
-        return prepare_measures(self.df, self.roles)
+        return prepare_measures(self.df, self.roles, self.selected)
 
-    @cached_property
+    @property
     def aggregate(self) -> DataFrame:
-        return aggregate_sales(self.measures)
+        """The grouping-sets aggregate, built anew for each reader.
+
+        Two readers of one frame in a plan would get an ``Expand`` that Spark
+        renames for the second of them and then does not recognise; frames
+        built apart compare equal, and the second reader reuses the exchange.
+        """
+        return self._persisted if self._persisted is not None else aggregate_sales(self.measures)
 
     def persist_aggregate(self) -> DataFrame:
-        self.__dict__["aggregate"] = self.aggregate.persist(StorageLevel.MEMORY_AND_DISK)
-        return self.aggregate
+        self._persisted = aggregate_sales(self.measures).persist(StorageLevel.MEMORY_AND_DISK)
+        return self._persisted
 
     # -- dashboard --------------------------------------------------------
     def dashboard(self) -> DataFrame:
@@ -86,7 +93,7 @@ class SalesAnalysis:
         if rev == self.roles.get("revenue") and date == self.roles.get("date"):
             return self.aggregate, True
         roles = dict(self.roles, revenue=rev, date=date)
-        return aggregate_sales(prepare_measures(self.df, roles)), True
+        return aggregate_sales(prepare_measures(self.df, roles, self.selected)), True
 
     def forecast_summary(self) -> DataFrame:
         agg, has_roles = self._forecast_source

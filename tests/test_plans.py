@@ -71,3 +71,30 @@ def test_medians_do_not_use_percentile_aggregates(spark, monkeypatch):
     expected = float(np.median([float(i % 997) for i in range(10_000)]))
     assert exact_medians(df, ["x"], bins=32, collect_limit=100)["x"] == expected
     assert not any("percentile" in s or "median" in s for s in seen)
+
+
+def executed(df) -> str:
+    """The final adaptive plan of a frame that has run; a reused exchange stands there without its subtree."""
+    df.collect()
+    plan = physical(df)
+    assert "isFinalPlan=true" in plan
+    return plan.split("== Initial Plan ==")[0]
+
+
+@pytest.mark.parametrize("name", ["n_answers", "n_answer_table", "k20_full_dashboard", "s10_resume", "s11_kpi_lines", "s11_text_lines", "x_text_formats", "a1_insights"])
+def test_one_line_item_scan_and_one_expand(spark, qs, name):
+    plan = executed(qs[name](spark, SF001))
+    assert len(re.findall(r"FileScan parquet \[l_", plan)) == 1
+    assert len(re.findall(r"\bExpand \[", plan)) == 1
+
+
+def test_report_tables_come_from_one_written_row(spark, monkeypatch):
+    from caisse.plans import report
+    from caisse.sources.starschema import sales_view
+
+    built = []
+    monkeypatch.setattr(report, "dashboard_fold", lambda m, agg, f=report.dashboard_fold: built.append(1) or f(m, agg))
+    tables = report.Report(sales_view(spark, SF001), {"ville": "NATION_7"}).tables()
+    assert built == [1]
+    for name in ("resume", "top_clients", "top_produits", "alertes"):
+        assert "FileScan" not in physical(tables[name]), name
