@@ -8,15 +8,16 @@ aggregate over all columns at once, never one job per column:
 job 1 dedup (``groupBy(all columns)`` keeping the first ``_row_id``)
 job 2 one ``agg``: row count, non-null counts, first non-null value of
       date-named columns, numeric-parse counts of text columns and the
-      count / min / max of every possible median column
+      count and median bracket (quantile sketch) of every possible median column
 job 3 modes with non-null counts (one unpivot + count + top-1; this also
       gives the parsed count of date columns) and medians
-      (``exact_medians``: bounded histogram rounds from the job-2 bounds)
+      (``exact_medians``: ranks inside the job-2 brackets)
 ===== ==================================================================
 
-The result is a lazy ``select`` over the deduplicated table, which is
-persisted (or checkpointed into ``spark.checkpoint.dir``) because the
-statistics jobs and the caller all read it.
+The result is a lazy ``select`` over the deduplicated table, which is written
+to ``spark.checkpoint.dir`` (or persisted on demand; the caller then releases
+``CleaningReport.raw_groups``) because the statistics jobs and the caller all
+read it. NaN is missing from the start, whatever the table was read with.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caisse.functions.text import unicode_strip
-from caisse.operators.stats import exact_medians, modes_with_counts
+from caisse.operators.stats import exact_medians, median_bracket, modes_with_counts
 from caisse.roles import normalize_columns
 from caisse.session import ensure_checkpoint_dir
 from caisse.sources.files import ROW_ID, cast_text, is_float_text, is_int_text
@@ -130,20 +131,26 @@ class CleaningReport:
     numeric_casts: dict[str, str] = field(default_factory=dict)
     dropped: list[str] = field(default_factory=list)
     fills: dict[str, object] = field(default_factory=dict)
-    # Deduplicated raw rows with their copy counts (persisted): the raw
-    # table's statistics are folded from it (``profile.group_stats``).
+    # Deduplicated raw rows with their copy counts (written or persisted): the
+    # raw table's statistics are folded from it (``profile.group_stats``).
     raw_groups: DataFrame | None = None
 
 
 def rename(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """C1 on every column but ``_row_id``."""
+    """C1 on every column but ``_row_id``; NaN becomes null."""
     cols = [c for c in df.columns if c != ROW_ID]
     names = normalize_columns(cols)
     mapping = dict(zip(cols, names))
-    exprs = [F.col(f"`{c}`").alias(mapping[c]) if c != ROW_ID else F.col(ROW_ID) for c in df.columns]
+    exprs = [_not_nan(df, c).alias(mapping[c]) if c != ROW_ID else F.col(ROW_ID) for c in df.columns]
     return df.select(*exprs), mapping
 
 
+def _not_nan(df: DataFrame, c: str) -> Column:
+    """The column with null for NaN."""
+    col = F.col(f"`{c}`")
+    return F.when(~F.isnan(col), col) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else col
+
+
 COPIES = "_copies"
 
 
@@ -187,7 +194,7 @@ def _materialize(df: DataFrame, how: str | None) -> DataFrame:
     return df
 
 
-def clean(df: DataFrame, materialize: str | None = "persist") -> tuple[DataFrame, CleaningReport]:
+def clean(df: DataFrame, materialize: str | None = "checkpoint") -> tuple[DataFrame, CleaningReport]:
     """The whole cleaning; returns the cleaned table (with ``_row_id``) and a report."""
     report = CleaningReport()
     if ROW_ID not in df.columns:
@@ -216,8 +223,7 @@ def clean(df: DataFrame, materialize: str | None = "persist") -> tuple[DataFrame
         col = F.col(f"`{c}`")
         is_float = is_float_text(col)
         proj += [is_float.alias(f"num{i}"), is_int_text(col, is_float).alias(f"int{i}")]
-    # Count / min / max of every column that may need a median, so the median
-    # search starts from these bounds without another pass.
+    # The bracket of every column that may need a median comes from the same pass.
     as_number = {c: F.when(F.col(f"num{i}"), cast_text(F.col(f"`{c}`"), "double")) for i, c in enumerate(text)}
     as_number.update({c: F.col(f"`{c}`").cast("double") for c in numeric_in})
     median_names = list(as_number)
@@ -231,14 +237,12 @@ def clean(df: DataFrame, materialize: str | None = "persist") -> tuple[DataFrame
              for i in range(len(date_text))]
     for i in range(len(text)):
         aggs += [F.count_if(F.col(f"num{i}")).alias(f"num{i}"), F.count_if(F.col(f"int{i}")).alias(f"int{i}")]
-    for i in range(len(median_names)):
-        v = F.col(f"v{i}")
-        aggs += [F.count(v).alias(f"mn{i}"), F.min(v).alias(f"mlo{i}"), F.max(v).alias(f"mhi{i}")]
+    aggs += [median_bracket(F.col(f"v{i}")).alias(f"m{i}") for i in range(len(median_names))]
     stats = number_values.agg(*aggs).first()
     n = stats["_n"]
     report.rows_in = n
     nonnull = {c: stats[f"nn{i}"] for i, c in enumerate(cols)}
-    bounds = {c: (stats[f"mn{i}"], stats[f"mlo{i}"], stats[f"mhi{i}"]) for i, c in enumerate(median_names)}
+    brackets = {c: tuple(stats[f"m{i}"]) for i, c in enumerate(median_names)}
 
     conv: dict[str, Column] = {}
     for i, c in enumerate(date_text):
@@ -262,7 +266,7 @@ def clean(df: DataFrame, materialize: str | None = "persist") -> tuple[DataFrame
     typed_schema = {f.name: f.dataType for f in typed_all.schema.fields}
 
     # -- job 3: modes (and parsed counts of date columns), medians ---------
-    mode_cols = [c for c in cols if not isinstance(typed_schema[c], (T.NumericType, T.BooleanType))
+    mode_cols = [c for c in cols if not isinstance(typed_schema[c], T.NumericType)
                  and (nonnull[c] is None or 0 < nonnull[c] < n)]
     mode_info = modes_with_counts(typed_all, mode_cols)
     for c in date_text:
@@ -276,8 +280,9 @@ def clean(df: DataFrame, materialize: str | None = "persist") -> tuple[DataFrame
     # -- C8 / C9: fills for the columns that still have nulls --------------
     need = [c for c in keep if nonnull[c] < n]
     numeric = [c for c in need if isinstance(typed_schema[c], T.NumericType)]
-    other = [c for c in need if c not in numeric and not isinstance(typed_schema[c], T.BooleanType)]
-    medians = exact_medians(typed, numeric, bounds={c: bounds[c] for c in numeric if c in bounds} or None)
+    # Truth values with nulls are filled like text, by their mode (false on ties).
+    other = [c for c in need if c not in numeric]
+    medians = exact_medians(typed, numeric, brackets={c: brackets[c] for c in numeric if c in brackets} or None)
     fills: dict[str, Column] = {}
     for c in numeric:
         if medians[c] is not None:
@@ -293,5 +298,5 @@ def clean(df: DataFrame, materialize: str | None = "persist") -> tuple[DataFrame
     return cleaned, report
 
 
-def clean_frame(df: DataFrame, materialize: str | None = "persist") -> DataFrame:
+def clean_frame(df: DataFrame, materialize: str | None = "checkpoint") -> DataFrame:
     return clean(df, materialize)[0]

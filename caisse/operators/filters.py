@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from caisse.functions.text import date_display, natural_key, number_text
 from caisse.operators.measures import as_text, as_timestamp
+from caisse.operators.ranking import SortedTable
 from caisse.roles import role_map
 
 # ---------------------------------------------------------------------------
@@ -126,26 +127,35 @@ def search(df: DataFrame, query: str, columns: list[str] | None = None) -> DataF
     return df.filter(hit)
 
 
-def sort_rows(df: DataFrame, column: str, ascending: bool = True, tie_break: list[str] | None = None) -> DataFrame:
-    """F8: sort on the typed column (numbers numerically), text with the French
-    collation and its digit runs as numbers (``a9`` before ``a10``)."""
-    dtype = df.schema[column].dataType
+def sort_keys(df: DataFrame, column: str, ascending: bool = True, tie_break: list[str] | None = None) -> list[tuple[Column, bool]]:
+    """F8: (key, ascending) pairs that sort on the typed column (numbers numerically), text with
+    the French collation and its digit runs as numbers (``a9`` before ``a10``); ties ascend by ``tie_break``."""
     c = F.col(f"`{column}`")
-    keys = [F.collate(natural_key(c), "fr"), F.collate(c, "fr")] if isinstance(dtype, T.StringType) else [c]
-    order = [key.asc_nulls_first() if ascending else key.desc_nulls_last() for key in keys]
-    order += [F.col(f"`{c}`").asc_nulls_first() for c in (tie_break or []) if c != column]
-    return df.orderBy(*order)
+    text = isinstance(df.schema[column].dataType, T.StringType)
+    keys = [F.collate(natural_key(c), "fr"), F.collate(c, "fr")] if text else [c]
+    return [*[(key, ascending) for key in keys], *[(F.col(f"`{c}`"), True) for c in (tie_break or []) if c != column]]
+
+
+def sort_rows(df: DataFrame, column: str, ascending: bool = True, tie_break: list[str] | None = None) -> DataFrame:
+    """F8 on the whole table."""
+    return df.orderBy(*[k.asc_nulls_first() if up else k.desc_nulls_last() for k, up in sort_keys(df, column, ascending, tie_break)])
+
+
+def sorted_table(df: DataFrame, column: str, ascending: bool = True, tie_break: list[str] | None = None, path: str | None = None) -> SortedTable:
+    """F8 + F9 at any page: the table written once in range partitions of the sort order, with a rank index."""
+    return SortedTable.write(df, sort_keys(df, column, ascending, tie_break), path)
 
 
 def page(sorted_df: DataFrame, number: int, size: int = PAGE_SIZE) -> DataFrame:
-    """rows of page ``number`` (1-based) of an ordered frame (top-(n*size) per partition)."""
+    """rows of page ``number`` (1-based) of an ordered frame. For the first pages: one task gathers
+    the rows of all pages up to this one; ``sorted_table`` reads far pages."""
     number = max(1, int(number))
     return sorted_df.offset((number - 1) * size).limit(size)
 
 
-def page_count(n_rows: Column, size: int = PAGE_SIZE) -> Column:
+def page_count(n_rows: int, size: int = PAGE_SIZE) -> int:
     """``max(1, ceil(n / size))``."""
-    return F.greatest(F.lit(1), F.ceil(n_rows / F.lit(size))).cast("long")
+    return max(1, -(-n_rows // size))
 
 
 def ensure_not_empty(df: DataFrame) -> DataFrame:

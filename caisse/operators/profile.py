@@ -8,11 +8,14 @@ both into one row without joins.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caisse.operators.measures import as_text, as_timestamp
 from caisse.sources.files import ROW_ID
 
 # ---------------------------------------------------------------------------
@@ -62,25 +65,18 @@ def _is_missing(df: DataFrame, c: str) -> Column:
 def column_profile(df: DataFrame, distinct: str = "exact") -> DataFrame:
     """Q3, Q4, Q10, Q11, Q15: ``(column, position, type, type_label, missing, missing_rate, unique)``.
 
-    ``distinct='approx'`` swaps the exact distinct counts (one shuffle of all
-    values) for HyperLogLog sketches (no value shuffle).
+    The exact counts come from one narrow shuffle of distinct (column, value)
+    pairs; ``distinct='approx'`` swaps them for HyperLogLog sketches.
     """
     cols = _data_cols(df)
     if not cols:
         return df.sparkSession.createDataFrame(
             [], "column string, position int, type string, type_label string, missing long, missing_rate double, unique long"
         )
-    aggs: list[Column] = [F.count(F.lit(1)).alias("_n")]
-    for i, c in enumerate(cols):
-        col = F.col(f"`{c}`")
-        value = F.when(~_is_missing(df, c), col)
-        aggs.append(F.count_if(_is_missing(df, c)).alias(f"m{i}"))
-        aggs.append((F.count_distinct(value) if distinct == "exact" else F.approx_count_distinct(value)).alias(f"u{i}"))
-    wide = df.agg(*aggs)
-    stack = ", ".join(
-        f"{i}, '{c.replace(chr(39), chr(39) * 2)}', '{dtype_name(df.schema[c].dataType)}', m{i}, u{i}" for i, c in enumerate(cols)
-    )
-    long = wide.selectExpr("_n", f"stack({len(cols)}, {stack}) AS (position, column, type, missing, unique)")
+    counts = _exact_counts(df, cols) if distinct == "exact" else _sketched_counts(df, cols)
+    known = F.broadcast(df.sparkSession.createDataFrame(
+        [(i, c, dtype_name(df.schema[c].dataType)) for i, c in enumerate(cols)], "position int, column string, type string"))
+    long = known.join(counts, "position", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("_n", "missing", "unique")})
     label = F.lit(None).cast("string")
     for t in sorted({dtype_name(df.schema[c].dataType) for c in cols}):
         label = F.when(F.col("type") == t, F.lit(type_label(t))).otherwise(label)
@@ -96,6 +92,34 @@ def column_profile(df: DataFrame, distinct: str = "exact") -> DataFrame:
     )
 
 
+def _value_text(df: DataFrame, c: str) -> Column:
+    """Text that tells the values of a column apart as grouping does; null where the value is missing."""
+    col, dtype = F.col(f"`{c}`"), df.schema[c].dataType
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        col = col + F.lit(0.0).cast(dtype)  # one zero
+    text = F.hex(col) if isinstance(dtype, T.BinaryType) else col.cast("string") if isinstance(dtype, T.AtomicType) else F.to_json(F.struct(col))
+    return F.when(~_is_missing(df, c), text)
+
+
+def _exact_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(position, _n, missing, unique): every row becomes one narrow (column, value) row per column; equal
+    ones are counted in the map tasks, then grouped once, and the groups are counted per column."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("position"), _value_text(df, c).alias("v")) for i, c in enumerate(cols)]))
+    counted = df.select(pairs.alias("p")).groupBy("p.position", "p.v").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("position").agg(
+        F.sum("n").alias("_n"), F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("missing"), F.count("v").alias("unique"))
+
+
+def _sketched_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """As ``_exact_counts``, with HyperLogLog sketches in one aggregate without a shuffle of values."""
+    aggs: list[Column] = [F.count(F.lit(1)).alias("_n")]
+    for i, c in enumerate(cols):
+        aggs.append(F.count_if(_is_missing(df, c)).alias(f"m{i}"))
+        aggs.append(F.approx_count_distinct(F.when(~_is_missing(df, c), F.col(f"`{c}`"))).alias(f"u{i}"))
+    stack = ", ".join(f"{i}, m{i}, u{i}" for i in range(len(cols)))
+    return df.agg(*aggs).selectExpr("_n", f"stack({len(cols)}, {stack}) AS (position, missing, unique)")
+
+
 def group_stats(groups: DataFrame, copies: str = "_copies") -> DataFrame:
     """``table_stats`` of a table given as its distinct rows with copy counts.
 
@@ -131,17 +155,47 @@ def _stats_row(folded: DataFrame, n_cols: int) -> DataFrame:
 def table_stats(df: DataFrame) -> DataFrame:
     """Q1, Q5-Q8 as one row: rows, columns, missing_total, missing_ratio, duplicate_count, duplicate_ratio.
 
-    One pass: rows are grouped on all columns (duplicates merged map-side),
-    and every count is folded from the groups — row count = sum of group
-    sizes, duplicates = sum of (size - 1), missing values of a column = sum of
-    the sizes of groups where it is missing.
+    One pass: every row is reduced to its fingerprint and the bit mask of its
+    missing values, equal ones are merged in the map tasks, and every count is
+    folded from the groups. The width of the rows does not reach the shuffle.
     """
     cols = _data_cols(df)
-    if cols:
-        groups = df.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count(F.lit(1)).alias("_k"))
-    else:  # a table without columns: all its rows are copies of the empty row
+    if not cols:  # a table without columns: all its rows are copies of the empty row
         groups = df.groupBy().agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") > 0)
-    return group_stats(groups, "_k")
+        return group_stats(groups, "_k")
+    masks = missing_masks(df, cols)
+    keys = [f"_m{i}" for i in range(len(masks))]
+    rows = df.select(*fingerprint(df, cols, masks), *[m.alias(k) for m, k in zip(masks, keys)])
+    groups = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_k"))
+    folded = groups.agg(
+        F.coalesce(F.sum("_k"), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum(F.col("_k") - 1), F.lit(0)).alias("duplicate_count"),
+        *[F.coalesce(F.sum(F.when(F.col(keys[i // 63]).bitwiseAND(F.lit(1 << i % 63)) != 0, F.col("_k"))), F.lit(0)).alias(f"m{i}") for i in range(len(cols))],
+    )
+    return _stats_row(folded, len(cols))
+
+
+def missing_masks(df: DataFrame, cols: list[str]) -> list[Column]:
+    """A bit per column that is set where its value is missing, 63 columns to a long."""
+    bits = [F.when(_is_missing(df, c), F.lit(1 << i % 63).cast("long")).otherwise(F.lit(0).cast("long")) for i, c in enumerate(cols)]
+    return [reduce(lambda a, b: a.bitwiseOR(b), bits[i : i + 63]) for i in range(0, len(bits), 63)]
+
+
+def fingerprint(df: DataFrame, cols: list[str], masks: list[Column]) -> list[Column]:
+    """Three 64-bit hashes ``_f0`` to ``_f2`` of a row; rows that grouping takes as equal have equal ones.
+
+    Missing values leave a hash as it is, so the masks are hashed too. Among
+    10**12 unlike rows, the chance that any two agree is about 1e-34.
+    """
+    values = [_hashable(df, c) for c in cols]
+    return [F.xxhash64(F.lit(seed).cast("long"), *masks, *values).alias(f"_f{seed}") for seed in range(3)]
+
+
+def _hashable(df: DataFrame, c: str) -> Column:
+    col, dtype = F.col(f"`{c}`"), df.schema[c].dataType
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(col), col + F.lit(0.0).cast(dtype))
+    return col if isinstance(dtype, T.AtomicType) else F.to_json(F.struct(col))
 
 
 def missing_stats(df: DataFrame) -> DataFrame:
@@ -189,7 +243,7 @@ def head_sample(df: DataFrame, n: int = HEAD_DEFAULT) -> DataFrame:
 
 
 def filter_options(df: DataFrame, columns: dict[str, str | None], cap: int = OPTION_CAP) -> DataFrame:
-    """Q13: ``(option, position, value)`` — sorted distinct texts per dimension, first ``cap``.
+    """Q13: ``(option, position, value)`` — sorted distinct texts per dimension, first ``cap``; the texts are those that F1 compares.
 
     One unpivot + distinct + ``row_number() <= cap`` (partial limit before the
     shuffle): the number of distinct values never reaches one task.
@@ -197,7 +251,7 @@ def filter_options(df: DataFrame, columns: dict[str, str | None], cap: int = OPT
     present = [(k, c) for k, c in columns.items() if c and c in df.columns]
     if not present:
         return df.sparkSession.createDataFrame([], "option string, position int, value string")
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("option"), F.col(f"`{c}`").cast("string").alias("value")) for k, c in present]))
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("option"), as_text(df, c).alias("value")) for k, c in present]))
     values = df.select(pairs.alias("p")).select("p.option", "p.value").filter(F.col("value").isNotNull()).distinct()
     w = W.partitionBy("option").orderBy("value")
     return values.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= cap).select(
@@ -209,8 +263,6 @@ def date_range(df: DataFrame, date_col: str | None) -> DataFrame:
     """Q14: ``(date_min, date_max)`` as ISO dates of the parsable values."""
     if not date_col or date_col not in df.columns:
         return df.sparkSession.createDataFrame([(None, None)], "date_min string, date_max string")
-    from caisse.operators.measures import as_timestamp
-
     ts = as_timestamp(df, date_col)
     return df.agg(
         F.date_format(F.min(ts), "yyyy-MM-dd").alias("date_min"), F.date_format(F.max(ts), "yyyy-MM-dd").alias("date_max")

@@ -1,167 +1,83 @@
-"""Exact order statistics and modes for many columns, without single-task collects.
-
-``exact_medians`` finds the exact median (mean of the two middle values for an
-even count) of several numeric columns at once by histogram refinement:
-
-1. one aggregate gives count / min / max per column;
-2. each round unpivots the columns, keeps values inside each column's current
-   bracket, and counts them in ``bins`` equal-width buckets
-   (``groupBy(column, bucket)`` with map-side partial aggregation). Only the
-   histogram — at most ``bins`` rows per column — reaches the driver;
-3. the bucket holding the target rank becomes the new bracket (its actual
-   min/max), and the values below it are added to the rank offset;
-4. a bracket whose values are all equal is resolved at once (this is how a
-   value holding a third of the rows is handled); a bracket holding at most
-   ``collect_limit`` values is fetched and resolved on the driver.
-
-Each round shrinks the bracket by about ``bins``; one or two rounds are usual.
-No task ever holds more than its partition, and the driver at most
-``bins x columns`` histogram rows or ``collect_limit`` values per column.
-
-``modes`` finds the most frequent value per column (ties: smallest value) with
-one unpivot + ``groupBy(column, value).count()`` + a top-1 window, which Spark
-runs with a partial ``WindowGroupLimit`` before the shuffle.
+"""Exact medians and modes for many columns at once, without single-task collects.
+
+``exact_medians`` brackets the median of every column by a mergeable quantile
+sketch (``percentile_approx``, whose rank error is at most n / SKETCH), all
+columns in one aggregate. One grouped count then gives the number of values
+below each bracket and the copies of each value inside it (some 4 / SKETCH of
+the rows, a frequent value being one row per map task), and the target ranks
+are read from a range-partitioned sort of those (``ranking.ranked_values``).
+The number of jobs does not depend on the size. A rank that its bracket does
+not hold would be looked up among all values of the column.
+
+``modes_with_counts`` finds the most frequent value per column (ties: smallest
+value) with one unpivot + ``groupBy(column, value).count()`` + a top-1 window,
+which Spark runs with a partial ``WindowGroupLimit`` before the shuffle.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from caisse.operators.ranking import ranked_values
+
+#: Accuracy of the quantile sketch: its rank error is at most one row in so many.
+SKETCH = 10_000
+
 
 def _unpivot(df: DataFrame, cols: list[str], value_type: str) -> DataFrame:
     """``(cid, v)`` rows for the given columns (nulls dropped)."""
     pairs = F.explode(
-        F.array(*[F.struct(F.lit(i).alias("cid"), F.col(c).cast(value_type).alias("v")) for i, c in enumerate(cols)])
+        F.array(*[F.struct(F.lit(i).alias("cid"), F.col(f"`{c}`").cast(value_type).alias("v")) for i, c in enumerate(cols)])
     )
     return df.select(pairs.alias("p")).select("p.cid", "p.v").filter(F.col("v").isNotNull())
 
 
-MAX_DOUBLE = 1.7976931348623157e308
+def _number(c: str | Column) -> Column:
+    """A value as a double; NaN as null."""
+    d = (F.col(f"`{c}`") if isinstance(c, str) else c).cast("double")
+    return F.when(~F.isnan(d), d)
 
 
-@dataclass
-class _Target:
-    rank: int  # 1-based rank among non-null values
-    lo: float
-    hi: float
-    below: int = 0  # values strictly below the bracket
-    value: float | None = None
+def median_bracket(value: Column) -> Column:
+    """(n, lo, hi) as an aggregate: count, and two values between which the median of the doubles ``value`` lies."""
+    bounds = F.percentile_approx(value, F.array(F.lit(0.5 - 2 / SKETCH), F.lit(0.5 + 2 / SKETCH)), F.lit(SKETCH))
+    return F.struct(F.count(value).alias("n"), bounds[0].alias("lo"), bounds[1].alias("hi"))
 
 
-def exact_medians(df: DataFrame, cols: list[str], bins: int = 4096, collect_limit: int = 50_000,
-                  bounds: dict[str, tuple[int, float | None, float | None]] | None = None) -> dict[str, float | None]:
-    """Exact median of each column (nulls and NaN ignored); None when a column has no value.
+def exact_medians(df: DataFrame, cols: list[str], brackets: dict[str, tuple[int, float | None, float | None]] | None = None) -> dict[str, float | None]:
+    """Exact median of each column (mean of the two middle values; nulls and NaN ignored); None when a column has no value.
 
-    ``bounds`` may give ``(count, min, max)`` per column when the caller already
-    computed them in another aggregate; otherwise one aggregate computes them.
+    ``brackets`` may give the (n, lo, hi) of ``median_bracket`` per column when the
+    caller already computed them in another aggregate.
     """
     if not cols:
         return {}
-    finite = {c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")) for c in cols}
-    if bounds is None or any(c not in bounds for c in cols):
-        row = df.agg(
-            *[F.count(finite[c]).alias(f"n{i}") for i, c in enumerate(cols)],
-            *[F.min(finite[c]).alias(f"lo{i}") for i, c in enumerate(cols)],
-            *[F.max(finite[c]).alias(f"hi{i}") for i, c in enumerate(cols)],
-        ).first()
-        bounds = {c: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(cols)}
-    targets: dict[int, list[_Target]] = {}
-    sizes: dict[int, int] = {}  # values inside each column's current bracket
-    for i, c in enumerate(cols):
-        n, lo, hi = bounds[c]
-        if n:
-            ranks = [(n + 1) // 2] if n % 2 else [n // 2, n // 2 + 1]
-            targets[i] = [_Target(r, float(lo), float(hi)) for r in ranks]
-            sizes[i] = int(n)
-
-    values = _unpivot(df.select(*[finite[c].alias(c) for c in cols]), cols, "double")
-    while True:
-        for ts in targets.values():
-            for t in ts:
-                if t.value is None and t.lo == t.hi:
-                    t.value = t.lo
-        open_cols = {i: [t for t in ts if t.value is None] for i, ts in targets.items()}
-        open_cols = {i: ts for i, ts in open_cols.items() if ts}
-        if not open_cols:
-            break
-        # One bracket per column: the union of its open targets' brackets, and
-        # the number of values below it (from the target with the lowest bound).
-        brackets = {i: (min(t.lo for t in ts), max(t.hi for t in ts)) for i, ts in open_cols.items()}
-        offsets = {i: min(ts, key=lambda t: t.lo).below for i, ts in open_cols.items()}
-        in_bracket: Column = F.lit(False)
-        for i, (lo, hi) in brackets.items():
-            in_bracket = in_bracket | ((F.col("cid") == i) & F.col("v").between(F.lit(lo), F.lit(hi)))
-        scoped = values.filter(in_bracket)
-        small = [i for i in brackets if sizes[i] <= collect_limit]
-        large = [i for i in brackets if sizes[i] > collect_limit]
-        if small:
-            fetched: dict[int, list[float]] = {i: [] for i in small}
-            for r in scoped.filter(F.col("cid").isin(small)).collect():
-                fetched[r["cid"]].append(r["v"])
-            for i in small:
-                vals = sorted(fetched[i])
-                for t in open_cols[i]:
-                    t.value = vals[t.rank - offsets[i] - 1]
-        if large:
-            sizes.update(_refine(scoped.filter(F.col("cid").isin(large)), {i: brackets[i] for i in large},
-                                 {i: open_cols[i] for i in large}, offsets, bins))
-    out: dict[str, float | None] = {}
-    for i, c in enumerate(cols):
-        ts = targets.get(i)
-        out[c] = sum(t.value for t in ts) / len(ts) if ts else None
-    return out
-
-
-def _refine(scoped: DataFrame, brackets: dict[int, tuple[float, float]], open_cols: dict[int, list[_Target]],
-            offsets: dict[int, int], bins: int) -> dict[int, int]:
-    """One histogram round: move each open target into the bucket holding its rank.
-
-    Returns, per column, the number of values inside the new union bracket.
-    """
-    bucket: Column = F.lit(0)
-    v = F.col("v")
-    for i, (lo, hi) in brackets.items():
-        # Both ends have buckets of their own, so the bracket loses at least two
-        # values each round; halves keep the width finite for any two doubles.
-        low, high = (max(-MAX_DOUBLE, min(MAX_DOUBLE, x)) / 2 for x in (lo, hi))
-        width = high - low
-        inner = F.floor((v / 2 - F.lit(low)) / F.lit(width) * bins).cast("int") if width > 0 else F.lit(0)
-        inner = F.least(F.greatest(inner, F.lit(0)), F.lit(bins - 1))
-        b = F.when(v == F.lit(lo), F.lit(-1)).when(v == F.lit(hi), F.lit(bins)).otherwise(inner)
-        bucket = F.when(F.col("cid") == i, b).otherwise(bucket)
-    hist = (
-        scoped.select("cid", "v", bucket.alias("b"))
-        .groupBy("cid", "b")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"))
-        .collect()
-    )
-    per: dict[int, list] = {}
-    for r in hist:
-        per.setdefault(r["cid"], []).append(r)
-    sizes: dict[int, int] = {}
-    for i, rows in per.items():
-        rows.sort(key=lambda r: r["b"])
-        hit_buckets = []
-        for t in open_cols[i]:
-            acc = offsets[i]
-            for r in rows:
-                if t.rank <= acc + r["n"]:
-                    t.lo, t.hi, t.below = float(r["mn"]), float(r["mx"]), acc
-                    hit_buckets.append(r["b"])
-                    break
-                acc += r["n"]
-        lo_b, hi_b = min(hit_buckets), max(hit_buckets)
-        sizes[i] = sum(r["n"] for r in rows if lo_b <= r["b"] <= hi_b)
-    return sizes
-
-
-def modes(df: DataFrame, cols: list[str]) -> dict[str, str | None]:
-    """Most frequent non-null value of each column as text (ties: smallest text)."""
-    return {c: m for c, (m, _n) in modes_with_counts(df, cols).items()}
+    if brackets is None or any(c not in brackets for c in cols):
+        row = df.select(*[_number(c).alias(f"v{i}") for i, c in enumerate(cols)]).agg(*[median_bracket(F.col(f"v{i}")).alias(f"b{i}") for i in range(len(cols))]).first()
+        brackets = {c: tuple(row[f"b{i}"]) for i, c in enumerate(cols)}
+    ranks = {i: sorted({(n + 1) // 2, n // 2 + 1}) for i, c in enumerate(cols) if (n := brackets[c][0])}
+    bounds = {i: brackets[cols[i]][1:] for i in ranks}
+    found: dict[int, dict[int, float]] = {}
+    values = _unpivot(df.select(*[_number(c).alias(c) for c in cols]), cols, "double")
+    while ranks:
+        found |= ranked_values(_bracketed(values, bounds), ranks)
+        # A value of null stands for those below the bracket, no value for those above it.
+        ranks = {i: r for i, r in ranks.items() if any(found.get(i, {}).get(k) is None for k in r)}
+        bounds = {i: (None, None) for i in ranks}
+    return {c: sum(found[i].values()) / len(found[i]) if i in found else None for i, c in enumerate(cols)}
+
+
+def _bracketed(values: DataFrame, bounds: dict[int, tuple[float | None, float | None]]) -> DataFrame:
+    """(cid, v, n): copies of each value inside its column's bounds, and as null of those below."""
+    below, above = F.lit(False), F.lit(True)
+    for i, (lo, hi) in bounds.items():
+        mine = F.col("cid") == i
+        below = F.when(mine, F.col("v") < F.lit(lo) if lo is not None else F.lit(False)).otherwise(below)
+        above = F.when(mine, F.col("v") > F.lit(hi) if hi is not None else F.lit(False)).otherwise(above)
+    inside = values.filter(~above).select("cid", F.when(~below, F.col("v")).alias("v"))
+    return inside.groupBy("cid", "v").agg(F.count(F.lit(1)).alias("n"))
 
 
 def modes_with_counts(df: DataFrame, cols: list[str]) -> dict[str, tuple[str | None, int]]:

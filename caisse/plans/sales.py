@@ -15,13 +15,14 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caisse.operators import assistant as qa
 from caisse.operators import forecast as fc
 from caisse.operators.insights import merge_rows
 from caisse.operators.kpis import (
     TOP_LISTS, aggregate_sales, dashboard_fold, dashboard_row, month_deltas, monthly_revenue, top_k, top_lists,
 )
 from caisse.operators.measures import Measures, prepare_measures
-from caisse.roles import forecast_roles, role_map
+from caisse.roles import assistant_roles, forecast_roles, role_map
 
 
 class SalesAnalysis:
@@ -116,3 +117,36 @@ class SalesAnalysis:
 
     def model_row(self) -> DataFrame:
         return self.forecast_summary().drop("_points", "_has_history")
+
+
+#: Assistant role key -> dimension of the top lists.
+ASSISTANT_DIMENSIONS = {"client": "client", "produit": "product", "ville": "city", "canal": "channel", "vendeur": "seller"}
+
+
+def stored_answers(record: DataFrame, cleaned: DataFrame | None) -> DataFrame:
+    """N2-N6 as the assistant answers about a stored dataset: ``(intent, answer)``.
+
+    Totals, counts and months are those of the stored dashboard ``record``
+    (``dashboard_record``). Rankings are taken afresh from the ``cleaned``
+    rows, under the assistant's own roles; a dimension that gives none there
+    (no such column, no revenue, no rows, no table) falls back on the stored
+    list.
+    """
+    item = "struct<dimension:string,rank:int,name:string,value:double>"
+
+    def listed(dim: str, key: str):
+        return F.transform(F.col(key), lambda x, i: F.struct(
+            F.lit(dim).alias("dimension"), (i + 1).cast("int").alias("rank"), x["name"].alias("name"), x["value"].alias("value")))
+
+    stored = F.concat(*[listed(dim, key) for dim, key in TOP_LISTS.items()])
+    row = record.withColumns({"months": F.col("monthly_evolution"), "_stored": stored.cast(f"array<{item}>")})
+    if cleaned is None:
+        row = row.withColumn("_fresh", F.array().cast(f"array<{item}>"))
+    else:
+        roles = {k: None for k in role_map(cleaned.columns)}
+        found = assistant_roles(cleaned.columns)
+        roles |= {dim: found[key] for key, dim in ASSISTANT_DIMENSIONS.items()} | {"revenue": found["revenue"]}
+        fresh = top_k(aggregate_sales(prepare_measures(cleaned, roles)), 5, round_values=False)
+        row = merge_rows(row, fresh.agg(F.collect_list(F.struct("dimension", "rank", "name", "value")).alias("_fresh")))
+    rest = F.filter("_stored", lambda s: ~F.exists("_fresh", lambda f: f["dimension"] == s["dimension"]))
+    return qa.answers(row.withColumn("tops", F.concat("_fresh", rest)))

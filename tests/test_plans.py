@@ -54,7 +54,7 @@ def test_no_window_over_the_fact_table_in_forecast_and_answers(spark, qs):
         assert "Window [" not in plan or name == "n_answer_table" and "row_number" in plan, name
 
 
-def test_medians_do_not_use_percentile_aggregates(spark, monkeypatch):
+def test_medians_do_not_use_exact_percentile_aggregates(spark, monkeypatch):
     from pyspark.sql import DataFrame
 
     seen = []
@@ -69,8 +69,9 @@ def test_medians_do_not_use_percentile_aggregates(spark, monkeypatch):
     import numpy as np
 
     expected = float(np.median([float(i % 997) for i in range(10_000)]))
-    assert exact_medians(df, ["x"], bins=32, collect_limit=100)["x"] == expected
-    assert not any("percentile" in s or "median" in s for s in seen)
+    assert exact_medians(df, ["x"])["x"] == expected
+    # The sketch only brackets; no aggregate buffers the values of a column in one task.
+    assert not any(re.search(r"\b(percentile|median)\(", s) for s in seen)
 
 
 def executed(df) -> str:
