@@ -1,8 +1,9 @@
 """Chat formatting in budgeted windows, with DataFrame functions only.
 
-Prefix sums of turn tokens cut each conversation into turn-aligned spans. A
-window holds the system turn, a limited history of the turns before its span,
-and the span. The loss mask covers the assistant turns of the span; repeated
+Running sums of turn tokens cut each conversation into turn-aligned spans: each
+is the longest run of turns that fits. A window holds the system turn, a
+limited history of the turns before its span, and the span; all three count in
+its budget. The loss mask covers the assistant turns of the span; repeated
 turns are masked out, so every assistant text is a target exactly once.
 """
 
@@ -14,9 +15,11 @@ from pyspark.sql import functions as F
 
 from caisse.llm.common import require
 
-#: Tokens of the turns of one span and of the history repeated before it.
+#: Tokens of one window, and of the history repeated in it at most.
 SPAN = 1024
 HISTORY = 256
+#: Turns that are cut into spans together; a span ends with them, so no array grows with a conversation.
+CHUNK = 1024
 
 #: Turn marks of the template (fixed values): <|turn|>role, line feed, text, <|end|>, line feed.
 TURN, END = "<|turn|>", "<|end|>"
@@ -38,13 +41,42 @@ def _tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\w+|[^\w\s]")).cast("long") + 4
 
 
+def _spans(rows: DataFrame, span: int, history: int) -> DataFrame:
+    """``rows`` (conv_id, seq, lead, role, body, t, system) with window, the number of their span.
+
+    A span takes turns as long as their tokens fit beside the system turn and,
+    but for the first, the history. Within CHUNK turns the running sum decides;
+    spans of later chunks are numbered after those of earlier ones.
+    """
+    turn = F.struct("seq", "lead", "role", "body", "t")
+    chunks = rows.groupBy("conv_id", F.expr(f"(seq - 1) div {CHUNK}").alias("chunk")).agg(F.sort_array(F.collect_list(turn)).alias("turns"), F.max("system").alias("system"))
+
+    def step(s, x):
+        first = (F.col("chunk") == 0) & (s["k"] == 0)
+        room = F.lit(span).cast("long") - F.col("system") - F.when(first, 0).otherwise(history)
+        more = (s["n"] > 0) & (s["acc"] + x["t"] > room)
+        k = F.when(more, s["k"] + 1).otherwise(s["k"])
+        # A turn without tokens of its own (the system turn) does not fill a span.
+        n = F.when(more, 0).otherwise(s["n"]) + F.when(x["lead"], 0).otherwise(1)
+        return F.struct(k.alias("k"), n.alias("n"), (F.when(more, 0).otherwise(s["acc"]) + x["t"]).alias("acc"), F.concat(s["ks"], F.array(k)).alias("ks"))
+
+    start = F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("acc"), F.array().cast("array<int>").alias("ks"))
+    cut = chunks.withColumn("ks", F.aggregate("turns", start, step, lambda s: s["ks"]))
+    earlier = F.coalesce(F.sum(F.expr("element_at(ks, -1) + 1")).over(W.partitionBy("conv_id").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cut = cut.withColumn("earlier", earlier)
+    return cut.select("conv_id", "system", "earlier", F.explode(F.arrays_zip("turns", "ks")).alias("x")).select(
+        "conv_id", "x.turns.*", "system", (F.col("earlier") + F.col("x.ks")).cast("long").alias("window"))
+
+
 def format_windows(turns: DataFrame, span: int = SPAN, history: int = HISTORY) -> DataFrame:
     """(conv_id, window, formatted, n_repeated, loss) per window of each conversation.
 
     ``turns`` has conv_id, turn, role, text. n_repeated: leading turns of the
     window that an earlier window held; loss: (start, length) in code points
-    of each target inside ``formatted``. A span holds the turns whose token
-    offset falls into it, so a long turn may exceed it, and no turn is cut.
+    of each target inside ``formatted``. The turns of a window have at most
+    ``span`` tokens, by the estimate of ``_tokens``, unless its system turn and
+    a single turn have more; no turn is cut. Up to ``history`` of them are
+    repeated turns, as far as the span leaves room.
     Null text and role are empty; a null conv_id is one conversation; turns of
     equal number go by role, then text; repeated rows are turns of their own.
     Other columns are ignored.
@@ -54,13 +86,15 @@ def format_windows(turns: DataFrame, span: int = SPAN, history: int = HISTORY) -
     order = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "body")
     rows = rows.withColumn("seq", F.row_number().over(order)).withColumn("lead", (F.col("seq") == 1) & (F.col("role") == "system"))
     rows = rows.withColumn("t", F.when(F.col("lead"), 0).otherwise(_tokens(F.col("body"))))
+    system = F.coalesce(F.max(F.when(F.col("lead"), _tokens(F.col("body")))).over(W.partitionBy("conv_id")), F.lit(0))
+    rows = _spans(rows.withColumn("system", system), span, history)
     upto = F.sum("t").over(W.partitionBy("conv_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("upto", upto).withColumn("window", F.expr(f"(upto - t) div {span}"))
-    # A span's last prefix sum is where the next one begins.
-    of = W.partitionBy("conv_id", "window")
-    rows = rows.withColumns({"border": F.max("upto").over(of), "all": F.max("upto").over(W.partitionBy("conv_id"))})
-    again = ~F.col("lead") & (F.col("border") < F.col("all")) & (F.col("border") - (F.col("upto") - F.col("t")) <= history)
-    rows = rows.withColumn("at", F.when(again, F.array("window", F.expr(f"border div {span}"))).otherwise(F.array("window")))
+    # A span's last prefix sum is where the next one begins, whose tokens leave room for some history.
+    ahead = F.sum("t").over(W.partitionBy("conv_id").orderBy("window").rangeBetween(1, 1))
+    rows = rows.withColumns({"upto": upto, "ahead": ahead}).withColumn("border", F.max("upto").over(W.partitionBy("conv_id", "window")))
+    room = F.least(F.lit(history), F.lit(span) - F.col("system") - F.col("ahead"))
+    again = ~F.col("lead") & F.col("ahead").isNotNull() & (F.col("border") - (F.col("upto") - F.col("t")) <= room)
+    rows = rows.withColumn("at", F.when(again, F.array("window", F.col("window") + 1)).otherwise(F.array("window")))
     placed = rows.select("conv_id", "seq", "lead", "role", "body", F.col("window").alias("own"), F.explode("at").alias("window"))
     system = rows.filter("lead").select(F.col("conv_id").alias("c"), F.col("role").alias("sys_role"), F.col("body").alias("sys_body"))
     mark = F.concat(F.lit(TURN), escape(F.col("role")), F.lit("\n"), F.col("body"), F.lit(END + "\n"))

@@ -23,6 +23,8 @@ FILE_BYTES = 64 << 20
 #: Ranges closer than GAP are read together, in reads of about READ_BYTES.
 GAP = 64 << 10
 READ_BYTES = 4 << 20
+#: Reads that one task makes, about.
+READS = 16
 #: Smallest payload that is stored as a revisit of an equal one.
 MIN_REVISIT = 100
 
@@ -94,7 +96,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     require(pages, "page_id", "url", "html")
     html = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", html.alias("payload"), F.sha2(html, 256).alias("digest"))
-    first = rows.filter((F.octet_length("payload") >= MIN_REVISIT) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("first_url"), F.count(F.lit(1)).alias("n")).select("digest", "first", "first_url")
+    first = rows.filter((F.octet_length("payload") >= MIN_REVISIT) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("first_url"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first", "first_url")
     rows = rows.join(first, "digest", "left")
 
     def write(batches):
@@ -149,7 +151,11 @@ def read_ranges(selected: DataFrame, gap: int = GAP, read_bytes: int = READ_BYTE
 
 
 def read_archives(selected: DataFrame) -> DataFrame:
-    """The records (columns of RECORD) that the index rows ``selected`` point to."""
+    """The records (columns of RECORD) that the index rows ``selected`` point to, each once however often it is selected.
+
+    Any number of tasks may read one archive. No index rows give no records;
+    a record that does not match its digest stops the job.
+    """
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -167,7 +173,9 @@ def read_archives(selected: DataFrame) -> DataFrame:
                     raw = f.read(end - start)
                 yield pa.RecordBatch.from_pylist([parse(raw[x["offset"] - start : x["offset"] - start + x["length"]]) for x in at], schema=schema)
 
-    ranges = read_ranges(selected)
+    # An index row is small and its record is not: tasks are counted by the bytes they read.
+    size = selected.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
+    ranges = read_ranges(selected).repartition(max(1, -(-size // (READ_BYTES * READS))), "file", "start")
     return ranges.mapInArrow(read, RECORD)
 
 

@@ -2,13 +2,14 @@
 import hashlib
 import io
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from caisse.llm import common, idfiles, merkle, runs
+from caisse.llm import chat, common, idfiles, merkle, runs, warc
 from caisse.llm.catalog import vocabulary_path
 from caisse.llm.idfiles import IdReader, IdWriter, pack_ids, read_ids, unpack_ids, with_bases, write_ids
 from caisse.llm.merkle import leaf_digest, manifest_check, merkle_proofs
@@ -298,3 +299,49 @@ def test_stretches_keep_whole_runs():
     h = np.array([*range(1, 30), *range(1, 30), *[5, 6, 7] * 5], dtype=np.uint64)
     found = runs.stretches(common.mix64(h))
     assert any(a <= 58 and b == len(h) for a, b in found) and all(a >= 50 for a, b in found)
+
+
+# Chat windows and archive reads
+
+
+def tokens(text):
+    return len(re.findall(r"\w+|[^\w\s]", text, re.A)) + 4
+
+
+def test_chat_windows_hold_their_budget(spark, monkeypatch):
+    monkeypatch.setattr(chat, "CHUNK", 16)
+    rng = random.Random(5)
+    rows = [(c, t, "system" if t == 0 and c % 2 else ["user", "assistant"][t % 2], " ".join(["w"] * rng.choice([1, 20, 150, 296, 600, 1500 if c == 5 else 40]))) for c in range(8) for t in range(40)]
+    rows += [(9, t, "user", " ".join(["w"] * 596)) for t in range(8)] + [(10, 0, "system", "s " * 2000), (10, 1, "user", "a"), (10, 2, "assistant", "b")]
+    windows = chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).collect()
+    seen = {}
+    for w in sorted(windows, key=lambda w: (w.conv_id, w.window)):
+        turns = [x for x in w.formatted.split("<|end|>\n") if x]
+        sizes = [tokens(x.split("\n", 1)[1]) for x in turns]
+        fresh = sizes[w.n_repeated :]
+        system = sizes[0] if turns[0].startswith("<|turn|>system") else 0
+        # At most the budget, unless one turn beside the system turn is above it; then nothing is repeated.
+        lone = len(fresh) - (system > 0 and w.window == 0) == 1
+        assert sum(sizes) <= 1024 or (lone and w.n_repeated <= (system > 0)), (w.conv_id, w.window, sizes)
+        assert sum(sizes[: w.n_repeated]) - (system if w.n_repeated else 0) <= 256
+        seen.setdefault(w.conv_id, []).append((fresh, system))
+    for c, of in seen.items():
+        assert sum(len(f) for f, _ in of) == sum(r[0] == c for r in rows)
+        if c < 8 and c != 5:
+            # Spans are the longest that fit, but at the ends of chunks.
+            short = sum(sum(a[0]) + b[0][0] <= 1024 - 256 - b[1] for a, b in zip(of, of[1:]))
+            assert short <= 40 // 16
+    assert [len(f) for f, _ in seen[9]] == [1] * 8
+
+
+def test_archives_are_read_by_tasks_of_bounded_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "READ_BYTES", 2000)
+    monkeypatch.setattr(warc, "READS", 2)
+    rng = random.Random(7)
+    pages = spark.createDataFrame([(k, f"u{k}", "".join(rng.choice("abcdefghij <>") for _ in range(800))) for k in range(200)], "page_id long, url string, html string").repartition(3)
+    index = warc.write_archives(pages, common.shared_folder(spark, "t"))
+    records = warc.read_archives(index)
+    size = index.agg(F.sum("length")).first()[0]
+    assert records.rdd.getNumPartitions() == -(-size // 4000) > 10
+    assert {(r.page_id, bytes(r.payload).decode()) for r in records.collect()} == {(r.page_id, r.html) for r in pages.collect()}
+    assert warc.read_archives(index.filter("page_id < 0")).count() == 0
