@@ -45,27 +45,25 @@ def _spans(rows: DataFrame, span: int, history: int) -> DataFrame:
     """``rows`` (conv_id, seq, lead, role, body, t, system) with window, the number of their span.
 
     A span takes turns as long as their tokens fit beside the system turn and,
-    but for the first, the history. Within CHUNK turns the running sum decides;
-    spans of later chunks are numbered after those of earlier ones.
+    but for the first, the history. The running sum decides within CHUNK turns,
+    over their token counts alone; it notes where spans begin, and a span's
+    number is how many have begun before it in the conversation.
     """
     turn = F.struct("seq", "lead", "role", "body", "t")
     chunks = rows.groupBy("conv_id", F.expr(f"(seq - 1) div {CHUNK}").alias("chunk")).agg(F.sort_array(F.collect_list(turn)).alias("turns"), F.max("system").alias("system"))
-
-    def step(s, x):
-        first = (F.col("chunk") == 0) & (s["k"] == 0)
-        room = F.lit(span).cast("long") - F.col("system") - F.when(first, 0).otherwise(history)
-        more = (s["n"] > 0) & (s["acc"] + x["t"] > room)
-        k = F.when(more, s["k"] + 1).otherwise(s["k"])
-        # A turn without tokens of its own (the system turn) does not fill a span.
-        n = F.when(more, 0).otherwise(s["n"]) + F.when(x["lead"], 0).otherwise(1)
-        return F.struct(k.alias("k"), n.alias("n"), (F.when(more, 0).otherwise(s["acc"]) + x["t"]).alias("acc"), F.concat(s["ks"], F.array(k)).alias("ks"))
-
-    start = F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("acc"), F.array().cast("array<int>").alias("ks"))
-    cut = chunks.withColumn("ks", F.aggregate("turns", start, step, lambda s: s["ks"]))
-    earlier = F.coalesce(F.sum(F.expr("element_at(ks, -1) + 1")).over(W.partitionBy("conv_id").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    cut = cut.withColumn("earlier", earlier)
-    return cut.select("conv_id", "system", "earlier", F.explode(F.arrays_zip("turns", "ks")).alias("x")).select(
-        "conv_id", "x.turns.*", "system", (F.col("earlier") + F.col("x.ks")).cast("long").alias("window"))
+    # The system turn, first of its chunk, has no tokens of its own and begins the first span with the turn after it.
+    chunks = chunks.withColumns({"lone": F.when(F.col("turns")[0]["lead"], 1).otherwise(0), "room": F.lit(span).cast("long") - F.col("system")})
+
+    def step(s, t):
+        room = F.col("room") - F.when((F.col("chunk") == 0) & (F.size(s["starts"]) == 1), 0).otherwise(history)
+        more = (s["i"] > F.element_at(s["starts"], -1) + F.col("lone") * F.when(F.size(s["starts"]) == 1, 1).otherwise(0)) & (s["acc"] + t > room)
+        return F.struct((s["i"] + 1).alias("i"), (F.when(more, 0).otherwise(s["acc"]) + t).alias("acc"), F.when(more, F.concat(s["starts"], F.array(s["i"]))).otherwise(s["starts"]).alias("starts"))
+
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("acc"), F.array(F.lit(0)).alias("starts"))
+    cut = chunks.withColumn("starts", F.aggregate("turns.t", start, step, lambda s: s["starts"]))
+    placed = cut.select("conv_id", "system", "starts", F.posexplode("turns").alias("i", "x")).select("conv_id", "x.*", "system", F.array_contains("starts", F.col("i")).cast("long").alias("begins"))
+    begun = F.sum("begins").over(W.partitionBy("conv_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
+    return placed.withColumn("window", begun - 1).drop("begins")
 
 
 def format_windows(turns: DataFrame, span: int = SPAN, history: int = HISTORY) -> DataFrame:
