@@ -60,6 +60,18 @@ def _key(sig: bytes) -> int:
     return int.from_bytes(sig[:8], "little", signed=True) or 1
 
 
+def _short(h: np.ndarray) -> bytes:
+    """The upper 40 bits of hashes, five bytes each: a shard holds some CHUNK n-grams, of which next to none agree in them."""
+    return (h >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _long(raw: bytes) -> np.ndarray:
+    """The numbers that ``_short`` wrote."""
+    out = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 5)
+    return out.reshape(-1).view("<u8").astype(np.uint64)
+
+
 def _text_key(text: Column) -> Column:
     """Hash that tells the texts of one id apart; null and empty text differ."""
     return F.xxhash64(text, text.isNull())
@@ -114,7 +126,7 @@ def _shared_counts(docs: DataFrame, text_col: str, size: int, percent: int, shar
         for end in ends:
             kk = k[begin:end]
             f = np.flatnonzero(np.r_[True, kk[1:] != kk[:-1]])
-            rows.append((int(shard[begin]), kk[f].tobytes(), np.diff(np.r_[f, len(kk)]).astype(np.uint32).tobytes(), h[begin:end].tobytes()))
+            rows.append((int(shard[begin]), kk[f].tobytes(), np.diff(np.r_[f, len(kk)]).astype(np.uint32).tobytes(), _short(h[begin:end])))
             begin = end
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)], names=names)
 
@@ -143,28 +155,40 @@ def _shared_counts(docs: DataFrame, text_col: str, size: int, percent: int, shar
 
     def meet(pdf):
         keys, counts = [], []
-        hs, ks = [], []
-        for k, n, h in zip(pdf["keys"], pdf["counts"], pdf["hashes"]):
+        hs, ks, ms = [], [], []
+        for m, (k, n, h) in enumerate(zip(pdf["keys"], pdf["counts"], pdf["hashes"])):
             k, n = np.frombuffer(k, dtype=np.uint64), np.frombuffer(n, dtype=np.uint32)
             if h is None:
                 keys.append(k)
                 counts.append(n.astype(np.int64))
             else:
-                hs.append(np.frombuffer(h, dtype=np.uint64))
+                hs.append(_long(h))
                 ks.append(np.repeat(k, n))
+                ms.append(np.full(len(ks[-1]), m))
         if hs:
-            h, k = np.concatenate(hs), np.concatenate(ks)
+            h, k, m = np.concatenate(hs), np.concatenate(ks), np.concatenate(ms)
             order = np.argsort(h, kind="stable")
-            h, k = h[order], k[order]
+            h, k, m = h[order], k[order], m[order]
             first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             size_of = np.diff(np.r_[first, len(h)])
             low, high = np.minimum.reduceat(k, first), np.maximum.reduceat(k, first)
             both = np.repeat((low != high) | (low == 0), size_of) & (k != 0)
-            # A class counts once for an n-gram, however many tasks sent it.
-            pair = np.unique(np.stack([k[both], h[both]]), axis=1)[0] if both.any() else k[:0]
-            u, n = np.unique(pair, return_counts=True)
-            keys.append(u)
-            counts.append(n)
+            h, k, m = h[both], k[both], m[both]
+            if len(h):
+                # A class counts once for an n-gram, however many messages name it; unlike n-grams
+                # whose short hashes agree stand in one message, and count each.
+                order = np.lexsort((m, h, k))
+                h, k, m = h[order], k[order], m[order]
+                gram = np.r_[True, (h[1:] != h[:-1]) | (k[1:] != k[:-1])]
+                told = np.flatnonzero(gram | np.r_[True, m[1:] != m[:-1]])
+                times = np.diff(np.r_[told, len(h)])
+                gram = np.flatnonzero(gram[told])
+                most, of = np.maximum.reduceat(times, gram), k[told[gram]]
+                first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                keys.append(of[first])
+                counts.append(np.add.reduceat(most, first))
+        if not keys:
+            return pd.DataFrame({"key": np.zeros(0, dtype=np.int64), "seen": np.zeros(0, dtype=np.int64)})
         return pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "seen": np.concatenate(counts)})
 
     sent = docs.select(F.col(text_col).alias("text")).mapInArrow(gather, "shard int, keys binary, counts binary, hashes binary")
@@ -207,7 +231,9 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame,
     own = own.join(wanted.select("cid", "n"), "cid").withColumn("need", _need("n", percent)).filter("size(t) >= need")
     edges = [0, *BOUNDS, None]
     parts = [F.expr(f"transform(filter(t, x -> x.df >= {lo}" + (f" and x.df < {hi}" if hi else "") + "), x -> x.h)") for lo, hi in zip(edges, edges[1:])]
-    return cut(own.select("cid", "n", F.array(*parts).alias("frags"), F.expr("transform(slice(t, 1, int(size(t) - need + 1)), x -> x.h)").alias("prefix")))
+    # The fragments in a row are the n-grams in the global order; the first of them need not be written twice.
+    sets = cut(own.select("cid", "n", F.array(*parts).alias("frags")))
+    return sets.withColumn("prefix", F.expr(f"slice(flatten(frags), 1, int(size(flatten(frags)) - ({percent} * n + 99) div 100 + 1))"))
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
