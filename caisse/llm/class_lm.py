@@ -1,10 +1,19 @@
 """Language-model scores from Brown class-based bigrams.
 
 P(word | previous word) = P(class | previous class) * P(word | class). Exchange
-clustering assigns the words to classes: each word moves to the class that
-raises the likelihood of the class bigrams most. Items of the clustering are
-the frequent words and, for all others, seen or not, their endings, so that an
-unknown word has a class too. All counts cover all training documents.
+clustering assigns every training word to a class: a word moves to the class
+that raises the likelihood of the class bigrams most. It runs in two parts:
+
+* The most frequent words, and the endings of all others, move one after the
+  other on the driver, over counts whose number the parameters bound.
+* Every other training word moves in tasks. Its neighbours' classes are counted
+  into one histogram a word (a table spread by word), and each word moves
+  against the matrix of class bigrams, its own counts taken out. Each task keeps
+  its copy of the matrix up to date, taking its own moves for a sample of all.
+
+Only words never seen in training have the class of their ending. Words are told
+apart by 64-bit hashes there. All counts cover all training documents, and the
+number of classes grows with the vocabulary.
 """
 
 from __future__ import annotations
@@ -13,21 +22,28 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caisse.llm.common import cut, id_crc, require
+from caisse.llm.common import WordHashes, cut, id_crc, require
 
-CLASSES = 32
+#: Least number of classes, and classes per fourth root of the number of training words.
+CLASSES, CLASSES_PER_ROOT = 32, 2
 ROUNDS = 6
-#: Words with at least this share of the training tokens are items of their own: at most 1 / ITEM_SHARE.
-ITEM_SHARE = 3e-5
-#: Words with at least this share have their counts sent to all tasks: at most 1 / SHARE. The others' counts are joined.
+#: Words with at least this share of the training tokens move on the driver: at most 1 / HEAD_SHARE.
+HEAD_SHARE = 3e-5
+#: Words with at least this share have their counts and classes sent to all tasks: at most 1 / SHARE. The others' are joined.
 SHARE = 1e-6
 #: Groups of word endings (the last three bytes).
 ENDINGS = 1024
 ADD = 0.1
 #: Words a task counts before it sends them on.
 CHUNK = 300_000
+#: Neighbours a task counts before it sends them on.
+CELLS = 2_000_000
+#: Cells of word histograms whose gains are computed at once.
+STEP = 2_000
 #: Key of a text's end among the words; no word holds a line feed.
 END = b"\n"
+END_CODE = 2**32 - 1
+CELL = np.dtype([("cell", "<u2"), ("n", "<u4")])
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -40,6 +56,10 @@ def _ending(word: bytes) -> int:
     return crc32(word[-3:]) % ENDINGS
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return WordHashes(False)._long(b"\n".join(words) + b"\n") if words else np.zeros(0, dtype=np.uint64)
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """(word, n) over the column text, each text's end included."""
     import pyarrow as pa
@@ -65,81 +85,100 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class _Lexicon(dict):
-    """Word to number; other words to -1 - their ending's number."""
-
-    def __missing__(self, word):
-        return -1 - _ending(word)
-
-
-def encode_texts(docs: DataFrame, lexicon: list[bytes], counts: list[int], item_of: np.ndarray) -> DataFrame:
-    """Per row: the row's other columns, n_tokens, known, log_counts (of the lexicon's words and the end), items, rest.
+def encode_texts(docs: DataFrame, hashes: np.ndarray, counts: np.ndarray, ends: int) -> DataFrame:
+    """Per row: the row's other columns, n_tokens, known, log_counts (of the lexicon's words and the end), codes, rest, tf, endings.
 
-    items: the item of each word as unsigned 16-bit numbers; rest: the words
-    outside the lexicon with their number of occurrences.
+    hashes and counts: the lexicon; ends: the number of training texts. codes:
+    each word's place in the lexicon, or its size plus the word's place in
+    rest, then END_CODE (unsigned 32-bit numbers). rest, tf, endings: hash,
+    occurrences and ending of the text's distinct words outside the lexicon.
     """
     import pyarrow as pa
     from pyspark.sql import types as T
 
-    shared = docs.sparkSession.sparkContext.broadcast((lexicon, np.array(counts, dtype=np.int64), item_of))
+    order = np.argsort(hashes)
+    shared = docs.sparkSession.sparkContext.broadcast((hashes[order], order, np.log10(counts + ADD)))
+    end_log, end_known = float(np.log10(ends + ADD)), int(ends > 0)
     kept = [c for c in docs.columns if c != "text"]
-    added = [T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("log_counts", T.DoubleType()), T.StructField("items", T.BinaryType()), T.StructField("rest", T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("tf", T.LongType())])))]
+    added = [T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("log_counts", T.DoubleType())]
+    added += [T.StructField(c, T.BinaryType()) for c in ("codes", "rest", "tf", "endings")]
+    types = [pa.int64(), pa.int64(), pa.float64()] + [pa.binary()] * 4
 
     def run(batches):
-        from collections import Counter
-
-        words, n, item = shared.value
-        number = _Lexicon(zip(words, range(len(words))))
-        log = np.log10(n + ADD)
-        end = number.get(END)
-        end_log, end_known = (float(log[end]), 1) if end is not None else (float(np.log10(ADD)), 0)
+        known, place, log = shared.value
+        size, hasher = len(known), WordHashes(True)
+        end = np.array([END_CODE], dtype="<u4").tobytes()
         for b in batches:
-            out = [[], [], [], [], []]
-            for t in b.column("text").to_pylist():
-                ws = _words(t)
-                code = np.fromiter(map(number.__getitem__, ws), dtype=np.int64, count=len(ws))
-                seen = code >= 0
-                items = np.where(seen, item[np.where(seen, code, 0)] if len(item) else 0, -code - 1)
-                rest = Counter(w for w, s in zip(ws, seen.tolist()) if not s) if not seen.all() else {}
-                for column, v in zip(out, (len(ws) + 1, int(seen.sum()) + end_known, float(log[code[seen]].sum()) + end_log, items.astype("<u2").tobytes(), [{"word": w, "tf": k} for w, k in rest.items()])):
+            texts, out = b.column("text").to_pylist(), [[] for _ in added]
+            for t, h in zip(texts, hasher(texts)):
+                at = np.searchsorted(known, h)
+                seen = known[np.minimum(at, size - 1)] == h if size else np.zeros(len(h), dtype=bool)
+                code = np.zeros(len(h), dtype=np.int64)
+                code[seen] = place[at[seen]]
+                new = np.flatnonzero(~seen)
+                rest, first, number, tf = np.unique(h[new], return_index=True, return_inverse=True, return_counts=True)
+                code[new] = size + number
+                ws = _words(t) if len(new) else []
+                endings = np.array([_ending(ws[i]) for i in new[first].tolist()], dtype="<u2")
+                row = (len(h) + 1, int(seen.sum()) + end_known, float(log[code[seen]].sum()) + end_log, code.astype("<u4").tobytes() + end)
+                for column, v in zip(out, (*row, rest.astype("<u8").tobytes(), tf.astype("<u4").tobytes(), endings.tobytes())):
                     column.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())])))], names=kept + [f.name for f in added])
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array(v, t) for v, t in zip(out, types)], names=kept + [f.name for f in added])
 
     return docs.mapInArrow(run, T.StructType([docs.schema[c] for c in kept] + added))
 
 
-def _sequences(column, class_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Items and classes of all texts of a batch, each text closed by the end (item len(class_of) - 1)."""
-    end = np.array([len(class_of) - 1], dtype="<u2").tobytes()
-    items = np.frombuffer(b"".join(x + end for x in column.to_pylist()), dtype="<u2").astype(np.int64)
-    return items, class_of[items]
+def _joined(batch, name: str, dtype: str) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(name).to_pylist()), dtype=dtype)
+
+
+def _codes(batch, size: int) -> np.ndarray:
+    """The codes of a batch's tokens: rest words are numbered on through the batch, the end is -1."""
+    lengths = [len(x) // 4 for x in batch.column("codes").to_pylist()]
+    rest = np.cumsum([0] + [len(x) // 2 for x in batch.column("endings").to_pylist()])
+    codes = _joined(batch, "codes", "<u4").astype(np.int64)
+    moved = np.where(codes >= size, codes + np.repeat(rest[:-1], lengths), codes)
+    return np.where(codes == END_CODE, -1, moved)
 
 
-def context_counts(encoded: DataFrame, class_of: np.ndarray) -> np.ndarray:
+def _summed(cells: DataFrame, size: int) -> np.ndarray:
+    """Sums of (cell, n) rows as an array; the number of cells is bounded by the parameters."""
+    found = cells.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(size, dtype=np.int64)
+    out[found["cell"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.int64)
+    return out
+
+
+def context_counts(encoded: DataFrame, item_of: np.ndarray, class_of: np.ndarray) -> np.ndarray:
     """counts[item, side, class]: how often an item's left (0) and right (1) neighbour has a class.
 
-    The driver gets items x 2 x classes sums, whose number is fixed by the parameters.
+    item_of: the items of the lexicon's words; other words have their ending's,
+    the items before the last, which is the end's.
     """
     import pyarrow as pa
 
     items, classes = len(class_of), int(class_of.max()) + 1
-    shared = encoded.sparkSession.sparkContext.broadcast(class_of)
+    shared = encoded.sparkSession.sparkContext.broadcast((item_of, class_of))
 
     def run(batches):
+        item_of, class_of = shared.value
         total = np.zeros(items * 2 * classes, dtype=np.int64)
         for b in batches:
             if b.num_rows:
-                item, k = _sequences(b.column("items"), shared.value)
+                item = np.r_[item_of, items - 1 - ENDINGS + _joined(b, "endings", "<u2").astype(np.int64), items - 1][_codes(b, len(item_of))]
+                k = class_of[item]
                 left = np.r_[classes - 1, k[:-1]]
                 total += np.bincount((item * 2) * classes + left, minlength=len(total))
                 total += np.bincount((item[:-1] * 2 + 1) * classes + k[1:], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["cell", "n"])
 
-    found = encoded.select("items").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(items * 2 * classes, dtype=np.int64)
-    out[found["cell"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.int64)
-    return out.reshape(items, 2, classes)
+    found = encoded.select("codes", "endings").mapInArrow(run, "cell long, n long")
+    return _summed(found, items * 2 * classes).reshape(items, 2, classes)
+
+
+def _f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
 
 
 def exchange(counts: np.ndarray, class_of: np.ndarray) -> np.ndarray:
@@ -148,7 +187,6 @@ def exchange(counts: np.ndarray, class_of: np.ndarray) -> np.ndarray:
     class_of = class_of.copy()
     big = np.zeros((classes, classes))
     np.add.at(big, class_of, counts[:, 1, :])
-    f = lambda x: x * np.log(np.maximum(x, 1))
     total = counts[:, 0, :].sum(1)
     for w in np.argsort(-total, kind="stable").tolist():
         a = class_of[w]
@@ -160,7 +198,7 @@ def exchange(counts: np.ndarray, class_of: np.ndarray) -> np.ndarray:
         big[a] -= right
         np.maximum(big, 0, out=big)
         into, out = big.sum(0), big.sum(1)
-        gain = (f(big + left[:, None]) - f(big)).sum(0) + (f(big + right[None, :]) - f(big)).sum(1) - f(into + n) + f(into) - f(out + n) + f(out)
+        gain = (_f(big + left[:, None]) - _f(big)).sum(0) + (_f(big + right[None, :]) - _f(big)).sum(1) - _f(into + n) + _f(into) - _f(out + n) + _f(out)
         b = int(gain[: classes - 1].argmax())
         b = a if gain[b] <= gain[a] else b
         class_of[w] = b
@@ -169,87 +207,282 @@ def exchange(counts: np.ndarray, class_of: np.ndarray) -> np.ndarray:
     return class_of
 
 
-def class_lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
+def _added(h: np.ndarray, cell: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of equal (h, cell) summed, in that order."""
+    order = np.lexsort((cell, h))
+    h, cell, n = h[order], cell[order], n[order]
+    start = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (cell[1:] != cell[:-1])]) if len(h) else np.zeros(0, dtype=np.int64)
+    return h[start], cell[start], np.add.reduceat(n, start) if len(h) else n
+
+
+def best_classes(h: np.ndarray, cell: np.ndarray, n: np.ndarray, now: np.ndarray, big: np.ndarray, weight: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, occurrences, best class) of each word; ``big`` follows the moves.
+
+    h, cell, n: the words' histograms in order of h; a cell is the left
+    neighbour's class, or the number of classes plus the right one's. now: the
+    present class of each cell's word. big: bigrams of classes (doubles), the
+    last of which is the end's. A word stays where no class is better; gains of
+    its two sides are added, as if they never met in one cell of big. A few
+    words move at once; then big takes what they change, ``weight`` times: the
+    words of other tasks, spread by hash, do as much there.
+    """
+    classes = len(big)
+    start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    count = np.add.reduceat(np.where(cell < classes, n, 0), start)
+    present, best = now[start], np.zeros(len(start), dtype=np.int64)
+    ends = np.r_[start[1:], len(h)]
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(ends, start[i] + STEP, side="right")))
+        lo, hi = start[i], ends[j - 1]
+        part, m = cell[lo:hi], n[lo:hi, None].astype(float)
+        x = np.concatenate([big, big.T])[part]
+        rows = np.arange(hi - lo)
+        left, word = part < classes, np.repeat(np.arange(j - i), ends[i:j] - start[i:j])
+        # Without the word: its own counts leave its present class on both sides.
+        x[rows, now[lo:hi]] -= m[:, 0]
+        own = np.zeros((j - i, 2 * classes))
+        own[word, part] = m[:, 0]
+        at = part % classes == now[lo:hi]
+        x[at & left] -= own[word[at & left], classes:]
+        x[at & ~left] -= own[word[at & ~left], :classes]
+        np.maximum(x, 0, out=x)
+        gain = np.add.reduceat(_f(x + m) - _f(x), start[i:j] - lo)
+        total, words = count[i:j, None].astype(float), np.arange(j - i)
+        for margin in (big.sum(0), big.sum(1)):
+            y = np.tile(margin, (j - i, 1))
+            y[words, present[i:j]] = np.maximum(y[words, present[i:j]] - total[:, 0], 0)
+            gain -= _f(y + total) - _f(y)
+        to = gain[:, : classes - 1].argmax(1)
+        best[i:j] = np.where(gain[words, to] > gain[words, present[i:j]] + 1e-9, to, present[i:j])
+        for of, sign in ((now[lo:hi], -weight), (best[i:j][word], weight)):
+            np.add.at(big, (part[left], of[left]), sign * m[left, 0])
+            np.add.at(big, (of[~left], part[~left] - classes), sign * m[~left, 0])
+        np.maximum(big, 0, out=big)
+        i = j
+    return h[start], count, best
+
+
+def move_words(train: DataFrame, lexicon: np.ndarray, class_of: np.ndarray, end_class: np.ndarray, head: int, big: np.ndarray, rest: bool) -> DataFrame:
+    """One round in tasks: (h, n, class) of the lexicon's words from head on and, with rest, of all words outside it.
+
+    A task sends one histogram for each word of some million neighbours, so a
+    frequent word costs little; a word's histograms meet in one task, which
+    holds one word's sum at a time.
+    """
+    import pyarrow as pa
+
+    size, classes = len(lexicon), len(big)
+    tasks = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = train.sparkSession.sparkContext.broadcast((lexicon.view(np.int64), class_of, end_class, big))
+
+    def collect(batches):
+        lexicon, class_of, end_class, _ = shared.value
+
+        def send():
+            h, cell, n = _added(*(np.concatenate(x) for x in zip(*held)))
+            start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            data = np.zeros(len(h), dtype=CELL)
+            data["cell"], data["n"] = cell, n
+            offsets = (np.r_[start, len(h)] * CELL.itemsize).astype(np.int32)
+            column = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+            return pa.RecordBatch.from_arrays([pa.array(h[start], pa.int64()), column], names=["h", "cells"])
+
+        held, cells = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            codes = _codes(b, size)
+            k = np.r_[class_of, end_class[_joined(b, "endings", "<u2")], classes - 1][codes]
+            mine = np.flatnonzero((codes >= head) & (rest | (codes < size)))
+            h = np.r_[lexicon, _joined(b, "rest", "<i8")][codes[mine]]
+            left, right = np.r_[classes - 1, k[:-1]][mine], k[np.minimum(mine + 1, len(k) - 1)]
+            cell = np.concatenate([left, classes + right, 2 * classes + k[mine]])
+            held.append((np.tile(h, 3), cell, np.ones(len(cell), dtype=np.int64)))
+            cells += len(cell)
+            if cells > CELLS:
+                yield send()
+                held, cells = [], 0
+        if cells:
+            yield send()
+
+    def decide(batches):
+        big = shared.value[3].astype(float)
+
+        def moved(h, cell, n):
+            # Cells from 2 * classes on hold the present class.
+            own = cell >= 2 * classes
+            words, number = np.unique(h, return_inverse=True)
+            now = np.zeros(len(words), dtype=np.int64)
+            now[number[own]] = cell[own] - 2 * classes
+            found = best_classes(h[~own], cell[~own], n[~own], now[number[~own]], big, tasks)
+            return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.int32())], names=["h", "n", "class"])
+
+        kept = (np.zeros(0, dtype=np.int64),) * 3
+        for b in batches:
+            if not b.num_rows:
+                continue
+            h, data = b.column("h").to_numpy(zero_copy_only=False), _joined(b, "cells", CELL)
+            each = [len(x) // CELL.itemsize for x in b.column("cells").to_pylist()]
+            new = (np.repeat(h, each), data["cell"].astype(np.int64), data["n"].astype(np.int64))
+            whole = _added(*(np.r_[x, y] for x, y in zip(kept, new)))
+            last = int(np.searchsorted(whole[0], h[-1]))
+            if last:
+                yield moved(*(x[:last] for x in whole))
+            kept = tuple(x[last:] for x in whole)
+        if len(kept[0]):
+            yield moved(*kept)
+
+    found = train.select("codes", "rest", "endings").mapInArrow(collect, "h long, cells binary")
+    return found.repartition(tasks, "h").sortWithinPartitions("h").mapInArrow(decide, "h long, n long, class int")
+
+
+def class_bigrams(rows: DataFrame, classes: int, read, columns: list[str]) -> np.ndarray:
+    """Counts of (previous class, class), ``read`` giving the classes of a batch's tokens, each text closed by the end's."""
+    import pyarrow as pa
+
+    def run(batches):
+        total = np.zeros(classes * classes, dtype=np.int64)
+        for b in batches:
+            if b.num_rows:
+                k = read(b)
+                total += np.bincount(np.r_[classes - 1, k[:-1]] * classes + k, minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["cell", "n"])
+
+    return _summed(rows.select(*columns).mapInArrow(run, "cell long, n long"), classes * classes).reshape(classes, classes)
+
+
+def _refreshed(class_of: np.ndarray, lexicon: np.ndarray, moved: DataFrame, least: float) -> np.ndarray:
+    """The lexicon's classes after a round; words of the lexicon are those with at least this many occurrences."""
+    found = moved.filter(F.col("n") >= least).select("h", "class").toPandas()
+    order, out = np.argsort(lexicon), class_of.copy()
+    if len(found):
+        out[order[np.searchsorted(lexicon[order], found["h"].to_numpy(dtype=np.int64).view(np.uint64))]] = found["class"]
+    return out
+
+
+def _with_classes(encoded: DataFrame, moved: DataFrame, class_of: np.ndarray, end_class: np.ndarray, classes: int) -> DataFrame:
+    """Per row of ``encoded``: ``k``, the classes of its tokens (unsigned 16-bit), rest_known and rest_log of its rest words.
+
+    Rest words get their class and count from ``moved`` by a join on the hash;
+    those without a row there were never seen in training.
+    """
+    import pyarrow as pa
+
+    size = len(class_of)
+    shared = encoded.sparkSession.sparkContext.broadcast((class_of, end_class))
+
+    def listed(batches):
+        for b in batches:
+            sizes = [len(x) // 8 for x in b.column("rest").to_pylist()]
+            rid = np.repeat(b.column("rid").to_numpy(zero_copy_only=False), sizes)
+            place = np.concatenate([np.arange(s) for s in sizes]) if sizes else np.zeros(0)
+            columns = [pa.array(rid, pa.int64()), pa.array(place.astype(np.int32)), pa.array(_joined(b, "rest", "<i8"), pa.int64()), pa.array(_joined(b, "tf", "<u4").astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["rid", "place", "h", "tf"])
+
+    rest = encoded.select("rid", "rest", "tf").mapInArrow(listed, "rid long, place int, h long, tf long").join(moved, "h", "left")
+    seen = F.col("n").isNotNull()
+    rest = rest.groupBy("rid").agg(
+        F.sum(F.when(seen, F.col("tf")).otherwise(0)).alias("rest_known"),
+        F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADD))).alias("rest_log"),
+        F.collect_list(F.when(seen, F.struct("place", "class"))).alias("found"),
+    )
+    names = ["doc_id", "held_out", "n_tokens", "known", "log_counts", "rest_known", "rest_log"]
+    rows = encoded.drop("rest", "tf").join(rest, "rid", "left").select(*names, "codes", "endings", "found")
+
+    def run(batches):
+        class_of, end_class = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rest_class = end_class[_joined(b, "endings", "<u2")]
+            begins = np.cumsum([0] + [len(x) // 2 for x in b.column("endings").to_pylist()])
+            for t, found in enumerate(b.column("found").to_pylist()):
+                if found:
+                    rest_class[[begins[t] + x["place"] for x in found]] = [x["class"] for x in found]
+            k = np.r_[class_of, rest_class, classes][_codes(b, size)].astype("<u2")
+            at = np.cumsum([0] + [len(x) // 4 for x in b.column("codes").to_pylist()])
+            column = pa.array([k[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [column], names=names + ["k"])
+
+    types = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in names) + ", k binary")
+
+
+def class_lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int | None = None, rounds: int = ROUNDS) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     Training documents are those whose crc32(id) mod 10 is not 0; a null id
     counts as empty text. A null text is empty: its end only. Scores are sums
     of log10 probabilities: base_score of additive unigrams, score of the class
-    bigrams; perplexity is 10^(-score / n_tokens). Equal rows count and are
-    scored each. Without training documents scores are those of an empty
-    model. An empty table gives an empty result. Other columns are ignored.
+    bigrams; perplexity is 10^(-score / n_tokens). ``classes`` unset grows with
+    the number of training words. Equal rows count and are scored each. Without
+    training documents scores are those of an empty model. An empty table gives
+    an empty result. Other columns are ignored.
     """
     require(docs, id_col, text_col)
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), (id_crc(id_col) % 10 == 0).alias("held_out"), F.col(text_col).alias("text"))
     counts = cut(count_words(rows.filter("not held_out")))
-    size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    total, types = size["n"], size["v"]
-    often = counts.filter((F.col("n") >= SHARE * total) | (F.col("word") == F.lit(END))).orderBy(F.desc("n"), "word").toPandas()
-    lexicon = [bytes(w) for w in often["word"]]
-    n = often["n"].to_numpy(dtype=np.int64) if lexicon else np.zeros(0, dtype=np.int64)
-    # Items: first the endings, then the frequent words, last the end.
-    item_of = np.array([_ending(w) for w in lexicon], dtype=np.int64)
-    own = [i for i, w in enumerate(lexicon) if n[i] >= ITEM_SHARE * total and w != END]
-    item_of[own] = ENDINGS + np.arange(len(own))
-    items = ENDINGS + len(own) + 1
-    class_of = np.r_[np.arange(ENDINGS) % classes, np.arange(len(own)) % classes, classes]
-    encoded = cut(encode_texts(rows.withColumn("rid", F.monotonically_increasing_id()), lexicon, n.tolist(), item_of))
+    size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.max(F.when(F.col("word") == F.lit(END), F.col("n"))).alias("ends")).first()
+    total, types, ends = size["n"], size["v"], size["ends"] or 0
+    classes = classes or max(CLASSES, round(CLASSES_PER_ROOT * types**0.25))
+    often = counts.filter((F.col("n") >= SHARE * total) & (F.col("word") != F.lit(END))).orderBy(F.desc("n"), "word").toPandas()
+    words, n = [bytes(w) for w in often["word"]], often["n"].to_numpy(dtype=np.int64)
+    lexicon = _hashes(words)
+    head = int((n >= HEAD_SHARE * total).sum())
+    encoded = cut(encode_texts(rows.withColumn("rid", F.monotonically_increasing_id()), lexicon, n, ends))
     train = encoded.filter("not held_out")
+
+    # Items: the head's words, the endings, the end.
+    item_of = np.array([i if i < head else head + _ending(w) for i, w in enumerate(words)], dtype=np.int64)
+    items = np.r_[np.arange(head) % classes, np.arange(ENDINGS) % classes, classes]
     for _ in range(rounds):
-        context = context_counts(train, class_of)
-        new = exchange(context, class_of)
-        if (new == class_of).all():
+        new = exchange(context_counts(train, item_of, items), items)
+        if (new == items).all():
             break
-        class_of = new
-    context = context_counts(train, class_of)
-
-    # Tokens and types of each class, over all words.
-    sent = spark.sparkContext.broadcast((dict(zip(lexicon, item_of.tolist())), class_of))
-
-    def classify(batches):
-        import pyarrow as pa
-
-        item, of = sent.value
-        tokens, kinds = np.zeros(len(of), dtype=np.int64), np.zeros(len(of), dtype=np.int64)
-        for b in batches:
-            ws = b.column("word").to_pylist()
-            at = np.fromiter((len(of) - 1 if w == END else item.get(w, -1) for w in ws), dtype=np.int64, count=len(ws))
-            for i in np.flatnonzero(at < 0).tolist():
-                at[i] = _ending(ws[i])
-            np.add.at(tokens, at, np.asarray(b.column("n")))
-            kinds += np.bincount(at, minlength=len(of))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(of))), pa.array(tokens), pa.array(kinds)], names=["item", "n", "v"])
-
-    sums = counts.mapInArrow(classify, "item long, n long, v long").groupBy("item").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toPandas()
-    tokens, kinds = np.zeros(items), np.zeros(items)
-    tokens[sums["item"].to_numpy(dtype=np.int64)], kinds[sums["item"].to_numpy(dtype=np.int64)] = sums["n"], sums["v"]
-    class_tokens, class_types = np.bincount(class_of, tokens, classes + 1), np.bincount(class_of, kinds, classes + 1)
+        items = new
+    class_of, end_class = items[item_of], items[head : head + ENDINGS]
+
+    # All other words: those of the lexicon first, then all of them beside the lexicon's new classes.
+    for rest in (False, True):
+        of = class_of
+
+        def read(b):
+            return np.r_[of, end_class[_joined(b, "endings", "<u2")], classes][_codes(b, len(of))]
+
+        big = class_bigrams(train, classes + 1, read, ["codes", "endings"])
+        moved = cut(move_words(train, lexicon, class_of, end_class, head, big, rest))
+        class_of = _refreshed(class_of, lexicon, moved, SHARE * total)
+    kinds = moved.groupBy("class").count().toPandas()
+    class_types = np.bincount(class_of[:head], minlength=classes + 1).astype(float)
+    class_types[kinds["class"].to_numpy(dtype=np.int64)] += kinds["count"].to_numpy()
+    class_types[classes] += ends > 0
+
+    known = cut(_with_classes(encoded, moved, class_of, end_class, classes))
+    pairs = class_bigrams(known.filter("not held_out"), classes + 1, lambda b: _joined(b, "k", "<u2").astype(np.int64), ["k"])
+    class_tokens = pairs.sum(0)
     emit = np.log10(class_tokens + ADD * (class_types + 1))
-    pairs = context[:, 0, :].T @ np.eye(classes + 1)[class_of]
     share = (class_tokens + 1) / (class_tokens + 1).sum()
     move = np.log10((pairs + classes * share) / (pairs.sum(1, keepdims=True) + classes))
-    model = spark.sparkContext.broadcast((class_of, move, emit))
+    model = docs.sparkSession.sparkContext.broadcast((move, emit))
 
     def transitions(batches):
         import pyarrow as pa
 
-        of, move, emit = model.value
+        move, emit = model.value
         for b in batches:
             if not b.num_rows:
                 continue
-            item, k = _sequences(b.column("items"), of)
+            k = _joined(b, "k", "<u2").astype(np.int64)
             step = move[np.r_[len(emit) - 1, k[:-1]], k] - emit[k]
-            ends = np.flatnonzero(item == len(of) - 1)
-            score = np.add.reduceat(step, np.r_[0, ends[:-1] + 1])
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("rid", "doc_id", "held_out", "n_tokens", "known", "log_counts")] + [pa.array(score)], names=["rid", "doc_id", "held_out", "n_tokens", "known", "log_counts", "moves"])
-
-    fields = ", ".join(f"{c} {dict(encoded.dtypes)[c]}" for c in ("rid", "doc_id", "held_out", "n_tokens", "known", "log_counts"))
-    scored = encoded.select("rid", "doc_id", "held_out", "n_tokens", "known", "log_counts", "items").mapInArrow(transitions, f"{fields}, moves double")
-    rest = encoded.select("rid", F.explode("rest").alias("r")).select("rid", "r.word", "r.tf").join(counts, "word", "left")
-    rest = rest.groupBy("rid").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("rest_known"), F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADD))).alias("rest_log"))
-    out = scored.join(rest, "rid", "left")
+            at = np.cumsum([0] + [len(x) // 2 for x in b.column("k").to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [pa.array(np.add.reduceat(step, at[:-1]))], names=names + ["moves"])
+
+    names = [c for c in known.columns if c != "k"]
+    kinds_of = dict(known.dtypes)
+    scored = known.mapInArrow(transitions, ", ".join(f"{c} {kinds_of[c]}" for c in names) + ", moves double")
     log = F.col("log_counts") + F.coalesce("rest_log", F.lit(0.0))
     base = float(np.log10(total + ADD * (types + 1)))
-    out = out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (log - F.col("n_tokens") * F.lit(base)).alias("base_score"), (log + F.col("moves")).alias("score"))
+    out = scored.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (log - F.col("n_tokens") * F.lit(base)).alias("base_score"), (log + F.col("moves")).alias("score"))
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

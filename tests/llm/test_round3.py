@@ -1,6 +1,7 @@
 """Merkle manifest, token-id files and periodic runs against brute force, round trips and the libraries they follow."""
 import hashlib
 import io
+import math
 import random
 import re
 import zlib
@@ -345,3 +346,86 @@ def test_archives_are_read_by_tasks_of_bounded_bytes(spark, monkeypatch):
     assert records.rdd.getNumPartitions() == -(-size // 4000) > 10
     assert {(r.page_id, bytes(r.payload).decode()) for r in records.collect()} == {(r.page_id, r.html) for r in pages.collect()}
     assert warc.read_archives(index.filter("page_id < 0")).count() == 0
+
+
+def _log_likelihood(pairs):
+    f = lambda x: x * np.log(x) if x > 0 else 0.0
+    return sum(f(x) for x in pairs.ravel()) - sum(f(x) for x in pairs.sum(0)) - sum(f(x) for x in pairs.sum(1))
+
+
+def test_words_move_to_the_class_that_raises_the_likelihood_most():
+    from caisse.llm.class_lm import best_classes
+
+    rng = np.random.default_rng(5)
+    classes = 6
+    for _ in range(20):
+        # Left and right neighbours of different classes: the two sides then add up.
+        left, right = 2 * rng.integers(0, 3, 9), 2 * rng.integers(0, 3, 9) + 1
+        now = int(rng.integers(0, classes - 1))
+        rest = rng.integers(0, 40, (classes, classes)).astype(float)
+        tables = []
+        for c in range(classes - 1):
+            t = rest.copy()
+            np.add.at(t, (left, c), 1)
+            np.add.at(t, (c, right), 1)
+            tables.append(t)
+        best = int(np.argmax([_log_likelihood(t) for t in tables]))
+        cell, n = np.unique(np.r_[left, classes + right], return_counts=True)
+        moved = tables[now].copy()
+        h, count, got = best_classes(np.zeros(len(cell), dtype=np.int64), cell, n, np.full(len(cell), now), moved, 1)
+        assert (h.tolist(), count.tolist(), got.tolist()) == ([0], [9], [best])
+        assert np.allclose(moved, tables[best])
+
+
+def test_class_lm_scores_are_those_of_its_classes(spark, monkeypatch):
+    """Scores by plain counting from the classes the operator found; words of all three kinds, unknown ones, ties and copies."""
+    from caisse.llm import class_lm
+
+    monkeypatch.setattr(class_lm, "HEAD_SHARE", 0.02)
+    monkeypatch.setattr(class_lm, "SHARE", 0.004)
+    seen, real = [], class_lm._with_classes
+
+    def spy(encoded, moved, class_of, end_class, classes):
+        seen.append((moved.collect(), class_of, end_class, classes))
+        return real(encoded, moved, class_of, end_class, classes)
+
+    lexicons, encode = [], class_lm.encode_texts
+    monkeypatch.setattr(class_lm, "_with_classes", spy)
+    monkeypatch.setattr(class_lm, "encode_texts", lambda d, h, n, e: lexicons.append(h) or encode(d, h, n, e))
+    rng = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(120)]
+    texts = [" ".join(rng.choice(vocabulary[: rng.choice((4, 20, 120))]) for _ in range(rng.randint(0, 40))) for _ in range(60)] + [None, "", "Neu only here", "w1 w1"]
+    texts += [texts[3], "w2 w119 " * 3000]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, rid string")
+    rows = class_lm.class_lm_scores(df, classes=5, rounds=3).collect()
+    moved, class_of, end_class, classes = seen[0]
+    by_hash = {int(np.uint64(r.h % 2**64)): r["class"] for r in moved}
+    head = dict(zip(lexicons[0].tolist(), class_of.tolist()))
+
+    def class_for(w):
+        if w == b"\n":
+            return classes
+        h = int(class_lm._hashes([w])[0])
+        return by_hash.get(h, head.get(h, end_class[class_lm._ending(w)]))
+
+    words = [class_lm._words(t) + [b"\n"] for t in texts]
+    train = [w for i, w in enumerate(words) if zlib.crc32(str(i).encode()) % 10]
+    n, pairs = {}, np.zeros((classes + 1, classes + 1))
+    for ws in train:
+        for a, b in zip([b"\n"] + ws, ws):
+            n[b] = n.get(b, 0) + 1
+            pairs[class_for(a), class_for(b)] += 1
+    tokens, types = pairs.sum(0), np.zeros(classes + 1)
+    for w in n:
+        types[class_for(w)] += 1
+    assert len(by_hash) + sum(h not in by_hash for h in head) == len(n) - 1
+    share = (tokens + 1) / (tokens + 1).sum()
+    for r in rows:
+        ws = words[r.doc_id]
+        want = 0.0
+        for a, b in zip([b"\n"] + ws, ws):
+            i, k = class_for(a), class_for(b)
+            want += math.log10((pairs[i, k] + classes * share[k]) / (pairs[i].sum() + classes)) + math.log10((n.get(b, 0) + 0.1) / (tokens[k] + 0.1 * (types[k] + 1)))
+        assert r.score == pytest.approx(want)
+        assert r.n_known == sum(b in n for b in ws)
+    assert len(rows) == len(texts)
