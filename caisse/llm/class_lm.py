@@ -44,6 +44,9 @@ STEP = 2_000
 END = b"\n"
 END_CODE = 2**32 - 1
 CELL = np.dtype([("cell", "<u2"), ("n", "<u4")])
+#: Sums travel in blocks of this many cells.
+BLOCK = 1 << 16
+SUM = np.dtype([("cell", "<u2"), ("n", "<i8")])
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -141,12 +144,45 @@ def _codes(batch, size: int) -> np.ndarray:
     return np.where(codes == END_CODE, -1, moved)
 
 
-def _summed(cells: DataFrame, size: int) -> np.ndarray:
-    """Sums of (cell, n) rows as an array; the number of cells is bounded by the parameters."""
-    found = cells.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(size, dtype=np.int64)
-    out[found["cell"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.int64)
-    return out
+def _blocks(total: np.ndarray):
+    """The counts above zero as one row (block, cells) for each BLOCK cells."""
+    import pyarrow as pa
+
+    block, cells = [], []
+    for i in range(0, len(total), BLOCK):
+        at = np.flatnonzero(total[i : i + BLOCK])
+        if len(at):
+            data = np.zeros(len(at), dtype=SUM)
+            data["cell"], data["n"] = at, total[i : i + BLOCK][at]
+            block.append(i // BLOCK)
+            cells.append(data.tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(cells, pa.binary())], names=["block", "cells"])
+
+
+def _summed(blocks: DataFrame, size: int) -> np.ndarray:
+    """Sums of the tasks' counts as an array; the number of cells is bounded by the parameters."""
+
+    def add(batches):
+        sums = {}
+        for b in batches:
+            for block, cells in zip(b.column("block").to_pylist(), b.column("cells").to_pylist()):
+                data = np.frombuffer(cells, dtype=SUM)
+                sums.setdefault(block, np.zeros(BLOCK, dtype=np.int64))[data["cell"]] += data["n"]
+        for block, total in sums.items():
+            yield from _placed(_blocks(total), block)
+
+    out = np.zeros(-(-size // BLOCK) * BLOCK, dtype=np.int64)
+    for row in blocks.repartition("block").mapInArrow(add, blocks.schema).collect():
+        data = np.frombuffer(row["cells"], dtype=SUM)
+        out[row["block"] * BLOCK + data["cell"].astype(np.int64)] += data["n"]
+    return out[:size]
+
+
+def _placed(batch, block: int):
+    """The batch's only row under the number of its block."""
+    import pyarrow as pa
+
+    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), batch.column("cells")], names=["block", "cells"])
 
 
 def context_counts(encoded: DataFrame, item_of: np.ndarray, class_of: np.ndarray) -> np.ndarray:
@@ -155,8 +191,6 @@ def context_counts(encoded: DataFrame, item_of: np.ndarray, class_of: np.ndarray
     item_of: the items of the lexicon's words; other words have their ending's,
     the items before the last, which is the end's.
     """
-    import pyarrow as pa
-
     items, classes = len(class_of), int(class_of.max()) + 1
     shared = encoded.sparkSession.sparkContext.broadcast((item_of, class_of))
 
@@ -170,10 +204,9 @@ def context_counts(encoded: DataFrame, item_of: np.ndarray, class_of: np.ndarray
                 left = np.r_[classes - 1, k[:-1]]
                 total += np.bincount((item * 2) * classes + left, minlength=len(total))
                 total += np.bincount((item[:-1] * 2 + 1) * classes + k[1:], minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["cell", "n"])
+        yield _blocks(total)
 
-    found = encoded.select("codes", "endings").mapInArrow(run, "cell long, n long")
+    found = encoded.select("codes", "endings").mapInArrow(run, "block int, cells binary")
     return _summed(found, items * 2 * classes).reshape(items, 2, classes)
 
 
@@ -339,18 +372,15 @@ def move_words(train: DataFrame, lexicon: np.ndarray, class_of: np.ndarray, end_
 
 def class_bigrams(rows: DataFrame, classes: int, read, columns: list[str]) -> np.ndarray:
     """Counts of (previous class, class), ``read`` giving the classes of a batch's tokens, each text closed by the end's."""
-    import pyarrow as pa
-
     def run(batches):
         total = np.zeros(classes * classes, dtype=np.int64)
         for b in batches:
             if b.num_rows:
                 k = read(b)
                 total += np.bincount(np.r_[classes - 1, k[:-1]] * classes + k, minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["cell", "n"])
+        yield _blocks(total)
 
-    return _summed(rows.select(*columns).mapInArrow(run, "cell long, n long"), classes * classes).reshape(classes, classes)
+    return _summed(rows.select(*columns).mapInArrow(run, "block int, cells binary"), classes * classes).reshape(classes, classes)
 
 
 def _refreshed(class_of: np.ndarray, lexicon: np.ndarray, moved: DataFrame, least: float) -> np.ndarray:
