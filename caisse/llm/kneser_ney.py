@@ -20,8 +20,6 @@ ORDER = 4
 #: Bits of one symbol; code points are folded into them.
 BITS = 15
 SYMBOLS = (1 << BITS) - 19
-#: Trusted documents the model is learned from: those with the smallest id hashes, at most so many.
-TRAIN_DOCS = 50_000
 #: Characters of one block of documents.
 BLOCK = 12 << 20
 QUANTILE = 0.995
@@ -188,12 +186,13 @@ def language_quantiles(trusted: DataFrame, quantile: float) -> DataFrame:
     return ranked.filter(F.col("upto") >= quantile * F.col("all")).groupBy("lang").agg((F.min("cell") * CELL).alias("threshold"))
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, quantile: float = QUANTILE) -> DataFrame:
+def quality_classifier(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """Per row of ``docs``: doc_id, lang, n_chars_scored, log10_prob, perplexity, threshold, trusted, kept.
 
     ``docs`` has doc_id, lang, text; ``labels`` doc_id, quality, toxic. Trusted
-    is a document labelled quality 1 and not toxic by all its labels. A
-    document is kept when its perplexity per character is at most the
+    is a document labelled quality 1 and not toxic by all its labels. Every
+    trusted document has its part: one in HELD_OUT sets the thresholds, all
+    others train the model. A document is kept when its perplexity per character is at most the
     ``quantile`` of its language's trusted documents that did not train the
     model; a language without such documents, or a null one, uses the quantile
     of all. An empty or
@@ -206,9 +205,8 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, train_docs: int = TRA
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     trusted = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.expr("coalesce(quality, 0) = 1 and coalesce(toxic, 0) = 0")).alias("ok")).filter("ok").select("doc_id")
     trusted = cut(trusted.withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0))
-    sample = trusted.filter("not held").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs).select("doc_id")
-    # At most ``train_docs`` ids: 400 kB at the default.
-    texts = rows.join(F.broadcast(cut(sample)), "doc_id", "left_semi")
+    # No broadcast hint: the ids grow with the labels, so their size decides.
+    texts = rows.join(trusted.filter("not held").select("doc_id"), "doc_id", "left_semi")
     scored = cut(score_documents(rows, train_model(texts)))
     log_ppl = F.when(F.col("n_chars_scored") > 0, -F.col("log10_prob") / F.col("n_chars_scored"))
     scored = scored.withColumn("log_ppl", log_ppl).join(trusted.select("doc_id", F.lit(True).alias("trusted"), "held"), "doc_id", "left")

@@ -391,3 +391,22 @@ def test_language_many_labels_and_clashing_columns(spark, monkeypatch):
     odd = docs.withColumns({"lang_pred": F.lit("mine"), "n_langs": F.lit(7), "__row.x": F.lit(1)})
     kept = drop_unknown(odd)
     assert kept.columns == odd.columns and {(r.doc_id, r.text, r.lang_pred, r.n_langs) for r in kept.collect()} == {(i, t, "mine", 7) for i, t in enumerate(texts)}
+
+
+def test_classifier_learns_from_every_trusted_document(spark, monkeypatch):
+    from caisse.llm import kneser_ney
+
+    class Seen(Exception):
+        pass
+
+    def seen(texts):
+        raise Seen(texts.count())
+
+    monkeypatch.setattr(kneser_ney, "train_model", seen)
+    ids = spark.range(64_000).withColumnRenamed("id", "doc_id")
+    docs = ids.select("doc_id", F.lit("en").alias("lang"), F.col("doc_id").cast("string").alias("text"))
+    labels = ids.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    with pytest.raises(Seen) as found:
+        quality_classifier(docs, labels)
+    trained = ids.filter(F.pmod(F.xxhash64("doc_id"), F.lit(5)) != 0).count()
+    assert trained > 50_000 and found.value.args == (trained,)
