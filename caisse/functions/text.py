@@ -54,8 +54,14 @@ WHITESPACE = "".join(chr(i) for i in range(0x10000) if chr(i).isspace())
 
 
 def unicode_strip(c: ColumnOrName) -> Column:
-    """Python ``str.strip()``: remove leading/trailing Unicode white space (no regex)."""
-    return F.btrim(_col(c), F.lit(WHITESPACE))
+    """Python ``str.strip()``: remove leading/trailing Unicode white space (no regex).
+
+    Most texts need spaces removed at most: what then begins and ends with
+    visible ASCII is not searched for the other kinds of white space.
+    """
+    text = F.trim(_col(c))
+    plain = F.substring(text, 1, 1).between("!", "~") & F.substring(text, -1, 1).between("!", "~")
+    return F.when(plain, text).otherwise(F.btrim(_col(c), F.lit(WHITESPACE)))
 
 
 def normalize_text(c: ColumnOrName) -> Column:

@@ -7,15 +7,14 @@ aggregate over all columns at once, never one job per column:
 ===== ==================================================================
 job 1 dedup (``groupBy(all columns)`` keeping the first ``_row_id``)
 job 2 one ``agg``: row count, non-null counts, first non-null value of
-      date-named columns, numeric-parse counts of text columns and the
-      count and median bracket (quantile sketch) of every possible median column
+      date-named columns and numeric-parse counts of text columns
 job 3 modes with non-null counts (one unpivot + count + top-1; this also
-      gives the parsed count of date columns) and medians
-      (``exact_medians``: ranks inside the job-2 brackets)
+      gives the parsed count of date columns) and medians (``exact_medians``,
+      only of the numeric columns that job 2 found with nulls)
 ===== ==================================================================
 
 The result is a lazy ``select`` over the deduplicated table, which is written
-to ``spark.checkpoint.dir`` (or persisted on demand; the caller then releases
+to ``spark.checkpoint.dir`` as Parquet (or persisted on demand; the caller then releases
 ``CleaningReport.raw_groups``) because the statistics jobs and the caller all
 read it. NaN is missing from the start, whatever the table was read with.
 """
@@ -31,9 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caisse.functions.text import unicode_strip
-from caisse.operators.stats import exact_medians, median_bracket, modes_with_counts
+from caisse.operators.stats import exact_medians, modes_with_counts
 from caisse.roles import normalize_columns
-from caisse.session import ensure_checkpoint_dir
+from caisse.session import stored
 from caisse.sources.files import ROW_ID, cast_text, is_float_text, is_int_text
 
 # ---------------------------------------------------------------------------
@@ -94,7 +93,8 @@ def column_pattern(first: str | None) -> str | None:
 
 
 def _by_pattern(c: Column, pattern: str) -> Column:
-    ts = F.try_to_timestamp(c, F.lit(pattern))
+    # No date without a digit; a failing parse costs far more than this test.
+    ts = F.when(c.rlike("[0-9]"), F.try_to_timestamp(c, F.lit(pattern)))
     if "yyyy" in pattern:
         return ts
     # Spark reads all two-digit years as 20yy.
@@ -175,20 +175,15 @@ def deduplicate(df: DataFrame, keep_copies: bool = False) -> DataFrame:
 
 def trim_nulls(df: DataFrame) -> DataFrame:
     """C4: text columns stripped; ``nan`` / ``None`` / empty -> null."""
-    exprs = []
-    for c, t in df.dtypes:
-        if t == "string" and c != ROW_ID:
-            v = unicode_strip(F.col(f"`{c}`"))
-            exprs.append(F.when(~v.isin(*NULL_TEXTS), v).alias(c))
-        else:
-            exprs.append(F.col(f"`{c}`"))
-    return df.select(*exprs)
+    texts = {c for c, t in df.dtypes if t == "string" and c != ROW_ID}
+    # Two projections, so that each value is stripped once and not once per mention.
+    stripped = df.select(*[unicode_strip(F.col(f"`{c}`")).alias(c) if c in texts else F.col(f"`{c}`") for c in df.columns])
+    return stripped.select(*[F.when(~F.col(f"`{c}`").isin(*NULL_TEXTS), F.col(f"`{c}`")).alias(c) if c in texts else F.col(f"`{c}`") for c in df.columns])
 
 
 def _materialize(df: DataFrame, how: str | None) -> DataFrame:
     if how == "checkpoint":
-        ensure_checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
+        return stored(df, "groups")
     if how == "persist":
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     return df
@@ -211,7 +206,6 @@ def clean(df: DataFrame, materialize: str | None = "checkpoint") -> tuple[DataFr
     date_text = [c for c in cols if is_date_name(c) and isinstance(schema[c], T.StringType)]
     date_num = [c for c in cols if is_date_name(c) and isinstance(schema[c], T.NumericType)]
     text = [c for c in cols if isinstance(schema[c], T.StringType) and c not in date_text]
-    numeric_in = [c for c in cols if isinstance(schema[c], T.NumericType) and c not in date_num]
     # Per-row values are projected once (each regex at most once per value),
     # then one aggregate counts them.
     proj: list[Column] = [F.col(ROW_ID)]
@@ -223,26 +217,16 @@ def clean(df: DataFrame, materialize: str | None = "checkpoint") -> tuple[DataFr
         col = F.col(f"`{c}`")
         is_float = is_float_text(col)
         proj += [is_float.alias(f"num{i}"), is_int_text(col, is_float).alias(f"int{i}")]
-    # The bracket of every column that may need a median comes from the same pass.
-    as_number = {c: F.when(F.col(f"num{i}"), cast_text(F.col(f"`{c}`"), "double")) for i, c in enumerate(text)}
-    as_number.update({c: F.col(f"`{c}`").cast("double") for c in numeric_in})
-    median_names = list(as_number)
-    flagged = dedup.select(*proj, *[F.col(f"`{c}`") for c in text + numeric_in])
-    number_values = flagged.select(
-        "*", *[F.when(~F.isnan(as_number[c]), as_number[c]).alias(f"v{i}") for i, c in enumerate(median_names)]
-    )
     aggs: list[Column] = [F.count(F.lit(1)).alias("_n")]
     aggs += [F.count_if(F.col(f"nn{i}")).alias(f"nn{i}") for i in range(len(cols))]
     aggs += [F.min_by(F.col(f"d{i}"), F.when(F.col(f"d{i}").isNotNull(), F.col(ROW_ID))).alias(f"first{i}")
              for i in range(len(date_text))]
     for i in range(len(text)):
         aggs += [F.count_if(F.col(f"num{i}")).alias(f"num{i}"), F.count_if(F.col(f"int{i}")).alias(f"int{i}")]
-    aggs += [median_bracket(F.col(f"v{i}")).alias(f"m{i}") for i in range(len(median_names))]
-    stats = number_values.agg(*aggs).first()
+    stats = dedup.select(*proj).agg(*aggs).first()
     n = stats["_n"]
     report.rows_in = n
     nonnull = {c: stats[f"nn{i}"] for i, c in enumerate(cols)}
-    brackets = {c: tuple(stats[f"m{i}"]) for i, c in enumerate(median_names)}
 
     conv: dict[str, Column] = {}
     for i, c in enumerate(date_text):
@@ -282,7 +266,7 @@ def clean(df: DataFrame, materialize: str | None = "checkpoint") -> tuple[DataFr
     numeric = [c for c in need if isinstance(typed_schema[c], T.NumericType)]
     # Truth values with nulls are filled like text, by their mode (false on ties).
     other = [c for c in need if c not in numeric]
-    medians = exact_medians(typed, numeric, brackets={c: brackets[c] for c in numeric if c in brackets} or None)
+    medians = exact_medians(typed, numeric)
     fills: dict[str, Column] = {}
     for c in numeric:
         if medians[c] is not None:

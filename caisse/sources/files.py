@@ -87,7 +87,7 @@ def _file_order(df: DataFrame) -> Column:
 def spans_lines(spark: SparkSession, path: str) -> bool:
     """Whether a CSV value may hold a line break: some line has an odd number of quotes."""
     quotes = F.length("value") - F.length(F.translate("value", '"', ""))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+    return not spark.read.text(path).filter(F.col("value").contains('"') & (quotes % 2 == 1)).isEmpty()
 
 
 def read_raw(spark: SparkSession, path: str, fmt: str | None = None, multi_line: bool | None = None) -> DataFrame:
@@ -170,12 +170,7 @@ def cast_text(c: Column, to: str) -> Column:
     if to == "long":
         return F.btrim(c, F.lit(SPACES)).try_cast("long")
     if to == "double":
-        t = F.btrim(c, F.lit(SPACES))
-        return (
-            F.when(t.isin("inf", "Inf", "INF", "infinity", "Infinity", "+inf"), F.lit(float("inf")))
-            .when(t.isin("-inf", "-Inf", "-INF", "-infinity", "-Infinity"), F.lit(float("-inf")))
-            .otherwise(t.try_cast("double"))
-        )
+        return c.try_cast("double")  # white space around it and the spellings of infinity included
     if to == "boolean":
         return F.when(c.isin(*TRUE_WORDS), F.lit(True)).when(c.isin(*FALSE_WORDS), F.lit(False))
     return c
