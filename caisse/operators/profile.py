@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -236,10 +236,19 @@ def quality_report(raw: DataFrame, cleaned: DataFrame, raw_stats: DataFrame | No
 
 
 def head_sample(df: DataFrame, n: int = HEAD_DEFAULT) -> DataFrame:
-    """Q12: the first ``n`` rows in file order (top-n by ``_row_id``, no global sort)."""
+    """Q12: the first ``n`` rows in file order (top-n by ``_row_id``, no global sort).
+
+    The last of their ids is found first, from the ids alone, so that the
+    other columns are computed for the rows up to it and not for all.
+    """
     if ROW_ID not in df.columns:
         return df.limit(n)
-    return df.orderBy(ROW_ID).limit(n)
+    last = df.select(ROW_ID).orderBy(ROW_ID).limit(n).agg(F.max(ROW_ID)).first()[0]
+    kept = F.col(ROW_ID).isNull()
+    if last is not None:
+        to = F.struct(*[F.lit(x) for x in last]) if isinstance(last, Row) else F.lit(last)
+        kept = kept | (F.col(ROW_ID) <= to.cast(df.schema[ROW_ID].dataType))
+    return df.filter(kept).orderBy(ROW_ID).limit(n)
 
 
 def filter_options(df: DataFrame, columns: dict[str, str | None], cap: int = OPTION_CAP) -> DataFrame:
