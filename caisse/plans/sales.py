@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +22,7 @@ from caisse.operators.kpis import (
 )
 from caisse.operators.measures import Measures, prepare_measures
 from caisse.roles import assistant_roles, forecast_roles, role_map
+from caisse.session import stored
 
 
 class SalesAnalysis:
@@ -47,7 +47,8 @@ class SalesAnalysis:
         return self._persisted if self._persisted is not None else aggregate_sales(self.measures)
 
     def persist_aggregate(self) -> DataFrame:
-        self._persisted = aggregate_sales(self.measures).persist(StorageLevel.MEMORY_AND_DISK)
+        """Writes the aggregate once; readers find it however Spark renames the columns of their plans (a cached ``Expand`` it does not)."""
+        self._persisted = stored(aggregate_sales(self.measures), "aggregate")
         return self._persisted
 
     # -- dashboard --------------------------------------------------------
@@ -138,8 +139,8 @@ def stored_answers(record: DataFrame, cleaned: DataFrame | None) -> DataFrame:
         return F.transform(F.col(key), lambda x, i: F.struct(
             F.lit(dim).alias("dimension"), (i + 1).cast("int").alias("rank"), x["name"].alias("name"), x["value"].alias("value")))
 
-    stored = F.concat(*[listed(dim, key) for dim, key in TOP_LISTS.items()])
-    row = record.withColumns({"months": F.col("monthly_evolution"), "_stored": stored.cast(f"array<{item}>")})
+    kept = F.concat(*[listed(dim, key) for dim, key in TOP_LISTS.items()])
+    row = record.withColumns({"months": F.col("monthly_evolution"), "_stored": kept.cast(f"array<{item}>")})
     if cleaned is None:
         row = row.withColumn("_fresh", F.array().cast(f"array<{item}>"))
     else:
