@@ -244,10 +244,10 @@ def head_sample(df: DataFrame, n: int = HEAD_DEFAULT) -> DataFrame:
     if ROW_ID not in df.columns:
         return df.limit(n)
     last = df.select(ROW_ID).orderBy(ROW_ID).limit(n).agg(F.max(ROW_ID)).first()[0]
-    kept = F.col(ROW_ID).isNull()
-    if last is not None:
-        to = F.struct(*[F.lit(x) for x in last]) if isinstance(last, Row) else F.lit(last)
-        kept = kept | (F.col(ROW_ID) <= to.cast(df.schema[ROW_ID].dataType))
+    if last is None:  # rows without an id, of which any will do, or none at all
+        return df.orderBy(ROW_ID).limit(n)
+    to = F.struct(*[F.lit(x) for x in last]) if isinstance(last, Row) else F.lit(last)
+    kept = F.col(ROW_ID).isNull() | (F.col(ROW_ID) <= to.cast(df.schema[ROW_ID].dataType))
     return df.filter(kept).orderBy(ROW_ID).limit(n)
 
 
