@@ -22,12 +22,18 @@ BITS = 15
 SYMBOLS = (1 << BITS) - 19
 #: Characters of one block of documents.
 BLOCK = 12 << 20
+#: Characters of a block whose n-grams are sorted at once.
+PART = 1 << 20
 QUANTILE = 0.995
 #: One in so many trusted documents sets the thresholds instead of training the model.
 HELD_OUT = 5
 #: Width of a cell of the quantiles' histogram, in log10 of the perplexity.
 CELL = 1e-4
 ANY = "*"
+#: Bits of the map of trusted documents (8 MB, whatever the input).
+MAP_BITS = 1 << 26
+#: Compression level of blocks (Zstandard).
+LEVEL = 6
 
 
 def _symbols(text: str) -> np.ndarray:
@@ -46,6 +52,46 @@ def _grams(symbols: np.ndarray) -> np.ndarray:
     return out
 
 
+def _packed(text: str) -> bytes:
+    """A text compressed, after the length of its bytes."""
+    import pyarrow as pa
+
+    raw = text.encode("utf-8", "surrogatepass")
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", LEVEL).compress(raw, asbytes=True)
+
+
+def _unpacked(data: bytes) -> str:
+    import pyarrow as pa
+
+    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True).decode("utf-8", "surrogatepass")
+
+
+def _in_map(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` but most of those whose doc_id is not in ``ids``: others that share both their bits in a map of fixed size stay.
+
+    Ids of types that equal values may tell apart (floats, unlike types) are all left to the join that follows.
+    """
+    import pyarrow as pa
+
+    kind = dict(docs.dtypes)["doc_id"]
+    if kind != dict(ids.dtypes)["doc_id"] or kind not in ("tinyint", "smallint", "int", "bigint", "string"):
+        return docs
+    places = F.array(*[F.pmod(F.xxhash64(F.col("doc_id"), F.lit(i)), F.lit(MAP_BITS)) for i in (1, 2)])
+    words = ids.select(F.explode(places).alias("p")).groupBy(F.expr("p div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(p % 64)))").alias("bits")).toPandas()
+    bits = np.zeros(-(-MAP_BITS // 64), dtype=np.uint64)
+    bits[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                place = b.column("places").flatten().to_numpy().reshape(-1, 2)
+                hit = (shared.value[place // 64] >> (place % 64).astype(np.uint64)) & np.uint64(1)
+                yield b.drop_columns(["places"]).filter(pa.array(hit.all(axis=1)))
+
+    return docs.withColumn("places", places).mapInArrow(run, docs.schema)
+
+
 def count_grams(texts: DataFrame) -> DataFrame:
     """(g, c) over the column text; each task counts its own texts first, some megabytes at a time."""
     import pyarrow as pa
@@ -99,6 +145,11 @@ def gram_probabilities(grams: DataFrame, model: list[dict]) -> DataFrame:
     return out.select("g", F.log10("p").alias("logp"))
 
 
+def _distinct(grams: list[np.ndarray], texts: list[str]) -> np.ndarray:
+    """The distinct n-grams of the texts and of ``grams``."""
+    return np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *grams, *(_grams(_symbols(t)) for t in texts)]))
+
+
 def _blocks(docs: DataFrame, with_grams: bool) -> DataFrame:
     """Blocks of a task's documents: (block, g) of their distinct n-grams, or (block, ids, langs, sizes, raw).
 
@@ -111,17 +162,15 @@ def _blocks(docs: DataFrame, with_grams: bool) -> DataFrame:
     rows = docs.select("doc_id", "lang", "text", F.spark_partition_id().alias("task"))
 
     def run(batches):
-        import zlib
-
-        number, size, ids, langs, parts, task = 0, 0, [], [], [], 0
+        number, size, ids, langs, parts, task, grams, held = 0, 0, [], [], [], 0, [], 0
 
         def send():
             block = pa.array([(task << 24) + number], pa.int64())
             if with_grams:
-                g = np.unique(np.concatenate([_grams(_symbols(t)) for t in parts])) if parts else np.zeros(0, dtype=np.int64)
+                g = _distinct(grams, parts)
                 return pa.RecordBatch.from_arrays([pa.array(np.full(len(g), (task << 24) + number)), pa.array(g)], names=["block", "g"])
             sizes = np.array([len(t) for t in parts], dtype=np.int64)
-            raw = zlib.compress("".join(parts).encode("utf-8", "surrogatepass"), 1)
+            raw = _packed("".join(parts))
             return pa.RecordBatch.from_arrays([block, pa.array([ids], pa.list_(id_arrow)), pa.array([langs], pa.list_(pa.string())), pa.array([sizes], pa.list_(pa.int64())), pa.array([raw], pa.binary())], names=["block", "ids", "langs", "sizes", "raw"])
 
         for b in batches:
@@ -131,9 +180,12 @@ def _blocks(docs: DataFrame, with_grams: bool) -> DataFrame:
                 langs.append(lang)
                 parts.append(text or "")
                 size += len(parts[-1]) + 64
+                held += len(parts[-1])
+                if with_grams and held >= PART:
+                    grams, parts, held = [_distinct(grams, parts)], [], 0
                 if size >= BLOCK:
                     yield send()
-                    number, size, ids, langs, parts = number + 1, 0, [], [], []
+                    number, size, ids, langs, parts, grams, held = number + 1, 0, [], [], [], [], 0
         if ids:
             yield send()
 
@@ -150,13 +202,11 @@ def score_documents(docs: DataFrame, model: list[dict]) -> DataFrame:
     probs = grams.join(known, "g").select("block", "g", F.col("logp").cast("float").alias("logp"))
 
     def score(left, right):
-        import zlib
-
         order = np.argsort(right["g"].to_numpy())
         g, p = right["g"].to_numpy()[order], right["logp"].to_numpy()[order].astype(np.float64)
         ids, langs, sizes, total = [], [], [], []
         for i, lang, size, raw in zip(left["ids"], left["langs"], left["sizes"], left["raw"]):
-            text, at = zlib.decompress(raw).decode("utf-8", "surrogatepass"), 0
+            text, at = _unpacked(raw), 0
             ids += list(i)
             langs += list(lang)
             sizes += list(size)
@@ -206,7 +256,9 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, quantile: float = QUA
     trusted = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.expr("coalesce(quality, 0) = 1 and coalesce(toxic, 0) = 0")).alias("ok")).filter("ok").select("doc_id")
     trusted = cut(trusted.withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0))
     # No broadcast hint: the ids grow with the labels, so their size decides.
-    texts = rows.join(trusted.filter("not held").select("doc_id"), "doc_id", "left_semi")
+    # The map keeps most other texts from being moved; the join decides.
+    learned = trusted.filter("not held").select("doc_id")
+    texts = _in_map(rows.select("doc_id", "text"), learned).join(learned, "doc_id", "left_semi")
     scored = cut(score_documents(rows, train_model(texts)))
     log_ppl = F.when(F.col("n_chars_scored") > 0, -F.col("log10_prob") / F.col("n_chars_scored"))
     scored = scored.withColumn("log_ppl", log_ppl).join(trusted.select("doc_id", F.lit(True).alias("trusted"), "held"), "doc_id", "left")

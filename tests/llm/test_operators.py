@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -410,3 +411,51 @@ def test_classifier_learns_from_every_trusted_document(spark, monkeypatch):
         quality_classifier(docs, labels)
     trained = ids.filter(F.pmod(F.xxhash64("doc_id"), F.lit(5)) != 0).count()
     assert trained > 50_000 and found.value.args == (trained,)
+
+
+def test_classifier_moves_few_texts_it_does_not_learn_from(spark, monkeypatch):
+    """Texts without trust are left out before the join that moves texts; those the map lets pass are left out by the join."""
+    from caisse.llm import kneser_ney
+
+    docs = spark.range(2_000).select(F.when(F.col("id") % 100 > 0, F.col("id")).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    ids = spark.range(0, 2_000, 7).withColumnRenamed("id", "doc_id")
+    want = {7 * k for k in range(286) if 7 * k % 100}
+    left = {r.doc_id for r in kneser_ney._in_map(docs, ids).collect()}
+    assert want <= left and len(left) < len(want) + 10
+    # Ids of unlike types are left to the join.
+    assert kneser_ney._in_map(docs, ids.select(F.col("doc_id").cast("string"))) is docs
+    # A map so small that most rows pass: the model's texts stay the same.
+    monkeypatch.setattr(kneser_ney, "MAP_BITS", 1_000)
+    assert want < {r.doc_id for r in kneser_ney._in_map(docs, ids).collect()}
+    found = []
+    monkeypatch.setattr(kneser_ney, "train_model", lambda texts: found.append(texts.collect()) or [])
+    monkeypatch.setattr(kneser_ney, "score_documents", lambda rows, model: rows.select("doc_id", "lang", F.lit(1).alias("n_chars_scored"), F.lit(-1.0).alias("log10_prob")))
+    quality_classifier(docs.withColumn("lang", F.lit("en")), ids.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")))
+    held = {r.doc_id for r in ids.filter(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).collect()}
+    assert sorted(r.text for r in found[0]) == sorted(str(i) for i in want - held)
+
+
+def test_classifier_blocks_keep_every_text():
+    from caisse.llm import kneser_ney
+
+    for text in ("", "a", "é\ud800\x00 \U0001f600" * 999):
+        assert kneser_ney._unpacked(kneser_ney._packed(text)) == text
+
+
+def test_classifier_blocks_sort_few_characters_at_once(spark, monkeypatch):
+    from caisse.llm import kneser_ney
+
+    docs = make(spark, [t or "" for t in corpus(3)] + ["", None, "z" * 500]).coalesce(1)
+    whole = {tuple(r) for r in kneser_ney._blocks(docs, True).collect()}
+    monkeypatch.setattr(kneser_ney, "PART", 100)
+    assert {tuple(r) for r in kneser_ney._blocks(docs, True).collect()} == whole
+    texts = []
+    monkeypatch.setattr(kneser_ney, "_distinct", lambda grams, parts, real=kneser_ney._distinct: texts.append(sum(map(len, parts))) or real(grams, parts))
+    rows = pa.RecordBatch.from_pylist([{"doc_id": i, "lang": "en", "text": "ab " * 20, "task": 0} for i in range(90)])
+
+    class Rows:
+        dtypes = [("doc_id", "bigint")]
+        select = lambda self, *a: self
+        mapInArrow = lambda self, run, schema: list(run(iter([rows])))
+
+    assert sum(b.num_rows for b in kneser_ney._blocks(Rows(), True)) and max(texts) <= 160 and len(texts) > 40
