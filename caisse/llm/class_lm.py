@@ -18,6 +18,8 @@ number of classes grows with the vocabulary.
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +49,8 @@ CELL = np.dtype([("cell", "<u2"), ("n", "<u4")])
 #: Sums travel in blocks of this many cells.
 BLOCK = 1 << 16
 SUM = np.dtype([("cell", "<u2"), ("n", "<i8")])
+#: A place among a text's rest words travels with its class in one number, its occurrences in another.
+CLASS_SPAN, COUNT_SPAN = 1 << 16, 1 << 32
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -54,8 +58,6 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def _ending(word: bytes) -> int:
-    from zlib import crc32
-
     return crc32(word[-3:]) % ENDINGS
 
 
@@ -63,6 +65,14 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return WordHashes(False)._long(b"\n".join(words) + b"\n") if words else np.zeros(0, dtype=np.uint64)
 
 
+def _packed(codes: np.ndarray):
+    """Codes compressed, the bytes of equal weight together."""
+    import pyarrow as pa
+
+    planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """(word, n) over the column text, each text's end included."""
     import pyarrow as pa
@@ -93,7 +103,7 @@ def encode_texts(docs: DataFrame, hashes: np.ndarray, counts: np.ndarray, ends:
 
     hashes and counts: the lexicon; ends: the number of training texts. codes:
     each word's place in the lexicon, or its size plus the word's place in
-    rest, then END_CODE (unsigned 32-bit numbers). rest, tf, endings: hash,
+    rest, then END_CODE (unsigned 32-bit numbers, ``_packed``). rest, tf, endings: hash,
     occurrences and ending of the text's distinct words outside the lexicon.
     """
     import pyarrow as pa
@@ -110,20 +120,19 @@ def encode_texts(docs: DataFrame, hashes: np.ndarray, counts: np.ndarray, ends:
     def run(batches):
         known, place, log = shared.value
         size, hasher = len(known), WordHashes(True)
-        end = np.array([END_CODE], dtype="<u4").tobytes()
         for b in batches:
             texts, out = b.column("text").to_pylist(), [[] for _ in added]
             for t, h in zip(texts, hasher(texts)):
                 at = np.searchsorted(known, h)
                 seen = known[np.minimum(at, size - 1)] == h if size else np.zeros(len(h), dtype=bool)
-                code = np.zeros(len(h), dtype=np.int64)
-                code[seen] = place[at[seen]]
+                code = np.full(len(h) + 1, END_CODE, dtype=np.int64)
+                code[:-1][seen] = place[at[seen]]
                 new = np.flatnonzero(~seen)
                 rest, first, number, tf = np.unique(h[new], return_index=True, return_inverse=True, return_counts=True)
                 code[new] = size + number
                 ws = _words(t) if len(new) else []
                 endings = np.array([_ending(ws[i]) for i in new[first].tolist()], dtype="<u2")
-                row = (len(h) + 1, int(seen.sum()) + end_known, float(log[code[seen]].sum()) + end_log, code.astype("<u4").tobytes() + end)
+                row = (len(h) + 1, int(seen.sum()) + end_known, float(log[code[:-1][seen]].sum()) + end_log, _packed(code))
                 for column, v in zip(out, (*row, rest.astype("<u8").tobytes(), tf.astype("<u4").tobytes(), endings.tobytes())):
                     column.append(v)
             yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array(v, t) for v, t in zip(out, types)], names=kept + [f.name for f in added])
@@ -135,13 +144,27 @@ def _joined(batch, name: str, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column(name).to_pylist()), dtype=dtype)
 
 
-def _codes(batch, size: int) -> np.ndarray:
-    """The codes of a batch's tokens: rest words are numbered on through the batch, the end is -1."""
-    lengths = [len(x) // 4 for x in batch.column("codes").to_pylist()]
-    rest = np.cumsum([0] + [len(x) // 2 for x in batch.column("endings").to_pylist()])
-    codes = _joined(batch, "codes", "<u4").astype(np.int64)
+def _lengths(column, width: int) -> np.ndarray:
+    """The numbers of ``width`` bytes in each value of a binary column without nulls."""
+    import pyarrow.compute as pc
+
+    return pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // width
+
+
+def _codes(batch, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of a batch's tokens, and their number in each row: rest words are numbered on through the batch, the end is -1."""
+    import pyarrow as pa
+
+    lengths = batch.column("n_tokens").to_numpy(zero_copy_only=False)
+    at = np.cumsum(np.r_[0, lengths])
+    raw = np.empty((at[-1], 4), dtype=np.uint8)
+    for i, j, x in zip(at[:-1].tolist(), at[1:].tolist(), batch.column("codes").to_pylist()):
+        planes = pa.decompress(x, decompressed_size=4 * (j - i), codec="zstd")
+        raw[i:j] = np.frombuffer(planes, dtype=np.uint8).reshape(4, -1).T
+    codes = raw.view("<u4")[:, 0].astype(np.int64)
+    rest = np.cumsum(np.r_[0, _lengths(batch.column("endings"), 2)])
     moved = np.where(codes >= size, codes + np.repeat(rest[:-1], lengths), codes)
-    return np.where(codes == END_CODE, -1, moved)
+    return np.where(codes == END_CODE, -1, moved), lengths
 
 
 def _blocks(total: np.ndarray):
@@ -199,14 +222,14 @@ def context_counts(encoded: DataFrame, item_of: np.ndarray, class_of: np.ndarray
         total = np.zeros(items * 2 * classes, dtype=np.int64)
         for b in batches:
             if b.num_rows:
-                item = np.r_[item_of, items - 1 - ENDINGS + _joined(b, "endings", "<u2").astype(np.int64), items - 1][_codes(b, len(item_of))]
+                item = np.r_[item_of, items - 1 - ENDINGS + _joined(b, "endings", "<u2").astype(np.int64), items - 1][_codes(b, len(item_of))[0]]
                 k = class_of[item]
                 left = np.r_[classes - 1, k[:-1]]
                 total += np.bincount((item * 2) * classes + left, minlength=len(total))
                 total += np.bincount((item[:-1] * 2 + 1) * classes + k[1:], minlength=len(total))
         yield _blocks(total)
 
-    found = encoded.select("codes", "endings").mapInArrow(run, "block int, cells binary")
+    found = encoded.select("n_tokens", "codes", "endings").mapInArrow(run, "block int, cells binary")
     return _summed(found, items * 2 * classes).reshape(items, 2, classes)
 
 
@@ -264,23 +287,28 @@ def best_classes(h: np.ndarray, cell: np.ndarray, n: np.ndarray, now: np.ndarray
     count = np.add.reduceat(np.where(cell < classes, n, 0), start)
     present, best = now[start], np.zeros(len(start), dtype=np.int64)
     ends = np.r_[start[1:], len(h)]
+    table = np.concatenate([big, big.T])
+    f_table = _f(table)
     i = 0
     while i < len(start):
         j = max(i + 1, int(np.searchsorted(ends, start[i] + STEP, side="right")))
         lo, hi = start[i], ends[j - 1]
         part, m = cell[lo:hi], n[lo:hi, None].astype(float)
-        x = np.concatenate([big, big.T])[part]
+        x, f_x = table[part], f_table[part]
         rows = np.arange(hi - lo)
         left, word = part < classes, np.repeat(np.arange(j - i), ends[i:j] - start[i:j])
-        # Without the word: its own counts leave its present class on both sides.
+        # Without the word: its own counts leave its present class on both sides; only there x changes.
         x[rows, now[lo:hi]] -= m[:, 0]
         own = np.zeros((j - i, 2 * classes))
         own[word, part] = m[:, 0]
         at = part % classes == now[lo:hi]
         x[at & left] -= own[word[at & left], classes:]
         x[at & ~left] -= own[word[at & ~left], :classes]
-        np.maximum(x, 0, out=x)
-        gain = np.add.reduceat(_f(x + m) - _f(x), start[i:j] - lo)
+        x[at] = np.maximum(x[at], 0)
+        x[rows, now[lo:hi]] = np.maximum(x[rows, now[lo:hi]], 0)
+        f_x[at] = _f(x[at])
+        f_x[rows, now[lo:hi]] = _f(x[rows, now[lo:hi]])
+        gain = np.add.reduceat(_f(x + m) - f_x, start[i:j] - lo)
         total, words = count[i:j, None].astype(float), np.arange(j - i)
         for margin in (big.sum(0), big.sum(1)):
             y = np.tile(margin, (j - i, 1))
@@ -288,10 +316,13 @@ def best_classes(h: np.ndarray, cell: np.ndarray, n: np.ndarray, now: np.ndarray
             gain -= _f(y + total) - _f(y)
         to = gain[:, : classes - 1].argmax(1)
         best[i:j] = np.where(gain[words, to] > gain[words, present[i:j]] + 1e-9, to, present[i:j])
-        for of, sign in ((now[lo:hi], -weight), (best[i:j][word], weight)):
-            np.add.at(big, (part[left], of[left]), sign * m[left, 0])
-            np.add.at(big, (of[~left], part[~left] - classes), sign * m[~left, 0])
-        np.maximum(big, 0, out=big)
+        if (best[i:j] != present[i:j]).any():
+            for of, sign in ((now[lo:hi], -weight), (best[i:j][word], weight)):
+                np.add.at(big, (part[left], of[left]), sign * m[left, 0])
+                np.add.at(big, (of[~left], part[~left] - classes), sign * m[~left, 0])
+            np.maximum(big, 0, out=big)
+            table[:classes], table[classes:] = big, big.T
+            f_table = _f(table)
         i = j
     return h[start], count, best
 
@@ -325,7 +356,7 @@ def move_words(train: DataFrame, lexicon: np.ndarray, class_of: np.ndarray, end_
         for b in batches:
             if not b.num_rows:
                 continue
-            codes = _codes(b, size)
+            codes, _ = _codes(b, size)
             k = np.r_[class_of, end_class[_joined(b, "endings", "<u2")], classes - 1][codes]
             mine = np.flatnonzero((codes >= head) & (rest | (codes < size)))
             h = np.r_[lexicon, _joined(b, "rest", "<i8")][codes[mine]]
@@ -366,7 +397,7 @@ def move_words(train: DataFrame, lexicon: np.ndarray, class_of: np.ndarray, end_
         if len(kept[0]):
             yield moved(*kept)
 
-    found = train.select("codes", "rest", "endings").mapInArrow(collect, "h long, cells binary")
+    found = train.select("n_tokens", "codes", "rest", "endings").mapInArrow(collect, "h long, cells binary")
     return found.repartition(tasks, "h").sortWithinPartitions("h").mapInArrow(decide, "h long, n long, class int")
 
 
@@ -392,31 +423,39 @@ def _refreshed(class_of: np.ndarray, lexicon: np.ndarray, moved: DataFrame, leas
     return out
 
 
+def _kind(classes: int) -> str:
+    """The narrowest unsigned numbers that hold the classes, the end's included."""
+    return "<u1" if classes < 256 else "<u2"
+
+
 def _with_classes(encoded: DataFrame, moved: DataFrame, class_of: np.ndarray, end_class: np.ndarray, classes: int) -> DataFrame:
-    """Per row of ``encoded``: ``k``, the classes of its tokens (unsigned 16-bit), rest_known and rest_log of its rest words.
+    """Per row of ``encoded``: ``k``, the classes of its tokens (``_kind``), rest_known and rest_log of its rest words.
 
     Rest words get their class and count from ``moved`` by a join on the hash;
     those without a row there were never seen in training.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    size = len(class_of)
+    size, kind = len(class_of), _kind(classes)
     shared = encoded.sparkSession.sparkContext.broadcast((class_of, end_class))
 
     def listed(batches):
         for b in batches:
-            sizes = [len(x) // 8 for x in b.column("rest").to_pylist()]
+            sizes = _lengths(b.column("rest"), 8)
+            begins = np.cumsum(np.r_[0, sizes])
             rid = np.repeat(b.column("rid").to_numpy(zero_copy_only=False), sizes)
-            place = np.concatenate([np.arange(s) for s in sizes]) if sizes else np.zeros(0)
-            columns = [pa.array(rid, pa.int64()), pa.array(place.astype(np.int32)), pa.array(_joined(b, "rest", "<i8"), pa.int64()), pa.array(_joined(b, "tf", "<u4").astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["rid", "place", "h", "tf"])
+            place = np.arange(begins[-1]) - np.repeat(begins[:-1], sizes)
+            columns = [pa.array(rid, pa.int64()), pa.array(_joined(b, "rest", "<i8"), pa.int64()), pa.array(place * COUNT_SPAN + _joined(b, "tf", "<u4").astype(np.int64), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["rid", "h", "at"])
 
-    rest = encoded.select("rid", "rest", "tf").mapInArrow(listed, "rid long, place int, h long, tf long").join(moved, "h", "left")
+    rest = encoded.select("rid", "rest", "tf").mapInArrow(listed, "rid long, h long, at long").join(moved, "h", "left")
+    rest = rest.withColumns({"place": F.expr(f"`at` div {COUNT_SPAN}"), "tf": F.expr(f"`at` % {COUNT_SPAN}")})
     seen = F.col("n").isNotNull()
     rest = rest.groupBy("rid").agg(
         F.sum(F.when(seen, F.col("tf")).otherwise(0)).alias("rest_known"),
         F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADD))).alias("rest_log"),
-        F.collect_list(F.when(seen, F.struct("place", "class"))).alias("found"),
+        F.collect_list(F.when(seen, F.col("place") * CLASS_SPAN + F.col("class"))).alias("found"),
     )
     names = ["doc_id", "held_out", "n_tokens", "known", "log_counts", "rest_known", "rest_log"]
     rows = encoded.drop("rest", "tf").join(rest, "rid", "left").select(*names, "codes", "endings", "found")
@@ -427,13 +466,14 @@ def _with_classes(encoded: DataFrame, moved: DataFrame, class_of: np.ndarray, en
             if not b.num_rows:
                 continue
             rest_class = end_class[_joined(b, "endings", "<u2")]
-            begins = np.cumsum([0] + [len(x) // 2 for x in b.column("endings").to_pylist()])
-            for t, found in enumerate(b.column("found").to_pylist()):
-                if found:
-                    rest_class[[begins[t] + x["place"] for x in found]] = [x["class"] for x in found]
-            k = np.r_[class_of, rest_class, classes][_codes(b, size)].astype("<u2")
-            at = np.cumsum([0] + [len(x) // 4 for x in b.column("codes").to_pylist()])
-            column = pa.array([k[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())
+            begins = np.cumsum(np.r_[0, _lengths(b.column("endings"), 2)])
+            found, of = b.column("found"), pc.list_value_length(b.column("found")).fill_null(0).to_numpy(zero_copy_only=False)
+            placed = found.flatten().to_numpy(zero_copy_only=False)
+            rest_class[np.repeat(begins[:-1], of) + placed // CLASS_SPAN] = placed % CLASS_SPAN
+            codes, lengths = _codes(b, size)
+            k = np.r_[class_of, rest_class, classes][codes].astype(kind)
+            at = np.cumsum(np.r_[0, lengths])
+            column = pa.array([k[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [column], names=names + ["k"])
 
     types = dict(rows.dtypes)
@@ -479,9 +519,9 @@ def class_lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         of = class_of
 
         def read(b):
-            return np.r_[of, end_class[_joined(b, "endings", "<u2")], classes][_codes(b, len(of))]
+            return np.r_[of, end_class[_joined(b, "endings", "<u2")], classes][_codes(b, len(of))[0]]
 
-        big = class_bigrams(train, classes + 1, read, ["codes", "endings"])
+        big = class_bigrams(train, classes + 1, read, ["n_tokens", "codes", "endings"])
         moved = cut(move_words(train, lexicon, class_of, end_class, head, big, rest))
         class_of = _refreshed(class_of, lexicon, moved, SHARE * total)
     kinds = moved.groupBy("class").count().toPandas()
@@ -490,7 +530,8 @@ def class_lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     class_types[classes] += ends > 0
 
     known = cut(_with_classes(encoded, moved, class_of, end_class, classes))
-    pairs = class_bigrams(known.filter("not held_out"), classes + 1, lambda b: _joined(b, "k", "<u2").astype(np.int64), ["k"])
+    kind = _kind(classes)
+    pairs = class_bigrams(known.filter("not held_out"), classes + 1, lambda b: _joined(b, "k", kind).astype(np.int64), ["k"])
     class_tokens = pairs.sum(0)
     emit = np.log10(class_tokens + ADD * (class_types + 1))
     share = (class_tokens + 1) / (class_tokens + 1).sum()
@@ -504,9 +545,9 @@ def class_lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for b in batches:
             if not b.num_rows:
                 continue
-            k = _joined(b, "k", "<u2").astype(np.int64)
+            k = _joined(b, "k", kind).astype(np.int64)
             step = move[np.r_[len(emit) - 1, k[:-1]], k] - emit[k]
-            at = np.cumsum([0] + [len(x) // 2 for x in b.column("k").to_pylist()])
+            at = np.cumsum(np.r_[0, _lengths(b.column("k"), np.dtype(kind).itemsize)])
             yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [pa.array(np.add.reduceat(step, at[:-1]))], names=names + ["moves"])
 
     names = [c for c in known.columns if c != "k"]
