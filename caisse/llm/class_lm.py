@@ -39,7 +39,7 @@ ADD = 0.1
 #: Words a task counts before it sends them on.
 CHUNK = 300_000
 #: Neighbours a task counts before it sends them on.
-CELLS = 2_000_000
+CELLS = 6_000_000
 #: Cells of word histograms whose gains are computed at once.
 STEP = 2_000
 #: Key of a text's end among the words; no word holds a line feed.
@@ -141,7 +141,15 @@ def encode_texts(docs: DataFrame, hashes: np.ndarray, counts: np.ndarray, ends:
 
 
 def _joined(batch, name: str, dtype: str) -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column(name).to_pylist()), dtype=dtype)
+    """The numbers in a binary column without nulls, row after row."""
+    import pyarrow as pa
+
+    column = batch.column(name)
+    if not len(column) or column.buffers()[2] is None:
+        return np.zeros(0, dtype=dtype)
+    wide = pa.types.is_large_binary(column.type)
+    at = np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[at[0] : at[-1]].view(dtype)
 
 
 def _lengths(column, width: int) -> np.ndarray:
@@ -157,11 +165,10 @@ def _codes(batch, size: int) -> tuple[np.ndarray, np.ndarray]:
 
     lengths = batch.column("n_tokens").to_numpy(zero_copy_only=False)
     at = np.cumsum(np.r_[0, lengths])
-    raw = np.empty((at[-1], 4), dtype=np.uint8)
+    raw, zstd = np.empty((4, at[-1]), dtype=np.uint8), pa.Codec("zstd")
     for i, j, x in zip(at[:-1].tolist(), at[1:].tolist(), batch.column("codes").to_pylist()):
-        planes = pa.decompress(x, decompressed_size=4 * (j - i), codec="zstd")
-        raw[i:j] = np.frombuffer(planes, dtype=np.uint8).reshape(4, -1).T
-    codes = raw.view("<u4")[:, 0].astype(np.int64)
+        raw[:, i:j] = np.frombuffer(zstd.decompress(x, 4 * (j - i)), dtype=np.uint8).reshape(4, -1)
+    codes = np.ascontiguousarray(raw.T).view("<u4")[:, 0].astype(np.int64)
     rest = np.cumsum(np.r_[0, _lengths(batch.column("endings"), 2)])
     moved = np.where(codes >= size, codes + np.repeat(rest[:-1], lengths), codes)
     return np.where(codes == END_CODE, -1, moved), lengths
@@ -263,12 +270,20 @@ def exchange(counts: np.ndarray, class_of: np.ndarray) -> np.ndarray:
     return class_of
 
 
-def _added(h: np.ndarray, cell: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of equal (h, cell) summed, in that order."""
-    order = np.lexsort((cell, h))
+def _number(h: np.ndarray) -> np.ndarray:
+    """The number of each word in an array in which equal words stand together."""
+    return np.cumsum(np.r_[False, h[1:] != h[:-1]]) if len(h) else np.zeros(0, dtype=np.int64)
+
+
+def _added(h: np.ndarray, cell: np.ndarray, n: np.ndarray, ordered: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of equal (h, cell) summed, in that order; ordered: by h already, each word's cells in a few ascending runs."""
+    if ordered:
+        order = np.argsort((_number(h) << 16) | cell, kind="stable")
+    else:
+        order = np.lexsort((cell.astype(np.uint16), h))
     h, cell, n = h[order], cell[order], n[order]
     start = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (cell[1:] != cell[:-1])]) if len(h) else np.zeros(0, dtype=np.int64)
-    return h[start], cell[start], np.add.reduceat(n, start) if len(h) else n
+    return h[start], cell[start], np.add.reduceat(n, start, dtype=np.int64) if len(h) else n
 
 
 def best_classes(h: np.ndarray, cell: np.ndarray, n: np.ndarray, now: np.ndarray, big: np.ndarray, weight: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -288,41 +303,51 @@ def best_classes(h: np.ndarray, cell: np.ndarray, n: np.ndarray, now: np.ndarray
     present, best = now[start], np.zeros(len(start), dtype=np.int64)
     ends = np.r_[start[1:], len(h)]
     table = np.concatenate([big, big.T])
-    f_table = _f(table)
+    lone = _f(table + 1) - _f(table)
     i = 0
     while i < len(start):
         j = max(i + 1, int(np.searchsorted(ends, start[i] + STEP, side="right")))
         lo, hi = start[i], ends[j - 1]
-        part, m = cell[lo:hi], n[lo:hi, None].astype(float)
-        x, f_x = table[part], f_table[part]
-        rows = np.arange(hi - lo)
+        part, m, at = cell[lo:hi], n[lo:hi].astype(float), now[lo:hi]
         left, word = part < classes, np.repeat(np.arange(j - i), ends[i:j] - start[i:j])
-        # Without the word: its own counts leave its present class on both sides; only there x changes.
-        x[rows, now[lo:hi]] -= m[:, 0]
-        own = np.zeros((j - i, 2 * classes))
-        own[word, part] = m[:, 0]
-        at = part % classes == now[lo:hi]
-        x[at & left] -= own[word[at & left], classes:]
-        x[at & ~left] -= own[word[at & ~left], :classes]
-        x[at] = np.maximum(x[at], 0)
-        x[rows, now[lo:hi]] = np.maximum(x[rows, now[lo:hi]], 0)
-        f_x[at] = _f(x[at])
-        f_x[rows, now[lo:hi]] = _f(x[rows, now[lo:hi]])
-        gain = np.add.reduceat(_f(x + m) - f_x, start[i:j] - lo)
-        total, words = count[i:j, None].astype(float), np.arange(j - i)
+        # Without the word: its own counts leave its present class on both sides. A lone neighbour of another class
+        # changes one cell only; its other gains are those of all lone neighbours.
+        gains = lone[part]
+        own = part % classes == at
+        few = np.flatnonzero((m == 1) & ~own)
+        y = np.maximum(table[part[few], at[few]] - 1, 0)
+        gains[few, at[few]] = _f(y + 1) - _f(y)
+        many = np.flatnonzero((m != 1) | own)
+        x, w = table[part[many]], word[many]
+        x[np.arange(len(many)), at[many]] -= m[many]
+        if own.any():
+            counts = np.zeros((j - i, 2 * classes))
+            counts[word, part] = m
+            for side, other in ((left[many] & own[many], slice(classes, None)), (~left[many] & own[many], slice(None, classes))):
+                x[side] -= counts[w[side], other]
+        np.maximum(x, 0, out=x)
+        gains[many] = _f(x + m[many, None]) - _f(x)
+        first, size = start[i:j] - lo, ends[i:j] - start[i:j]
+        gain = gains[first]
+        for k in range(1, int(size.max())):
+            longer = np.flatnonzero(size > k)
+            gain[longer] += gains[first[longer] + k]
+        total, words = count[i:j].astype(float), np.arange(j - i)
+        kinds, of_kind = np.unique(total, return_inverse=True)
         for margin in (big.sum(0), big.sum(1)):
-            y = np.tile(margin, (j - i, 1))
-            y[words, present[i:j]] = np.maximum(y[words, present[i:j]] - total[:, 0], 0)
-            gain -= _f(y + total) - _f(y)
+            lost = (_f(margin + kinds[:, None]) - _f(margin))[of_kind]
+            y = np.maximum(margin[present[i:j]] - total, 0)
+            lost[words, present[i:j]] = _f(y + total) - _f(y)
+            gain -= lost
         to = gain[:, : classes - 1].argmax(1)
         best[i:j] = np.where(gain[words, to] > gain[words, present[i:j]] + 1e-9, to, present[i:j])
         if (best[i:j] != present[i:j]).any():
-            for of, sign in ((now[lo:hi], -weight), (best[i:j][word], weight)):
-                np.add.at(big, (part[left], of[left]), sign * m[left, 0])
-                np.add.at(big, (of[~left], part[~left] - classes), sign * m[~left, 0])
+            for of, sign in ((at, -weight), (best[i:j][word], weight)):
+                np.add.at(big, (part[left], of[left]), sign * m[left])
+                np.add.at(big, (of[~left], part[~left] - classes), sign * m[~left])
             np.maximum(big, 0, out=big)
             table[:classes], table[classes:] = big, big.T
-            f_table = _f(table)
+            lone = _f(table + 1) - _f(table)
         i = j
     return h[start], count, best
 
@@ -361,8 +386,8 @@ def move_words(train: DataFrame, lexicon: np.ndarray, class_of: np.ndarray, end_
             mine = np.flatnonzero((codes >= head) & (rest | (codes < size)))
             h = np.r_[lexicon, _joined(b, "rest", "<i8")][codes[mine]]
             left, right = np.r_[classes - 1, k[:-1]][mine], k[np.minimum(mine + 1, len(k) - 1)]
-            cell = np.concatenate([left, classes + right, 2 * classes + k[mine]])
-            held.append((np.tile(h, 3), cell, np.ones(len(cell), dtype=np.int64)))
+            cell = np.concatenate([left, classes + right, 2 * classes + k[mine]]).astype(np.uint16)
+            held.append((np.tile(h, 3), cell, np.ones(len(cell), dtype=np.uint8)))
             cells += len(cell)
             if cells > CELLS:
                 yield send()
@@ -376,8 +401,8 @@ def move_words(train: DataFrame, lexicon: np.ndarray, class_of: np.ndarray, end_
         def moved(h, cell, n):
             # Cells from 2 * classes on hold the present class.
             own = cell >= 2 * classes
-            words, number = np.unique(h, return_inverse=True)
-            now = np.zeros(len(words), dtype=np.int64)
+            number = _number(h)
+            now = np.zeros(number[-1] + 1, dtype=np.int64)
             now[number[own]] = cell[own] - 2 * classes
             found = best_classes(h[~own], cell[~own], n[~own], now[number[~own]], big, tasks)
             return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.int32())], names=["h", "n", "class"])
@@ -387,9 +412,9 @@ def move_words(train: DataFrame, lexicon: np.ndarray, class_of: np.ndarray, end_
             if not b.num_rows:
                 continue
             h, data = b.column("h").to_numpy(zero_copy_only=False), _joined(b, "cells", CELL)
-            each = [len(x) // CELL.itemsize for x in b.column("cells").to_pylist()]
+            each = _lengths(b.column("cells"), CELL.itemsize)
             new = (np.repeat(h, each), data["cell"].astype(np.int64), data["n"].astype(np.int64))
-            whole = _added(*(np.r_[x, y] for x, y in zip(kept, new)))
+            whole = _added(*(np.r_[x, y] for x, y in zip(kept, new)), ordered=True)
             last = int(np.searchsorted(whole[0], h[-1]))
             if last:
                 yield moved(*(x[:last] for x in whole))

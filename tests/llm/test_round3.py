@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -429,3 +430,34 @@ def test_class_lm_scores_are_those_of_its_classes(spark, monkeypatch):
         assert r.score == pytest.approx(want)
         assert r.n_known == sum(b in n for b in ws)
     assert len(rows) == len(texts)
+
+
+def test_class_lm_codes_take_few_bytes(spark):
+    """Codes of known, rest and last tokens come back from their compressed form, which takes less than three bytes a token."""
+    from caisse.llm import class_lm
+
+    words = [f"w{k}".encode() for k in range(50)]
+    texts = [" ".join(f"w{(i * j) % 60}" for j in range(1, 200)) for i in range(40)] + ["", None, "w1 new w1 new other"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    encoded = class_lm.encode_texts(df, class_lm._hashes(words), np.arange(50, 0, -1), 1)
+    b = pa.RecordBatch.from_pylist([r.asDict() for r in encoded.collect()])
+    codes, lengths = class_lm._codes(b.slice(2), 50)
+    assert lengths.tolist() == [len(class_lm._words(t)) + 1 for t in texts[2:]]
+    rest, want, begin = class_lm._joined(b.slice(2), "rest", "<u8"), [], 0
+    for t in texts[2:]:
+        own = {h: begin + k for k, h in enumerate(sorted({int(class_lm._hashes([w])[0]) for w in class_lm._words(t) if w not in words}))}
+        want += [words.index(w) if w in words else 50 + own[int(class_lm._hashes([w])[0])] for w in class_lm._words(t)] + [-1]
+        begin += len(own)
+    assert codes.tolist() == want and len(rest) == begin
+    assert sum(len(x) for x in b.column("codes").to_pylist()) < 3 * sum(b.column("n_tokens").to_pylist())
+    assert (class_lm._kind(255), class_lm._kind(256)) == ("<u1", "<u2")
+
+
+def test_class_lm_sums_of_ordered_words():
+    from caisse.llm import class_lm
+
+    rng = np.random.default_rng(2)
+    h, cell, n = np.sort(rng.integers(-9, 9, 500)), rng.integers(0, 40, 500), rng.integers(1, 5, 500)
+    for a, b in zip(class_lm._added(h, cell, n), class_lm._added(h, cell, n, ordered=True)):
+        assert a.tolist() == b.tolist()
+    assert class_lm._added(h, cell, np.full(500, 200, dtype=np.uint8))[2].sum() == 100_000
