@@ -98,6 +98,17 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values of a short array as np.unique gives them: values, first places, number of each value, counts."""
+    order = np.argsort(h, kind="stable")
+    ordered, new = h[order], np.ones(len(h), dtype=bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    number = np.empty(len(h), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    start = np.flatnonzero(new)
+    return ordered[start], order[start], number, np.diff(np.r_[start, len(h)])
+
+
 def encode_texts(docs: DataFrame, hashes: np.ndarray, counts: np.ndarray, ends: int) -> DataFrame:
     """Per row: the row's other columns, n_tokens, known, log_counts (of the lexicon's words and the end), codes, rest, tf, endings.
 
@@ -128,12 +139,12 @@ def encode_texts(docs: DataFrame, hashes: np.ndarray, counts: np.ndarray, ends:
                 code = np.full(len(h) + 1, END_CODE, dtype=np.int64)
                 code[:-1][seen] = place[at[seen]]
                 new = np.flatnonzero(~seen)
-                rest, first, number, tf = np.unique(h[new], return_index=True, return_inverse=True, return_counts=True)
+                rest, first, number, tf = _distinct(h[new])
                 code[new] = size + number
                 ws = _words(t) if len(new) else []
-                endings = np.array([_ending(ws[i]) for i in new[first].tolist()], dtype="<u2")
+                endings = np.array([crc32(ws[i][-3:]) for i in new[first].tolist()], dtype=np.int64) % ENDINGS
                 row = (len(h) + 1, int(seen.sum()) + end_known, float(log[code[:-1][seen]].sum()) + end_log, _packed(code))
-                for column, v in zip(out, (*row, rest.astype("<u8").tobytes(), tf.astype("<u4").tobytes(), endings.tobytes())):
+                for column, v in zip(out, (*row, rest.astype("<u8").tobytes(), tf.astype("<u4").tobytes(), endings.astype("<u2").tobytes())):
                     column.append(v)
             yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array(v, t) for v, t in zip(out, types)], names=kept + [f.name for f in added])
 

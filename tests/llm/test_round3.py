@@ -461,3 +461,12 @@ def test_class_lm_sums_of_ordered_words():
     for a, b in zip(class_lm._added(h, cell, n), class_lm._added(h, cell, n, ordered=True)):
         assert a.tolist() == b.tolist()
     assert class_lm._added(h, cell, np.full(500, 200, dtype=np.uint8))[2].sum() == 100_000
+
+
+def test_class_lm_distinct_words_are_those_of_numpy():
+    from caisse.llm import class_lm
+
+    for n in (0, 1, 7, 200):
+        h = np.random.default_rng(n).integers(0, 2**64, 50, dtype=np.uint64)[np.random.default_rng(n + 1).integers(0, 50, n)]
+        for a, b in zip(class_lm._distinct(h), np.unique(h, return_index=True, return_inverse=True, return_counts=True)):
+            assert a.tolist() == b.tolist()
