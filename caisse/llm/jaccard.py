@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caisse.llm.common import WordHashes, cut, map_texts, require, shingle_set
-from caisse.llm.components import connected_components
+from caisse.llm.components import connected_components, with_component
 
 #: N-grams that a task gathers before it sends them on, and n-grams of one shard.
 CHUNK = 2_000_000
@@ -223,8 +223,8 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame,
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([_signature(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "sig", "tokens"])
 
     sets = rows.mapInArrow(tokens, f"doc_id {dict(rows.dtypes)['doc_id']}, sig binary, tokens array<long>")
-    # A class is told by its doc_id and signature: repeated rows meet where the join has put them.
-    sets = sets.join(wanted, "doc_id").filter("sig = want").dropDuplicates(["doc_id", "cid"])
+    # A class is told by its doc_id and signature: repeated rows meet where the join has put them, without another exchange.
+    sets = sets.join(wanted, "doc_id").filter("sig = want").dropDuplicates(["doc_id", "sig"])
     toks = sets.select("cid", F.explode("tokens").alias("h"))
     df = toks.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     own = toks.join(df, "h").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("t"))
@@ -239,12 +239,12 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame,
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, na, nb, i): overlap of each pair of classes, counted per fragment and summed."""
     frags = sets.select("cid", "n", F.posexplode("frags").alias("f", "seg")).filter("size(seg) > 0")
-    left = frags.select(F.col("cid").alias("a"), F.col("f").alias("fa"), F.col("seg").alias("sa"))
-    right = frags.select(F.col("cid").alias("b"), F.col("f").alias("fb"), F.col("seg").alias("sb"))
-    part = pairs.join(left, "a").join(right, (pairs["b"] == right["b"]) & (F.col("fa") == F.col("fb"))).select("a", pairs["b"], F.size(F.array_intersect("sa", "sb")).cast("long").alias("part"))
-    total = part.groupBy("a", "b").agg(F.sum("part").alias("i"))
-    sizes = sets.select("cid", "n")
-    return total.join(sizes.select(F.col("cid").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("cid").alias("b"), F.col("n").alias("nb")), "b")
+    left = frags.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("f").alias("fa"), F.col("seg").alias("sa"))
+    right = frags.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("f").alias("fb"), F.col("seg").alias("sb"))
+    part = pairs.join(left, "a").join(right, (pairs["b"] == right["b"]) & (F.col("fa") == F.col("fb")))
+    part = part.select("a", pairs["b"], "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("part"))
+    # The sizes come with the fragments: no join brings them afterwards.
+    return part.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("i"))
 
 
 def _linked(percent: int) -> Column:
@@ -308,28 +308,23 @@ def _compare_blocks(percent: int):
     return compare
 
 
-def _with_components(sets: DataFrame, links: DataFrame) -> DataFrame:
-    comp = connected_components(links)
-    return sets.join(comp, sets["cid"] == comp["node"], "left").select("cid", F.coalesce("component", "cid").alias("comp"))
-
-
 def _links(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) links between classes that connect what all links connect."""
+    """(a, b) links between classes that connect what all links connect; those found first stand as stars."""
     prefix = sets.select("cid", F.explode("prefix").alias("h"))
     lead = prefix.groupBy("h").agg(F.min("cid").alias("a"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     stars = prefix.join(lead, "h").filter("a < cid").select("a", F.col("cid").alias("b")).distinct()
     known = cut(_overlaps(stars, sets).withColumn("linked", _linked(percent)))
     first = known.filter("linked").select("a", "b")
-    comp = _with_components(sets.select("cid"), first)
+    comp = with_component(sets.select("cid", "n"), "cid", first).withColumnRenamed("component", "comp")
     near = known.filter("2 * i >= na + nb - i").groupBy("b").agg(F.min("a").alias("k1"))
-    own = comp.join(near, comp["cid"] == near["b"], "left").select("cid", "comp", F.coalesce("k1", "cid").alias("k1"))
+    own = comp.join(near, comp["cid"] == near["b"], "left").select("cid", "n", "comp", F.coalesce("k1", "cid").alias("k1"))
     jump = own.select(F.col("cid").alias("k1"), F.col("k1").alias("k"))
-    own = cut(own.join(jump, "k1").select("cid", "comp", "k"))
+    own = cut(own.join(jump, "k1").select("cid", "n", "comp", "k"))
 
     # Inside the clusters: blocks of one component where it is large, mixed blocks else.
     groups = own.groupBy("k", "comp").agg(F.count(F.lit(1)).alias("size"))
     clusters = groups.groupBy("k").agg(F.count(F.lit(1)).alias("comps"), F.sum(F.when(F.col("size") < BLOCK, F.col("size")).otherwise(0)).alias("small")).filter("comps > 1")
-    member = own.join(groups, ["k", "comp"]).join(clusters, "k")
+    member = own.drop("n").join(groups, ["k", "comp"]).join(clusters, "k")
     large = F.col("size") >= BLOCK
     slot = F.pmod(F.xxhash64("cid"), F.ceil(F.when(large, F.col("size")).otherwise(F.col("small")) / BLOCK))
     member = member.select("k", "cid", "comp", F.when(large, F.col("comp")).otherwise(-1).alias("of"), slot.cast("long").alias("slot"))
@@ -342,15 +337,16 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     inside = met.groupBy("k", "lo", "hi").applyInPandas(_compare_blocks(percent), "a long, b long")
 
     # Across clusters: pairs that share one of their rarest n-grams.
-    entry = prefix.join(own, "cid")
+    entry = sets.select("cid", "prefix").join(own, "cid").select("cid", "n", "comp", "k", F.explode("prefix").alias("h"))
     mixed = entry.groupBy("h").agg(F.min("k").alias("x"), F.max("k").alias("y")).filter("x < y").select("h")
-    entry = entry.join(mixed, "h").join(sets.select("cid", "n"), "cid")
+    entry = entry.join(mixed, "h")
     left = entry.select("h", *[F.col(c).alias(f"a_{c}") for c in ("cid", "comp", "k", "n")])
     right = entry.select("h", *[F.col(c).alias(f"b_{c}") for c in ("cid", "comp", "k", "n")])
     fits = f"a_cid < b_cid and a_k <> b_k and a_comp <> b_comp and 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"
     pairs = left.join(right, "h").filter(fits).select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct()
     across = _overlaps(pairs, sets).filter(_linked(percent)).select("a", "b")
-    return cut(first.union(inside).union(across))
+    stars = own.filter("comp < cid").select(F.col("comp").alias("a"), F.col("cid").alias("b"))
+    return cut(stars.union(inside).union(across))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, text_key: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -404,9 +400,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     require(docs, id_col, text_col)
     own, _, links = _classes(docs, id_col, text_col, size, percent, text_key=True)
-    comp = connected_components(links)
-    named = own.filter("doc_id is not null").join(comp, own["cid"] == comp["node"], "left")
-    rows = named.groupBy(F.coalesce("component", "cid").alias("group"), "doc_id", "text_key").agg(F.count(F.lit(1)).alias("copies"))
+    named = with_component(own.filter("doc_id is not null"), "cid", links)
+    rows = named.groupBy(F.col("component").alias("group"), "doc_id", "text_key").agg(F.count(F.lit(1)).alias("copies"))
     first = rows.filter("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "text_key", "copies")).alias("r")).select("r.*")
     first = cut(first.union(rows.filter("group is null").select("doc_id", "text_key", "copies")).toDF("__first", "__key", "copies"))
     key = _text_key(docs[text_col])
